@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import decontaminate, jaccard, mixing, quality
+from folioforge.llm import decontaminate, jaccard, mixing, quality, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the wavelet-matrix files."""
+    files = wavelet.write(table(spark, sf_dir, "documents"), tokenizer())
+    return wavelet.read(files, wavelet.crc32, "ids_crc32")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and near-duplicate class of every document."""
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -47,4 +59,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_ngram_jaccard, op8_quality_rules, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_output, op5_ngram_jaccard, op8_quality_rules, op10_mix_sources)}
