@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import decontaminate, jaccard, mixing, quality, wavelet
+from folioforge.llm import decontaminate, jaccard, mixing, phrases, quality, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document when all 200-byte strings that occur again are cut."""
+    out = phrases.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.plan(table(spark, sf_dir, "documents"), "doc_id").select(
@@ -59,4 +65,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_output, op5_ngram_jaccard, op8_quality_rules, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_output, op5_ngram_jaccard, op8_quality_rules, op9_suffix_dedup, op10_mix_sources)}
