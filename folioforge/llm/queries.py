@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import decontaminate, jaccard, mixing, phrases, quality, wavelet
+from folioforge.llm import decontaminate, html_text, jaccard, language, lengths, mixing, phrases, quality, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,34 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(files, wavelet.crc32, "ids_crc32")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned only from documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
+    marked = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.predict(marked, model, "doc_id", "held_out")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length histogram of the encoded documents with its suffix sums."""
+    return lengths.histogram(lengths.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer()))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and near-duplicate class of every document."""
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and host-aware verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents")).select(
@@ -65,4 +88,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_output, op5_ngram_jaccard, op8_quality_rules, op9_suffix_dedup, op10_mix_sources)}
+    ops = (
+        op1_decontamination,
+        op2_token_output,
+        op3_language_id,
+        op4_token_counts,
+        op5_ngram_jaccard,
+        op6_html_extraction,
+        op7_url_filters,
+        op8_quality_rules,
+        op9_suffix_dedup,
+        op10_mix_sources,
+    )
+    return {f.__name__: f for f in ops}
