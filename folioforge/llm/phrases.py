@@ -14,8 +14,8 @@ of one trigger and the bytes they cover are a phrase.
 2. Dictionary: phrases whose core repeats, counted by content.  A phrase seen twice repeats as a whole.
    So does every core with a single phrase, by definition.
 3. Order inside a core: only where a core has several phrases can single windows repeat in part, at the
-   two ends of a match.  One representative of each such phrase gives its windows with the phrase's count,
-   and counts are summed by window.
+   two ends of a match.  Equal windows have equal cores, so the distinct phrases of a core meet in one
+   task that compares their windows; a core of over ``HOT_PHRASES`` phrases is counted by window instead.
 4. Runs of repeated windows are joined back to their texts, and the bytes cut.
 
 A corpus-wide suffix array is not built: the task asks for matches of one fixed length, for which sums by
@@ -40,6 +40,10 @@ from folioforge.llm.shared import Bloom, bloom_of, materialise, modest_batches
 LENGTH = 200
 GRAM = 16
 SPAN = 84
+#: Cores of more phrases are counted by window, not in one task.
+HOT_PHRASES = 50_000
+#: Bytes of phrases a task compares at once; a core is never split.
+FLUSH_BYTES = 4 << 20
 
 
 def _window_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -90,10 +94,6 @@ class Phrases:
         h = bytescan.piece(self.total, lo, hi + self.length)
         return bytescan.combine([h, (self.at[some] - lo).astype(np.uint64), (hi - lo).astype(np.uint64)])
 
-    def windows(self, i: int) -> np.ndarray:
-        starts = np.arange(self.lo[i], self.hi[i] + 1)
-        return bytescan.piece(self.total, starts, starts + self.length)
-
 
 def _phrases(texts: pa.Array, length: int):
     for a, _, buf, offs in bytescan.chunks(texts):
@@ -130,46 +130,105 @@ def _parse(docs: DataFrame, cores: Bloom, length: int) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, core long, phrase long, lo long, n int")
 
 
-def _edge_windows(docs: DataFrame, wanted: Bloom, length: int) -> DataFrame:
-    """(phrase, i, w): the windows of one occurrence in each task of the phrases that may be wanted."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def _covers(docs: DataFrame, cores: Bloom, length: int) -> DataFrame:
+    """(core, phrase, cover): the bytes of the phrases whose core may be wanted, once for each task."""
+    held = docs.sparkSession.sparkContext.broadcast(cores)
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for _, _, p in _phrases(batch.column(0), length):
-                names = p.contents(np.arange(len(p.lo)))
-                some = np.flatnonzero(held.value.has(names))
-                phrase, index, window = [], [], []
-                for i, name in zip(some.tolist(), names[some].tolist(), strict=True):
+            for a, b, buf, offs in bytescan.chunks(batch.column(0)):
+                p = Phrases(buf, offs, length)
+                core = p.cores()
+                some = np.flatnonzero(held.value.has(core))
+                at, names, covers = [], [], []
+                for i, name in zip(some.tolist(), p.contents(some).tolist(), strict=True):
                     if name not in seen:
                         seen.add(name)
-                        w = p.windows(i)
-                        phrase.append(np.full(len(w), name, np.uint64))
-                        index.append(np.arange(len(w), dtype=np.int32))
-                        window.append(w)
-                if phrase:
-                    cols = [np.concatenate(phrase).view(np.int64), np.concatenate(index), np.concatenate(window).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["phrase", "i", "w"])
+                        at.append(i)
+                        names.append(name)
+                        covers.append(buf[p.lo[i] : p.hi[i] + length].tobytes())
+                if at:
+                    cols = [core[at].view(np.int64), np.array(names, np.uint64).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(covers, pa.binary())], ["core", "phrase", "cover"])
+
+    return docs.select("text").mapInArrow(run, "core long, phrase long, cover binary")
+
+
+def _windows(phrase: np.ndarray, cover: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index in its phrase, hash) of all windows of distinct phrases."""
+    sizes = np.array([len(c) for c in cover])
+    total, _ = bytescan.rolling(np.frombuffer(b"".join(cover), np.uint8), length)
+    n = sizes - length + 1
+    row = np.repeat(np.arange(len(cover)), n)
+    index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(np.cumsum(sizes) - sizes, n) + index
+    return row, index, bytescan.piece(total, start, start + length)
+
+
+def _partial(covers: DataFrame, length: int) -> DataFrame:
+    """(phrase, some): the windows of each phrase that another phrase of its core, or another place in it, has."""
+
+    def flush(core, phrase, cover):
+        phrase, first = np.unique(np.array(phrase, np.int64), return_index=True)
+        row, index, w = _windows(phrase, [cover[i] for i in first], length)
+        _, inverse, count = np.unique(w, return_inverse=True, return_counts=True)
+        again = count[inverse] > 1
+        row, index = row[again], index[again].astype(np.int32)
+        has, start = np.unique(row, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(index))
+        return pa.RecordBatch.from_arrays([pa.array(phrase[has]), lists], ["phrase", "some"])
+
+    def run(batches):
+        core, phrase, cover, held = [], [], [], 0
+        for batch in batches:
+            for c, p, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held > FLUSH_BYTES and c != core[-1]:
+                    yield flush(core, phrase, cover)
+                    core, phrase, cover, held = [], [], [], 0
+                core.append(c)
+                phrase.append(p)
+                cover.append(x)
+                held += len(x)
+        if core:
+            yield flush(core, phrase, cover)
+
+    return covers.repartition("core").sortWithinPartitions("core").mapInArrow(run, "phrase long, some array<int>")
+
+
+def _partial_hot(covers: DataFrame, length: int) -> DataFrame:
+    """The same by a sum over windows, for cores of more phrases than one task should hold."""
+
+    def run(batches):
+        for batch in batches:
+            phrase, cover = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            row, index, w = _windows(phrase, cover, length)
+            yield pa.RecordBatch.from_arrays([pa.array(phrase[row]), pa.array(index.astype(np.int32)), pa.array(w.view(np.int64))], ["phrase", "i", "w"])
 
-    return docs.select("text").mapInArrow(run, "phrase long, i int, w long")
+    windows = covers.select("phrase", "cover").dropDuplicates(["phrase"]).mapInArrow(run, "phrase long, i int, w long")
+    windows = materialise(windows, "windows")
+    again = windows.groupBy("w").count().filter("count > 1").select("w")
+    return windows.join(again, "w", "left_semi").groupBy("phrase").agg(F.sort_array(F.collect_list("i")).alias("some"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """(doc_id, h, lo, n): runs of ``n`` repeated windows from byte ``lo``; ``docs`` has doc_id, h, text."""
     cores = materialise(_core_counts(docs, length), "cores")
     parse = materialise(_parse(docs, bloom_of(cores, "core", cores.count()), length), "parse")
-    counts = parse.groupBy("core", "phrase").agg(F.count(F.lit(1)).alias("c"))
-    # Cores that have several phrases, and those phrases.
-    by_core = counts.groupBy("core").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("k"))
-    counts = materialise(counts.join(by_core, "core").filter("all > 1"), "dictionary")
-    whole = counts.filter("c > 1").select("phrase").withColumn("whole", F.lit(True))
-    mixed = materialise(counts.filter("k > 1").select("phrase", "c"), "mixed")
-    windows = _edge_windows(docs, bloom_of(mixed, "phrase", mixed.count()), length).dropDuplicates(["phrase", "i"])
-    windows = materialise(windows.join(mixed, "phrase"), "windows")
-    again = windows.groupBy("w").agg(F.sum("c").alias("s")).filter("s > 1").select("w")
-    part = windows.filter("c = 1").join(again, "w", "left_semi").groupBy("phrase").agg(F.sort_array(F.collect_list("i")).alias("some"))
-    runs = part.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("some", F.lit(None).cast("array<int>")))
+    counts = materialise(parse.groupBy("core", "phrase").agg(F.count(F.lit(1)).alias("c")), "dictionary")
+    whole = counts.filter("c > 1").select("phrase")
+    # Only cores of several phrases can have windows that repeat though their phrase does not.
+    mixed = materialise(counts.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "mixed")
+    covers = _covers(docs, bloom_of(mixed, "core", mixed.count()), length)
+    hot = mixed.filter(F.col("k") > hot_phrases).select("core")
+    if hot.isEmpty():
+        part = _partial(covers, length)
+    else:
+        covers = materialise(covers, "covers")
+        part = _partial(covers.join(hot, "core", "left_anti"), length)
+        part = part.unionByName(_partial_hot(covers.join(hot, "core", "left_semi"), length))
+    part = part.join(whole, "phrase", "left_anti")
+    runs = materialise(part.unionByName(whole.withColumn("some", F.lit(None).cast("array<int>"))), "runs")
     out = parse.join(runs, "phrase").select("doc_id", "h", "lo", "n", "some")
     starts = F.filter("some", lambda x, k: (k == 0) | (F.get("some", k - 1) != x - 1))
     ends = F.filter("some", lambda x, k: F.coalesce(F.get("some", k + 1) != x + 1, F.lit(True)))
