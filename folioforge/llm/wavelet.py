@@ -25,6 +25,8 @@ document.  Other columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,13 +43,13 @@ from folioforge.llm.shared import materialise, modest_batches
 MAGIC = b"FFWM"
 BLOCK = 1 << 16
 END_ID = 1
-#: Characters of text that one range of doc_ids is meant to hold, and the most ranges there are.
-RANGE_CHARS = 16_000_000
+#: Documents that one range of doc_ids is meant to hold, and the most ranges there are.
+RANGE_DOCS = 5_000
 MAX_RANGES = 20_000
 #: A shard is closed after so many tokens.
 SHARD_TOKENS = 8_000_000
 #: Words kept encoded in a worker; beyond, all are forgotten and met again.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 
 
 # ---------------------------------------------------------------- the format
@@ -55,14 +57,15 @@ def encode_shard(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """The file of ``ids`` (unsigned), whose documents have ``counts`` tokens."""
     n = len(ids)
     bits = max(1, int(ids.max()).bit_length()) if n else 1
-    seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    seq = ids.astype(np.uint16 if bits <= 16 else np.uint32, copy=False)
     blocks = -(-n // BLOCK)
     zeros, table, data = [], [], []
     pack = zstandard.ZstdCompressor(level=1)
     for level in range(bits):
-        bit = (seq >> (bits - 1 - level) & 1).astype(bool)
-        raw = np.packbits(bit, bitorder="little").tobytes()
-        ones = np.add.reduceat(bit, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
+        bit = (seq & seq.dtype.type(1 << (bits - 1 - level))) != 0
+        packed = np.packbits(bit, bitorder="little")
+        raw = packed.tobytes()
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
         before = np.cumsum(ones) - ones
         for b in range(blocks):
             part = raw[b * BLOCK // 8 : (b + 1) * BLOCK // 8]
@@ -71,7 +74,8 @@ def encode_shard(ids: np.ndarray, counts: np.ndarray) -> bytes:
             table.append(struct.pack("<QI", before[b], len(part)))
             data.append(part)
         zeros.append(n - int(ones.sum()))
-        seq = np.concatenate([seq[~bit], seq[bit]])
+        upper = seq[bit]
+        seq = np.concatenate([seq[np.logical_not(bit, out=bit)], upper])
     head = MAGIC + struct.pack("<IIQII", 1, bits, n, len(counts), blocks) + struct.pack(f"<{bits}Q", *zeros)
     return b"".join([head, *table, np.asarray(counts, "<u8").tobytes(), *data])
 
@@ -184,96 +188,81 @@ class Shard:
 
 
 # ---------------------------------------------------------------- encoding
-_CORE = tuple(b"0123456789abcdefghijklmnopqrstuvwxyz")
-_loaded: dict[str, object] = {}
+#: Punctuation that ends a word after an ASCII letter or digit; a tokenizer's unit ends between them.
+_TAIL = re.compile(rb"(?<=[0-9a-z])([!-/:-@\[-`{-~]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
+_loaded: dict[str, WordEncoder] = {}
 
 
-class WordEncoder:
-    """A tokenizer whose units never span white space, applied to each distinct word once.
+class WordEncoder(dict):
+    """Ids of words by word, for a tokenizer whose units never span white space; each word is encoded once.
 
-    Texts are cut at ASCII white space, and a tail of full stops and commas is cut from a word that
-    ends in an ASCII letter or digit; the tokenizer splits there itself.  That this gives the ids of the
-    whole text is checked in the tests.
+    Texts are cut at ASCII white space, and before punctuation that ends a word, where the tokenizer
+    splits itself (not in texts with ``<|``, which may hold special tokens).  That this gives the ids of
+    the whole text is checked in the tests.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
+        #: Ids are little-endian unsigned integers of this type.
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        self.memo.update(zip(words, (np.array(g.ids, "<u4").tobytes() for g in got), strict=True))
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian u32 ids of each text."""
-        memo = self.memo
+        """The ids of each text, as bytes."""
+        get = self.__getitem__
         for text in texts:
-            words: list[bytes] = []
-            for w in (text or "").encode().lower().split():
-                if w[-1] in b".,":
-                    core = w.rstrip(b".,")
-                    if core and core[-1] in _CORE:
-                        words += (core, w[len(core) :])
-                        continue
-                words.append(w)
-            try:
-                yield b"".join([memo[w] for w in words])
-            except KeyError:
-                need = set(words)
-                if len(memo) + len(need) > MEMO_WORDS:
-                    memo.clear()
-                self.learn([w for w in need if w not in memo])
-                yield b"".join([memo[w] for w in words])
+            data = (text or "").encode().lower()
+            if b"<|" not in data:
+                data = _TAIL.sub(rb" \1", data)
+            yield b"".join(map(get, data.split()))
 
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder; loaded once, without threads of its own."""
     if path not in _loaded:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
 
 # ---------------------------------------------------------------- write and read
-def _ranges(docs: DataFrame, chars: int) -> list[int]:
-    """Inner bounds of doc_id ranges of about ``chars`` characters each."""
-    size = docs.agg(F.sum(F.length("text").cast("long") + 8).alias("s")).first()["s"] or 0
-    n = min(MAX_RANGES, max(1, -(-size // chars)))
-    if n == 1:
+def _ranges(docs: DataFrame, rows: int) -> list[int]:
+    """Inner bounds of doc_id ranges of about ``rows`` documents each."""
+    n = min(MAX_RANGES, -(-docs.count() // rows))
+    if n <= 1:
         return []
     bounds = docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.001, 0.1 / n))
     return [int(x) for x in bounds]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, range_chars: int = RANGE_CHARS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, range_docs: int = RANGE_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the shard files; returns the table of files.
 
     Columns: range and part (a shard's place in the order), file (the bytes), doc_ids, n_tokens.
     """
     modest_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = _ranges(docs, range_chars)
+    bounds = _ranges(docs, range_docs)
 
     def encode(batches):
         enc, edges = encoder(tokenizer), np.array(bounds, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             key = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             lo, hi = np.searchsorted(edges, key, "left"), np.searchsorted(edges, key, "right")
             # An id that is several bounds at once fills several ranges: its rows go by ranges of their hash.
             place = lo + ((hashes * (hi - lo + 1)) >> 40)
-            out = []
-            for x in enc.encode(batch.column(1).to_pylist()):
-                x = np.frombuffer(x + end, "<u4")
-                wide = int(x.max()) >= 1 << 16
-                out.append((x if wide else x.astype("<u2")).tobytes() + bytes([wide]))
+            out = [x + end for x in enc.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), ids, batch.column(2), pa.array(out, pa.binary())], ["range", "doc_id", "h", "ids"])
 
     keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
@@ -281,6 +270,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, range_chars: in
     rows = rows.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "doc_id", "h")
 
     def build(batches):
+        kind = encoder(tokenizer).kind
         place, part, held, ids, docs_, counts = None, 0, 0, [], [], []
 
         def done():
@@ -295,7 +285,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, range_chars: in
                     yield done()
                     part, held, ids, docs_, counts = (part + 1 if r == place else 0), 0, [], [], []
                 place = r
-                ids.append(np.frombuffer(x[:-1], "<u4" if x[-1] else "<u2"))
+                ids.append(np.frombuffer(x, kind))
                 docs_.append(d)
                 counts.append(len(ids[-1]))
                 held += counts[-1]
