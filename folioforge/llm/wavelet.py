@@ -30,9 +30,11 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ MAX_RANGES = 20_000
 #: A shard is closed after so many tokens.
 SHARD_TOKENS = 8_000_000
 #: Words kept encoded in a worker; beyond, all are forgotten and met again.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1_400_000
 
 
 # ---------------------------------------------------------------- the format
@@ -74,8 +76,9 @@ def encode_shard(ids: np.ndarray, counts: np.ndarray) -> bytes:
             table.append(struct.pack("<QI", before[b], len(part)))
             data.append(part)
         zeros.append(n - int(ones.sum()))
-        upper = seq[bit]
-        seq = np.concatenate([seq[np.logical_not(bit, out=bit)], upper])
+        mask = pa.BooleanArray.from_buffers(pa.bool_(), n, [None, pa.py_buffer(packed)])
+        held = pa.array(seq)
+        seq = np.concatenate([held.filter(pc.invert(mask)).to_numpy(), held.filter(mask).to_numpy()])
     head = MAGIC + struct.pack("<IIQII", 1, bits, n, len(counts), blocks) + struct.pack(f"<{bits}Q", *zeros)
     return b"".join([head, *table, np.asarray(counts, "<u8").tobytes(), *data])
 
@@ -176,29 +179,35 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All ids, plane by plane from the last: each plane's stable partition is undone."""
-        seq = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        seq = np.zeros(self.n, kind)
         for level in reversed(range(self.bits)):
             raw = b"".join(self._bytes(level, b) for b in range(self.blocks))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
-            back = np.empty(self.n, np.uint32)
-            back[~bit] = seq[: self.zeros[level]]
-            back[bit] = seq[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            back = np.empty(self.n, kind)
+            np.place(back, bit, seq[self.zeros[level] :] | kind(1 << (self.bits - 1 - level)))
+            np.place(back, np.logical_not(bit), seq[: self.zeros[level]])
             seq = back
         return seq
 
 
 # ---------------------------------------------------------------- encoding
 #: Punctuation that ends a word after an ASCII letter or digit; a tokenizer's unit ends between them.
-_TAIL = re.compile(rb"(?<=[0-9a-z])([!-/:-@\[-`{-~]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
+_TAIL = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Words of a-z, and of these and the small letters U+00DF-U+00FF (but the division sign), as UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level tokenizers show a byte as a character: printable Latin-1 as itself, the others from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_STAND_INS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _loaded: dict[str, WordEncoder] = {}
 
 
 class WordEncoder(dict):
     """Ids of words by word, for a tokenizer whose units never span white space; each word is encoded once.
 
-    Texts are cut at ASCII white space, and before punctuation that ends a word, where the tokenizer
-    splits itself (not in texts with ``<|``, which may hold special tokens).  That this gives the ids of
-    the whole text is checked in the tests.
+    Texts are cut at ASCII white space.  A new word is cut before punctuation that ends it, where the
+    tokenizer splits itself (not if it has a ``<|``, which may begin a special token), and its parts are
+    looked up.  That this gives the ids of the whole text is checked in the tests.
     """
 
     def __init__(self, path: str):
@@ -208,22 +217,33 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         #: Ids are little-endian unsigned integers of this type.
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code, self.pack = {"<u2": "H", "<u4": "I"}[self.kind], struct.pack
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_WORDS:  # keep the words met first: the frequent ones
+            first = list(islice(self.items(), MEMO_WORDS // 2))
             self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+            self.update(first)
+        core = word.rstrip(_TAIL)
+        if core != word and core[-1:].isalnum() and b"<|" not in word:  # bytes: ASCII only
+            ids = self[core] + self[word[len(core) :]]
+            self[word] = ids
+            return ids
+        if _LETTERS.fullmatch(word):
+            # One unit whatever the normaliser and splitter do; the model sees bytes as their stand-ins.
+            found = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_STAND_INS))]
+        else:
+            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        ids = self.pack(f"<{len(found)}{self.code}", *found)
         self[word] = ids
         return ids
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as bytes; null is empty."""
         get = self.__getitem__
-        for text in texts:
-            data = (text or "").encode().lower()
-            if b"<|" not in data:
-                data = _TAIL.sub(rb" \1", data)
-            yield b"".join(map(get, data.split()))
+        for text in texts.cast(pa.binary()).to_pylist():
+            yield b"".join(map(get, text.lower().split())) if text else b""
 
 
 def encoder(path: str) -> WordEncoder:
@@ -262,7 +282,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, range_docs: int
             lo, hi = np.searchsorted(edges, key, "left"), np.searchsorted(edges, key, "right")
             # An id that is several bounds at once fills several ranges: its rows go by ranges of their hash.
             place = lo + ((hashes * (hi - lo + 1)) >> 40)
-            out = [x + end for x in enc.encode(batch.column(1).to_pylist())]
+            out = [x + end for x in enc.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), ids, batch.column(2), pa.array(out, pa.binary())], ["range", "doc_id", "h", "ids"])
 
     keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
