@@ -205,20 +205,31 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS) & (~w.rlike(han) | ((F.length(w) <= 8) & ~w.rlike(lead))))
 
 
+def _counted(values: Column, at: bool) -> Column:
+    """(n, at, v) of each distinct value, ``n`` negative; by one sort and a look at run borders, not by pairs."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["v"] != F.get(s, i - 1)["v"]))
+        return let(first, lambda f: F.transform(f, lambda p, k: F.struct((p - F.coalesce(F.get(f, k + 1), F.size(s))).alias("n"), (F.get(s, p)["at"] if at else F.lit(0)).alias("at"), F.get(s, p)["v"].alias("v"))))
+
+    keyed = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("at")))
+    none = F.array().cast("array<struct<n:int,at:int,v:string>>")
+    return F.when(F.size(values) == 0, none).otherwise(let(F.array_sort(keyed), runs))
+
+
+def word_counts(c: Column) -> Column:
+    """Each token of a text once, as (n, at, v) with ``n`` the negative count."""
+    return _counted(tokens(c), False)
+
+
 def by_count(values: Column) -> Column:
     """Distinct values, the most frequent first, ties in order of first appearance."""
-    ranked = F.transform(F.array_distinct(values), lambda v: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("n"), F.array_position(values, v).alias("at"), v.alias("v")))
-    return F.transform(F.array_sort(ranked), lambda s: s["v"])
+    return F.transform(F.array_sort(_counted(values, True)), lambda s: s["v"])
 
 
 def top_keywords(c: Column, limit: int = 12) -> Column:
     """F11 inside a row, ties in code-point order."""
-
-    def rank(t: Column) -> Column:
-        ranked = F.transform(F.array_distinct(t), lambda v: F.struct((-F.size(F.filter(t, lambda x: x == v))).alias("n"), v.alias("v")))
-        return F.slice(F.transform(F.array_sort(ranked), lambda s: s["v"]), 1, limit)
-
-    return let(tokens(c), rank)
+    return F.slice(F.transform(F.array_sort(_counted(tokens(c), False)), lambda s: s["v"]), 1, limit)
 
 
 def occurrences(text: Column, token: str | Column) -> Column:

@@ -212,7 +212,8 @@ def build(pages: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDG
     inner = degrees(kept).withColumnRenamed("degree", "inner")
     weight = F.greatest(F.lit(1), F.size("links") + F.size("sources") + F.col("degree"), F.coalesce(F.col("inner") + 1, F.lit(1)))
     nodes = components(nodes.join(inner, "path", "left").withColumn("weight", weight), kept)
-    return layout(nodes.select("path", "title", "type", "community", "weight", "ord")), kept, insights(nodes, kept)
+    nodes = nodes.select("path", "title", "type", "community", "weight", "ord")
+    return layout(nodes), kept, insights(nodes, kept)
 
 
 def visible(nodes: DataFrame, edges: DataFrame, needle: str) -> tuple[DataFrame, DataFrame]:
