@@ -9,6 +9,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words typical of garbled Chinese text, and of the legal texts that decode well.
 GARBLED_TERMS = ("锟斤拷", "烫烫烫", "屯屯屯", "鐨勬", "涓嶅", "鍦ㄤ", "銆", "绗竴", "鏉°")
@@ -45,7 +46,7 @@ def decode_bytes(data: bytes) -> str:
     return best.removeprefix("﻿")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_text(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else decode_bytes(bytes(d)))
 
@@ -90,13 +91,13 @@ def safe_name(name: str, limit: int = 180) -> str:
     return shorten_utf8(stem if ext else name, limit - len(mark.encode())) + mark
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def entry_name(names: pd.Series) -> pd.Series:
     """A repaired, safe relative path."""
     return names.map(lambda n: None if n is None else "/".join(safe_name(p) for p in repair_name(n).replace("\\", "/").split("/") if p not in ("", ".")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normalisation, which SQL has no function for."""
     import unicodedata

@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioforge.functions.text import SPACES, clean_unknown, is_unknown, let, normalize, readable_or, trim
 
@@ -16,7 +17,7 @@ _FRONT = "^\\ufeff?---[ \\t]*\\r?\\n([\\s\\S]*?)\\r?\\n---[ \\t]*(?:\\r?\\n|$)"
 
 
 # ---------------------------------------------------------------- front matter
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def front_matter_json(text: pd.Series) -> pd.Series:
     """M1: the front matter as a JSON object; null where there is none or it is no mapping."""
     import yaml
@@ -175,7 +176,7 @@ def html_links(page: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(page, F.lit("(?i)href=\"([^\"]*)\""), 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """M16."""
     return text.map(lambda t: None if t is None else html.unescape(t))
