@@ -193,9 +193,9 @@ def _token_counts(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
             some = totals[k] > 0
             yield pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)), pa.array(totals[k][some])], ["token", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     held.unpersist()
-    return dict(zip(rows["token"].to_numpy(np.int64).view(np.uint64).tolist(), rows["n"].tolist(), strict=True))
+    return dict(zip(rows["token"].to_numpy().view(np.uint64).tolist(), rows["n"].to_pylist(), strict=True))
 
 
 def index(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> list:
