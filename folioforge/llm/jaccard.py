@@ -8,7 +8,8 @@ fragment by itself and summed per pair.
 1. Equal sets are one class (``sig``); only classes are joined, so copies are never expanded.
 2. Candidates share a token of their prefixes - the n - ceil(t n) + 1 rarest shingles - and pass the length
    bound and the positional bound.  First every entry of a token's list is paired with the list's leader
-   (the smallest sig) and verified; linked classes are merged.  Then only entries not in their leader's
+   (the set with the fewest rarer tokens, nearest to what the list has in common) and verified; linked
+   classes are merged.  Then only entries not in their leader's
    component are paired, with every entry of the list in another component.  Any pair that this leaves out
    lies inside a component already, so no link that matters is lost and a large group of near copies costs
    as many pairs as it has members, not their square.
@@ -28,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ WORDS_IN_SHINGLE = 4
 PERCENT = 85
 FRAGMENTS = 4
 #: Counters of the frequency sketch: fixed, whatever the corpus.
-SKETCH = 1 << 16
-_ROWS = 16
+SKETCH = 1 << 20
+_ROWS = 64
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS_IN_SHINGLE):
@@ -70,14 +72,15 @@ class Order:
 
     def __init__(self, counts: np.ndarray):
         by = np.argsort(counts, kind="stable")
-        self.rank = np.empty(SKETCH, np.uint64)
-        self.rank[by] = np.arange(SKETCH, dtype=np.uint64) << np.uint64(48)
+        self.rank = np.empty(SKETCH, np.uint32)
+        self.rank[by] = np.arange(SKETCH, dtype=np.uint32)
         mass = np.cumsum(counts[by])
         self.fragment = np.empty(SKETCH, np.int8)
         self.fragment[by] = np.minimum(FRAGMENTS - 1, mass * FRAGMENTS // max(1, mass[-1] + 1))
 
     def sort(self, s: np.ndarray) -> np.ndarray:
-        return s[np.argsort(self.rank[_bucket(s)] | (s >> np.uint64(16)), kind="stable")]
+        key = self.rank[_bucket(s)].astype(np.uint64) << np.uint64(44)  # SKETCH has 20 bits
+        return s[np.argsort(key | (s >> np.uint64(20)), kind="stable")]
 
 
 def needed(n: int, percent: int) -> int:
@@ -102,7 +105,8 @@ def _profile(docs: DataFrame, k: int, salt: int) -> DataFrame:
             none = pa.nulls(size)
             cols = [batch.column(0), pa.array(sig, pa.int64()), pa.array(half, pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, none.cast(pa.int32()), none.cast(pa.binary())], names)
-        parts = [x.tobytes() for x in counts.reshape(_ROWS, -1)]
+        pack = zstandard.ZstdCompressor(level=1)
+        parts = [pack.compress(x.tobytes()) for x in counts.reshape(_ROWS, -1)]
         none = pa.nulls(_ROWS).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(_ROWS), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -114,10 +118,11 @@ def _order(profile: DataFrame) -> Order:
     """Sum the tasks' sketches block by block; the result has a fixed size."""
 
     def add(batches):
+        unpack = zstandard.ZstdDecompressor()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(x, np.int64)
+                sums[b] = sums.get(b, 0) + np.frombuffer(unpack.decompress(x), np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"]
         )
@@ -218,13 +223,16 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
     rows = profile.filter("block IS NULL").select("doc_id", "sig", "n")
     named = rows.filter("sig IS NOT NULL")
 
-    # Tokens that more than one class has in its prefix, and their leaders.
-    entry = F.struct("sig", "n", "pos")
-    leaders = _prefixes(docs, order, k, percent, salt).groupBy("token").agg(F.min(entry).alias("l"), F.max("sig").alias("last"))
-    leaders = leaders.filter("l.sig <> last").select("token", F.col("l.sig").alias("sig2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
-    leaders = materialise(leaders, "leaders")
-    shared = bloom_of(leaders, "token", leaders.count())
-    entries = _prefixes(docs, order, k, percent, salt, shared)
+    # Tokens that occur in more than one prefix; the entries of those tokens; each token's leader.
+    tokens = _prefixes(docs, order, k, percent, salt).select("token").groupBy("token").count().filter("count > 1").select("token")
+    tokens = materialise(tokens, "tokens")
+    shared = bloom_of(tokens, "token", tokens.count())
+    entries = materialise(_prefixes(docs, order, k, percent, salt, shared), "entries")
+    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    leaders = entries.groupBy("token").agg(F.min_by("sig", place).alias("sig2"), F.min(place).alias("at"), F.min("sig").alias("a"), F.max("sig").alias("b"))
+    leaders = leaders.filter("a <> b").select(
+        "token", "sig2", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n2"), F.shiftright("at", 32).cast("int").alias("pos2")
+    )
     lists = materialise(entries.join(leaders, "token").dropDuplicates(["token", "sig"]), "lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -232,10 +240,14 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
         pairs = materialise(pairs, "pairs")
         wanted = materialise(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(reps, "sig"), "wanted")
         bloom = bloom_of(wanted.select(F.col("rep").alias("doc_id")).select(_doc_key().alias("key")), "key", wanted.count())
-        parts = _fragments(docs, order, bloom, k, salt).join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig", "f"])
-        parts = materialise(parts, "fragments")
-        left = pairs.join(parts.select(F.col("sig").alias("v"), "f", F.col("part").alias("b")), "v")
-        both = left.join(parts.select(F.col("sig").alias("u"), "f", F.col("part").alias("a")), ["u", "f"])
+        parts = materialise(_fragments(docs, order, bloom, k, salt), "fragments")
+        if not parts.groupBy("sig", "f").count().filter("count > 1").isEmpty():  # rows that repeat
+            parts = parts.dropDuplicates(["sig", "f"])
+        # Both joins are by class and fragment, so the fragments are dealt out once; a hot leader's pairs can be split.
+        each = pairs.withColumn("f", F.explode(F.array([F.lit(f) for f in range(FRAGMENTS)])))
+        first = parts.select(F.col("sig").alias("v"), "f", F.col("part").alias("b"))
+        second = parts.select(F.col("sig").alias("u"), "f", F.col("part").alias("a"))
+        both = each.hint("merge").join(first, ["v", "f"]).hint("merge").join(second, ["u", "f"])
         partial = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).alias("o"))
         total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("o").alias("o"))
         return total.filter((100 + percent) * F.col("o") >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")

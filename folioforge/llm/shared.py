@@ -100,8 +100,8 @@ def bloom_of(df: DataFrame, key: str, rows: int) -> Bloom:
         F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("b")
     )
     out = np.zeros(bits >> 6, np.int64)
-    got = words.toPandas()  # at most BLOOM_MAX_BITS / 64 rows
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    got = words.toArrow()  # at most BLOOM_MAX_BITS / 64 rows of two longs
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
     return Bloom(out.view(np.uint64), bits)
 
 
