@@ -91,3 +91,15 @@ def compact(rows: DataFrame, most: int = 500) -> DataFrame:
 def newly_done(before: DataFrame, after: DataFrame) -> DataFrame:
     """Items finished since the last look."""
     return after.filter("status = 'done'").join(before.filter("status = 'done'").select("id"), "id", "left_anti")
+
+
+def view(queue: DataFrame, sources: DataFrame, queue_limit: int | None = None, source_limit: int | None = None) -> dict[str, DataFrame]:
+    """The parts of an activity view, each a plan of its own."""
+    return {
+        "queue": with_source(quota_sample(queue, limit_of(queue_limit, 500)), sources),
+        "sources": compact(recent_with_active(sources, limit_of(source_limit, 500))),
+        "queue_stats": status_counts(queue, QUEUE_STATUS),
+        "source_stats": status_counts(sources, SOURCE_STATUS),
+        "bytes": sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")),
+        "progress": progress(queue),
+    }

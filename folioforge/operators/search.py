@@ -231,3 +231,16 @@ def research(pages: DataFrame, topic: str, queries: list[str] | None = None) ->
 def readable_query(query: Column) -> Column:
     """A query that is unreadable retrieves nothing."""
     return ~is_unknown(query)
+
+
+def index_search(index: DataFrame, query: str, limit: int = SEARCH_LIMIT, excerpt: int = 500) -> DataFrame:
+    """C11: hits of a materialised index (path, kind, title, content, citations), titles weighing three to one.
+
+    Scores count down from 100 by rank, 1 at least.
+    """
+    words = search_tokens(query) or [query.strip().lower()]
+    low_title, low_text = F.lower("title"), F.lower("content")
+    points = reduce(lambda a, b: a + b, [3 * occurrences(low_title, w) + occurrences(low_text, w) for w in words])
+    best = index.withColumn("_p", points).filter("_p > 0").orderBy(F.desc("_p"), "path").limit(limit)
+    place = F.row_number().over(Window.orderBy(F.desc("_p"), "path"))  # at most ``limit`` rows
+    return best.select("path", "title", F.col("kind").alias("type"), F.greatest(F.lit(1), 101 - place).cast("long").alias("score"), F.substring("content", 1, excerpt).alias("excerpt"), "citations")
