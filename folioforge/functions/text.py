@@ -54,10 +54,11 @@ def squeeze(c: Column) -> Column:
 
 # ---------------------------------------------------------------- readability
 def clean_unknown(c: Column) -> Column:
-    """runs of unreadable marks become one placeholder."""
-    c = F.regexp_replace(c, "\\?{3,}", PLACEHOLDER)
-    c = F.regexp_replace(c, f"(?:\\ufffd+|{GARBLED})+", PLACEHOLDER)
-    return F.regexp_replace(c, f"(?:{PLACEHOLDER}[ \\t\\u00a0，,。；;、]*){{2,}}", PLACEHOLDER)
+    """runs of unreadable marks become one placeholder.  Text without any is passed on after one look."""
+    out = F.regexp_replace(c, "\\?{3,}", PLACEHOLDER)
+    out = F.regexp_replace(out, f"(?:\\ufffd+|{GARBLED})+", PLACEHOLDER)
+    out = F.regexp_replace(out, f"(?:{PLACEHOLDER}[ \\t\\u00a0，,。；;、]*){{2,}}", PLACEHOLDER)
+    return F.when(c.rlike(f"\\?{{3}}|\\ufffd|{GARBLED}|{PLACEHOLDER}"), out).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
@@ -77,7 +78,8 @@ def is_unknown(c: Column) -> Column:
         thin = (marks / F.greatest(F.length(v), F.lit(1)) >= 0.45) & ~rest.rlike(f"[{HAN}A-Za-z0-9]")
         return (v != "") & (marks >= 2) & ((rest == "") | thin)
 
-    return let(trim(c), judge)
+    # Two marks at least: most text has none, and that is seen first.
+    return c.rlike(f"[?\\ufffd]|{GARBLED}") & let(trim(c), judge)
 
 
 def readable_or(c: Column, fallback: Column) -> Column:
@@ -101,7 +103,13 @@ def is_low_information(c: Column) -> Column:
     def judge(v: Column) -> Column:
         raw = trim(F.regexp_replace(F.lower(v), "\\s+markdown$", ""))
         compact = F.regexp_replace(v, f"[{_WS}._\\-:：/\\\\()\\[\\]{{}}<>《》「」,，。;；、]+", "")
-        return let(F.struct(raw.alias("raw"), compact.alias("c"), F.length(compact).alias("n")), lambda x: rules(v, x))
+        full = let(F.struct(raw.alias("raw"), compact.alias("c"), F.length(compact).alias("n")), lambda x: rules(v, x))
+        return F.when(v.rlike("^[A-Za-z]+$"), plain(v)).otherwise(full)
+
+    def plain(v: Column) -> Column:
+        """The rules that can hold for a word of ASCII letters."""
+        low = F.lower(v)
+        return low.rlike(f"^(?:{'|'.join(UNNAMED)})(?:[a-z]{{3,}})?$") | low.rlike("^[a-f]{6,}$") | low.isin(FILE_WORDS)
 
     def rules(v: Column, x: Column) -> Column:
         c, n, raw = x["c"], x["n"], x["raw"]
