@@ -43,6 +43,7 @@ NEVER = frozenset(
     "style svg template textarea title video".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NO_CONTAINER = HEADINGS | frozenset("p li td th pre blockquote dd dt".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A class or id with one of these words (split at anything but letters) marks boilerplate.
 MARKS = frozenset(
@@ -253,11 +254,11 @@ def main_text(page: str | None) -> str:
             total += len(b.text)
             for n in c:
                 mass[id(n)] = mass.get(id(n), 0) + len(b.text)
-    best = chains[0][0]
+    best, depth = chains[0][0], 0
     for c in chains:
-        for n in c:
-            if mass.get(id(n), 0) >= 0.8 * total and n.tag not in HEADINGS | {"p", "li", "td", "th", "pre", "blockquote", "dd", "dt"} and len(_chain(n)) > len(_chain(best)):
-                best = n
+        for i in range(depth + 1, len(c)):
+            if mass.get(id(c[i]), 0) >= 0.8 * total and c[i].tag not in NO_CONTAINER:
+                best, depth = c[i], i
     up = best
     while up is not None:
         if up.tag in ("article", "main"):

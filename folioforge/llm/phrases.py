@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import bytescan
-from folioforge.llm.shared import Bloom, bloom_of, materialise, modest_batches
+from folioforge.llm.shared import Bloom, bloom_of, discard, materialise, modest_batches
 
 LENGTH = 200
 GRAM = 16
@@ -215,6 +215,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot_phrases: int = HOT_PHRASE
     """(doc_id, h, lo, n): runs of ``n`` repeated windows from byte ``lo``; ``docs`` has doc_id, h, text."""
     cores = materialise(_core_counts(docs, length), "cores")
     parse = materialise(_parse(docs, bloom_of(cores, "core", cores.count()), length), "parse")
+    discard(cores)
     counts = materialise(parse.groupBy("core", "phrase").agg(F.count(F.lit(1)).alias("c")), "dictionary")
     whole = counts.filter("c > 1").select("phrase")
     # Only cores of several phrases can have windows that repeat though their phrase does not.
@@ -229,6 +230,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot_phrases: int = HOT_PHRASE
         part = part.unionByName(_partial_hot(covers.join(hot, "core", "left_semi"), length))
     part = part.join(whole, "phrase", "left_anti")
     runs = materialise(part.unionByName(whole.withColumn("some", F.lit(None).cast("array<int>"))), "runs")
+    discard(counts, mixed)
     out = parse.join(runs, "phrase").select("doc_id", "h", "lo", "n", "some")
     starts = F.filter("some", lambda x, k: (k == 0) | (F.get("some", k - 1) != x - 1))
     ends = F.filter("some", lambda x, k: F.coalesce(F.get("some", k + 1) != x + 1, F.lit(True)))
