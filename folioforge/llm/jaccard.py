@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import bytescan
-from folioforge.llm.shared import Bloom, bloom_of, components, materialise, modest_batches, union_all
+from folioforge.llm.shared import Bloom, bloom_of, components, discard, lookup, materialise, modest_batches, union_all
 
 WORDS_IN_SHINGLE = 4
 PERCENT = 85
@@ -180,15 +180,19 @@ def _doc_key():
 
 
 def _fragments(docs: DataFrame, order, wanted: Bloom, k: int, salt: int) -> DataFrame:
-    """(sig, f, part): the fragments of the sets of documents that may be wanted; one row per class and fragment."""
+    """(sig, f, part): the fragments of the sets of documents that may be wanted; a class once for each task."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             at = np.flatnonzero(held.value.has(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             sigs, frags, parts = [], [], []
             for _, s in shingle_sets(batch.column(0).take(pa.array(at)), k):
                 sig, of = signature(s, salt)[0], order.value.fragment[_bucket(s)]
+                if sig in seen:
+                    continue
+                seen.add(sig)
                 for f in range(FRAGMENTS):
                     part = s[of == f]
                     if len(part):
@@ -234,6 +238,7 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
         "token", "sig2", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n2"), F.shiftright("at", 32).cast("int").alias("pos2")
     )
     lists = materialise(entries.join(leaders, "token").dropDuplicates(["token", "sig"]), "lists")
+    discard(tokens, entries)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose overlap, summed over the fragments, is enough."""
@@ -241,24 +246,29 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
         wanted = materialise(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(reps, "sig"), "wanted")
         bloom = bloom_of(wanted.select(F.col("rep").alias("doc_id")).select(_doc_key().alias("key")), "key", wanted.count())
         parts = materialise(_fragments(docs, order, bloom, k, salt), "fragments")
-        if not parts.groupBy("sig", "f").count().filter("count > 1").isEmpty():  # rows that repeat
-            parts = parts.dropDuplicates(["sig", "f"])
         # Both joins are by class and fragment, so the fragments are dealt out once; a hot leader's pairs can be split.
         each = pairs.withColumn("f", F.explode(F.array([F.lit(f) for f in range(FRAGMENTS)])))
         first = parts.select(F.col("sig").alias("v"), "f", F.col("part").alias("b"))
         second = parts.select(F.col("sig").alias("u"), "f", F.col("part").alias("a"))
         both = each.hint("merge").join(first, ["v", "f"]).hint("merge").join(second, ["u", "f"])
-        partial = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).alias("o"))
+        partial = both.select("u", "v", "nu", "nv", "f", F.size(F.array_intersect("a", "b")).alias("o"))
+        # A class may come from several tasks; its fragments are the same, so one count of each stays.
+        partial = partial.groupBy("u", "v", "nu", "nv", "f").agg(F.max("o").alias("o"))
         total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("o").alias("o"))
-        return total.filter((100 + percent) * F.col("o") >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+        enough = total.filter((100 + percent) * F.col("o") >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+        linked = materialise(enough, "links")
+        discard(pairs, wanted, parts)
+        return linked
 
     star = lists.filter("sig <> sig2").filter(_bounds(percent))
     star = star.select(F.col("sig").alias("u"), F.col("sig2").alias("v"), F.col("n").alias("nu"), F.col("n2").alias("nv")).distinct()
-    links = materialise(verify(star), "links")
+    links = verify(star)
     roots = materialise(components(links), "roots")
+    n_roots = roots.count()
 
     def rooted(df: DataFrame, sig: str, to: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(sig), F.col("root").alias(to)), sig, "left").withColumn(to, F.coalesce(to, sig))
+        small = roots.select(F.col("node").alias(sig), F.col("root").alias(to))
+        return lookup(df, small, sig, n_roots).withColumn(to, F.coalesce(to, sig))
 
     marked = rooted(rooted(lists, "sig", "root"), "sig2", "root2")
     marked = materialise(marked.select("token", "sig", "n", "pos", "root", "sig2", "root2"), "marked")
@@ -273,8 +283,9 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
     ).distinct()
     rest = materialise(rest, "rest")
     if not rest.isEmpty():
-        links = union_all([links, materialise(verify(rest), "links")])
+        links = union_all([links, verify(rest)])
         roots = materialise(components(links), "roots")
+        n_roots = roots.count()
 
     labelled = rooted(reps, "sig", "root")
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
