@@ -8,7 +8,7 @@ window would start, the length bound asks that it fits into the document, and al
 
 Two passes over the documents: counts of benchmark tokens, then the join.  Documents are never shuffled.
 The benchmark is broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, each loaded by itself, so a
-large benchmark costs more look-ups and no more memory.
+large benchmark costs more look-ups and scans and no more memory.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; they are compared by 64-bit
 hashes of their bytes.  Null and empty text has no words and is clean.  Each row is judged by itself, so
@@ -32,7 +32,7 @@ from folioforge.llm.shared import modest_batches
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 200_000
 _SLICE = 1 << 20
 
 
@@ -66,11 +66,17 @@ class Block:
         self.windows = {}
         return self
 
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's prefix token, the rarest (ties: the smallest hash), and index it."""
+    def order(self, found: np.ndarray, counts: np.ndarray) -> None:
+        """Choose each window's prefix token, the rarest (ties: the smallest hash), and index it.
+
+        ``found``: the tokens that occur in the corpus, sorted; ``counts``: how often.
+        """
         for t in self.tables:
             tokens = t.pop("tokens")
-            seen = np.array([[counts.get(int(x), 0) for x in row] for row in tokens], np.int64).reshape(tokens.shape)
+            seen = np.zeros(tokens.shape, np.int64)
+            if len(found):
+                at = np.minimum(np.searchsorted(found, tokens), len(found) - 1)
+                seen = np.where(found[at] == tokens, counts[at], 0)
             best = np.lexsort((tokens, seen), axis=1)[:, 0] if tokens.shape[1] > 1 else np.zeros(len(tokens), np.int64)
             prefix = tokens[np.arange(len(tokens)), best]
             by = np.argsort(prefix, kind="stable")
@@ -172,8 +178,8 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Block]:
         yield block.freeze()
 
 
-def _token_counts(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
-    """How often each token of the block occurs in all documents."""
+def _token_counts(docs: DataFrame, text: str, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the block that occur in the documents, sorted, and how often each does in all of them."""
     widths = {}
     for t in block.tables:
         widths.setdefault(t["k"], []).append(t["tokens"].ravel())
@@ -195,7 +201,9 @@ def _token_counts(docs: DataFrame, text: str, block: Block) -> dict[int, int]:
 
     rows = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     held.unpersist()
-    return dict(zip(rows["token"].to_numpy().view(np.uint64).tolist(), rows["n"].to_pylist(), strict=True))
+    found, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    by = np.argsort(found)
+    return found[by], n[by]
 
 
 def index(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> list:
@@ -203,7 +211,7 @@ def index(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     modest_batches(docs.sparkSession)
     out = []
     for block in _blocks(benchmark, item, item_text):
-        block.order(_token_counts(docs, text, block))
+        block.order(*_token_counts(docs, text, block))
         out.append(docs.sparkSession.sparkContext.broadcast(block))
     return out
 

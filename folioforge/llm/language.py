@@ -120,25 +120,26 @@ class Model:
 
     def __init__(self, x: np.ndarray, labels: list[str]):
         self.langs = sorted(set(labels))
-        scale = 1 / np.sqrt(x.mean(0) + 1e-6) if len(x) else np.ones(DIMENSIONS)
-        z = np.hstack([x * scale, np.ones((len(x), 1))])
+        scale = (1 / np.sqrt(x.mean(0) + 1e-6) if len(x) else np.ones(DIMENSIONS)).astype(np.float32)
+        z = np.ones((len(x), DIMENSIONS + 1), np.float32)
+        np.multiply(x, scale, out=z[:, :-1])
         lang = np.array([self.langs.index(v) for v in labels], int)
         family_of = [_FAMILY.get(v, v) for v in self.langs]
         self.families = sorted(set(family_of))
         family = np.array([self.families.index(f) for f in family_of], int)
         self.members = [[i for i, f in enumerate(family) if f == k] for k in range(len(self.families))]
-        gram = z @ z.T
+        gram = (z @ z.T).astype(np.float64)
         rows, self.pairs = [], []
         if len(self.families) > 1:
             for k in range(len(self.families)):
-                rows.append(_machine(gram, np.where(family[lang] == k, 1.0, -1.0)) @ z)
+                rows.append(_machine(gram, np.where(family[lang] == k, 1.0, -1.0)).astype(np.float32) @ z)
         for k, members in enumerate(self.members):
             for a_, a in enumerate(members):
                 for b in members[a_ + 1 :]:
                     at = np.flatnonzero((lang == a) | (lang == b))
                     beta = _machine(gram[np.ix_(at, at)], np.where(lang[at] == a, 1.0, -1.0))
                     self.pairs.append((k, a, b, len(rows)))
-                    rows.append(beta @ z[at])
+                    rows.append(beta.astype(np.float32) @ z[at])
         weights = np.array(rows).reshape(len(rows), DIMENSIONS + 1)
         self.weights = (weights[:, :-1] * scale).T.astype(np.float32)
         self.bias = weights[:, -1]
@@ -199,9 +200,10 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     for _, label, v in got:
         taken[label] = taken.get(label, 0) + 1
         if taken[label] <= each:
-            x.append(np.frombuffer(v, np.float16).astype(np.float32))
+            x.append(np.frombuffer(v, np.float16))
             y.append(label)
-    return Model(np.array(x).reshape(len(x), DIMENSIONS), y)
+    del got
+    return Model(np.array(x, np.float32).reshape(len(x), DIMENSIONS), y)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:

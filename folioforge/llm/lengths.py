@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.llm.shared import modest_batches
+from folioforge.llm.shared import materialise, modest_batches
 from folioforge.llm.wavelet import encoder
 
 SPAN = 256
@@ -44,7 +44,7 @@ def histogram(lengths: DataFrame, length: str = "length") -> DataFrame:
 
     docs_at_least, tokens_at_least, and truncated_tokens: all ids when documents are cut at this length.
     """
-    h = lengths.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    h = materialise(lengths.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     h = h.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("_span", F.floor(F.col("length") / SPAN))
     inner = Window.partitionBy("_span").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,9 +7,6 @@ nothing but its running tasks.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from functools import reduce
 
@@ -17,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.operators.tables import scratch_root
+
 #: A side of at most this many rows may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Ways a hot key is split where one side is repeated (salted join).
@@ -24,22 +23,10 @@ SALTS = 64
 
 
 # ---------------------------------------------------------------- scratch tables
-def shared_root(spark: SparkSession) -> str:
-    """Folder for scratch tables: ``spark.checkpoint.dir``; a temp folder only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.folioforge.scratch", None)
-    if not root:
-        local = tempfile.mkdtemp(prefix="folioforge-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        root = f"file://{local}"
-        spark.conf.set("spark.folioforge.scratch", root)
-    return f"{root.rstrip('/')}/folioforge/{spark.sparkContext.applicationId}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -56,7 +43,7 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables.  Call only when no lazy result still reads them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
