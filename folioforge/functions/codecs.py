@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words typical of garbled Chinese text, and of the legal texts that decode well.
-GARBLED_TERMS = ("锟斤拷", "烫烫烫", "屯屯屯", "鐨勬", "涓嶅", "鍦ㄤ", "銆", "绗竴", "鏉°")
-LEGAL_TERMS = ("中华人民共和国", "规定", "条例", "办法", "第一条", "第一章", "应当", "法律", "管理", "责任")
+# Words of legal and administrative texts; garbled, they are what their UTF-8 reads as in GBK.
+LEGAL_TERMS = "人民 政府 法院 条例 规定 办法 决定 法律 法规 管理 实施 委员会 代表大会 公司章程 股东出资".split()
+GARBLED_TERMS = list(dict.fromkeys(t.encode().decode("gbk", "replace") for t in LEGAL_TERMS))
 _HAN = re.compile("[㐀-䶿一-鿿豈-﫿]")
 _WRONG = re.compile("[Â-ÖØ-Ýâ€]")
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 # File extensions by kind, and where pages of a type live.
 KINDS = {
     "markdown": ".md .markdown",
-    "text": ".txt .log .csv .tsv .json .jsonl .yaml .yml .xml .html .htm",
+    "text": ".txt .log",
+    "html": ".html .htm",
     "pdf": ".pdf",
-    "document": ".doc .docx",
+    "word": ".doc .docx",
     "presentation": ".ppt .pptx",
-    "spreadsheet": ".xls .xlsx",
+    "table": ".xls .xlsx .csv .tsv",
     "image": ".png .jpg .jpeg .webp .gif .bmp .tif .tiff",
 }
-SUPPORTED = [e for v in KINDS.values() for e in v.split()]
+SUPPORTED = [e for v in KINDS.values() for e in v.split()] + ".json .jsonl .yaml .yml .xml".split()
 RAW_TEXT = ".md .markdown .txt .csv .tsv .json .jsonl .yaml .yml .xml .html .htm .log".split()
 PAGE_TYPES = {
     "sources/converted/": "source_extract",
@@ -47,7 +48,9 @@ def posix(path: Column) -> Column:
 
 
 def kind(path: Column) -> Column:
-    out = F.lit("other")
+    """A name for the extension; an extension without one names itself."""
+    own = F.regexp_replace(extension(path), "^\\.", "")
+    out = F.when(own == "", F.lit("file")).otherwise(own)
     for name, extensions in KINDS.items():
         out = F.when(extension(path).isin(extensions.split()), F.lit(name)).otherwise(out)
     return out
@@ -91,4 +94,4 @@ def is_external(reference: Column) -> Column:
 def is_web_url(url: Column) -> Column:
     """Http or https, a host, no credentials, no control characters."""
     scheme, host, user = (F.try_parse_url(url, F.lit(x)) for x in ("PROTOCOL", "HOST", "USERINFO"))
-    return F.coalesce(F.lower(scheme).isin("http", "https") & host.isNotNull() & user.isNull() & ~url.rlike("[\\x00-\\x1f\\x7f]"), F.lit(False))
+    return F.coalesce(F.lower(scheme).isin("http", "https") & host.isNotNull() & user.isNull() & ~url.rlike("[\\x00-\\x20\\x7f\\ufffd]"), F.lit(False))

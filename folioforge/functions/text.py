@@ -16,6 +16,8 @@ STOP_WORDS = (
 ).split()
 PLACEHOLDER = "（字符无法识别）"
 GARBLED = "锟斤拷"
+UNREADABLE = "原文包含无法识别字符|问题内容包含无法识别字符|字符无法识别|无法识别的问题"
+HIDDEN = "[已隐藏]"
 LEADING_FUNCTION_WORDS = "的 了 而 把 不是 可以 通过".split()
 FILE_WORDS = "url uri http https html markdown md txt pdf doc docx".split()
 UNITS = "mm cm m km kg g mg in px pt kb mb gb 年 月 日".split()
@@ -306,24 +308,37 @@ def clean_topics(items: Column, limit: int) -> Column:
     return F.slice(F.filter(clean_list(items, limit * 2), lambda x: ~is_low_information(x)), 1, limit)
 
 
+def is_unreadable(c: Column) -> Column:
+    """A message that says, or shows, that a text could not be read."""
+    return clean_unknown(c).rlike(UNREADABLE)
+
+
 def is_low_quality(title: Column, body: Column) -> Column:
     """Nothing readable, or any unreadable run at all."""
     both = trim(clean_unknown(F.concat_ws("\n", title, body)))
-    return (both == "") | is_unknown(title) | is_unknown(body) | both.contains(PLACEHOLDER) | both.contains("�") | both.rlike("\\?{3,}")
+    return let(both, lambda b: (b == "") | is_unknown(title) | is_unknown(body) | b.rlike(UNREADABLE) | (readable_or(b, F.lit("")) == ""))
 
 
 def source_text(c: Column, most: int) -> Column:
-    """text of a snippet of html."""
-    c = F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&nbsp;", " ")
-    for name, value in (("quot", '"'), ("#39", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(value))
-    return F.substring(squeeze(c), 1, most)
-
-
-def redact(c: Column) -> Column:
-    """secrets in a diagnostic message."""
-    c = F.regexp_replace(c, "(?i)(bearer\\s+)[^\\s,;]+", "$1***")
-    return F.regexp_replace(c, "(?i)((?:api[-_]?key|token|secret|password)[\"']?\\s*[:=]\\s*[\"']?)[^\\s\"',;&]+", "$1***")
+    """text of a snippet of html; empty if it has control characters."""
+    out = F.regexp_replace(c, "<[^>]+>", " ")
+    for name, value in (("amp", "&"), ("quot", '"'), ("#39", "'"), ("lt", "<"), ("gt", ">")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    return F.when(c.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\ufffd]"), F.lit("")).otherwise(F.substring(squeeze(out), 1, most))
+
+
+def diagnostic(message: Column, secrets: list[str]) -> Column:
+    """an error for people - plain words for what usually fails, secrets and tokens hidden, at most 1200 characters."""
+    out = message
+    for secret in filter(None, secrets):
+        out = F.replace(out, F.lit(secret), F.lit(HIDDEN))
+    out = F.regexp_replace(F.regexp_replace(out, "(?i)Bearer\\s+[^\\s\"']+", f"Bearer {HIDDEN}"), "\\ufffd+", "[无法识别字符]")
+    out = (
+        F.when(message.rlike("(?i)timeout|timed out|aborted"), F.lit("请求超时，请检查服务是否运行及网络是否可达。"))
+        .when(message.rlike("(?i)fetch failed|ECONNREFUSED|ENOTFOUND"), F.lit("无法连接服务，请检查地址、端口及服务是否运行。"))
+        .otherwise(out)
+    )
+    return F.substring(out, 1, 1200)
 
 
 def slug(c: Column, most: int = 80) -> Column:

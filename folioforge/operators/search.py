@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from folioforge.functions import paths
 from folioforge.functions.query import anchors, search_tokens, tokenize
-from folioforge.functions.text import excerpt_around, is_low_information, is_low_quality, is_unknown, occurrences, readable_or
+from folioforge.functions.text import excerpt_around, is_low_information, is_low_quality, is_unknown, is_unreadable, occurrences, readable_or
 
 SEARCH_LIMIT = 12
 RESEARCH_LIMIT = 8
@@ -69,7 +69,7 @@ def source_hits(sources: DataFrame, query: str) -> DataFrame:
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("fileName"))
     summary = F.coalesce("summary", F.lit(""))
     bad = (
-        F.coalesce(F.col("error").rlike("\\ufffd|\\?{3,}|字符无法识别|无法识别"), F.lit(False))
+        F.coalesce(is_unreadable(F.col("error")), F.lit(False))
         | is_low_quality(title, summary)
         | (is_low_information(title) & (readable_or(summary, F.lit("")) == ""))
     )

@@ -74,10 +74,13 @@ def test_occurrences_do_not_overlap(col):
 
 def test_low_quality(col):
     assert col(lambda c: text.is_low_quality(F.lit("t"), c), ["fine", "one ??? run", "a \ufffd", ""]) == [False, True, True, False]
+    assert col(lambda c: text.is_unreadable(c), ["问题内容包含无法识别字符", "x ???", "ok"]) == [True, True, False]
 
 
 def test_redaction_and_slug(col):
-    assert col(text.redact, ["Authorization: Bearer abc.def", "api_key=12345 x"]) == ["Authorization: Bearer ***", "api_key=*** x"]
+    got = col(lambda c: text.diagnostic(c, ["s3cret"]), ["Authorization: Bearer abc.def", "key s3cret x", "fetch failed: s3cret", "a\ufffd\ufffd"])
+    assert got == ["Authorization: Bearer [已隐藏]", "key [已隐藏] x", "无法连接服务，请检查地址、端口及服务是否运行。", "a[无法识别字符]"]
+    assert col(lambda c: text.source_text(c, 9), ["<b>a</b>  &lt;x&gt; and more", "bad\x07", "&amp;lt;"]) == ["a <x> and", "", "<"]
     assert col(text.slug, ["Hello, World!", "合同 法"]) == ["hello-world", "合同-法"] and len(col(text.slug, ["!!!"])[0]) == 8
 
 
@@ -106,7 +109,7 @@ def test_markdown(col):
 
 
 def test_paths(col):
-    assert col(paths.kind, ["a.MD", "b.xlsx", "c.bin"]) == ["markdown", "spreadsheet", "other"]
+    assert col(paths.kind, ["a.MD", "b.xlsx", "c.bin"]) == ["markdown", "table", "bin"]
     assert col(paths.page_type, ["sources/converted/a", "sources/a", "x.md"]) == ["source_extract", "source", "note"]
     assert col(paths.is_unsafe_entry, ["a/../b", "/x", "C:\\x", "a/b..c"]) == [True, True, True, False]
     assert col(paths.is_web_url, ["https://a.b/c", "ftp://a", "http://u:p@a", "x"]) == [True, False, False, False]
