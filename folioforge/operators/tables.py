@@ -10,15 +10,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_known: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a local temp folder only where none is set (tests)."""
+    """This application's folder below the shared one; a local temp folder only where none is set (tests).
+
+    It is deleted when the driver's Python ends: no lazy result can be read after that.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.folioforge.tables", None)
     if not root:
-        local = tempfile.mkdtemp(prefix="folioforge-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        root = f"file://{local}"
+        root = f"file://{tempfile.mkdtemp(prefix='folioforge-')}"
         spark.conf.set("spark.folioforge.tables", root)
-    return f"{root.rstrip('/')}/folioforge/{spark.sparkContext.applicationId}"
+    own = f"{root.rstrip('/')}/folioforge/{spark.sparkContext.applicationId}"
+    if own not in _known:
+        _known.add(own)
+        atexit.register(_delete, spark, own)
+    return own
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    scheme, sep, rest = folder.partition("://")
+    if not sep or scheme == "file":
+        shutil.rmtree(rest if sep else folder, ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
