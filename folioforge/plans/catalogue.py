@@ -299,17 +299,21 @@ def url_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- graph
+def _page_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.web_pages(spark, sf_dir).select("page_id", F.explode("links").alias("href"))
+
+
 def _href_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    web = shapes.web_pages(spark, sf_dir).select("page_id", F.explode("links").alias("href"))
-    few = web.groupBy("href").count().filter("count BETWEEN 2 AND 4").select("href")
-    a = web.join(few, "href")
+    """Pairs of the first pages of each href; no href is left out for having many."""
+    rank = F.row_number().over(Window.partitionBy("href").orderBy("page_id"))
+    a = _page_hrefs(spark, sf_dir).withColumn("rn", rank).filter(F.col("rn") <= graph.PAGES_PER_SOURCE).select("page_id", "href")
     b = a.select("href", F.col("page_id").alias("b"))
     return a.join(b, "href").filter("page_id < b").select(F.col("page_id").alias("a"), "b", "href")
 
 
 @query(f"{PAIRS} SELECT a, b, count(*)::BIGINT AS shared, sum(3)::BIGINT AS weight FROM pr GROUP BY a, b")
 def shared_href_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that share a link of few pages, one edge per pair."""
+    """Pages that share a link, the first four of each, one edge per pair."""
     return _href_edges(spark, sf_dir).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.lit(3)).alias("weight"))
 
 
@@ -343,9 +347,11 @@ m AS (SELECT x AS page_id, min(root) AS root FROM r GROUP BY x)
 SELECT page_id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS community FROM m"""
 )
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: communities numbered by first page."""
+    """G1: communities numbered by first page; every page of an href is linked to the href's first page."""
     nodes = shapes.web_pages(spark, sf_dir).select("page_id", "ord")
-    edges = _href_edges(spark, sf_dir).select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()
+    each = _page_hrefs(spark, sf_dir)
+    first = each.groupBy("href").agg(F.min("page_id").alias("source"))
+    edges = each.join(first, "href").filter("source <> page_id").select("source", F.col("page_id").alias("target")).distinct()
     return graph.components(nodes, edges, "page_id").select("page_id", "community")
 
 
