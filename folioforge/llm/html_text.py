@@ -5,8 +5,8 @@ A page is cut into blocks, each with its root-to-leaf path of block tags (with c
 article - menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, by
 tag, role, class or id - are boilerplate.  For the others, text length and punctuation are aggregated per
 path; both ratios are smoothed along the page, fused with the share of text outside links, and paths over
-the threshold select content.  The smallest container that holds most of the selected text (an
-``article`` or ``main`` around it wins) is the article, and all its blocks that are not boilerplate are the
+the threshold select content.  The smallest container that holds all of the selected text (an
+``article`` or ``main`` around it wins; a list or table is none) is the article, and all its blocks that are not boilerplate are the
 text, so short lines of an article are kept and natural sentences of a footer are not.
 
 Character references are decoded, white space inside a block becomes one space (``br`` is white space),
@@ -43,7 +43,7 @@ NEVER = frozenset(
     "style svg template textarea title video".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NO_CONTAINER = HEADINGS | frozenset("p li td th pre blockquote dd dt".split())
+NO_CONTAINER = HEADINGS | frozenset("p li td th pre blockquote dd dt ul ol dl table thead tbody tfoot tr caption".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A class or id with one of these words (split at anything but letters) marks boilerplate.
 MARKS = frozenset(
@@ -246,19 +246,14 @@ def main_text(page: str | None) -> str:
     mean = sum(fused.values()) / len(fused)
     spread = math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
     chosen = {p for p, v in fused.items() if v >= THRESHOLD * spread and v > 0} or set(paths)
-    # The container: the deepest element that holds nearly all text of the chosen paths.
-    mass: dict[int, int] = {}
-    total = 0
-    for b, p, c in zip(good, paths, chains, strict=True):
-        if p in chosen:
-            total += len(b.text)
-            for n in c:
-                mass[id(n)] = mass.get(id(n), 0) + len(b.text)
-    best, depth = chains[0][0], 0
-    for c in chains:
-        for i in range(depth + 1, len(c)):
-            if mass.get(id(c[i]), 0) >= 0.8 * total and c[i].tag not in NO_CONTAINER:
-                best, depth = c[i], i
+    # The container: the deepest element that holds all text of the chosen paths.
+    inner = [c for c, p in zip(chains, paths, strict=True) if p in chosen]
+    depth = 0
+    while all(len(c) > depth + 1 and c[depth + 1] is inner[0][depth + 1] for c in inner):
+        depth += 1
+    while depth and inner[0][depth].tag in NO_CONTAINER:
+        depth -= 1
+    best = inner[0][depth]
     up = best
     while up is not None:
         if up.tag in ("article", "main"):

@@ -242,6 +242,21 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_main_text_keeps_all_selected_content():
+    long = [f"Sentence number {i} of the first part, with some words, is here." for i in range(17)]
+    short = [f"Sentence number {i} of the second part, with some words, is here." for i in range(3)]
+    p = lambda rows: "".join(f"<p>{x}</p>" for x in rows)
+    page = f'<body><nav>menu</nav><div id="content"><section>{p(long)}</section><section>{p(short)}</section></div><footer>f</footer></body>'
+    assert html_text.main_text(page) == "\n".join(long + short)
+    # A list with most of the text does not push out the paragraphs around it.
+    items = "".join(f"<li>{x}</li>" for x in long)
+    page = f"<body><nav>menu</nav><div><h1>Head</h1><p>Before it, so.</p><ul>{items}</ul><p>After it.</p></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Head", "Before it, so.", *long, "After it."])
+    rows = "".join(f"<tr><td>{x}</td></tr>" for x in long)
+    page = f"<body><div><p>Before it, so.</p><table><tbody>{rows}</tbody></table><p>After it.</p></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Before it, so.", *long, "After it."])
+
+
 def test_html_on_the_tables_and_edges(spark):
     import html
     import re
