@@ -38,6 +38,9 @@ from folioforge.llm.shared import Bloom, bloom_of, components, discard, lookup,
 
 WORDS_IN_SHINGLE = 4
 PERCENT = 85
+#: Near copies of which ``one_of_each`` keeps one.
+COPY_WORDS = 5
+COPY_PERCENT = 80
 FRAGMENTS = 4
 #: Counters of the frequency sketch: fixed, whatever the corpus.
 SKETCH = 1 << 20
@@ -295,13 +298,13 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
     return out.unionByName(alone).withColumnRenamed("n", "n_shingles").select("doc_id", "sig", "root", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COPY_WORDS, percent: int = COPY_PERCENT) -> DataFrame:
     """The rows of ``docs`` but for later members of a class: of each, the smallest doc_id stays.
 
     Rows of one doc_id are told apart by their sets; repeated rows count as one document.
     """
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    cls = materialise(classes(narrow), "classified")
+    cls = materialise(classes(narrow, k, percent), "classified")
     other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = cls.filter("sig IS NOT NULL").groupBy("doc_id").count()
     if ids.filter("doc_id IS NULL OR count > 1").isEmpty():
@@ -310,19 +313,19 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # Some doc_id names several rows or none: rows are told apart by their sets, too.
     stay = cls.filter("sig IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("m"))
     stay = stay.select(F.col("m.doc_id").alias("_id"), F.col("m.sig").alias("_key"))
-    marked = docs.withColumn("_sig", _signature_column(F.col(f"`{text}`")))
+    marked = docs.withColumn("_sig", _signature_column(F.col(f"`{text}`"), k))
     first = marked.join(stay, (F.col("_sig") == F.col("_key")) & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     first = first.dropDuplicates([doc_id, "_sig"])
     return first.unionByName(marked.filter("_sig IS NULL")).drop("_sig")
 
 
-def _signature_column(text):
+def _signature_column(text, k: int):
     """``sig`` as ``classes`` gives it, as a column."""
 
     @F.arrow_udf("long")
     def sig(texts: pa.Array) -> pa.Array:
         out: list[int | None] = [None] * len(texts)
-        for r, s in shingle_sets(texts):
+        for r, s in shingle_sets(texts, k):
             out[r] = signature(s, 0)[0]
         return pa.array(out, pa.int64())
 

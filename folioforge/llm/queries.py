@@ -54,7 +54,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and near-duplicate class of every document."""
-    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.classes(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,24 @@ def test_jaccard_edges(spark):
     assert {r.doc_id for r in jaccard.one_of_each(plain).collect()} == {k for k, (_, c) in want.items() if k == c}
 
 
+def test_pipeline_drops_copies_of_five_words_and_four_fifths(spark):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(200)]
+    edited = list(words)
+    for i in (20, 60, 110, 160):
+        edited[i] = f"e{i}"
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"n{i}" for i in range(44)])), (3, " ".join(edited)), (4, " ".join(words[:150] + [f"z{i}" for i in range(50)]))]
+    sets = {(i, k): brute.shingles(t, k) for i, t in rows for k in (4, 5)}
+    alike = {(i, k): len(sets[1, k] & sets[i, k]) / len(sets[1, k] | sets[i, k]) for i in (2, 3, 4) for k in (4, 5)}
+    assert 0.8 <= alike[2, 5] < 0.85 and alike[2, 4] < 0.85 and 0.8 <= alike[3, 5] and alike[4, 5] < 0.8
+    stage = dict(cp.STAGES)["ngram_jaccard"]
+    assert sorted(r.doc_id for r in stage(spark, frame(spark, rows), SF).collect()) == [1, 4]
+    # By text where a doc_id names several rows.
+    twice = frame(spark, rows + [(1, "k l m n o p q")])
+    assert sorted((r.doc_id, len(r.text)) for r in stage(spark, twice, SF).collect()) == sorted((k, len(t)) for k, t in [rows[0], rows[3], (1, "k l m n o p q")])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).union(spark.range(500, 501).select("id", F.col("id") + 1))
     got = {r.node: r.root for r in shared.components(edges).collect()}
