@@ -537,7 +537,7 @@ def file_listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15."""
     path = F.concat(F.lit("wiki/p"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
-    return listing.by_section(table(spark, sf_dir, "documents").select("doc_id", path.alias("path")), 10).select("section", "doc_id", "place")
+    return listing.by_section(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))).select("section", "doc_id", "place")
 
 
 # ---------------------------------------------------------------- registry

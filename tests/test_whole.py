@@ -67,3 +67,14 @@ def test_href_edges_of_the_tables(spark):
     links = {r.page_id: re.findall(r'(?i)href="([^"]*)"', r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert max(map(len, _groups(links).values())) > 4
     _check_hrefs(spark, sf, links)
+
+
+def test_pages_by_section_gives_three_hundred_each(spark, tmp_path):
+    sizes = {"a": 305, "b": 40, "c": 1}
+    source = [s for s, n in sizes.items() for _ in range(n)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(source)), pa.int64()), "source": source}), tmp_path / "documents.parquet")
+    want = []
+    for s in sizes:
+        ids = sorted((i for i, x in enumerate(source) if x == s), key=str)
+        want += [("p" + s, i, place) for place, i in enumerate(ids[:300], 1)]
+    assert sorted(_rows(spark, "pages_by_section", tmp_path)) == sorted(want) and len(want) == 341
