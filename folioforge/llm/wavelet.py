@@ -243,7 +243,10 @@ class WordEncoder(dict):
         """The ids of each text, as bytes; null is empty."""
         get = self.__getitem__
         for text in texts.cast(pa.binary()).to_pylist():
-            yield b"".join(map(get, text.lower().split())) if text else b""
+            if text and b"<|" in text:  # added tokens are matched before the normaliser lower-cases
+                yield b"".join(get(w if b"<|" in w else w.lower()) for w in text.split())
+            else:
+                yield b"".join(map(get, text.lower().split())) if text else b""
 
 
 def encoder(path: str) -> WordEncoder:

@@ -93,6 +93,14 @@ def test_word_encoder_equals_the_tokenizer():
         assert next(enc.encode(pa.array([t]))) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), t
 
 
+def test_added_tokens_keep_their_case():
+    import pyarrow as pa
+
+    tok, enc = _tokenizer(), wavelet.encoder(queries.tokenizer())
+    for t in ["A <|ENDOFTEXT|> B", "x<|StartOfText|>Y. <|startoftext|> <|endoftext|>Z", "<|EndOfText|>", "<|X|> É<|ENDOFTEXT|>é"]:
+        assert next(enc.encode(pa.array([t]))) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), t
+
+
 @pytest.mark.parametrize("n,top", [(0, 10), (1, 1), (5, 2), (70_000, 49_000), (200_000, 90_000)])
 def test_wavelet_matrix(n, top):
     rng = np.random.default_rng(n)
