@@ -1,4 +1,8 @@
-"""Scratch tables in the folder that ``spark.checkpoint.dir`` names: they cut a lineage and outlive executors."""
+"""Scratch and output tables in folders that all executors reach, and ranks that no single task computes.
+
+Scratch tables cut a lineage and outlive executors; they go to the folder that ``spark.checkpoint.dir`` names.
+Outputs stay: they go below the warehouse, or where ``spark.folioforge.output`` says.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +11,51 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _known: set[str] = set()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below the shared one; a local temp folder only where none is set (tests).
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, which shares its folders with itself."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
 
-    It is deleted when the driver's Python ends: no lazy result can be read after that.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors reach: ``spark.checkpoint.dir``, else the checkpoint directory set on the context.
+
+    Only a local session may do without: it gets a temp folder.  Anywhere else executors would write to disks of
+    their own and later reads would silently miss the files, so that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.folioforge.tables", None)
     if not root:
+        root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         root = f"file://{tempfile.mkdtemp(prefix='folioforge-')}"
         spark.conf.set("spark.folioforge.tables", root)
-    own = f"{root.rstrip('/')}/folioforge/{spark.sparkContext.applicationId}"
+    return root.rstrip("/")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's scratch folder.  It is deleted when the driver's Python ends: no lazy result can be read after that."""
+    own = f"{shared_root(spark)}/folioforge/{spark.sparkContext.applicationId}"
     if own not in _known:
         _known.add(own)
         atexit.register(_delete, spark, own)
     return own
 
 
+def output_path(spark: SparkSession, name: str) -> str:
+    """A new path for an output that outlives the session."""
+    root = spark.conf.get("spark.folioforge.output", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/folioforge"
+    return f"{root.rstrip('/')}/{name}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     scheme, sep, rest = folder.partition("://")
     if not sep or scheme == "file":
@@ -42,3 +69,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(rows: DataFrame, *order: Column, to: str, save=materialise) -> DataFrame:
+    """``rows`` with their 0-based place along ``order`` in ``to``, and no task that ranks them all.
+
+    Rows are dealt to ordered ranges and ranked inside each; a range is offset by the counts before it.
+    """
+    parts = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    parts = save(parts, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))  # a row per shuffle partition
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_first")
+    return parts.join(F.broadcast(starts), "_range").withColumn(to, place).drop("_range", "_first")
