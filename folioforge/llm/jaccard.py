@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import bytescan
-from folioforge.llm.shared import Bloom, bloom_of, components, discard, lookup, materialise, modest_batches, union_all
+from folioforge.llm.shared import Bloom, bloom_of, components, discard, integral, lookup, materialise, modest_batches, union_all
 
 WORDS_IN_SHINGLE = 4
 PERCENT = 85
@@ -216,7 +216,7 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     modest_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(integral(docs, "doc_id"), "text")
     salt = 0
     while True:  # again only if two different sets should share a 64-bit name
         profile = _profile(docs, k, salt)
@@ -303,7 +303,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     Rows of one doc_id are told apart by their sets; repeated rows count as one document.
     """
-    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    narrow = docs.select(integral(docs, doc_id), F.col(f"`{text}`").alias("text"))
     cls = materialise(classes(narrow, k, percent), "classified")
     other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = cls.filter("sig IS NOT NULL").groupBy("doc_id").count()

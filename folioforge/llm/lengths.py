@@ -4,10 +4,11 @@ Documents are encoded whole and aggregated by their number of ids: one small row
 leaves the text.  Suffix sums over the histogram answer every question about a context limit L exactly:
 documents of at least L ids, their ids, and the corpus's ids if each document is cut at L.  Suffix sums
 are built in two levels - within ranges of ``SPAN`` lengths, and over the ranges' totals - so no task
-holds the histogram.
+holds the histogram, and a question is answered by looking up the next length above it.
 
-Null and empty text has length 0 and counts as a document.  Repeated rows count each.  An empty table
-gives an empty histogram.  Other columns are not read.
+Null and empty text has length 0 and counts as a document.  Long texts are encoded whole.  Repeated rows count
+each.  An empty table gives an empty histogram, whose quantiles are null.  Other columns are not read by
+``histogram``; ``encoded_lengths`` keeps those it is asked to (one named ``length`` is replaced).
 """
 
 from __future__ import annotations
@@ -69,12 +70,26 @@ def histogram(lengths: DataFrame, length: str = "length") -> DataFrame:
 
 
 def at_limits(hist: DataFrame, limits: DataFrame, limit: str = "context_limit") -> DataFrame:
-    """Figures for each ``limit``: documents and ids over it, and ids left when cut there."""
-    parts = limits.join(hist.select("length", "n_docs", "n_tokens"), F.col("length") > F.col(limit), "left").groupBy(limit)
-    over = parts.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs_over"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens_over"))
-    total = hist.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_all"))
-    out = over.crossJoin(F.broadcast(total))  # one row
-    return out.withColumn("tokens_kept", F.col("_all") - F.col("tokens_over") + F.col(limit) * F.col("docs_over")).drop("_all")
+    """Figures for each distinct ``limit``: documents and ids over it, and ids left when cut there.
+
+    They are the suffix sums of the next length above the limit, which is in the limit's span or the first of a later
+    one; so a limit meets the lengths of one span.  A null limit has null figures.
+    """
+    at = F.col("x")
+    sums = F.struct(F.col("docs_at_least").alias("docs"), F.col("tokens_at_least").alias("tokens"))
+    marks = hist.select(F.col("length").alias("x"), F.lit(0).alias("asked"), sums.alias("sums"))
+    asked = limits.select(F.col(f"`{limit}`").cast("long").alias("x"), F.lit(1).alias("asked")).distinct()
+    both = marks.unionByName(asked, allowMissingColumns=True).withColumn("span", F.floor(at / SPAN))
+    later = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    near = F.first("sums", ignorenulls=True).over(later(Window.partitionBy("span").orderBy("x", "asked")))
+    spans = both.groupBy("span").agg(F.min_by("sums", F.when(F.col("asked") == 0, at)).alias("first"))  # a row per SPAN lengths
+    spans = spans.select("span", F.first("first", ignorenulls=True).over(later(Window.orderBy("span"))).alias("beyond"))
+    total = hist.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all"))
+    found = both.withColumn("near", near).filter("asked = 1").join(spans, "span", "left")
+    found = found.withColumn("over", F.coalesce("near", "beyond")).crossJoin(F.broadcast(total))  # one row
+    figure = lambda c: F.when(at.isNotNull(), F.coalesce(c, F.lit(0)))
+    out = found.select(at.alias(limit), figure(F.col("over.docs")).alias("docs_over"), figure(F.col("over.tokens")).alias("tokens_over"), "all")
+    return out.withColumn("tokens_kept", F.col("all") - F.col("tokens_over") + F.col(limit) * F.col("docs_over")).drop("all")
 
 
 def quantile(hist: DataFrame, share: float) -> DataFrame:

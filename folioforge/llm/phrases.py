@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import bytescan
-from folioforge.llm.shared import Bloom, bloom_of, discard, materialise, modest_batches
+from folioforge.llm.shared import Bloom, bloom_of, discard, integral, materialise, modest_batches
 
 LENGTH = 200
 GRAM = 16
@@ -241,7 +241,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot_phrases: int = HOT_PHRASE
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return docs.select(integral(docs, doc_id), F.xxhash64(f"`{text}`").alias("h"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

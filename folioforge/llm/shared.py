@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioforge.operators.tables import scratch_root
 
@@ -22,6 +23,14 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
+def integral(docs: DataFrame, doc_id: str) -> Column:
+    """``doc_id`` as a long; a column of another type is refused, since no order or smallest id would be right."""
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"{doc_id} must be of an integer type, not {kind.simpleString()}")
+    return F.col(f"`{doc_id}`").cast("long").alias("doc_id")
+
+
 # ---------------------------------------------------------------- scratch tables
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; cuts the lineage."""

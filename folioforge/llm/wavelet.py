@@ -10,21 +10,24 @@ block; and the documents' token counts.  ``Shard`` answers from the file's bytes
 
 Layout, little-endian: magic ``FFWM``, u32 version, u32 bits, u64 tokens, u32 documents, u32 blocks a
 plane, ``bits`` u64 counts of zeros, then for each plane and block u64 rank-before and u32 length, then
-u64 token counts of the documents, then the blocks.  A block of full raw length is stored as it is.
+u64 token counts of the documents, then the blocks.  A block of full raw length is stored as it is.  A file
+that is cut short or too long is refused.
 
 ``write`` encodes every document, deals the ids to shards by ranges of doc_id, and stores a row per shard
 (range, part, file, doc ids) as Parquet through Spark's commit protocol: a lost task leaves nothing behind, and
-any storage Spark reaches will do.  Documents of one shard are in ascending doc_id order (null first), and
-shards follow each other.
-
-Null text is empty: only the end id.  Rows of equal doc_id stay next to each other, ordered by a hash of
-the text; where one doc_id fills more than a range it is split by that hash.  Special-token strings in a
-text are encoded as the tokenizer does by default.  An empty table writes no shard and reads back as no
-document.  Other columns are not read.
+any storage Spark reaches will do.  The files stay when the session ends; ``files`` opens them in another.
+Documents of one shard are in ascending doc_id order (null first), and shards follow each other.
+
+Null text is empty: only the end id.  Long texts are encoded whole, each in one piece of a task's memory.  Rows of
+equal doc_id stay next to each other, ordered by a hash of the text; where one doc_id fills more than a range it is
+split by that hash, and repeated rows each have their entry.  Special-token strings in a text are encoded as the
+tokenizer does by default.  An empty table writes no shard and reads back as no document.  doc_id must be of an
+integer type; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.llm.shared import materialise, modest_batches
+from folioforge.llm.shared import integral, modest_batches
+from folioforge.operators.tables import output_path
 
 MAGIC = b"FFWM"
 BLOCK = 1 << 16
@@ -87,10 +91,12 @@ class Shard:
     """Queries over one file."""
 
     def __init__(self, file: bytes):
-        if file[:4] != MAGIC:
+        if file[:4] != MAGIC or len(file) < 28:
             raise ValueError("not a wavelet-matrix shard")
         _, self.bits, self.n, docs, self.blocks = struct.unpack_from("<IIQII", file, 4)
         at = 28
+        if len(file) < at + 8 * self.bits + 12 * self.bits * self.blocks + 8 * docs:
+            raise ValueError("the shard is cut short")
         self.zeros = struct.unpack_from(f"<{self.bits}Q", file, at)
         at += 8 * self.bits
         entry = np.dtype([("rank", "<u8"), ("size", "<u4")])
@@ -99,6 +105,8 @@ class Shard:
         self.counts = np.frombuffer(file, "<u8", docs, at).astype(np.int64)
         at += 8 * docs
         sizes = self.table["size"].ravel().astype(np.int64)
+        if len(file) != at + int(sizes.sum()):
+            raise ValueError("the shard is cut short or too long")
         self.at = (at + np.cumsum(sizes) - sizes).reshape(self.bits, self.blocks) if self.blocks else np.zeros((self.bits, 0), np.int64)
         self.file = file
         self.unpack = zstandard.ZstdDecompressor()
@@ -199,15 +207,44 @@ _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Byte-level tokenizers show a byte as a character: printable Latin-1 as itself, the others from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _STAND_INS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+# The normaliser and the splitter that words may be encoded one by one under.
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 _loaded: dict[str, WordEncoder] = {}
 
 
-class WordEncoder(dict):
-    """Ids of words by word, for a tokenizer whose units never span white space; each word is encoded once.
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) gives a text the ids of its words, one after the other.
+
+    So it is for byte-level pair encoding of units that never contain white space, after NFC and lower-casing:
+    NFC joins nothing across ASCII white space, and added tokens have none in them.
+    """
+    split = {"type": "Split", "pattern": _SPLIT, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    pre = spec.get("pre_tokenizer") or {}
+    steps = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in pre.get("pretokenizers", ())]
+    added = spec.get("added_tokens") or []
+    return (
+        spec.get("normalizer") == {"type": "Sequence", "normalizers": _NORMALISER}
+        and steps == [split, level]
+        and spec["model"].get("type") == "BPE"
+        and not spec["model"].get("dropout")
+        and spec.get("truncation") is None
+        and spec.get("padding") is None
+        and all(t["content"].startswith("<|") and t["content"].isascii() and not re.search(r"\s", t["content"]) for t in added)
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    )
+
 
-    Texts are cut at ASCII white space.  A new word is cut before punctuation that ends it, where the
-    tokenizer splits itself (not if it has a ``<|``, which may begin a special token), and its parts are
-    looked up.  That this gives the ids of the whole text is checked in the tests.
+class WordEncoder(dict):
+    """Ids of words by word; each word is encoded by the library once.
+
+    Only for tokenizers that ``by_words`` knows; for any other the library encodes whole texts.  Texts are cut at
+    ASCII white space.  A-Z is lower-cased before a word is looked up, as the tokenizer does itself, but for words in
+    which that could change what NFC makes of them (every mark that NFC joins to an ASCII letter is one of U+0300 to
+    U+036F) or that may hold an added token.  A new word is cut before ASCII punctuation that ends it, where the
+    tokenizer splits itself.  A word of small Latin letters is one unit that NFC and lower-casing leave alone, so it
+    goes to the library's model without them; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -219,6 +256,7 @@ class WordEncoder(dict):
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code, self.pack = {"<u2": "H", "<u4": "I"}[self.kind], struct.pack
         self.model = self.tokenizer.model
+        self.known = by_words(json.loads(self.tokenizer.to_str()))
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO_WORDS:  # keep the words met first: the frequent ones
@@ -231,7 +269,7 @@ class WordEncoder(dict):
             self[word] = ids
             return ids
         if _LETTERS.fullmatch(word):
-            # One unit whatever the normaliser and splitter do; the model sees bytes as their stand-ins.
+            # The model sees bytes as their stand-ins.
             found = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_STAND_INS))]
         else:
             found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
@@ -241,10 +279,15 @@ class WordEncoder(dict):
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, as bytes; null is empty."""
+        if not self.known:
+            for text in texts.to_pylist():
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], self.kind).tobytes()
+            return
         get = self.__getitem__
+        as_is = re.compile(rb"<\||[\xcc\xcd]").search  # U+0300 to U+037F begin with these bytes, and no other character has them
         for text in texts.cast(pa.binary()).to_pylist():
-            if text and b"<|" in text:  # added tokens are matched before the normaliser lower-cases
-                yield b"".join(get(w if b"<|" in w else w.lower()) for w in text.split())
+            if text and as_is(text):
+                yield b"".join(get(w if as_is(w) else w.lower()) for w in text.split())
             else:
                 yield b"".join(map(get, text.lower().split())) if text else b""
 
@@ -267,13 +310,18 @@ def _ranges(docs: DataFrame, rows: int) -> list[int]:
     return [int(x) for x in bounds]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, range_docs: int = RANGE_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) and write the shard files; returns the table of files.
+def write(
+    docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, range_docs: int = RANGE_DOCS, shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) and write the shard files to ``path``; returns the table of files.
 
-    Columns: range and part (a shard's place in the order), file (the bytes), doc_ids, n_tokens.
+    ``path`` must not exist yet; without one, a new folder below the warehouse is taken.  The result has it as its
+    attribute ``path``.  Columns: range and part (a shard's place in the order), file (the bytes), doc_ids, n_tokens.
     """
-    modest_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    modest_batches(spark)
+    docs = docs.select(integral(docs, "doc_id"), "text")
+    path = path or output_path(spark, "token_files")
     bounds = _ranges(docs, range_docs)
 
     def encode(batches):
@@ -315,8 +363,19 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, range_docs: int
         if ids:
             yield done()
 
-    files = rows.select("range", "doc_id", "ids").mapInArrow(build, "range int, part int, file binary, doc_ids array<long>, n_tokens long")
-    return materialise(files, "shards")
+    rows.select("range", "doc_id", "ids").mapInArrow(build, FILES).write.option("compression", "none").parquet(path)  # files are compressed inside
+    return files(spark, path)
+
+
+#: The table of files.
+FILES = "range int, part int, file binary, doc_ids array<long>, n_tokens long"
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """The files that ``write`` left at ``path``, in this session or an earlier one."""
+    out = spark.read.schema(FILES).parquet(path)
+    out.path = path
+    return out
 
 
 def read(files: DataFrame, per_doc: Callable[[np.ndarray], int], name: str, kind: str = "long") -> DataFrame:
@@ -324,8 +383,12 @@ def read(files: DataFrame, per_doc: Callable[[np.ndarray], int], name: str, kind
 
     ``per_doc`` is applied to each document's ids.  ``start`` counts the ids of all documents before it.
     """
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("range", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # a row per shard
+    shards = files.select("range", "part", "n_tokens")  # a row per shard
+    ranges = shards.groupBy("range").agg(F.sum("n_tokens").alias("t"))  # at most MAX_RANGES rows
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    above = ranges.select("range", F.coalesce(F.sum("t").over(before(Window.orderBy("range"))), F.lit(0)).alias("above"))
+    inside = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("range").orderBy("part"))), F.lit(0))
+    starts = shards.withColumn("inside", inside).join(above, "range").select("range", "part", (F.col("above") + F.col("inside")).alias("base"))
 
     def run(batches):
         for batch in batches:

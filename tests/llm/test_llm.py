@@ -101,6 +101,74 @@ def test_added_tokens_keep_their_case():
         assert next(enc.encode(pa.array([t]))) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), t
 
 
+def test_word_encoder_equals_the_tokenizer_on_marks_and_odd_text():
+    import random
+    import unicodedata
+
+    import pyarrow as pa
+
+    tok, enc, rng = _tokenizer(), wavelet.encoder(queries.tokenizer()), random.Random(5)
+    assert enc.known
+    # What the encoder builds on: NFC joins ASCII letters with U+0300 to U+036F only.
+    pairs_ = [d.split() for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and not d.startswith("<")]
+    assert all(0x300 <= int(p[1], 16) <= 0x36F for p in pairs_ if len(p) == 2 and int(p[0], 16) < 128)
+    ascii_, marks = [chr(c) for c in range(1, 128)], [chr(c) for c in [*range(0x300, 0x370), 0x591, 0x5B0, 0x1DC0, 0x20D0, 0x3099]]
+    any_ = [chr(c) for c in range(128, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    odd = ["'s", "'LL", "<|", "<|endoftext|>", "<|EndOfText|>", "T\u0308", "J\u030c", "H\u0331", "W\u030a", "É", "\u212a\u0327", "\u0344"]
+    for _ in range(8000):
+        t = "".join(rng.choice(rng.choice([ascii_, ascii_, marks, any_, odd])) for _ in range(rng.randint(1, 14)))
+        assert next(enc.encode(pa.array([t]))) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), ascii(t)
+
+
+def test_unknown_tokenizers_encode_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), wavelet.WordEncoder(path)
+    assert not enc.known
+    texts = ["Two  spaces, and T\u0308. \n\n", None, "", "<|endoftext|> x"]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, enc.kind).tobytes() for t in texts]
+    assert list(enc.encode(pa.array(texts))) == want
+
+
+def test_token_files_outlive_the_session(spark, tmp_path):
+    import subprocess
+    import sys
+
+    path = f"file://{tmp_path}/tokens"
+    out = wavelet.write(frame(spark), queries.tokenizer(), path)
+    want = sorted(map(tuple, wavelet.read(out, wavelet.crc32, "x").collect()))
+    code = f"""
+from pyspark.sql import SparkSession
+from folioforge.llm import wavelet
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("GOT", sorted(map(tuple, wavelet.read(wavelet.files(spark, {path!r}), wavelet.crc32, "x").collect())))"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert f"GOT {want}" in said.stdout, said.stderr[-2000:]
+
+
+def test_broken_shards_and_string_ids_are_refused(spark):
+    file = wavelet.encode_shard(np.arange(70_000, dtype="<u4"), np.array([70_000]))
+    for bad in (b"", b"FFWM", file[:20], file[:100], file[:-1], file + b"x", b"X" + file[1:]):
+        with pytest.raises(ValueError):
+            wavelet.Shard(bad)
+    words = frame(spark).withColumn("doc_id", F.concat(F.lit("a"), F.col("doc_id").cast("string")))
+    for f in (lambda d: wavelet.write(d, queries.tokenizer()), jaccard.classes, jaccard.one_of_each, phrases.remove):
+        with pytest.raises(TypeError):
+            f(words)
+
+
+def test_very_long_texts_are_encoded_whole(spark):
+    long = "Word, naïve T\u0308o 12.5 end. " * 30_000
+    docs = frame(spark, [(1, long), (2, long), (3, "x" * 400_000)])
+    tok = _tokenizer()
+    want = {k: brute.crc(tok.encode(t, add_special_tokens=False).ids + [1]) for k, t in ((1, long), (2, long), (3, "x" * 400_000))}
+    assert {r.doc_id: r.x for r in wavelet.read(wavelet.write(docs, queries.tokenizer()), wavelet.crc32, "x").collect()} == want
+    hist = lengths.histogram(lengths.encoded_lengths(docs, queries.tokenizer())).collect()
+    assert sorted((r.length, r.n_docs) for r in hist)[-1][1] == 2
+
+
 @pytest.mark.parametrize("n,top", [(0, 10), (1, 1), (5, 2), (70_000, 49_000), (200_000, 90_000)])
 def test_wavelet_matrix(n, top):
     rng = np.random.default_rng(n)
@@ -136,9 +204,16 @@ def test_length_histogram(spark):
     for r in hist.collect():
         over = [x for x in n if x >= r.length]
         assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.truncated_tokens) == (n.count(r.length), len(over), sum(over), sum(min(x, r.length) for x in n))
-    limits = spark.createDataFrame([(0,), (100,), (10**6,)], "context_limit long")
-    got = {r.context_limit: (r.docs_over, r.tokens_kept) for r in lengths.at_limits(hist, limits).collect()}
-    assert got == {c: (sum(x > c for x in n), sum(min(x, c) for x in n)) for c in (0, 100, 10**6)}
+    asked = [0, 1, 2, 99, 100, 255, 256, 257, 5000, 10**6, *{x + d for x in n[::7] for d in (-1, 0, 1)}]
+    limits = spark.createDataFrame([(x,) for x in [*asked, 100, None]], "context_limit long")
+    plan = lengths.at_limits(hist, limits)
+    assert "CartesianProduct" not in plan._jdf.queryExecution().toString()
+    got = {r.context_limit: (r.docs_over, r.tokens_over, r.tokens_kept) for r in plan.collect()}
+    want = {c: (sum(x > c for x in n), sum(x for x in n if x > c), sum(min(x, c) for x in n)) for c in asked}
+    assert got == want | {None: (None, None, None)}
+    none = lengths.histogram(lengths.encoded_lengths(frame(spark, []), queries.tokenizer()))
+    assert lengths.quantile(none, 0.5).first().length is None
+    assert lengths.at_limits(none, limits).filter("context_limit = 100").first()[1:] == (0, 0, 0)
     for q in (0.0, 0.5, 0.9, 1.0):
         assert lengths.quantile(hist, q).first().length == n[max(0, int(np.ceil(q * len(n))) - 1)]
     assert lengths.histogram(lengths.encoded_lengths(frame(spark, []), queries.tokenizer())).count() == 0
