@@ -358,19 +358,75 @@ def test_main_text_keeps_all_selected_content():
     assert html_text.main_text(page) == "\n".join(["Before it, so.", *long, "After it."])
 
 
-def test_html_on_the_tables_and_edges(spark):
+def _articles(pages):
+    """{page_id: the blocks inside the page's article}, by patterns that know the tables' pages."""
     import html
     import re
 
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
-    for r in pages.collect():
+    out = {}
+    for r in pages:
         inner = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
         blocks = [" ".join(html.unescape(re.sub("</?b>", "", re.sub("<br>", " ", x))).split()) for x in re.split("</?(?:p|h1)>", inner)]
-        assert got[r.page_id] == "\n".join(b for b in blocks if b)
+        out[r.page_id] = "\n".join(b for b in blocks if b)
+    return out
+
+
+def test_html_on_the_tables_and_edges(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == _articles(pages.collect())
     odd = spark.createDataFrame([(1, None, "x"), (1, "<p>" * 3000 + "deep" + "</p>" * 3000, "y"), (None, "<" * 5000, "z")], "page_id long, html string, text string")
     out = html_text.extract(odd).collect()
     assert len(out) == 3 and out[0].text == "" and out[1].text == "deep" and html_text.extract(odd.filter("false")).count() == 0
+    twice = html_text.extract(odd.union(odd).withColumn("path", F.lit(7)), to="main").collect()
+    assert len(twice) == 6 and twice[1].main == twice[4].main and twice[0].text == "x" and twice[0].path == 7
+
+
+def test_html_is_decided_by_the_ratios(spark, monkeypatch):
+    import random
+
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()
+    want = _articles(pages)
+    plain = lambda h: h.replace("<article>", "<div>").replace("</article>", "</div>")
+    bare = lambda h: plain(h).replace('class="ad"', 'class="x"')
+    same_ = lambda f: sum(html_text.main_text(f(r.html)) == want[r.page_id] for r in pages) / len(pages)
+    assert same_(lambda h: h) == 1 and same_(plain) == 1 and same_(bare) > 0.8
+    true, rng = html_text.path_ratios, random.Random(3)
+    for fake in (
+        lambda b: {p: (50.0, 1.0, x) for p, (_, _, x) in true(b).items()},
+        lambda b: {p: (-n, q, x) for p, (n, q, x) in true(b).items()},
+        lambda b: {p: (300 * rng.random(), rng.random(), x) for p, (_, _, x) in true(b).items()},
+    ):
+        monkeypatch.setattr(html_text, "path_ratios", fake)
+        assert same_(bare) < 0.3
+
+
+def test_main_text_without_telling_names():
+    prose = [f"This is sentence {i} of the text, which goes on for a while; it has commas, and ends." for i in range(6)]
+    p = "".join(f"<p>{x}</p>" for x in prose)
+    links = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(12))
+    page = f"<div class=a><ul>{links}</ul></div><div class=b><div class=c><h2>Head</h2>{p}</div><div class=d><p>Buy it.</p></div></div><div class=e>All rights.</div>"
+    assert html_text.main_text(page) == "\n".join(["Head", *prose])
+    # A mark on an element around everything decides nothing, one inside does.
+    inner = f"<article><h1>Head</h1>{p}<div class='related-box'><p>See this.</p></div></article>"
+    for wrap in ("<div id=page class='site no-sidebar'>", "<div class='header-fixed'><div class=widget>", "<body class='menu nav'>"):
+        assert html_text.main_text(wrap + inner) == "\n".join(["Head", *prose])
+    rows = "".join(f"<tr><td>{x}<td>{i}" for i, x in enumerate(prose))
+    assert html_text.main_text(f"<div><table>{rows}</table></div>") == "\n".join(v for i, x in enumerate(prose) for v in (x, str(i)))
+
+
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    pages = [
+        "<div>x" * 100_000, "<b>x" * 100_000 + "</i>" * 100_000, "<i>" * 50_000 + "<article>" + "</i>" * 100_000, "<a " * 300_000, "<a '>" * 100_001,
+        '<a ">' * 100_001, "<!" * 300_000, "<p>" * 100_000, "<table><tr><td>" * 30_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<x " + "a" * 1_000_000 + ">t",
+        "<ul>" * 50_000 + "<li>" * 50_000, "<p>" + "word " * 1_000_000,
+    ]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 4, page[:20]
+    assert html_text.main_text("<p>&#" + "9" * 9000 + "; ok") == "\ufffd ok"
 
 
 # ---------------------------------------------------------------- 7
