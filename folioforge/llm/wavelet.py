@@ -32,8 +32,8 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Callable
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.llm import bytescan
 from folioforge.llm.shared import integral, modest_batches
 from folioforge.operators.tables import output_path
 
@@ -80,9 +81,7 @@ def encode_shard(ids: np.ndarray, counts: np.ndarray) -> bytes:
             table.append(struct.pack("<QI", before[b], len(part)))
             data.append(part)
         zeros.append(n - int(ones.sum()))
-        mask = pa.BooleanArray.from_buffers(pa.bool_(), n, [None, pa.py_buffer(packed)])
-        held = pa.array(seq)
-        seq = np.concatenate([held.filter(pc.invert(mask)).to_numpy(), held.filter(mask).to_numpy()])
+        seq = np.concatenate([np.compress(~bit, seq), np.compress(bit, seq)])
     head = MAGIC + struct.pack("<IIQII", 1, bits, n, len(counts), blocks) + struct.pack(f"<{bits}Q", *zeros)
     return b"".join([head, *table, np.asarray(counts, "<u8").tobytes(), *data])
 
@@ -193,8 +192,8 @@ class Shard:
             raw = b"".join(self._bytes(level, b) for b in range(self.blocks))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             back = np.empty(self.n, kind)
-            np.place(back, bit, seq[self.zeros[level] :] | kind(1 << (self.bits - 1 - level)))
-            np.place(back, np.logical_not(bit), seq[: self.zeros[level]])
+            back[np.flatnonzero(bit)] = seq[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            back[np.flatnonzero(~bit)] = seq[: self.zeros[level]]
             seq = back
         return seq
 
@@ -277,19 +276,52 @@ class WordEncoder(dict):
         self[word] = ids
         return ids
 
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        """The ids of each text, as bytes; null is empty."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the texts, where each text's ids begin and the last one's end); null is empty."""
+        texts = texts.fill_null("") if texts.null_count else texts
         if not self.known:
-            for text in texts.to_pylist():
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], self.kind).tobytes()
-            return
-        get = self.__getitem__
-        as_is = re.compile(rb"<\||[\xcc\xcd]").search  # U+0300 to U+037F begin with these bytes, and no other character has them
-        for text in texts.cast(pa.binary()).to_pylist():
-            if text and as_is(text):
-                yield b"".join(get(w if as_is(w) else w.lower()) for w in text.split())
+            return self._joined([np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.kind).tobytes() for x in texts.to_pylist()])
+        parts, odd = [], _as_is(texts)
+        for a, b in pairwise([0, *(i for k in odd for i in (k, k + 1)), len(texts)]):
+            if a == b:
+                continue
+            if b == a + 1 and a in odd:
+                words = texts[a].as_py().encode().split()
+                parts.append(self._joined([b"".join(self[w if _ODD.search(w) else w.lower()] for w in words)]))
             else:
-                yield b"".join(map(get, text.lower().split())) if text else b""
+                parts.append(self._plain(texts.slice(a, b - a)))
+        ends = np.cumsum([0, *(len(x) for x, _ in parts)])
+        return np.concatenate([np.zeros(0, self.kind), *(x for x, _ in parts)]), np.concatenate([[0], *(o[1:] + e for (_, o), e in zip(parts, ends, strict=False))])
+
+    def _joined(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        return flat, np.cumsum([0, *map(len, ids)]) // flat.itemsize
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts all of whose words may be lower-cased first: each distinct word is looked up once."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.values.dictionary_encode()
+        # One string of all distinct words, cut again: no word has a space, and this is the fastest way out of Arrow.
+        known = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().encode().split(b" ")
+        get = self.__getitem__
+        flat, begin = self._joined([get(w) if w else b"" for w in known])
+        at = coded.indices.to_numpy()
+        size = np.diff(begin)[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(begin[at] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[words.offsets.to_numpy()]
+
+
+#: What words hold that may not be lower-cased before NFC or may be an added token: U+0300 to U+037F and no others begin with these bytes.
+_ODD = re.compile(rb"<\||[\xcc\xcd]")
+
+
+def _as_is(texts: pa.Array) -> set[int]:
+    """The texts that have such words."""
+    for _, _, buf, _ in bytescan.chunks(texts):
+        if ((buf & 0xFE) == 0xCC).any() or b"<|" in buf.tobytes():
+            return {i for i, x in enumerate(texts.cast(pa.binary()).to_pylist()) if _ODD.search(x)}
+    return set()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -326,15 +358,17 @@ def write(
 
     def encode(batches):
         enc, edges = encoder(tokenizer), np.array(bounds, np.int64)
-        end = np.array([end_id], enc.kind).tobytes()
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             key = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             lo, hi = np.searchsorted(edges, key, "left"), np.searchsorted(edges, key, "right")
             # An id that is several bounds at once fills several ranges: its rows go by ranges of their hash.
             place = lo + ((hashes * (hi - lo + 1)) >> 40)
-            out = [x + end for x in enc.encode(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), ids, batch.column(2), pa.array(out, pa.binary())], ["range", "doc_id", "h", "ids"])
+            found, begin = enc.encode(batch.column(1))
+            closed = np.insert(found, begin[1:], found.dtype.type(end_id))  # the end id after each document
+            begin = (begin + np.arange(len(begin))) * found.itemsize
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(closed)])
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), ids, batch.column(2), out.cast(pa.binary())], ["range", "doc_id", "h", "ids"])
 
     keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
     rows = keyed.mapInArrow(encode, "range int, doc_id long, h long, ids binary")
