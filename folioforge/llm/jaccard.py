@@ -1,8 +1,8 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document's set is its distinct ``WORDS_IN_SHINGLE``-word shingles.  The global shingle order runs from
-rare to frequent (frequency classes from a fixed-size counting sketch over the whole corpus; any order is
-correct, a good one is fast).  It is cut into ``FRAGMENTS`` fragments; a pair's overlap is counted in each
+rare to frequent (frequency classes from a counting sketch over the whole corpus, of 2^20 counters and more for a large
+one; any order is correct, a good one is fast).  It is cut into ``FRAGMENTS`` fragments; a pair's overlap is counted in each
 fragment by itself and summed per pair.
 
 1. Equal sets are one class (``sig``); only classes are joined, so copies are never expanded.
@@ -15,12 +15,16 @@ fragment by itself and summed per pair.
    as many pairs as it has members, not their square.
 3. Components of the verified links; a document's class is the smallest doc_id in its component.
 
+Where one token, leader or set holds more than a thousandth of a join's rows, these are dealt to several tasks and its
+row on the other side is repeated for each.
+
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer words than a shingle are one whole shingle.
 Shingles are compared by 64-bit hashes, sets by 128-bit hashes
 (a 64-bit name, checked to be unique).  Texts null or without words have an empty
-set, link with nothing and are their own class.  Repeated rows fall into one class.  A null doc_id takes
-part; it names a class only if all its members have none.  An empty table gives an empty result.  Other
-columns are not read by ``classes`` and pass through ``one_of_each`` unchanged.
+set, link with nothing and are their own class.  Long texts are taken whole.  Repeated rows fall into one class; of rows
+of one doc_id and set ``one_of_each`` keeps one.  A null doc_id takes part; it names a class only if all its members have
+none.  doc_id must be of an integer type.  An empty table gives an empty result.  Other columns are not read by
+``classes`` and pass through ``one_of_each`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import bytescan
-from folioforge.llm.shared import Bloom, bloom_of, components, discard, integral, lookup, materialise, modest_batches, union_all
+from folioforge.llm.shared import Bloom, attach, bloom_of, components, discard, hot_keys, integral, materialise, modest_batches, union_all
 
 WORDS_IN_SHINGLE = 4
 PERCENT = 85
@@ -42,8 +46,8 @@ PERCENT = 85
 COPY_WORDS = 5
 COPY_PERCENT = 80
 FRAGMENTS = 4
-#: Counters of the frequency sketch: fixed, whatever the corpus.
-SKETCH = 1 << 20
+#: Bits of the frequency sketch's number of counters: least and most, and the bytes of input up to which the least will do.
+LEAST_BITS, MOST_BITS, LEAST_INPUT = 20, 24, 1 << 30
 _ROWS = 64
 
 
@@ -66,8 +70,15 @@ def signature(s: np.ndarray, salt: int) -> tuple[int, int]:
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
+def sketch_bits(docs: DataFrame) -> int:
+    """One bit more for each doubling of the input, as far as Spark knows its size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    more = (size // LEAST_INPUT).bit_length() if size < 1 << 60 else 0
+    return min(MOST_BITS, LEAST_BITS + more)
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 class Order:
@@ -75,15 +86,19 @@ class Order:
 
     def __init__(self, counts: np.ndarray):
         by = np.argsort(counts, kind="stable")
-        self.rank = np.empty(SKETCH, np.uint32)
-        self.rank[by] = np.arange(SKETCH, dtype=np.uint32)
+        self.bits = len(counts).bit_length() - 1
+        self.rank = np.empty(len(counts), np.uint32)
+        self.rank[by] = np.arange(len(counts), dtype=np.uint32)
         mass = np.cumsum(counts[by])
-        self.fragment = np.empty(SKETCH, np.int8)
-        self.fragment[by] = np.minimum(FRAGMENTS - 1, mass * FRAGMENTS // max(1, mass[-1] + 1))
+        self.cut = np.empty(len(counts), np.int8)
+        self.cut[by] = np.minimum(FRAGMENTS - 1, mass * FRAGMENTS // max(1, mass[-1] + 1))
 
     def sort(self, s: np.ndarray) -> np.ndarray:
-        key = self.rank[_bucket(s)].astype(np.uint64) << np.uint64(44)  # SKETCH has 20 bits
-        return s[np.argsort(key | (s >> np.uint64(20)), kind="stable")]
+        key = self.rank[_bucket(s, self.bits)].astype(np.uint64) << np.uint64(64 - self.bits)
+        return s[np.argsort(key | (s >> np.uint64(self.bits)), kind="stable")]
+
+    def fragment(self, s: np.ndarray) -> np.ndarray:
+        return self.cut[_bucket(s, self.bits)]
 
 
 def needed(n: int, percent: int) -> int:
@@ -94,9 +109,10 @@ def needed(n: int, percent: int) -> int:
 def _profile(docs: DataFrame, k: int, salt: int) -> DataFrame:
     """(doc_id, sig, half, n) of every text and, at each task's end, its part of the frequency sketch."""
     names = ["doc_id", "sig", "half", "n", "block", "counts"]
+    bits = sketch_bits(docs)
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             size = batch.num_rows
             n, sig, half, sets = [0] * size, [None] * size, [None] * size, []
@@ -104,7 +120,8 @@ def _profile(docs: DataFrame, k: int, salt: int) -> DataFrame:
                 n[r], (sig[r], half[r]) = len(s), signature(s, salt)
                 sets.append(s)
             if sets:
-                counts += np.bincount(_bucket(np.concatenate(sets)), minlength=SKETCH)
+                at, many = np.unique(_bucket(np.concatenate(sets), bits), return_counts=True)
+                counts[at] += many.astype(np.uint32)
             none = pa.nulls(size)
             cols = [batch.column(0), pa.array(sig, pa.int64()), pa.array(half, pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, none.cast(pa.int32()), none.cast(pa.binary())], names)
@@ -125,16 +142,14 @@ def _order(profile: DataFrame) -> Order:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(unpack.decompress(x), np.int64)
+                sums[b] = sums.get(b, 0) + np.frombuffer(unpack.decompress(x), np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"]
         )
 
     rows = profile.filter("block IS NOT NULL").select("block", "counts").repartition(_ROWS, "block").mapInArrow(add, "block int, counts binary").collect()
-    counts = np.zeros((_ROWS, SKETCH // _ROWS), np.int64)
-    for b, x in rows:
-        counts[b] += np.frombuffer(x, np.int64)
-    return Order(counts.ravel())
+    counts = {b: np.frombuffer(x, np.int64) for b, x in rows}
+    return Order(np.concatenate([counts[b] for b in range(_ROWS)]) if counts else np.zeros(1 << LEAST_BITS, np.int64))
 
 
 def _prefixes(docs: DataFrame, order, k: int, percent: int, salt: int, only: Bloom | None = None) -> DataFrame:
@@ -192,7 +207,7 @@ def _fragments(docs: DataFrame, order, wanted: Bloom, k: int, salt: int) -> Data
             at = np.flatnonzero(held.value.has(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             sigs, frags, parts = [], [], []
             for _, s in shingle_sets(batch.column(0).take(pa.array(at)), k):
-                sig, of = signature(s, salt)[0], order.value.fragment[_bucket(s)]
+                sig, of = signature(s, salt)[0], order.value.fragment(s)
                 if sig in seen:
                     continue
                 seen.add(sig)
@@ -214,6 +229,11 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
 
     ``sig`` names the row's set and ``root`` its component; both are null without words.
     """
+    return _classes(docs, k, percent)[0]
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
+    """The classes and the salt with which ``signature`` gave the names."""
     spark = docs.sparkSession
     modest_batches(spark)
     docs = docs.select(integral(docs, "doc_id"), "text")
@@ -236,12 +256,18 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
     shared = bloom_of(tokens, "token", tokens.count())
     entries = materialise(_prefixes(docs, order, k, percent, salt, shared), "entries")
     place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    leaders = entries.groupBy("token").agg(F.min_by("sig", place).alias("sig2"), F.min(place).alias("at"), F.min("sig").alias("a"), F.max("sig").alias("b"))
+    leaders = entries.groupBy("token").agg(
+        F.min_by("sig", place).alias("sig2"), F.min(place).alias("at"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.count(F.lit(1)).alias("many")
+    )
     leaders = leaders.filter("a <> b").select(
-        "token", "sig2", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n2"), F.shiftright("at", 32).cast("int").alias("pos2")
+        "token", "sig2", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n2"), F.shiftright("at", 32).cast("int").alias("pos2"), "many"
     )
-    lists = materialise(entries.join(leaders, "token").dropDuplicates(["token", "sig"]), "lists")
-    discard(tokens, entries)
+    leaders = materialise(leaders, "leaders")
+    hot = hot_keys(leaders, "token", "many")
+    lists = attach(entries, leaders.drop("many"), ["token"], hot, "sig", "inner")
+    lists = materialise(lists.dropDuplicates(["token", "salt_", "sig"] if hot else ["token", "sig"]).drop("salt_"), "lists")
+    hot_leaders = hot_keys(leaders.groupBy("sig2").agg(F.sum("many").alias("many")), "sig2", "many")
+    discard(tokens, entries, leaders)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose overlap, summed over the fragments, is enough."""
@@ -249,11 +275,13 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
         wanted = materialise(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(reps, "sig"), "wanted")
         bloom = bloom_of(wanted.select(F.col("rep").alias("doc_id")).select(_doc_key().alias("key")), "key", wanted.count())
         parts = materialise(_fragments(docs, order, bloom, k, salt), "fragments")
-        # Both joins are by class and fragment, so the fragments are dealt out once; a hot leader's pairs can be split.
+        # Both joins are by class and fragment, so the fragments are dealt out once; a hot class's pairs are dealt on.
+        many = pairs.select(F.explode(F.array("u", "v")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("many"))
+        hot = hot_keys(many, "sig", "many")
         each = pairs.withColumn("f", F.explode(F.array([F.lit(f) for f in range(FRAGMENTS)])))
         first = parts.select(F.col("sig").alias("v"), "f", F.col("part").alias("b"))
         second = parts.select(F.col("sig").alias("u"), "f", F.col("part").alias("a"))
-        both = each.hint("merge").join(first, ["v", "f"]).hint("merge").join(second, ["u", "f"])
+        both = attach(attach(each, first, ["v", "f"], hot, "u", "inner").drop("salt_"), second, ["u", "f"], hot, "v", "inner")
         partial = both.select("u", "v", "nu", "nv", "f", F.size(F.array_intersect("a", "b")).alias("o"))
         # A class may come from several tasks; its fragments are the same, so one count of each stays.
         partial = partial.groupBy("u", "v", "nu", "nv", "f").agg(F.max("o").alias("o"))
@@ -269,15 +297,16 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
     roots = materialise(components(links), "roots")
     n_roots = roots.count()
 
-    def rooted(df: DataFrame, sig: str, to: str) -> DataFrame:
+    def rooted(df: DataFrame, sig: str, to: str, hot=()) -> DataFrame:
         small = roots.select(F.col("node").alias(sig), F.col("root").alias(to))
-        return lookup(df, small, sig, n_roots).withColumn(to, F.coalesce(to, sig))
+        return attach(df, small, [sig], hot, "sig", "left", n_roots).drop("salt_").withColumn(to, F.coalesce(to, sig))
 
-    marked = rooted(rooted(lists, "sig", "root"), "sig2", "root2")
+    marked = rooted(rooted(lists, "sig", "root"), "sig2", "root2", hot_leaders)
     marked = materialise(marked.select("token", "sig", "n", "pos", "root", "sig2", "root2"), "marked")
     strays = marked.filter("root <> root2").select("token", "sig", "n", "pos", "root", "sig2")
     others = marked.select("token", F.col("sig").alias("s"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("r"))
-    rest = strays.join(others, "token").filter("root <> r AND s <> sig2").filter(_bounds(percent))
+    # A hot token's strays are dealt to several tasks, each with all others of its list.
+    rest = attach(strays, others, ["token"], hot, "sig", "inner").filter("root <> r AND s <> sig2").filter(_bounds(percent))
     rest = rest.select(
         F.greatest("sig", "s").alias("u"),
         F.least("sig", "s").alias("v"),
@@ -293,9 +322,10 @@ def classes(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT)
     labelled = rooted(reps, "sig", "root")
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     table = labelled.join(lowest, "root").select("sig", "root", "component_id")
-    out = named.join(table, "sig")
+    copies = hot_keys(named.groupBy("sig").agg(F.count(F.lit(1)).alias("many")), "sig", "many")
+    out = attach(named, table, ["sig"], copies, "doc_id", "inner").drop("salt_")
     alone = rows.filter("sig IS NULL").withColumn("root", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
-    return out.unionByName(alone).withColumnRenamed("n", "n_shingles").select("doc_id", "sig", "root", "n_shingles", "component_id")
+    return out.unionByName(alone).withColumnRenamed("n", "n_shingles").select("doc_id", "sig", "root", "n_shingles", "component_id"), salt
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COPY_WORDS, percent: int = COPY_PERCENT) -> DataFrame:
@@ -303,30 +333,30 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     Rows of one doc_id are told apart by their sets; repeated rows count as one document.
     """
-    narrow = docs.select(integral(docs, doc_id), F.col(f"`{text}`").alias("text"))
-    cls = materialise(classes(narrow, k, percent), "classified")
-    other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), integral(docs, doc_id), F.col(f"`{text}`").alias("text"))
+    found, salt = _classes(rows.select("doc_id", "text"), k, percent)
+    cls = materialise(found, "classified")
     ids = cls.filter("sig IS NOT NULL").groupBy("doc_id").count()
     if ids.filter("doc_id IS NULL OR count > 1").isEmpty():
-        gone = cls.filter(other).select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+        gone = cls.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+        return rows.join(gone, "doc_id", "left_anti").select("row.*")
     # Some doc_id names several rows or none: rows are told apart by their sets, too.
     stay = cls.filter("sig IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig")).alias("m"))
-    stay = stay.select(F.col("m.doc_id").alias("_id"), F.col("m.sig").alias("_key"))
-    marked = docs.withColumn("_sig", _signature_column(F.col(f"`{text}`"), k))
-    first = marked.join(stay, (F.col("_sig") == F.col("_key")) & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    first = first.dropDuplicates([doc_id, "_sig"])
-    return first.unionByName(marked.filter("_sig IS NULL")).drop("_sig")
+    stay = stay.select(F.col("m.doc_id").alias("id"), F.col("m.sig").alias("key"))
+    marked = rows.withColumn("sig", _signature_column(F.col("text"), k, salt))
+    first = marked.join(stay, (F.col("sig") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    one = first.groupBy("doc_id", "sig").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.xxhash64("row"))).alias("row"))
+    return one.select("row").unionByName(marked.filter("sig IS NULL").select("row")).select("row.*")
 
 
-def _signature_column(text, k: int):
-    """``sig`` as ``classes`` gives it, as a column."""
+def _signature_column(text, k: int, salt: int):
+    """``sig`` as ``_classes`` gives it under ``salt``, as a column."""
 
     @F.arrow_udf("long")
     def sig(texts: pa.Array) -> pa.Array:
         out: list[int | None] = [None] * len(texts)
         for r, s in shingle_sets(texts, k):
-            out[r] = signature(s, 0)[0]
+            out[r] = signature(s, salt)[0]
         return pa.array(out, pa.int64())
 
     return sig(text)

@@ -73,6 +73,36 @@ def lookup(big: DataFrame, small: DataFrame, key: str, small_rows: int, salt: Co
     return joined.drop("_key", "_s", "_salt")
 
 
+#: A key is hot if it holds more than this share of a join's rows; so there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+HOT_LEAST = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, many: str) -> list:
+    """The keys that hold more than ``HOT_SHARE`` of all rows, from a table of rows by key: at most 1/``HOT_SHARE``."""
+    total = counts.agg(F.sum(many)).first()[0] or 0
+    if total <= HOT_LEAST:
+        return []
+    return [r[0] for r in counts.filter(F.col(many) > max(HOT_LEAST, total * HOT_SHARE)).select(key).collect()]
+
+
+def attach(big: DataFrame, small: DataFrame, keys: list[str], hot: list, by: str, how: str, small_rows: int | None = None) -> DataFrame:
+    """Join of ``small`` onto ``big`` by ``keys``, of which the first may be ``hot``.
+
+    Rows of hot keys are dealt to ``SALTS`` tasks by a hash of the column ``by``; only the rows of ``small`` under hot
+    keys are repeated for that.  With hot keys the result has the salt as ``salt_``.  ``small`` is broadcast only if it is
+    known to have few rows.
+    """
+    if small_rows is not None and small_rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, how)
+    if not hot:
+        return big.join(small.hint("merge"), keys, how)
+    is_hot = F.col(keys[0]).isin(hot)
+    left = big.withColumn("salt_", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(small.withColumn("salt_", F.explode(salts)).hint("merge"), [*keys, "salt_"], how)
+
+
 # ---------------------------------------------------------------- Bloom filters of bounded size
 BLOOM_MAX_BITS = 1 << 27
 
@@ -121,18 +151,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (u, v): root is the smallest node reachable.
 
     Alternating large-star and small-star steps as aggregates and joins back: no neighbour list is
-    ever collected, and each round is a scratch table.
+    ever collected, a hub's edges are dealt to several tasks, and each round is a scratch table.
     """
     edges = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     state = _digest(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("many"))
+        hot = hot_keys(near, "u", "many")
+        low = near.select("u", F.least("u", "m").alias("m"))
+        large = attach(both.filter("v > u"), low, ["u"], hot, "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "cc")
         discard(edges)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        near = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many"))
+        hot = hot_keys(near, "u", "many")
+        low = near.select("u", "m")
+        small = attach(large, low, ["u"], hot, "v", "inner")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
