@@ -1,14 +1,15 @@
 """URL filter: explicit rules, and logistic regression on hashed character n-grams of host and path.
 
-The classifier is trained on the driver from ``LABELLED``, a small table of labelled hosts and paths, in
-well under a second, and is a fixed-size vector.  Host and path have n-grams of their own (orders 2 to 5,
+The classifier is trained on the driver from the small labelled table in this module, weights and bias, in about a
+second, and is a fixed-size vector.  Host and path have n-grams of their own (orders 2 to 5,
 each host label and path segment marked at both ends).  A rule (host, path prefix) fits its host and all
 subdomains and paths that begin with its path; the longest fitting rule decides, and only urls that no rule
 fits are judged by the classifier.
 
 A url that is null or has no ``://`` has an empty host and path, fits no rule and is judged by the
-classifier's bias, which allows.  Each row is judged by itself, so repeated rows need no rule.  An empty
-table gives an empty result.  Other columns pass through.
+classifier's bias.  Long urls are read whole.  Each row is judged by itself, so ties and repeated rows need no rule; of
+equal hosts and paths one is scored.  An empty table gives an empty result.  Other columns pass through; those that
+have the name of a result (``RESULT``) are replaced.
 """
 
 from __future__ import annotations
@@ -22,154 +23,74 @@ from pyspark.sql import functions as F
 
 # The rules as (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-# Labelled urls for training, host and path.
+# Words of blocked hosts, words that any host may have, paths that are blocked on any host, and words of allowed hosts.
 BLOCKED = """
-www.casino-royal.example.com /en/play
-best-casino.example.org /de/100.html
-casino-bonus.example.com /bonus/42
-online-casino.example.net /fr/1
-lucky-casino-win.example.com /en/21
-big-win-slots.example.org /slots/9
-mega-win.example.com /en/4/
-free-slots.example.com /spin
-live-poker.example.com /table/7
-poker-room.example.org /en/33.html
-free-bets.example.org /en/12
-sports-bets.example.com /odds/today
-best-betting.example.com /de/77
-bet-tips.example.net /en/5/
-free-bet-offers.example.com /es/9
-cheap-pills.example.org /en/8
-cheap-viagra.example.com /order
-buy-pills-online.example.com /en/3.html
-discount-pharma.example.net /pills/2
-weight-loss-pills.example.com /fr/6
-no-prescription-meds.example.com /cheap
-cheap-replica.example.com /watches/1
-replica-bags.example.org /en/2
-cheap-meds.example.com /de/3
-payday-loan.example.com /apply
-quick-loans.example.com /cash/now
-instant-cash-loan.example.org /en/1
-easy-money.example.com /en/7
-crypto-doubler.example.com /win
-free-bitcoin.example.com /claim
-free-gift-card.example.com /claim/prize
-win-prize.example.com /winner/5
-free-iphone.example.org /win
-lottery-winner.example.com /en/99
-xxx-cams.example.com /live/1
-adult-cams.example.com /xxx/3
-hot-xxx.example.org /videos/9
-sex-dating.example.com /meet
-adult-dating.example.net /join
-free-porn.example.com /videos
-spam-farm.example.org /en/1
-seo-spam.example.com /links/5
-link-farm.example.com /de/4
-content-farm.example.org /en/44
-backlinks-farm.example.com /buy
-spam-blog.example.com /en/2.html
-ads-track.example.org /click
-ad-track.example.com /pixel/1
-track-clicks.example.com /c/2
-ads-click.example.net /redirect
-ads-server.example.com /banner/3
-popunder-ads.example.com /pop
-click-track.example.org /r/8
-pixel-tracker.example.com /t
-free-cracks.example.com /download
-warez-crack.example.org /keygen/3
-torrent-free-movies.example.com /dl
-free-downloads-crack.example.com /serial
-login-verify.example.com /account/update
-secure-verify-account.example.com /login
-"""
+casino casinos poker slots slot jackpot lottery roulette bet bets betting bookmaker gambling win wins winner prize prizes free freebies cheap cheapest
+discount pills pill viagra pharma pharmacy meds steroids loan loans payday cash credit crypto bitcoin forex xxx porn sex adult adults cams escort dating
+nude spam spammer spammy farm farms backlinks links clicks click popunder popup ads ad adserver advert track tracker tracking pixel redirect warez crack
+cracks keygen torrent torrents serials replica replicas fake phishing verify malware hack hacks clickbait
+""".split()
+ANYWHERE = "online best top new my the live daily world pro hub zone plus one first".split()
+BLOCKED_PATHS = """
+/bonus/casino /slots/spin /poker/table /betting/odds /order/pills /buy/viagra /loan/apply /cash/now /claim/prize /win/free /xxx/videos /adult/cams /sex/dating
+/porn/tube /links/farm /ads/click /track/pixel /redirect/ads /popunder/ad /keygen/crack /torrent/dl /verify/account
+""".split()
 ALLOWED = """
-www.example.com /
-example.org /about
-news.example.com /en/2024/05/story.html
-www.daily-news.example.org /world/123
-blog.example.com /en/1234
-blog.writer.example.org /posts/77
-m.example.com /en/87.html
-docs.example.org /guide/start
-wiki.example.org /fr/History
-library.example.org /catalogue/5
-university.example.com /en/research/
-museum.example.org /exhibits/3
-recipes.example.com /en/soup.html
-garden.example.org /de/tips/
-weather.example.com /today
-forum.example.org /thread/991
-science.example.org /en/physics/
-history.example.com /es/4410
-travel.example.org /fr/paris
-health.example.com /en/sleep
-school.example.org /class/7
-city-council.example.org /minutes/12
-music.example.com /en/jazz/3
-books.example.org /en/77/
-photos.example.com /album/8
-code.example.org /project/readme
-maps.example.com /region/2
-theatre.example.org /de/season
-sports.example.com /en/results/2024
-football-club.example.org /team
-cooking.example.com /es/1122.html
-health-service.example.org /advice/5
-bird-watching.example.com /en/9
-old-town.example.org /fr/2210
-river.example.com /en/1837/
-mountain.example.org /en/7817
-other.example.com /en/7424.html
-there.example.org /en/8423
-where.example.com /fr/7376
-heather.example.com /en/270
-weston.example.org /en/1570
-rhein.example.com /de/1373
-thorn.example.org /es/6964
-anton.example.com /en/4903/
-winter.example.org /en/88
-window.example.com /en/12
-betty.example.org /en/44
-alphabet.example.com /de/9
-address.example.org /en/3
-adsorption.example.com /chem/7
-spamalot-theatre.example.org /show
-farm-museum.example.org /visit
-farmers-market.example.com /en/5
-pillow.example.com /shop/2
-freedom.example.org /en/1
-cheapside.example.org /history
-tracks.example.org /railway/5
-soundtrack.example.com /music/9
-casinghead.example.org /geology
-clover.example.com /en/5391.html
-"""
+academy airport almanac anatomy aquarium archive army art astronomy atlas ballet baking bakery band bank biology birds blog boat book bookshop botany
+bread bridge bus calendar camera camping castle cat cello chapel chemistry chess children choir cinema city climate clinic clock club coast code college
+comet community concert cooking council country court cricket culture cycling dance data daily design dictionary dog drama economy editor education
+encyclopedia energy engineering environment europe exhibition factory family farming festival film finance fishing flowers folk food football forest
+forum fruit gallery garden gazette geography geology glass golf government grammar guide guitar harbour health herald history hockey home horse hospital
+hotel house island jazz journal justice kitchen knitting lake language law lecture lessons letters library literature local magazine maps market maths
+medicine memory mobile mountain museum music nature navy news novel ocean opera orchard orchestra painting palace paper parish park parliament people
+philosophy photo physics piano planet poetry police pottery press project quarterly radio railway recipes record region research review river road
+rowing sailing school science sea shop sky society space sport stadium statistics story street student summer swimming tea teacher tennis theatre town
+tracks travel tree tutorial union university valley village violin volunteer walking water weather wiki wildlife window winter wood workshop writer zoo
+""".split()
+#: Hosts and paths of either kind are made of these, by turns, so that they tell nothing.
+_PREFIXES = ("www.", "", "blog.", "m.", "")
+_ENDINGS = ("com", "org", "net")
+_PATHS = ("/en/{}.html", "/fr/{}", "/en/{}/", "/de/{}", "/en/{}", "/es/{}/", "/{}.html")
+
+
+def labelled() -> list[tuple[str, str, float]]:
+    """(host, path, 1.0 if blocked) of every row of the table: each word alone and with words that any host may have."""
+    host = lambda i, name: f"{_PREFIXES[i % len(_PREFIXES)]}{name}.example.{_ENDINGS[i % len(_ENDINGS)]}"
+    path = lambda i: _PATHS[i % len(_PATHS)].format(101 * i % 9973)
+    rows = []
+    for words, blocked in ((ALLOWED, 0.0), (BLOCKED, 1.0)):
+        for k, word in enumerate(words):
+            other = ANYWHERE[k % len(ANYWHERE)]
+            for j, name in enumerate((word, f"{other}-{word}" if k % 2 else f"{word}-{other}")):
+                rows.append((host(2 * k + j, name), path(3 * k + j), blocked))
+    return rows + [(host(i, ALLOWED[7 * i % len(ALLOWED)]), p, 1.0) for i, p in enumerate(BLOCKED_PATHS)]
+
+
 DIMENSIONS = 1 << 14
 ORDERS = (2, 3, 4, 5)
+RESULT = ("host", "path", "rule", "verdict", "p_block")
+#: Value of an n-gram that occurs; steps, rate and ridge of the descent.
+SCALE = 0.2
 STEPS = 400
-RATE = 4.0
-L2 = 1e-4
+RATE = 2.0
+L2 = 3e-4
 
 
-def _split(urls: DataFrame, url: str) -> DataFrame:
+def split(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path, by the first ``://``, ``/``, ``?`` and ``#``."""
-    text = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    rest = F.when(F.instr(text, "://") > 0, F.expr(f"substr(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
-    urls = urls.withColumn("_rest", rest)
-    host = F.regexp_extract("_rest", "(?s)^[^/?#]*", 0)
-    path = F.regexp_extract("_rest", "(?s)^[^/?#]*([^?#]*)", 1)
-    return urls.withColumn("host", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn("path", path).drop("_rest")
+    text = F.coalesce(url, F.lit(""))
+    # Everything up to the first :// is skipped; a url without one leaves both groups empty.
+    parts = "(?s)^.*?://([^/?#]*)([^?#]*)"
+    host = F.translate(F.regexp_extract(text, parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, F.regexp_extract(text, parts, 2)
 
 
-def _rule(rules) -> tuple[Column, Column]:
-    """(the longest fitting rule, its verdict); a longer rule is tried first."""
+def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """(the longest fitting rule, its verdict), null where none fits; a longer rule is tried first."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, text in sorted(rules, key=lambda r: len(r[1])):
-        host, slash, path = text.partition("/")
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(slash + path)
+        name, slash, start = text.partition("/")
+        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + start)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
     return rule, verdict
 
@@ -188,43 +109,51 @@ def grams(host: str, path: str) -> np.ndarray:
 
 def vector(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     at = np.unique(grams(host, path))
-    return at, np.full(len(at), 1 / np.sqrt(max(1, len(at))))
+    return at, np.full(len(at), SCALE)
 
 
-def train(blocked: str = BLOCKED, allowed: str = ALLOWED) -> tuple[np.ndarray, float]:
-    """Weights and bias, by gradient descent on the logistic loss."""
-    rows = [(*line.split(), y) for text, y in ((blocked, 1.0), (allowed, 0.0)) for line in text.split("\n") if line.strip()]
+def train(rows: list[tuple[str, str, float]] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias, both by gradient descent on the logistic loss."""
+    rows = labelled() if rows is None else rows
     seen = [vector(host, path) for host, path, _ in rows]
     used = np.unique(np.concatenate([at for at, _ in seen]))
     x = np.zeros((len(rows), len(used)))
     for i, (at, value) in enumerate(seen):
         x[i, np.searchsorted(used, at)] = value
     y = np.array([r[2] for r in rows])
-    w, b = np.zeros(len(used)), -1.0
+    w, b = np.zeros(len(used)), 0.0
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-(x @ w + b)))
         w -= RATE * (x.T @ (p - y) / len(y) + L2 * w)
-        b -= RATE * 0.1 * float((p - y).mean())
+        b -= RATE * float((p - y).mean())
     weights = np.zeros(DIMENSIONS)
     weights[used] = w
-    return weights, min(b, -0.5)
+    return weights, b
+
+
+def probability(model: tuple[np.ndarray, float], host: str, path: str) -> float:
+    at, value = vector(host, path)
+    return float(1 / (1 + np.exp(-(model[0][at] @ value + model[1]))))
 
 
 def judge(urls: DataFrame, url: str = "url", rules=RULES, limit: float = 0.5) -> DataFrame:
-    """``urls`` with host, path, rule, verdict and the classifier's probability ``p_block``."""
-    weights, bias = train()
-    held = urls.sparkSession.sparkContext.broadcast((weights, bias))  # a fixed size
+    """``urls`` with host, path, rule, verdict and, where no rule fits, the classifier's probability ``p_block``."""
+    held = urls.sparkSession.sparkContext.broadcast(train())  # a fixed size
 
     @F.pandas_udf("double")
     def p_block(host: pd.Series, path: pd.Series) -> pd.Series:
-        w, b = held.value
+        known: dict[tuple[str, str], float] = {}
         out = []
-        for h, p in zip(host, path, strict=True):
-            at, value = vector(h, p)
-            out.append(1 / (1 + np.exp(-(w[at] @ value + b))))
+        for key in zip(host, path, strict=True):
+            if key[0] is not None and key not in known:
+                known[key] = probability(held.value, *key)
+            out.append(known.get(key))
         return pd.Series(out, dtype="float64")
 
-    out = _split(urls, url)
-    rule, verdict = _rule(rules)
-    out = out.withColumn("p_block", p_block("host", "path")).withColumn("rule", rule)
-    return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("p_block") >= limit, "block").otherwise("allow")))
+    others = [F.col(f"`{c}`") for c in urls.columns if c not in RESULT]
+    row = urls.select(F.struct(*others).alias("row") if others else F.lit(None).alias("row"), *(c.alias(n) for c, n in zip(split(F.col(f"`{url}`")), ("host", "path"), strict=True)))
+    row = row.select("row", F.struct("host", "path", *(c.alias(n) for c, n in zip(rule_of(F.col("host"), F.col("path"), rules), ("rule", "says"), strict=True))).alias("u"))
+    open_ = F.col("u.rule").isNull()
+    row = row.withColumn("p", p_block(F.when(open_, F.col("u.host")), F.when(open_, F.col("u.path"))))
+    verdict = F.coalesce("u.says", F.when(F.col("p") >= limit, "block").otherwise("allow"))
+    return row.select(*(["row.*"] if others else []), "u.host", "u.path", "u.rule", verdict.alias("verdict"), F.col("p").alias("p_block"))
