@@ -13,7 +13,7 @@ row on its own.  An empty table gives an empty result.  Other columns, whatever
 by ``judge`` and passed through unchanged by ``keep_good``.
 
 Repeated 3-word windows are found by 64-bit window hashes sorted inside the row: no explode, no shuffle
-of words, linearithmic in the length of a text.
+of words, linearithmic in the length of a text, however long.
 """
 
 from __future__ import annotations
@@ -44,32 +44,42 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows found twice or more in ``words``, first ones included."""
+def repeated_positions(h: Column) -> Column:
+    """Positions, ascending, of the values of the array of longs ``h`` that it has twice or more.
+
+    Each value becomes one long - its high bits above, its position in the low bits - so that a plain sort brings
+    equal ones together.  Values that agree in the high bits only do so, too; so what has such a neighbour is sorted
+    again, value and position as a pair, and equal values are neighbours then.
+    """
 
-    def flagged(h: Column) -> Column:
-        # Each window becomes one long: its hash above, its position in the low bits; equal hashes meet when sorted.
-        n = F.size(h)
+    def sort(m: Column) -> Column:
+        packed = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long")))
+        return _let(F.sort_array(packed), lambda s: suspects(s, m))
 
-        def sort(m: Column) -> Column:
-            packed = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long")))
-            return _let(F.sort_array(packed), lambda s: positions(s, m))
+    def suspects(s: Column, m: Column) -> Column:
+        high = lambda k: F.get(s, k).bitwiseAND(F.bitwise_not(m))
+        near = F.filter(s, lambda x, k: (high(k) == high(k - 1)) | (high(k) == high(k + 1)))
+        pairs = F.transform(near, lambda x: _let(x.bitwiseAND(m), lambda i: F.struct(F.get(h, i.cast("int")).alias("h"), i.alias("i"))))
+        return _let(F.sort_array(pairs), equal)
 
-        def positions(s: Column, m: Column) -> Column:
-            at = lambda k: F.get(h, F.get(s, k).bitwiseAND(m).cast("int"))
-            twice = F.filter(s, lambda x, k: (at(k) == at(k - 1)) | (at(k) == at(k + 1)))
-            return _let(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(m))), cover)
+    def equal(p: Column) -> Column:
+        at = lambda k: F.get(p, k)["h"]
+        return F.sort_array(F.transform(F.filter(p, lambda x, k: (at(k) == at(k - 1)) | (at(k) == at(k + 1))), lambda x: x["i"]))
 
-        def cover(p: Column) -> Column:
-            gaps = F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, k + 1) - x, F.lit(3).cast("long"))))
-            return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
+    bits = F.length(F.bin(F.size(h))).cast("int")
+    return _let(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1, sort)
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words inside 3-word windows found twice or more in ``words``, first ones included."""
 
-        bits = F.length(F.bin(n)).cast("int")
-        return _let(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1, sort)
+    def cover(p: Column) -> Column:
+        gaps = F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, k + 1) - x, F.lit(3).cast("long"))))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def windows(w: Column) -> Column:
         h = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(_let(h, flagged))
+        return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(_let(h, lambda x: _let(repeated_positions(x), cover)))
 
     return _let(words, windows)
 
