@@ -133,3 +133,52 @@ def rolling(buf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 def piece(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hash of bytes [start, end) from the prefix sums of ``rolling``."""
     return mix((total[end] - total[start]) * powers(len(total) + 1, True)[start])
+
+
+#: Bits of a position in a suffix array that is sorted as packed integers: two ranks and a position fit into 64 bits.
+_PLACE = 21
+
+
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in order of their ``bits``-bit keys, dense rank of each in that order); equal keys by position."""
+    n = len(key)
+    if n <= 1 << _PLACE and bits + _PLACE <= 64:  # plain integers sort several times faster than an argsort
+        both = np.sort(key << np.uint64(_PLACE) | np.arange(n, dtype=np.uint64))
+        order, sorted_ = (both & np.uint64((1 << _PLACE) - 1)).astype(np.int64), both >> np.uint64(_PLACE)
+    else:
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+    new = np.zeros(n, np.uint64)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return order, np.cumsum(new)
+
+
+def suffix_array(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the suffixes at ``starts``, compared by their first ``depth`` bytes.
+
+    Returns (indexes into ``starts`` in suffix order, dense rank of each in that order): neighbours of one rank have a
+    common prefix of ``depth`` bytes.  By prefix doubling: ranks by the first h bytes, taken at a place and h bytes on,
+    give the ranks by 2h bytes.  Every start must have ``depth`` bytes of ``data``.
+    """
+    n = len(data)
+    h = min(5, depth)
+    padded = np.concatenate([data, np.zeros(h, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for j in range(h):
+        key = key << np.uint64(8) | padded[j : n + j]
+    # Ranks of up to n positions take as many bits as n does.
+    width = max(1, int(n).bit_length())
+    bits = 8 * h
+    while True:
+        last = h == depth
+        if last:
+            key = key[starts]
+        order, rank = _ranked(key, bits)
+        if last:
+            return order, rank
+        by_place = np.empty(n, np.uint64)
+        by_place[order] = rank
+        step = min(h, depth - h)
+        on = np.zeros(n, np.uint64)
+        on[: n - step] = by_place[step:]
+        key, bits, h = by_place << np.uint64(width) | on, 2 * width, h + step

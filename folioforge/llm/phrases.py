@@ -1,30 +1,35 @@
-"""Exact removal of repeated byte strings, by phrases of rolling-hash triggers.
+"""Exact removal of repeated byte strings, by prefix-free parsing.
 
 Every byte covered by a ``LENGTH``-byte string that also starts anywhere else in the corpus is removed;
 strings never cross texts and are judged on the input.
 
-Prefix-free parsing turns a repetitive corpus into a dictionary of distinct phrases and a parse.  Here a
-trigger is the smallest rolling hash of ``GRAM`` bytes (rightmost on ties) among the first ``SPAN``
-positions of a ``LENGTH``-byte window.  So each window has exactly one trigger, chosen by nothing but its
-own bytes, equal windows have theirs at the same offset, and consecutive windows share theirs: the windows
-of one trigger and the bytes they cover are a phrase.
+Prefix-free parsing turns a repetitive corpus into a dictionary of distinct phrases and a parse, the sequence of phrases
+of each text; suffix arrays of both give the order of the corpus's suffixes.  Here suffixes are compared by their first
+``LENGTH`` bytes, which is what the task asks for: strings that occur again are neighbours of one rank in that order.
+
+A trigger is the smallest rolling hash of ``GRAM`` bytes (rightmost on ties) among the first ``SPAN`` positions of a
+``LENGTH``-byte window.  So each window has exactly one trigger, chosen by nothing but its own bytes, equal windows have
+theirs at the same offset, and consecutive windows share theirs: the windows of one trigger and the bytes they cover are
+a phrase.  Neighbouring phrases overlap, so every window lies in one phrase as a whole.
 
 1. Parse: each trigger's core, the bytes from it that all its possible windows share, is counted over the
    corpus.  A core seen once rules out all its windows; this is where most text ends.
-2. Dictionary: phrases whose core repeats, counted by content.  A phrase seen twice repeats as a whole.
-   So does every core with a single phrase, by definition.
-3. Order inside a core: only where a core has several phrases can single windows repeat in part, at the
-   two ends of a match.  Equal windows have equal cores, so the distinct phrases of a core meet in one
-   task that compares their windows; a core of over ``HOT_PHRASES`` phrases is counted by window instead.
-4. Runs of repeated windows are joined back to their texts, and the bytes cut.
-
-A corpus-wide suffix array is not built: the task asks for matches of one fixed length, for which sums by
-window give the same answer as neighbours in the suffix order, and need no global order.  Windows, cores
-and phrases are compared by 64-bit hashes of their bytes.
-
-Null text is empty.  Texts under ``LENGTH`` bytes keep everything.  Repeated rows are separate texts, so
-each loses what they share.  Rows of equal doc_id are told apart by a hash of their text.  An empty table
-gives an empty result.  Other columns are not read.
+2. Suffix array of the parse: since a phrase covers its windows, its suffixes need to be compared by their first phrase
+   only.  In that order the occurrences of a phrase stand together, and a phrase seen twice repeats as a whole.  So does
+   every core with a single phrase, by definition.
+3. Suffix array of the dictionary: only where a core has several phrases can single windows repeat in part, at the two
+   ends of a match.  Equal windows have equal cores, so the distinct phrases of cores are dealt out by core, and each
+   task builds the suffix arrays of its share by prefix doubling (``bytescan.suffix_array``), cut into groups of cores.
+   Windows of one rank there are equal.  A core of over ``HOT_PHRASES`` phrases, too much for one task, has its windows
+   counted by hash instead; the result is the same.
+4. Combined: runs of repeated windows are joined back to the texts that the parse has them in, and the bytes cut.
+
+Windows that no phrase order needs to tell apart are never sorted; the order of cores among each other would not change
+what is equal, so it is not built.  Cores and phrases are named by 64-bit hashes of their bytes.
+
+Null text is empty.  Texts under ``LENGTH`` bytes keep everything, long ones are parsed whole.  Repeated rows are
+separate texts, so each loses what they share.  Rows of equal doc_id are told apart by a hash of their text.  An empty
+table gives an empty result.  doc_id must be of an integer type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,8 +47,8 @@ GRAM = 16
 SPAN = 84
 #: Cores of more phrases are counted by window, not in one task.
 HOT_PHRASES = 50_000
-#: Bytes of phrases a task compares at once; a core is never split.
-FLUSH_BYTES = 4 << 20
+#: Bytes of phrases that one suffix array is built of; a core is never split.
+FLUSH_BYTES = 3 << 19
 
 
 def _window_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -155,15 +160,13 @@ def _covers(docs: DataFrame, cores: Bloom, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "core long, phrase long, cover binary")
 
 
-def _windows(phrase: np.ndarray, cover: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, index in its phrase, hash) of all windows of distinct phrases."""
+def _windows(cover: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the phrases one after the other; phrase, index in it and place in the bytes of every window)."""
     sizes = np.array([len(c) for c in cover])
-    total, _ = bytescan.rolling(np.frombuffer(b"".join(cover), np.uint8), length)
     n = sizes - length + 1
     row = np.repeat(np.arange(len(cover)), n)
     index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(np.cumsum(sizes) - sizes, n) + index
-    return row, index, bytescan.piece(total, start, start + length)
+    return np.frombuffer(b"".join(cover), np.uint8), row, index, np.repeat(np.cumsum(sizes) - sizes, n) + index
 
 
 def _partial(covers: DataFrame, length: int) -> DataFrame:
@@ -171,9 +174,11 @@ def _partial(covers: DataFrame, length: int) -> DataFrame:
 
     def flush(core, phrase, cover):
         phrase, first = np.unique(np.array(phrase, np.int64), return_index=True)
-        row, index, w = _windows(phrase, [cover[i] for i in first], length)
-        _, inverse, count = np.unique(w, return_inverse=True, return_counts=True)
-        again = count[inverse] > 1
+        data, row, index, start = _windows([cover[i] for i in first], length)
+        order, rank = bytescan.suffix_array(data, start, length)
+        alike = rank[1:] == rank[:-1]
+        again = np.zeros(len(start), bool)
+        again[order[1:][alike]] = again[order[:-1][alike]] = True
         row, index = row[again], index[again].astype(np.int32)
         has, start = np.unique(row, return_index=True)
         lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(index))
@@ -193,7 +198,9 @@ def _partial(covers: DataFrame, length: int) -> DataFrame:
         if core:
             yield flush(core, phrase, cover)
 
-    return covers.repartition("core").sortWithinPartitions("core").mapInArrow(run, "phrase long, some array<int>")
+    # A phrase comes from every task that saw it; one copy of each goes to its core's task.
+    once = covers.dropDuplicates(["core", "phrase"])
+    return once.repartition("core").sortWithinPartitions("core").mapInArrow(run, "phrase long, some array<int>")
 
 
 def _partial_hot(covers: DataFrame, length: int) -> DataFrame:
@@ -202,7 +209,8 @@ def _partial_hot(covers: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             phrase, cover = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            row, index, w = _windows(phrase, cover, length)
+            data, row, index, start = _windows(cover, length)
+            w = bytescan.piece(bytescan.rolling(data, length)[0], start, start + length)
             yield pa.RecordBatch.from_arrays([pa.array(phrase[row]), pa.array(index.astype(np.int32)), pa.array(w.view(np.int64))], ["phrase", "i", "w"])
 
     windows = covers.select("phrase", "cover").dropDuplicates(["phrase"]).mapInArrow(run, "phrase long, i int, w long")
