@@ -10,8 +10,10 @@ times and the rest by threshold.  Documents are taken whole; at the threshold th
 that is nearer to the target (a tie takes it).
 
 Null text and text without words have size 0 and ``taken`` 0.  A null source is a source of its own,
-last in order.  Documents of equal id and text share a hash and are taken or left together.  An empty
-table gives an empty result.  Other columns are ignored by ``plan`` and passed through by ``apply_mix``.
+last in order.  Long texts are counted whole.  Repeated rows - equal id and text - share a hash; where the threshold
+falls on it, as many of them are taken as come nearest to the target, and only they are numbered, in parts, however
+many they are.  An empty table gives an empty result.  ``plan`` returns the columns it is asked to keep (none may have
+the name of a result); other columns are ignored by it and passed through by ``apply_mix``.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.llm.shared import lookup, materialise
+from folioforge.llm.shared import SALTS, lookup, materialise
+from folioforge.operators.tables import ranked
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -43,22 +46,16 @@ def doc_hash(doc_id: Column, text: Column) -> Column:
 def targets(sources: DataFrame, source: str) -> DataFrame:
     """``sources`` (source, source_size) with weight and target.
 
-    Weights go round by rank: sources are dealt into ordered ranges, ranked inside a range, and ranges
-    are offset by the counts before them, so no task ranks all sources.  The share level is then raised
+    Weights go round by rank, and no task ranks all sources.  The share level is then raised
     until no source is above its limit; each round is one aggregate over the sources.
     """
-    parts = sources.repartitionByRange(8, F.col(source).asc_nulls_last()).withColumn("_p", F.spark_partition_id())
-    parts = materialise(parts, "sources")
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_at"))  # 8 rows
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(source).asc_nulls_last())) - 1 + F.col("_at")
-    ranked = parts.join(F.broadcast(starts), "_p").withColumn("_i", rank)
+    ranked_ = ranked(sources, F.col(source).asc_nulls_last(), to="_i", save=materialise)
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_i") % len(WEIGHTS) + 1).cast("int"))
-    ranked = materialise(ranked.select(source, "source_size", weight.cast("long").alias("weight")), "weights")
+    weighted = materialise(ranked_.select(source, "source_size", weight.cast("long").alias("weight")), "weights")
     level = 0.0
     while True:
         held = F.col("weight") * F.lit(level) >= MAX_REPEAT * F.col("source_size")
-        row = ranked.agg(
+        row = weighted.agg(
             F.sum("source_size"),
             F.sum(F.when(held, F.lit(MAX_REPEAT) * F.col("source_size")).otherwise(F.lit(0))),
             F.sum(F.when(held, F.lit(0)).otherwise(F.col("weight"))),
@@ -69,11 +66,12 @@ def targets(sources: DataFrame, source: str) -> DataFrame:
         if now <= level:
             break
         level = now
-    return ranked.withColumn("target", F.least(F.col("weight") * F.lit(level), (F.lit(MAX_REPEAT) * F.col("source_size")).cast("double")))
+    return weighted.withColumn("target", F.least(F.col("weight") * F.lit(level), (F.lit(MAX_REPEAT) * F.col("source_size")).cast("double")))
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame, source: str, n_sources: int) -> DataFrame:
-    """(source, limit): documents of the source with a hash of at most ``limit`` fill its rest budget.
+    """(source, limit, edge, k): documents of the source with a hash of at most ``limit`` fill its rest budget, with
+    ``k`` of those of the hash ``edge`` where only some of these fit.
 
     ``sized``: (source, size, h); ``budgets``: (source, rest).  Level by level the boundary bucket of each
     source is split; only documents inside boundary buckets are read on.
@@ -89,18 +87,21 @@ def thresholds(sized: DataFrame, budgets: DataFrame, source: str, n_sources: int
             edge = open_.select(source, F.col("prefix").alias("_prefix"))
             inside = lookup(sized, edge, source, n_sources, F.col("h")).filter(F.shiftrightunsigned("h", shift + STEP_BITS) == F.col("_prefix"))
         hist = inside.groupBy(source, F.shiftrightunsigned("h", shift).alias("b")).agg(
-            F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi")
+            F.sum("size").alias("s"), F.count(F.lit(1)).alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi")
         )
         run = Window.partitionBy(source).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         right = open_.withColumnRenamed(source, "_key")
         cum = hist.join(right, hist[source].eqNullSafe(right["_key"])).drop("_key").withColumn("_after", F.col("base") + F.sum("s").over(run))
         # The boundary: the first bucket after which more than the rest is taken.
-        edge = cum.filter(F.col("_after") > F.col("rest")).groupBy(source).agg(F.min_by(F.struct("b", "s", "lo", "hi", "_after", "rest"), "b").alias("e"))
+        edge = cum.filter(F.col("_after") > F.col("rest")).groupBy(source).agg(F.min_by(F.struct("b", "s", "c", "lo", "hi", "_after", "rest"), "b").alias("e"))
         edge = materialise(edge.select(source, "e.*"), "edges")
         one = (F.col("lo") == F.col("hi")) | F.lit(shift == 0)
         before = F.col("_after") - F.col("s")
-        nearer = F.col("_after") - F.col("rest") <= F.col("rest") - before
-        done.append(edge.filter(one).select(source, F.when(nearer, F.col("hi")).otherwise(F.col("lo") - 1).alias("limit")))
+        # Rows of one hash have one size; the k-th is taken if that is no farther from the target.
+        k = F.floor((F.col("rest") - before) * F.col("c") / F.col("s") + 0.5)
+        all_ = F.when(k >= F.col("c"), F.col("hi")).otherwise(F.col("lo") - 1)
+        some = (k > 0) & (k < F.col("c"))
+        done.append(edge.filter(one).select(source, all_.alias("limit"), F.when(some, F.col("lo")).alias("edge"), F.when(some, k).cast("long").alias("k")))
         open_ = edge.filter(~one).select(source, "rest", before.alias("base"), F.col("b").alias("prefix"))
         if open_.isEmpty():
             break
@@ -110,11 +111,32 @@ def thresholds(sized: DataFrame, budgets: DataFrame, source: str, n_sources: int
     return out
 
 
+RESULT = ("size", "source_size", "target", "taken", "times")
+
+
+def _first_of_edge(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, salt, k, ...) of the edge hashes with ``in_``: whether they are among the first k of their source.
+
+    They are numbered inside (source, salt) and offset by the counts of the salts before.
+    """
+    before = Window.partitionBy("_source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_source", "salt").count()  # at most SALTS rows a source
+    starts = starts.select(F.col("_source").alias("_key"), F.col("salt").alias("_s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("_source", "salt").orderBy("h"))
+    both = rows.withColumn("place", place).join(starts, F.col("_source").eqNullSafe(F.col("_key")) & (F.col("salt") == F.col("_s")))
+    return both.withColumn("in_", F.col("place") + F.col("first") <= F.col("k")).drop("place", "first", "_key", "_s")
+
+
 def plan(docs: DataFrame, *keep: str, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``keep`` columns with size, source_size, target and taken of every document."""
+    """``keep`` columns with size, source_size, target, times and taken of every document."""
+    if set(keep) & set(RESULT):
+        raise ValueError(f"columns to keep may not be named {', '.join(RESULT)}")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     sized = docs.select(
-        *keep, F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), doc_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h")
-    )
+        kept.alias("kept"), F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"),
+        doc_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"), salt.alias("salt"),
+    )
     sized = materialise(sized, "sized")
     narrow = sized.select("_source", "size", "h")
     totals = targets(narrow.groupBy("_source").agg(F.sum("size").alias("source_size")), "_source")
@@ -125,13 +147,17 @@ def plan(docs: DataFrame, *keep: str, doc_id: str = "doc_id", source: str = "sou
     right = limits.withColumnRenamed("_source", "_key")
     table = materialise(
         totals.join(right, totals["_source"].eqNullSafe(right["_key"]), "left").select(
-            "_source", "source_size", "target", "copies", F.coalesce("limit", F.lit(-1)).cast("long").alias("limit")
+            "_source", "source_size", "target", "copies", F.coalesce("limit", F.lit(-1)).cast("long").alias("limit"), "edge", "k"
         ),
         "mix",
     )
     out = lookup(sized, table, "_source", n, F.col("h"))
-    times = F.col("copies") + (F.col("h") <= F.col("limit")).cast("long")
-    return out.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop("h", "copies", "limit")
+    at_edge = F.coalesce(F.col("h") == F.col("edge"), F.lit(False))
+    taken = out.withColumn("in_", F.col("h") <= F.col("limit"))
+    if not table.filter("k IS NOT NULL").isEmpty():
+        taken = taken.filter(~at_edge).unionByName(_first_of_edge(out.filter(at_edge)))
+    taken = taken.withColumn("times", F.col("copies") + F.col("in_").cast("long")).withColumn("taken", F.col("size") * F.col("times"))
+    return taken.select(*(["kept.*"] if keep else []), *RESULT)
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

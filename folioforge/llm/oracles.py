@@ -52,11 +52,12 @@ g AS (SELECT source, source_size, least(weight * lv.lam, (3 * source_size)::DOUB
 c AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS copies FROM g),
 q AS (SELECT d.doc_id, d.size, c.source_size, c.target, c.copies, c.target - c.copies * c.source_size AS rest,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS after,
-             sum(d.size) OVER (PARTITION BY d.source, d.h) AS same
+             sum(d.size) OVER (PARTITION BY d.source, d.h) AS same, count(*) OVER (PARTITION BY d.source, d.h) AS c,
+             row_number() OVER (PARTITION BY d.source, d.h) AS rn
       FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, size, source_size, target,
        (size * (copies + CASE WHEN copies >= 3 THEN 0 WHEN after <= rest THEN 1
-                              WHEN after - same <= rest AND after - rest <= rest - (after - same) THEN 1 ELSE 0 END))::BIGINT AS taken
+                              WHEN same > 0 AND after - same <= rest AND rn <= floor((rest - (after - same)) * c / same + 0.5) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
