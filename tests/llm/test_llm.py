@@ -46,10 +46,28 @@ def test_decontamination_brute_force(spark):
 def test_decontamination_in_blocks(spark, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(decontaminate.annotate(documents(spark), bench).collect())
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 50)
+    assert any(r.n_hit for r in one)
+    counted = []
+    true = decontaminate.token_counts
+    monkeypatch.setattr(decontaminate, "token_counts", lambda *a: counted.append(1) or true(*a))
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 3)
+    blocks = decontaminate.index(documents(spark), bench)
+    assert len(blocks) >= 20 and counted == [1]  # one scan counts for all blocks
     assert sorted(decontaminate.annotate(documents(spark), bench).collect()) == one
     monkeypatch.setattr(decontaminate, "_SLICE", 3)
+    monkeypatch.setattr(decontaminate, "BUFFER_BYTES", 1)
     assert sorted(decontaminate.annotate(documents(spark), bench).collect()) == one
+    clean = {r.doc_id for r in decontaminate.clean(documents(spark), bench).collect()}
+    assert clean == {r.doc_id for r in one if not r.n_hit}
+
+
+def test_decontamination_of_long_texts_and_items(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    docs = [(1, " ".join(words)), (2, None), (3, "no such words " * 20_000), (4, " ".join(words[30_000:30_009]))]
+    bench = [("long", " ".join(words[10_000:40_000])), (None, "w7 w8 w9"), ("none", "!!")]
+    want = brute.decontaminate(docs, [("" if k is None else k, t) for k, t in bench])
+    got = decontaminate.annotate(frame(spark, docs), spark.createDataFrame(bench, "item_id string, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == want
 
 
 def test_decontamination_edges(spark):
@@ -90,7 +108,7 @@ def test_word_encoder_equals_the_tokenizer():
 
     tok, enc = _tokenizer(), wavelet.encoder(queries.tokenizer())
     for t in HARD + [t or "" for _, t in ODD]:
-        assert next(enc.encode(pa.array([t]))) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), t
+        assert enc.encode(pa.array([t]))[0].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
 def test_added_tokens_keep_their_case():
@@ -98,7 +116,7 @@ def test_added_tokens_keep_their_case():
 
     tok, enc = _tokenizer(), wavelet.encoder(queries.tokenizer())
     for t in ["A <|ENDOFTEXT|> B", "x<|StartOfText|>Y. <|startoftext|> <|endoftext|>Z", "<|EndOfText|>", "<|X|> É<|ENDOFTEXT|>é"]:
-        assert next(enc.encode(pa.array([t]))) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), t
+        assert enc.encode(pa.array([t]))[0].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
 def test_word_encoder_equals_the_tokenizer_on_marks_and_odd_text():
@@ -117,7 +135,7 @@ def test_word_encoder_equals_the_tokenizer_on_marks_and_odd_text():
     odd = ["'s", "'LL", "<|", "<|endoftext|>", "<|EndOfText|>", "T\u0308", "J\u030c", "H\u0331", "W\u030a", "É", "\u212a\u0327", "\u0344"]
     for _ in range(8000):
         t = "".join(rng.choice(rng.choice([ascii_, ascii_, marks, any_, odd])) for _ in range(rng.randint(1, 14)))
-        assert next(enc.encode(pa.array([t]))) == np.array(tok.encode(t, add_special_tokens=False).ids, enc.kind).tobytes(), ascii(t)
+        assert enc.encode(pa.array([t]))[0].tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
 def test_unknown_tokenizers_encode_whole_texts():
@@ -128,8 +146,18 @@ def test_unknown_tokenizers_encode_whole_texts():
     tok, enc = Tokenizer.from_file(path), wavelet.WordEncoder(path)
     assert not enc.known
     texts = ["Two  spaces, and T\u0308. \n\n", None, "", "<|endoftext|> x"]
-    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, enc.kind).tobytes() for t in texts]
-    assert list(enc.encode(pa.array(texts))) == want
+    ids, begin = enc.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoding_a_batch_equals_encoding_each_text():
+    import pyarrow as pa
+
+    tok, enc = _tokenizer(), wavelet.encoder(queries.tokenizer())
+    texts = [" Two  words\n", None, "T\u0308 A", "", "<|endoftext|> X", "x<|Y", "J\u030c", "plain again, plain", None, " "]
+    for some in (texts, texts[:1], texts[2:3], texts[4:7], [], [None], texts[::-1]):
+        ids, begin = enc.encode(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [tok.encode(t or "", add_special_tokens=False).ids for t in some]
 
 
 def test_token_files_outlive_the_session(spark, tmp_path):
@@ -284,6 +312,44 @@ def test_jaccard_edges(spark):
     assert {r.doc_id for r in jaccard.one_of_each(plain).collect()} == {k for k, (_, c) in want.items() if k == c}
 
 
+def test_one_of_each_whatever_the_columns_and_the_salt(spark, monkeypatch):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, "z y x w v u"), (1, "k l m n o p")]
+    odd = ["_sig", "_gone", "row", "sig", "key", "id", "salt_", "n", "token", "component_id", "root"]
+    wide = lambda r: frame(spark, r).select("*", *(F.col("doc_id").alias(c) for c in odd))
+    for some in (rows, [r for r in rows if r[0] in (2, 3)] + [(9, "A b c d e f"), (1, rows[0][1])]):
+        before = wide(some)
+        out = jaccard.one_of_each(before)
+        assert out.columns == before.columns and all(r[c] == r.doc_id for r in out.collect() for c in odd)
+        plain = sorted(map(str, out.select("doc_id", "text").collect()))
+        true, tries = jaccard.signature, []
+
+        def clash(s, salt, true=true):  # under salt 0 all sets share a name
+            return (7, true(s, 0)[1]) if salt == 0 else true(s, salt)
+
+        monkeypatch.setattr(jaccard, "signature", clash)
+        assert sorted(map(str, jaccard.one_of_each(before).select("doc_id", "text").collect())) == plain, tries
+        monkeypatch.setattr(jaccard, "signature", true)
+
+
+def test_jaccard_with_hot_keys(spark, monkeypatch):
+    """All joins dealt out by salts, and a sketch of another size: the same classes."""
+    docs = documents(spark).select("doc_id", "text")
+    want = sorted(map(tuple, jaccard.classes(docs).collect()))
+    monkeypatch.setattr(shared, "HOT_LEAST", 3)
+    monkeypatch.setattr(shared, "HOT_SHARE", 0.002)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "LEAST_BITS", 12)
+    assert sorted(map(tuple, jaccard.classes(docs).collect())) == want
+    assert brute.classes(pairs(docs)) == {r[0]: (r[3], r[4]) for r in want}
+
+
+def test_sketch_grows_with_the_input(spark, monkeypatch):
+    assert jaccard.sketch_bits(documents(spark)) == jaccard.LEAST_BITS
+    monkeypatch.setattr(jaccard, "LEAST_INPUT", 1000)
+    assert jaccard.LEAST_BITS < jaccard.sketch_bits(documents(spark)) <= jaccard.MOST_BITS
+    assert jaccard.sketch_bits(frame(spark)) in range(jaccard.LEAST_BITS, jaccard.MOST_BITS + 1)
+
+
 def test_pipeline_drops_copies_of_five_words_and_four_fifths(spark):
     import corpus_pipeline as cp
 
@@ -442,8 +508,42 @@ def test_url_rules_and_verdicts(spark):
     assert got[5][2] is None and got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow") and got[8][2:] == ("net/", "block")
     assert got[9][2:] == (None, "block") and got[10][2:] == (None, "allow") and got[11][2] is None and got[12][:2] == ("", "")
     assert got[13][:2] == ("b:", "//c/d") and got[14][2] is None and got[15][:2] == ("h\nost", "/p\nath")
-    clash = spark.createDataFrame([(1, "http://a.b/c", 9)], "page_id long, url string, _rest int")
-    assert urls.judge(clash.filter("false")).count() == 0 and urls.judge(clash).count() == 1
+    clash = spark.createDataFrame([(1, "http://garden.org/c", 9, "h", "v", 0.5)], "page_id long, url string, _rest int, host string, verdict string, p double")
+    row = urls.judge(clash).first()
+    assert urls.judge(clash.filter("false")).count() == 0 and row[:4] == (1, "http://garden.org/c", 9, 0.5) and (row.host, row.path, row.verdict) == ("garden.org", "/c", "allow")
+    long = urls.judge(spark.createDataFrame([("http://x.org/fr/" + "a/" * 200_000,)] * 2, "url string")).collect()
+    assert len(long) == 2 and len(long[0].path) == 400_004 and {r.rule for r in long} == {"org/fr/"}
+
+
+def test_url_twin_of_host_path_and_rule(spark):
+    from tests.oracle import connect, rows_of
+
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    cases = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in sorted(urls.RULES, key=lambda x: -len(x[1])))
+    sql = rf"""WITH s AS (SELECT page_id, {rest} AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s)
+SELECT page_id, host, path, CASE {cases} END AS rule FROM h"""
+    sf = SF.replace("0.001", "0.01")
+    got = queries.op7_url_filters(spark, sf).select("page_id", "host", "path", "rule")
+    want = connect(sf).sql(sql)
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
+    says = {r: v for v, r in urls.RULES}
+    assert all(r.verdict == says[r.rule] for r in queries.op7_url_filters(spark, sf).filter("rule IS NOT NULL").collect())
+
+
+def test_url_classifier_on_unseen_hosts():
+    """Hosts that the table does not have: its words in new company, and made-up names."""
+    rng = np.random.default_rng(1)
+    known = {h for h, _, _ in urls.labelled()}
+    new = "garage studio land house network market store point team city".split()
+    bad = [f"{w}-{n}" for w in urls.BLOCKED for n in rng.choice(new, 2)] + [f"{a}-{b}" for a, b in zip(urls.BLOCKED, rng.permutation(urls.BLOCKED))]
+    good = [f"{w}-{n}" for w in urls.ALLOWED for n in rng.choice(new, 1)] + [f"{n}{w}" for w in urls.ALLOWED for n in rng.choice(new, 1)]
+    good += ["".join(rng.choice(list("bcdfglmnprst")) + rng.choice(list("aeiou")) for _ in range(4)) for _ in range(300)]
+    model = urls.train()
+    blocked = lambda names: np.mean([urls.probability(model, f"{n}.example.com", "/en/12") >= 0.5 for n in names if f"{n}.example.com" not in known])
+    assert blocked(bad) > 0.7 and blocked(good) < 0.02
+    assert np.mean([(urls.probability(model, h, p) >= 0.5) == (y > 0) for h, p, y in urls.labelled()]) > 0.9
 
 
 # ---------------------------------------------------------------- 8
@@ -456,6 +556,22 @@ def test_quality_brute_force(spark):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
+def test_repeated_positions_under_equal_high_bits(spark):
+    arrays = [[16, 17, 16], [16, 17, 18, 16, 17], [-1, 5, -1, -2, 5, 5], [1 << 40, (1 << 40) + 1, 1 << 40, 9], [], [3], [7] * 9, list(range(64, 96)) + [70]]
+    docs = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, h array<long>")
+    got = {r.i: r.p for r in docs.select("i", quality.repeated_positions(F.col("h")).alias("p")).collect()}
+    assert got == {i: [k for k, v in enumerate(a) if a.count(v) > 1] for i, a in enumerate(arrays)}
+
+
+def test_quality_of_very_long_texts(spark):
+    import random
+
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(150_000))
+    r = quality.judge(frame(spark, [(1, text)]).withColumn("source", F.lit("s"))).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.measures(text)
+
+
 def test_host_verdicts(spark):
     good = " ".join(f"word{i}" for i in range(60))
     bad = " ".join(f"w{i} ##" for i in range(60))
@@ -490,6 +606,39 @@ def test_cut_brute_force(spark):
     assert sorted(hot) == sorted(phrases.repeats(phrases.keyed(docs)).collect())
 
 
+@pytest.mark.parametrize("n,depth", [(1, 1), (50, 5), (300, 7), (3000, 200), (3000, 3), (700, 200), (4000, 11)])
+def test_suffix_array(n, depth, monkeypatch):
+    from folioforge.llm import bytescan
+
+    rng = np.random.default_rng(n + depth)
+    data = rng.integers(97, 99, n).astype(np.uint8)
+    data[n // 2 : n // 2 + n // 3] = data[: n // 3]
+    starts = np.arange(n - depth + 1)[rng.random(n - depth + 1) < 0.9]
+    raw = [bytes(data[s : s + depth]) for s in starts]
+    names = {x: i for i, x in enumerate(sorted(set(raw)))}
+    for place in (21, 3):  # packed integers, and the way without
+        monkeypatch.setattr(bytescan, "_PLACE", place)
+        order, rank = bytescan.suffix_array(data, starts, depth)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: (raw[i], i))
+        assert rank.tolist() == [names[raw[i]] for i in order]
+
+
+def test_cut_of_long_texts_and_many_arrays(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(30_000))
+    rows = [(1, base + "x" * 50_000)]
+    for i in range(2, 12):  # near copies: matches that begin and end inside phrases
+        t = list(base[500 * i : 500 * i + 9000])
+        for j in range(i % 4):
+            t[(i * 2711 + j * 3331) % 9000] = "Z"
+        rows.append((i, "".join(t)))
+    monkeypatch.setattr(phrases, "FLUSH_BYTES", 2000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in phrases.remove(frame(spark, rows)).collect()}
+    assert got == brute.cut(rows)
+
+
 def test_cut_edges(spark):
     assert phrases.remove(frame(spark, [])).count() == 0
     long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(500))
@@ -539,7 +688,27 @@ def test_mix_edges(spark):
     rows = [(1, "a", None), (2, None, ""), (None, "b", "x y"), (None, "b", "x y"), (3, None, "one two three"), (3, None, "one two three")]
     got = mixing.plan(spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", "text").collect()
     assert len(got) == 6 and sum(r.size for r in got) == 10 and all(r.taken <= 3 * r.size for r in got)
-    assert len({r.taken for r in got if r.text == "x y"}) == 1
+
+def test_mix_takes_as_many_equal_rows_as_come_nearest(spark):
+    rows = [(7, "a", "one two three four five six seven eight nine ten")] * 200 + [(i, "b", "w " * 20) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.plan(docs.repartition(5), "doc_id", "source").collect()
+    target = {r.source: r.target for r in got}
+    assert 2000 < target["a"] < 3000 and len({r.taken for r in got if r.source == "a"}) == 2
+    for s, size in (("a", 10), ("b", 20)):
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= size / 2
+    again = sorted((r.doc_id, r.taken) for r in mixing.plan(docs.repartition(2), "doc_id").collect())
+    assert again == sorted((r.doc_id, r.taken) for r in got)
+    from tests.oracle import connect, rows_of
+
+    con = connect()
+    con.register("rows_", docs.toPandas())
+    con.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM rows_")
+    want = con.sql(oracles.OP10)
+    mine = mixing.plan(docs, "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    assert rows_of(mine.columns, [tuple(r) for r in mine.collect()]) == rows_of(want.columns, want.fetchall())
+    with pytest.raises(ValueError):
+        mixing.plan(docs.withColumn("size", F.lit(1)), "size")
 
 
 # ---------------------------------------------------------------- pipeline
