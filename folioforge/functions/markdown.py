@@ -1,4 +1,4 @@
-"""Markdown, HTML and structured-text functions as Columns; YAML and XML parsing as Arrow functions."""
+"""Markdown, HTML and structured-text functions as Columns; YAML and XML parsing as Arrow functions."""
 
 from __future__ import annotations
 
@@ -159,6 +159,30 @@ def table(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(out, 1, 1), F.array(rule), F.slice(out, 2, F.greatest(F.size(out), F.lit(1)))), "\n")).otherwise("")
 
 
+# What an extracted document's plain text is without.
+EXTRACTED_MARKS = (("!\\[[^\\]]*\\]\\([^)]+\\)", " "), ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"), ("(?m)^#{1,6}\\s+", ""), ("[`*_>|-]", " "))
+
+
+def extracted_plain_text(text: Column) -> Column:
+    """M8: the plain text of an extracted document: pictures, link targets, heading marks and emphasis go."""
+    for pattern, to in EXTRACTED_MARKS:
+        text = F.regexp_replace(text, pattern, to)
+    return normalize(text)
+
+
+def normalize_markdown(text: Column) -> Column:
+    """M9: line feeds only, at most one empty line in a row, no space around."""
+    return trim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n{3,}", "\n\n"))
+
+
+def replace_top_heading(text: Column, heading: Column) -> Column:
+    """The text under another first H1; without one, the heading goes on top."""
+    old = F.regexp_extract(text, "(?m)^# +[^\\n]*$", 0)
+    at = F.position(old, text)
+    swapped = F.concat(F.left(text, at - 1), F.lit("# "), heading, F.right(text, F.length(text) - at - F.length(old) + 1))
+    return F.when(old == "", F.concat(F.lit("# "), heading, F.lit("\n\n"), text)).otherwise(swapped)
+
+
 # ---------------------------------------------------------------- HTML
 def html_to_text(page: Column) -> Column:
     """An HTML or XML page as text, without scripts, styles and tags."""

@@ -17,6 +17,8 @@ STOP_WORDS = (
 PLACEHOLDER = "（字符无法识别）"
 GARBLED = "锟斤拷"
 UNREADABLE = "原文包含无法识别字符|问题内容包含无法识别字符|字符无法识别|无法识别的问题"
+#: What the placeholder and all messages about unreadable text have in common.
+UNREADABLE_CORE = "无法识别"
 HIDDEN = "[已隐藏]"
 LEADING_FUNCTION_WORDS = "的 了 而 把 不是 可以 通过".split()
 FILE_WORDS = "url uri http https html markdown md txt pdf doc docx".split()
@@ -38,6 +40,27 @@ TOKEN = f"({HAN}{{2,}}|[a-z0-9][a-z0-9-]{{2,}})"
 #: A capitalised phrase; look-arounds instead of \b, whose notion of a letter differs between engines.
 PHRASE = "((?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]*(?:\\s+[A-Z][A-Za-z0-9]*){0,4}(?![A-Za-z0-9_]))"
 QUOTED = ("《([^》]{2,40})》", "“([^”]{2,40})”", "「([^」]{2,40})」")
+# Patterns that decide what counts as unreadable, as a label, as a title and as prose.
+QUESTION_RUN = "\\?{3,}"
+REPLACEMENT_RUN = f"(?:\\ufffd+|{GARBLED})+"
+PLACEHOLDER_RUN = f"(?:{PLACEHOLDER}[ \\t\\u00a0，,。；;、]*){{2,}}"
+MARKS_AND_SIGNS = f"[?\\ufffd{_WS}\"'`~!！.,，。:：;；、\\-_\\[\\]()（）{{}}<>《》|/\\\\]+"
+LABEL_SIGNS = f"[{_WS}._\\-:：/\\\\()\\[\\]{{}}<>《》「」,，。;；、]+"
+LABEL_UNNAMED = f"(?i)^(?:{'|'.join(UNNAMED)})(?:[-_\\s]?[a-z0-9]{{3,}})?$"
+LABEL_UNNAMED_HAN = f"^(?:{'|'.join(UNNAMED_HAN)})(?:{'|'.join(UNNAMED_HAN_KINDS)})?$"
+LABEL_HEX = "^[a-f0-9]{6,}$"
+LABEL_QUANTITY = f"(?i)^[0-9]+(?:{'|'.join(UNITS)})?$"
+LABEL_DATE = "^[0-9]{4}[-/]?[0-9]{1,2}[-/]?[0-9]{0,2}$"
+LABEL_CODES = (("(?i)^[0-9]+[a-z]{1,4}[0-9]*$", 10), ("(?i)^[0-9]+[a-z]+[0-9]+[a-z]*$", 12))
+TITLE_LABELS = ("^#+\\s*", "^[*-]\\s*", "^来源(?:文件|路径)?[:：]\\s*", "^标题[:：]\\s*", "[`*_<>]")
+TITLE_URL = "(?i)^https?://|^url\\s*:"
+NO_PROSE = (
+    "^#{1,6}\\s|^\\[\\[|^_.*_$",
+    "(?i)^(?:url|https?://|来源(?:文件|路径)?\\s*[:：]|标题\\s*[:：])",
+    "^来源 .+ 已加入知识库。$|^原文包含无法识别字符",
+    "^第[一二三四五六七八九十百零〇0-9]+[章节编]\\s*[^。！？]*$",
+)
+PROSE = ("[。！？；.!?;]", f"(?i)(?:{'|'.join(CUES)}|means(?![A-Za-z0-9_])|refers to(?![A-Za-z0-9_]))")
 
 
 def let(value: Column, body) -> Column:
@@ -57,10 +80,15 @@ def squeeze(c: Column) -> Column:
 # ---------------------------------------------------------------- readability
 def clean_unknown(c: Column) -> Column:
     """runs of unreadable marks become one placeholder.  Text without any is passed on after one look."""
-    out = F.regexp_replace(c, "\\?{3,}", PLACEHOLDER)
-    out = F.regexp_replace(out, f"(?:\\ufffd+|{GARBLED})+", PLACEHOLDER)
-    out = F.regexp_replace(out, f"(?:{PLACEHOLDER}[ \\t\\u00a0，,。；;、]*){{2,}}", PLACEHOLDER)
-    return F.when(c.rlike(f"\\?{{3}}|\\ufffd|{GARBLED}|{PLACEHOLDER}"), out).otherwise(c)
+    out = F.regexp_replace(c, QUESTION_RUN, PLACEHOLDER)
+    out = F.regexp_replace(out, REPLACEMENT_RUN, PLACEHOLDER)
+    out = F.regexp_replace(out, PLACEHOLDER_RUN, PLACEHOLDER)
+    return F.when(has_marks(c), out).otherwise(c)
+
+
+def has_marks(c: Column) -> Column:
+    """Whether anything unreadable is in the text: plain searches, since most text has nothing of the kind."""
+    return c.contains("???") | c.contains("\ufffd") | c.contains(GARBLED) | c.contains(UNREADABLE_CORE)
 
 
 def normalize(c: Column) -> Column:
@@ -75,7 +103,7 @@ def is_unknown(c: Column) -> Column:
 
     def judge(v: Column) -> Column:
         marks = F.regexp_count(v, F.lit("\\?")) + F.regexp_count(v, F.lit("\\ufffd")) + 3 * F.regexp_count(v, F.lit(GARBLED))
-        rest = F.regexp_replace(v, f"[?\\ufffd{_WS}\"'`~!！.,，。:：;；、\\-_\\[\\]()（）{{}}<>《》|/\\\\]+", "")
+        rest = F.regexp_replace(v, MARKS_AND_SIGNS, "")
         rest = trim(F.regexp_replace(rest, GARBLED, ""))
         thin = (marks / F.greatest(F.length(v), F.lit(1)) >= 0.45) & ~rest.rlike(f"[{HAN}A-Za-z0-9]")
         return (v != "") & (marks >= 2) & ((rest == "") | thin)
@@ -90,13 +118,19 @@ def readable_or(c: Column, fallback: Column) -> Column:
     return F.when((cleaned == "") | (cleaned == PLACEHOLDER) | is_unknown(c), fallback).otherwise(cleaned)
 
 
-#: NFKC of the full-width forms and the ideographic space, which is what labels contain in practice.
-_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
-_NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
+def _icu(c: Column, method: str) -> Column:
+    """A static method of ICU's normaliser (compatibility forms) where the text has more than ASCII."""
+    out = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), c, F.lit(True))
+    return F.when(c.rlike("[^\\x00-\\x7F]"), out).otherwise(c)
+
 
+def nfkc(c: Column) -> Column:
+    """Compatibility composition: widths, ligatures, circled digits, units and half-width kana become plain characters."""
+    return _icu(c, "compose")
 
-def fold_width(c: Column) -> Column:
-    return F.translate(c, _WIDE, _NARROW)
+
+def nfkd(c: Column) -> Column:
+    return _icu(c, "decompose")
 
 
 def is_low_information(c: Column) -> Column:
@@ -104,14 +138,14 @@ def is_low_information(c: Column) -> Column:
 
     def judge(v: Column) -> Column:
         raw = trim(F.regexp_replace(F.lower(v), "\\s+markdown$", ""))
-        compact = F.regexp_replace(v, f"[{_WS}._\\-:：/\\\\()\\[\\]{{}}<>《》「」,，。;；、]+", "")
+        compact = F.regexp_replace(v, LABEL_SIGNS, "")
         full = let(F.struct(raw.alias("raw"), compact.alias("c"), F.length(compact).alias("n")), lambda x: rules(v, x))
         return F.when(v.rlike("^[A-Za-z]+$"), plain(v)).otherwise(full)
 
     def plain(v: Column) -> Column:
         """The rules that can hold for a word of ASCII letters."""
         low = F.lower(v)
-        return low.rlike(f"^(?:{'|'.join(UNNAMED)})(?:[a-z]{{3,}})?$") | low.rlike("^[a-f]{6,}$") | low.isin(FILE_WORDS)
+        return low.rlike(LABEL_UNNAMED) | low.rlike(LABEL_HEX) | low.isin(FILE_WORDS)
 
     def rules(v: Column, x: Column) -> Column:
         c, n, raw = x["c"], x["n"], x["raw"]
@@ -122,31 +156,31 @@ def is_low_information(c: Column) -> Column:
             (v == "")
             | (v == PLACEHOLDER)
             | is_unknown(v)
-            | raw.rlike(f"(?i)^(?:{'|'.join(UNNAMED)})(?:[-_\\s]?[a-z0-9]{{3,}})?$")
-            | han_name.rlike(f"^(?:{'|'.join(UNNAMED_HAN)})(?:{'|'.join(UNNAMED_HAN_KINDS)})?$")
-            | raw.rlike("^[a-f0-9]{6,}$")
+            | raw.rlike(LABEL_UNNAMED)
+            | han_name.rlike(LABEL_UNNAMED_HAN)
+            | raw.rlike(LABEL_HEX)
             | (c == "")
             | F.lower(c).isin(FILE_WORDS)
-            | c.rlike(f"(?i)^[0-9]+(?:{'|'.join(UNITS)})?$")
-            | c.rlike("^[0-9]{4}[-/]?[0-9]{1,2}[-/]?[0-9]{0,2}$")
-            | (c.rlike("(?i)^[0-9]+[a-z]{1,4}[0-9]*$") & (n <= 10))
-            | (c.rlike("(?i)^[0-9]+[a-z]+[0-9]+[a-z]*$") & (n <= 12))
+            | c.rlike(LABEL_QUANTITY)
+            | c.rlike(LABEL_DATE)
+            | (c.rlike(LABEL_CODES[0][0]) & (n <= LABEL_CODES[0][1]))
+            | (c.rlike(LABEL_CODES[1][0]) & (n <= LABEL_CODES[1][1]))
             | (no_han & (n <= 8) & (digits > 0) & (digits / n >= 0.45))
             | (no_han & ~c.rlike("[A-Za-z]"))
         )
 
-    return let(trim(fold_width(clean_unknown(c))), judge)
+    return let(trim(nfkc(clean_unknown(c))), judge)
 
 
 # ---------------------------------------------------------------- titles
 def clean_title(c: Column, most: int = 64) -> Column:
     """a title candidate without markup and labels; empty for urls."""
     t = readable_or(c, F.lit(""))
-    for pattern in ("^#+\\s*", "^[*-]\\s*", "^来源(?:文件|路径)?[:：]\\s*", "^标题[:：]\\s*", "[`*_<>]"):
+    for pattern in TITLE_LABELS:
         t = F.regexp_replace(t, pattern, "")
     return let(
         squeeze(t),
-        lambda x: F.when(x.rlike("(?i)^https?://|^url\\s*:"), F.lit(""))
+        lambda x: F.when(x.rlike(TITLE_URL), F.lit(""))
         .when(F.length(x) > most, F.concat(F.substring(x, 1, most - 1), F.lit("…")))
         .otherwise(x),
     )
@@ -248,6 +282,19 @@ def occurrences(text: Column, token: str | Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, token, F.lit("")))) / F.length(token)).cast("long")
 
 
+def count_terms(text: Column, terms: list[str]) -> Column:
+    """Occurrences of any of the terms."""
+    out = F.lit(0).cast("long")
+    for term in terms:
+        out = out + occurrences(text, term)
+    return out
+
+
+def strip_bom(text: Column) -> Column:
+    """Z2."""
+    return F.regexp_replace(text, "^\\ufeff", "")
+
+
 def excerpt_around(text: Column, query_tokens: list[str], most: int = 260) -> Column:
     """a window of ``most`` characters around the latest of the tokens' first occurrences."""
     flat = F.regexp_replace(normalize(text), "\\n", " ")
@@ -267,13 +314,13 @@ def content_paragraphs(c: Column) -> Column:
     return F.filter(
         lines,
         lambda x: (F.length(x) >= 6)
-        & ~x.rlike("^#{1,6}\\s|^\\[\\[|^_.*_$")
-        & ~x.rlike("(?i)^(?:url|https?://|来源(?:文件|路径)?\\s*[:：]|标题\\s*[:：])")
-        & ~x.rlike("^来源 .+ 已加入知识库。$|^原文包含无法识别字符")
+        & ~x.rlike(NO_PROSE[0])
+        & ~x.rlike(NO_PROSE[1])
+        & ~x.rlike(NO_PROSE[2])
         & (x != PLACEHOLDER)
         & ~is_unknown(x)
-        & ~x.rlike("^第[一二三四五六七八九十百零〇0-9]+[章节编]\\s*[^。！？]*$")
-        & (x.rlike("[。！？；.!?;]") | x.rlike(f"(?i)(?:{'|'.join(CUES)}|means(?![A-Za-z0-9_])|refers to(?![A-Za-z0-9_]))")),
+        & ~x.rlike(NO_PROSE[3])
+        & (x.rlike(PROSE[0]) | x.rlike(PROSE[1])),
     )
 
 
@@ -314,9 +361,16 @@ def is_unreadable(c: Column) -> Column:
 
 
 def is_low_quality(title: Column, body: Column) -> Column:
-    """Nothing readable, or any unreadable run at all."""
+    """Nothing readable, or any unreadable run at all.
+
+    A body with a letter or digit and no mark of unreadable text cannot be: it is passed after one look, and only
+    the title, which is short, is judged in full.
+    """
+    title, body = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
     both = trim(clean_unknown(F.concat_ws("\n", title, body)))
-    return let(both, lambda b: (b == "") | is_unknown(title) | is_unknown(body) | b.rlike(UNREADABLE) | (readable_or(b, F.lit("")) == ""))
+    full = let(both, lambda b: (b == "") | is_unknown(title) | is_unknown(body) | b.rlike(UNREADABLE) | (readable_or(b, F.lit("")) == ""))
+    sound = body.rlike(f"[{HAN}A-Za-z0-9]") & ~has_marks(body)
+    return F.when(sound, is_unknown(title) | has_marks(title)).otherwise(full)
 
 
 def source_text(c: Column, most: int) -> Column:
@@ -341,8 +395,8 @@ def diagnostic(message: Column, secrets: list[str]) -> Column:
     return F.substring(out, 1, 1200)
 
 
-def slug(c: Column, most: int = 80) -> Column:
-    """lower case, anything but letters and digits a hyphen; a hash where nothing is left."""
-    s = F.regexp_replace(F.lower(fold_width(c)), "[^\\p{L}\\p{N}]+", "-")
-    s = F.regexp_replace(F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, most), "-+$", "")
-    return F.when(s == "", F.substring(F.sha2(c, 256), 1, 8)).otherwise(s)
+def slug(c: Column, most: int = 80, fallback: str = "") -> Column:
+    """compatibility forms without accents, lower case, anything but letters and digits a hyphen; a hash where nothing is left."""
+    s = F.regexp_replace(F.lower(F.regexp_replace(nfkd(c), "[\\u0300-\\u036f]", "")), "[^\\p{L}\\p{N}]+", "-")
+    s = F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, most)
+    return F.when(s == "", F.concat(F.lit(f"{fallback}-" if fallback else ""), F.substring(F.sha2(c, 256), 1, 8))).otherwise(s)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,20 +50,28 @@ def quota_sample(queue: DataFrame, limit: int) -> DataFrame:
 
     All running items, the newest failed up to a fifth and the newest finished up to a quarter of the
     limit, then queued ones; shown by status, then time.  A queue within the limit is shown whole.  Each
-    status is first cut on its own, so no task ranks the queue.
+    status is cut by a bounded heap of its own, so no task ranks the queue.
     """
     up = lambda share: -int(-limit * share // 1)
-    caps = F.when(F.col("status") == "failed", up(FAILED_SHARE)).when(F.col("status") == "done", up(DONE_SHARE)).otherwise(limit)
-    newest = F.col("status").isin("failed", "done")
-    along = Window.partitionBy("status").orderBy(F.when(newest, -F.col("ord")).otherwise(F.col("ord")))
-    group = F.when(F.col("status") == "running", 0).when(F.col("status") == "failed", 1).when(F.col("status") == "done", 2).otherwise(3)
-    small = queue.agg(F.count(F.lit(1)).alias("_n"))
-    cut = queue.withColumn("_r", F.row_number().over(along)).withColumn("_g", group).crossJoin(F.broadcast(small))  # one row
-    cut = cut.filter((F.col("_n") <= limit) | ((F.col("_r") <= caps) & (F.col("_r") <= limit)))
+    known = F.col("status").isin("running", "failed", "done")
+    heaps = (
+        (0, F.col("status") == "running", F.col("ord").asc(), limit),
+        (1, F.col("status") == "failed", F.col("ord").desc(), up(FAILED_SHARE)),
+        (2, F.col("status") == "done", F.col("ord").desc(), up(DONE_SHARE)),
+        (3, ~F.coalesce(known, F.lit(False)), F.col("ord").asc(), limit),
+    )
+    parts = []
+    for group, which, order, cap in heaps:
+        some = queue.filter(which).orderBy(order).limit(limit)
+        place = F.row_number().over(Window.orderBy(order))  # at most ``limit`` rows
+        parts.append(some.withColumn("_r", place).withColumn("_g", F.lit(group)).withColumn("_cap", F.lit(cap)))
+    total = queue.agg(F.count(F.lit(1)).alias("_n"))
+    cut = reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(total))  # one row
+    cut = cut.filter((F.col("_n") <= limit) | (F.col("_r") <= F.col("_cap")))
     taken = cut.orderBy("_g", "_r").limit(limit)
     late = F.when(F.col("status") == "queued", F.lit(None)).otherwise(F.coalesce("updatedAt", "createdAt"))
     early = F.when(F.col("status") == "queued", F.col("createdAt"))
-    return taken.orderBy("_g", F.desc(late), early, "ord").drop("_r", "_g", "_n")
+    return taken.orderBy("_g", F.desc(late), early, "ord").drop("_r", "_g", "_n", "_cap")
 
 
 def recent_with_active(items: DataFrame, limit: int) -> DataFrame:

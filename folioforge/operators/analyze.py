@@ -73,6 +73,12 @@ def keyword_counts(docs: DataFrame, key: str, text: str, limit: int) -> DataFram
     return words.withColumn("place", place.cast("long")).filter(F.col("place") <= limit)
 
 
+def phrase_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Named phrases of each document, from capitalised runs and the three kinds of quotes, with their counts."""
+    each = docs.select(key, F.explode(t.named_phrases(F.col(text))).alias("phrase"))
+    return each.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
 def corpus_keywords(docs: DataFrame, text: str, limit: int) -> DataFrame:
     """The corpus's top keywords: token occurrences and documents."""
     counted = docs.select(F.explode(t.word_counts(F.col(text))).alias("w")).select("w.v", "w.n")

@@ -1,4 +1,4 @@
-"""The knowledge graph.
+"""The knowledge graph.
 
 Nodes: (path, title, type, sources, links, mtime, ord); edges: (source, target, weight, reasons, ord), with
 ``ord`` for first-seen order.  Everything is joins, aggregates and windows over keys; only connected
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioforge.functions.text import is_low_information, is_unknown, trim
-from folioforge.operators.tables import materialise
+from folioforge.operators.tables import materialise, ranked
 
 MAX_NODES = 600
 MAX_EDGES = 3500
@@ -46,6 +46,7 @@ def is_useful(title: Column, kind: Column, sources: Column, links: Column) -> Co
 
 
 def page_score() -> Column:
+    """What candidates are ordered by."""
     return type_rank(F.col("type")) * -100000 + F.size("links") * 10 + F.size("sources")
 
 
@@ -148,7 +149,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "path", order: str
         labels = step.select("k", "label", "own")
         if not moved:
             break
-    numbers = labels.select("label").distinct().withColumn("community", F.row_number().over(Window.orderBy("label")) - 1)  # a row per component
+    numbers = ranked(labels.select("label").distinct(), F.col("label").asc(), to="community").withColumn("community", F.col("community").cast("int"))
     named = labels.join(numbers, "label").select(F.col("k").alias(key), "community")
     return nodes.join(named, key)
 
@@ -216,6 +217,11 @@ def build(pages: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDG
     return layout(nodes), kept, insights(nodes, kept)
 
 
+def community_sizes(nodes: DataFrame, most: int = 8) -> DataFrame:
+    """The largest communities, the first of equals."""
+    return nodes.groupBy("community").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "community").limit(most)
+
+
 def visible(nodes: DataFrame, edges: DataFrame, needle: str) -> tuple[DataFrame, DataFrame]:
     """Nodes whose title, path or type contains ``needle``, and the edges between them."""
     n = needle.strip().lower()

@@ -1,4 +1,4 @@
-"""The integrity audit: fourteen checks as anti joins and windows.
+"""The integrity audit: fourteen checks as anti joins and aggregates.
 
 Pages: (path, title, type, content, body, sources, links, source_path, ord); registry: (relativePath, status,
 error, wikiPath, convertedPath, ord); files: (path) of everything that exists besides pages and registry.
@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioforge.functions.paths import is_external
 from folioforge.operators.graph import alias_map, resolve_links
@@ -56,8 +55,9 @@ def broken_links(resolved: DataFrame) -> DataFrame:
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:
     """Every page whose title, whatever its case, another page has."""
-    same = F.count(F.lit(1)).over(Window.partitionBy(F.lower("title")))
-    return pages.withColumn("n", same).filter("n > 1")
+    key = F.lower("title")
+    same = pages.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return pages.join(same, key == F.col("_key")).drop("_key")
 
 
 def missing(references: DataFrame, key: str, *existing: DataFrame) -> DataFrame:
@@ -102,6 +102,11 @@ def lint(pages: DataFrame, registry: DataFrame, files: DataFrame, max_pages: int
     return best.select("id", "severity", "path", "check", "detail")
 
 
+def for_display(issues: DataFrame) -> DataFrame:
+    """Issues by severity, then path."""
+    return issues.orderBy(severity_rank(F.col("severity")), "path", "check", "detail")
+
+
 def severity_counts(issues: DataFrame) -> DataFrame:
     """A14."""
     return issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Listings and chats."""
+"""Listings, chats and uploads."""
 
 from __future__ import annotations
 
@@ -96,6 +96,30 @@ def append_turn(messages: DataFrame, conv: int, question: str, answer: str) -> D
     return messages.select("conv_id", "turn", "role", "text").unionByName(new.select("conv_id", (F.col("t") + F.col("m.d")).alias("turn"), "m.role", "m.text"))
 
 
+def read_chat(messages: DataFrame, conv: int) -> DataFrame:
+    """A conversation in order; one that does not exist is an error."""
+    rows = messages.filter(F.col("conv_id") == conv)
+    if rows.isEmpty():
+        raise KeyError(f"no conversation {conv}")
+    return rows.orderBy("turn")
+
+
+def delete_chats(messages: DataFrame, gone: DataFrame) -> DataFrame:
+    """Messages of all conversations but those named in ``gone`` (conv_id)."""
+    return messages.join(gone.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
+def admit_turns(requests: DataFrame, active: DataFrame) -> DataFrame:
+    """Requests (conv_id, uses_history) with ``admitted``: turns of a conversation overlap only if none uses its history.
+
+    ``active`` holds the turns being answered.
+    """
+    busy = active.groupBy("conv_id").agg(F.bool_or("uses_history").alias("_history"))
+    both = requests.join(busy, "conv_id", "left")
+    conflict = F.col("_history").isNotNull() & (F.col("uses_history") | F.col("_history"))
+    return both.withColumn("admitted", ~conflict).drop("_history")
+
+
 def resolve_hrefs(links: DataFrame, pages: DataFrame) -> DataFrame:
     """An href as a path in three forms, else as title or base name, pages of the same folder first."""
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
@@ -107,6 +131,20 @@ def resolve_hrefs(links: DataFrame, pages: DataFrame) -> DataFrame:
     return exact.unionByName(named).groupBy("source", "href").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 
+def upload_sessions(declared: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Where each upload goes on - ``declared`` (upload_id, total) with the bytes received without a gap.
+
+    A chunk counts from the first byte on as long as each begins where the last one ended; repeated chunks count once.
+    """
+    one = chunks.select("upload_id", "idx", "offset", "size").distinct()
+    along = Window.partitionBy("upload_id").orderBy("idx")
+    fits = (F.col("offset") == F.coalesce(F.lag(F.col("offset") + F.col("size")).over(along), F.lit(0))) & (F.col("idx") == F.row_number().over(along) - 1)
+    got = one.withColumn("fits", fits.cast("int")).select("upload_id", "size", F.min("fits").over(along).alias("whole"))
+    got = got.groupBy("upload_id").agg(F.sum(F.when(F.col("whole") == 1, F.col("size")).otherwise(0)).alias("received"))
+    out = declared.join(got, "upload_id", "left").withColumn("received", F.coalesce("received", F.lit(0)).cast("long"))
+    return out.withColumn("complete", F.col("received") == F.col("total"))
+
+
 def chunks_in_order(chunks: DataFrame) -> DataFrame:
     """Uploads whose chunks (upload_id, idx, offset, size) follow each other without a gap."""
     along = Window.partitionBy("upload_id").orderBy("idx")

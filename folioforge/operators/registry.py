@@ -17,7 +17,7 @@ ACTIVE = ("queued", "running")
 
 def stable_id(name: Column, *salt: Column) -> Column:
     """slug and eight hexadecimal digits of a hash; no clock in it."""
-    return F.concat(F.substring(slug(name), 1, 48), F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", name, *salt), 256), 1, 8))
+    return F.concat(F.substring(slug(name, fallback="untitled"), 1, 48), F.lit("-"), F.substring(F.sha2(F.concat_ws("\x1f", name, *salt), 256), 1, 8))
 
 
 def candidates(files: DataFrame) -> DataFrame:

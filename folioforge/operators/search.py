@@ -1,8 +1,9 @@
-"""Ranked lexical search, question answering and research.
+"""Ranked lexical search, question answering and research.
 
 A query is a literal: its tokens are found on the driver and become Column expressions, so scoring is one
-pass inside whole-stage code generation and top-k is a bounded per-task heap.  Windows run only after the
-cut to the few best rows.
+pass inside whole-stage code generation and top-k is a bounded per-task heap (T1).  A row is first asked whether any
+token occurs in it, then whether it is readable, and only then scored.  Windows run only after the cut to the few best
+rows.
 
 Pages: (path, title, type, body[, file_title]); hits: (path, title, type, score, excerpt, citations).
 """
@@ -21,6 +22,7 @@ from folioforge.functions.text import excerpt_around, is_low_information, is_low
 
 SEARCH_LIMIT = 12
 RESEARCH_LIMIT = 8
+#: Most local hits in an answer, and most hits in all.
 LOCAL_CAP = 8
 MERGED_CAP = 12
 WEAK_SCORE = 18
@@ -43,6 +45,12 @@ def score(searchable: Column, title: Column, query: str, tokens: list[str] | Non
     return reduce(lambda a, b: a + b, parts)
 
 
+def found(searchable: Column, query: str, tokens: list[str]) -> Column:
+    """Whether the query or a token occurs: true exactly where the score is above zero (P7), without counting."""
+    needles = [t for t in dict.fromkeys([*tokens, query.strip().lower()]) if t]
+    return reduce(lambda a, b: a | b, [searchable.contains(n) for n in needles]) if needles else F.lit(False)
+
+
 def _needle(text: Column, query: str, tokens: list[str]) -> Column:
     """the excerpt around the query if the text has it, else around its first token found."""
     exact = query.strip()
@@ -53,40 +61,49 @@ def _needle(text: Column, query: str, tokens: list[str]) -> Column:
     return F.when(low.contains(exact.lower()), excerpt_around(text, tokenize(exact), EXCERPT)).otherwise(out) if exact else out
 
 
+def _page_text(pages: DataFrame) -> Column:
+    shown = F.col("file_title") if "file_title" in pages.columns else F.col("title")
+    return F.lower(F.concat(shown, F.lit(" "), F.col("body")))
+
+
 def page_hits(pages: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
     """C1 over pages: the best ``limit`` by score, then path.  The excerpt is cut only for those."""
     tokens = search_tokens(query)
-    shown = F.col("file_title") if "file_title" in pages.columns else F.col("title")
-    rows = pages.filter(paths.is_evidence(F.col("path"))).filter(~is_low_quality(F.col("title"), F.col("body")))
-    scored = rows.withColumn("score", score(F.lower(F.concat(shown, F.lit(" "), F.col("body"))), F.col("title"), query, tokens)).filter("score > 0")
-    best = scored.orderBy(F.desc("score"), F.asc("path")).limit(limit)
+    text = _page_text(pages)
+    rows = pages.filter(paths.is_evidence(F.col("path")) & found(text, query, tokens)).filter(~is_low_quality(F.col("title"), F.col("body")))
+    best = rows.withColumn("score", score(text, F.col("title"), query, tokens)).orderBy(F.desc("score"), F.asc("path")).limit(limit)
     return best.select("path", "title", "type", "score", _needle(F.col("body"), query, tokens).alias("excerpt"), F.array("path").alias("citations"))
 
 
-def source_hits(sources: DataFrame, query: str) -> DataFrame:
-    """C1 over the registry: ready sources of quality, two points more if a page exists."""
+def source_rows(sources: DataFrame, query: str) -> DataFrame:
+    """C1 over the registry, before any cut: ready sources of quality (P5, P6), two points more if a page exists.
+
+    ``text`` is what the excerpt is to be cut from.
+    """
     tokens = search_tokens(query)
     title = F.coalesce(F.nullif("title", F.lit("")), F.col("fileName"))
     summary = F.coalesce("summary", F.lit(""))
+    searchable = F.lower(F.concat_ws(" ", title, "fileName", "relativePath", summary))
     bad = (
         F.coalesce(is_unreadable(F.col("error")), F.lit(False))
         | is_low_quality(title, summary)
         | (is_low_information(title) & (readable_or(summary, F.lit("")) == ""))
     )
-    rows = sources.filter(F.col("status") == "ready").filter(~bad)
-    searchable = F.lower(F.concat_ws(" ", title, "fileName", "relativePath", summary))
-    s = score(searchable, title, query, tokens)
+    rows = sources.filter((F.col("status") == "ready") & found(searchable, query, tokens)).filter(~bad)
     page = F.coalesce("wikiPath", "convertedPath")
-    path = F.coalesce(page, "relativePath")
     text = F.when(summary != "", summary).otherwise(F.concat_ws("\n", "fileName", "relativePath"))
-    rows = rows.withColumn("score", s).filter("score > 0").withColumn("score", F.col("score") + F.when(page.isNotNull(), 2).otherwise(0))
-    return rows.select(
-        path.alias("path"), title.alias("title"), F.col("kind").alias("type"), "score", _needle(text, query, tokens).alias("excerpt"), F.array(path).alias("citations")
-    )
+    points = score(searchable, title, query, tokens) + F.when(page.isNotNull(), 2).otherwise(0)
+    return rows.select(F.coalesce(page, "relativePath").alias("path"), title.alias("title"), F.col("kind").alias("type"), points.alias("score"), text.alias("text"))
+
+
+def source_hits(sources: DataFrame, query: str) -> DataFrame:
+    """C1 over the registry: all hits, each with its excerpt."""
+    rows = source_rows(sources, query)
+    return rows.select("path", "title", "type", "score", _needle(F.col("text"), query, search_tokens(query)).alias("excerpt"), F.array("path").alias("citations"))
 
 
 def union_hits(*parts: DataFrame) -> DataFrame:
-    """Hits of several origins with ``origin`` (0, 1, ...) and ``ord``, which carry first-seen order."""
+    """Hits of several origins, each cut before, with ``origin`` (0, 1, ...) and ``ord``, which carry first-seen order."""
     out = []
     for i, hits in enumerate(parts):
         ordered = Window.partitionBy("origin").orderBy(F.desc("score"), "path")
@@ -95,7 +112,7 @@ def union_hits(*parts: DataFrame) -> DataFrame:
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
-    """One row per path - the best-scoring, first of equals - with all citations in first-seen order."""
+    """One row per path - the best-scoring, first of equals - with all citations in first-seen order."""
     seen = F.struct("origin", "ord")
     row = F.struct("title", "type", "score", "excerpt")
     best = F.struct(F.col("score").alias("s"), (-F.col("origin")).alias("o"), (-F.col("ord")).alias("r"))
@@ -109,20 +126,35 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
 
 
 def search(pages: DataFrame, query: str, sources: DataFrame | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Pages are cut to the best ``limit`` before registry hits join them; ties keep first-seen order."""
-    parts = [page_hits(pages, query, limit)] + ([source_hits(sources, query)] if sources is not None else [])
-    return dedupe_hits(union_hits(*parts)).orderBy(F.desc("score"), "origin", "ord").limit(limit)
+    """Pages are cut to the best ``limit`` before registry hits join them; ties keep first-seen order.
+
+    Rows of an origin are seen by score, then path, so that order is a value and no window ranks the registry's hits.
+    A path's citations are the path itself in either origin.
+    """
+    some = page_hits(pages, query, limit).drop("citations").withColumn("origin", F.lit(0)).withColumn("text", F.lit(None).cast("string"))
+    if sources is not None:
+        some = some.unionByName(source_rows(sources, query).withColumn("origin", F.lit(1)).withColumn("excerpt", F.lit(None).cast("string")))
+    row = F.struct("title", "type", "score", "excerpt", "text")
+    merged = some.groupBy("path").agg(
+        F.max_by(row, F.struct(F.col("score").alias("s"), (-F.col("origin")).alias("o"), F.col("title").alias("t"))).alias("hit"),
+        F.min(F.struct("origin", (-F.col("score")).alias("behind"))).alias("first"),
+    )
+    best = merged.select("path", "hit.*", "first").orderBy(F.desc("score"), "first", "path").limit(limit)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "first", "path"))  # at most ``limit`` rows
+    excerpt = F.coalesce("excerpt", _needle(F.col("text"), query, search_tokens(query)))
+    best = best.withColumn("ord", place).select("path", "title", "type", "score", excerpt.alias("excerpt"), F.array("path").alias("citations"), F.col("first.origin").alias("origin"), "ord")
+    return best.orderBy("ord")
 
 
 def strong(hits: DataFrame, query: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Hits with one of the query's anchors, of at least 18 points and 0.3 of the best one's.
+    """Hits with one of the query's anchors (T16), of at least 18 points and 0.3 of the best one's.
 
     ``by``: columns that tell several queries' hits apart.
     """
-    found = anchors(query) if query else []
-    if found:
+    needed = anchors(query) if query else []
+    if needed:
         text = F.lower(F.concat_ws("\n", "title", "excerpt", "path"))
-        hits = hits.filter(reduce(lambda a, b: a | b, [text.contains(a) for a in found]))
+        hits = hits.filter(reduce(lambda a, b: a | b, [text.contains(a) for a in needed]))
     top = F.max("score").over(Window.partitionBy(*by))
     floor = F.greatest(F.lit(WEAK_SCORE), F.floor(F.col("_top") * F.lit(SHARE_OF_TOP)))
     return hits.withColumn("_top", top).filter((F.col("_top") >= WEAK_SCORE) & (F.col("score") >= floor)).drop("_top")
@@ -182,16 +214,18 @@ def answer_text(evidence: DataFrame, local: int = 5) -> DataFrame:
 def many_hits(pages: DataFrame, queries: list[str], limit: int = RESEARCH_LIMIT) -> DataFrame:
     """The best ``limit`` pages of each of a few queries from one scan: (query, path, title, type, score, body).
 
-    Every page is scored for all queries at once and sent on only if it scores; each task keeps no more than
-    it must for the per-query cut.
+    Every page that has a token of any is scored for all queries at once; bodies are fetched for the few best only.
     """
     shown = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("body")))
-    rows = pages.filter(paths.is_evidence(F.col("path"))).filter(~is_low_quality(F.col("title"), F.col("body")))
-    each = [F.struct(F.lit(i).alias("query"), score(shown, F.col("title"), q).alias("score")) for i, q in enumerate(queries)]
+    asked = [(q, search_tokens(q)) for q in queries]
+    any_ = reduce(lambda a, b: a | b, [found(shown, q, t) for q, t in asked])
+    rows = pages.filter(paths.is_evidence(F.col("path")) & any_).filter(~is_low_quality(F.col("title"), F.col("body")))
+    each = [F.struct(F.lit(i).alias("query"), score(shown, F.col("title"), q, t).alias("score")) for i, (q, t) in enumerate(asked)]
     scored = rows.select("path", F.explode(F.array(*each)).alias("s")).select("path", "s.query", "s.score").filter("score > 0")
+    # A limit on the rank lets each task pass on no more than that many rows of a query.
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "path"))
-    best = scored.withColumn("place", rank).filter(F.col("place") <= limit)
-    return best.join(rows.select("path", "title", "type", "body"), "path")
+    best = scored.withColumn("place", rank).filter(F.col("place") <= limit)  # W7, so limit rows a query
+    return pages.select("path", "title", "type", "body").join(F.broadcast(best), "path").select("path", "query", "score", "place", "title", "type", "body")
 
 
 def merge_research(hits: DataFrame) -> DataFrame:

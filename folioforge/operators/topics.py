@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioforge.functions.markdown import bullet_list, wiki_link
-from folioforge.functions.text import content_paragraphs, fold_width, is_low_information, readable_or, trim
+from folioforge.functions.text import content_paragraphs, is_low_information, nfkc, readable_or, trim
 
 MAX_NOTES = 3000
+#: Parts that a topic's notes are ranked in before they meet.
+PARTS = 16
 EVIDENCE, EVIDENCE_CHARS = 3, 700
 DEFINES = "(?i)(?:是指|指的是|means(?![A-Za-z0-9_])|refers to(?![A-Za-z0-9_]))"
 NO_NOTE = "_当前来源没有提供可用的正文说明，请查看原始文件或转换全文。_"
@@ -18,13 +21,13 @@ SUMMARIES, SUMMARY_CHARS = 12, 180
 
 
 def topic_key(title: Column) -> Column:
-    """titles that differ in width or case only are one topic."""
-    return F.lower(trim(fold_width(title)))
+    """titles that differ in compatibility form or case only are one topic."""
+    return F.lower(trim(nfkc(title)))
 
 
 def evidence(title: Column, lines: Column) -> Column:
     """The lines about a topic - else all - definitions first, three at most, shortened."""
-    about = F.filter(lines, lambda x: F.contains(F.lower(fold_width(x)), topic_key(title)))
+    about = F.filter(lines, lambda x: F.contains(F.lower(nfkc(x)), topic_key(title)))
     chosen = F.when(F.size(about) > 0, about).otherwise(lines)
     ranked = F.array_sort(F.transform(chosen, lambda x, i: F.struct((~x.rlike(DEFINES)).alias("r"), i.alias("i"), x.alias("x"))))
     few = F.slice(F.transform(ranked, lambda s: s["x"]), 1, EVIDENCE)
@@ -32,13 +35,18 @@ def evidence(title: Column, lines: Column) -> Column:
 
 
 def notes(sources: DataFrame, topics: str, kind: str) -> DataFrame:
-    """One row per (topic, source): ``sources`` has path, title, text, ord and the array ``topics``."""
-    each = sources.select("path", "title", "ord", content_paragraphs(F.col("text")).alias("lines"), F.explode(topics).alias("topic"))
-    each = each.withColumn("topic", readable_or(F.col("topic"), F.lit(""))).filter((F.col("topic") != "") & ~is_low_information(F.col("topic")))
-    each = each.withColumn("key", topic_key(F.col("topic"))).withColumn("kind", F.lit(kind))
-    one = each.groupBy("kind", "key", "path").agg(F.min_by(F.struct("topic", "title", "ord", "lines"), "ord").alias("n"))
-    found = evidence(F.col("n.topic"), F.col("n.lines"))
-    return one.select("kind", "key", "path", F.col("n.topic").alias("topic"), F.col("n.title").alias("title"), F.col("n.ord").alias("ord"), found.alias("evidence"))
+    """One row per (topic, source): ``sources`` has path, title, text, ord and the array ``topics``.
+
+    Evidence is cut where the text is, so what is shuffled is three short paragraphs a topic at most; a plan that
+    does not ask for them does not look at the text.
+    """
+    each = sources.select("path", "title", "ord", "text", F.explode(topics).alias("topic"))
+    each = each.withColumn("topic", readable_or(F.col("topic"), F.lit("")))
+    each = each.withColumn("key", topic_key(F.col("topic"))).filter((F.col("topic") != "") & ~is_low_information(F.col("topic")))
+    each = each.withColumn("kind", F.lit(kind)).withColumn("evidence", evidence(F.col("topic"), content_paragraphs(F.col("text"))))
+    first = lambda c: F.min_by(c, "ord").alias(c)
+    one = each.groupBy("kind", "key", "path").agg(first("topic"), first("title"), F.min("ord").alias("ord"), first("evidence"))
+    return one.select("kind", "key", "path", "topic", "title", "ord", "evidence")
 
 
 def find_or_create(noted: DataFrame, existing: DataFrame, slug_of) -> DataFrame:
@@ -59,8 +67,13 @@ def merge(noted: DataFrame, before: DataFrame | None = None, most: int = MAX_NOT
     every = now if before is None else before.withColumn("_new", F.lit(0)).unionByName(now)
     held = F.struct((F.size("evidence") == 0).cast("int").alias("empty"), "_new")
     one = every.groupBy("kind", "key", "path").agg(F.min_by(F.struct("topic", "title", "evidence"), held).alias("n"), F.min(F.struct("_new", "ord")).alias("at"))
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("at", "path", F.col("n.title").alias("title"), F.col("n.evidence").alias("evidence")))), 1, most)
-    out = one.groupBy("kind", "key").agg(F.min_by("n.topic", "at").alias("topic"), listed.alias("l"))
+    # Ranked and cut before they are collected, first in parts: a topic that most sources have is never in one task whole.
+    one = one.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)))
+    for by in (["kind", "key", "part"], ["kind", "key"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("at", "path"))
+        one = one.withColumn("place", place).filter(F.col("place") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("place", "path", F.col("n.title").alias("title"), F.col("n.evidence").alias("evidence"))))
+    out = one.groupBy("kind", "key").agg(F.min_by("n.topic", "place").alias("topic"), listed.alias("l"))
     return out.select(
         "kind", "key", "topic", F.transform("l", lambda x: x["path"]).alias("sources"), F.transform("l", lambda x: F.struct(x["path"], x["title"], x["evidence"])).alias("notes")
     )

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from folioforge.functions import markdown, text
 from folioforge.functions.query import anchors, search_tokens, tokenize
 from folioforge.operators import activity, analyze, graph, lint, listing, registry, search, topics
+from folioforge.operators.tables import materialise
 from folioforge.plans import shapes
 from folioforge.plans.shapes import table
 
@@ -69,13 +70,21 @@ def sql_excerpt(x: str, tokens: list[str], most: int = 260) -> str:
     return f"(SELECT trim(substr(f, greatest(0, {at} - {most // 2}) + 1, {most})) FROM (SELECT {flat} AS f))"
 
 
+def sql_needle(x: str, q: str) -> str:
+    """The excerpt around the query if the text has it, else around its first token found, else around any."""
+    whole = sql_excerpt(x, tokenize(q))
+    cases = [f"WHEN contains(lower({x}), {_quote(q.strip().lower())}) THEN {whole}"]
+    cases += [f"WHEN contains(lower({x}), {_quote(t)}) THEN {sql_excerpt(x, tokenize(t))}" for t in search_tokens(q)]
+    return f"CASE {' '.join(cases)} ELSE {whole} END"
+
+
 _STOP = "(" + ", ".join(_quote(w) for w in text.STOP_WORDS) + ")"
 TOKENS = f"""tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]{{2,}}')) AS word FROM documents),
 tf AS (SELECT doc_id, word, count(*)::BIGINT AS n FROM tk WHERE word NOT IN {_STOP} GROUP BY ALL)"""
 
 REG = """reg AS (SELECT d.doc_id::VARCHAR AS id, 'doc' || d.doc_id || '.md' AS fileName,
     'raw/sources/' || source || '/doc' || d.doc_id || '.md' AS relativePath, 'markdown' AS kind, n_chars AS size, sha256(text) AS sha256,
-    substr(text, 1, 200) AS summary,
+    split_part(text, chr(10), 1) AS summary,
     CASE WHEN quality = 1 THEN 'ready' WHEN quality = 0 THEN 'failed' ELSE 'queued' END AS status,
     CASE WHEN quality = 1 THEN 'wiki/notes/' || lpad(d.doc_id::VARCHAR, 8, '0') || '.md' END AS wikiPath,
     CASE WHEN d.doc_id % 3 = 0 THEN 'wiki/notes/' || lpad(d.doc_id::VARCHAR, 8, '0') || '.md' END AS convertedPath,
@@ -87,9 +96,10 @@ QU = """qu AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS sourceId, ts
 WEB = """web AS (SELECT page_id, 'wiki/web/' || lpad(page_id::VARCHAR, 8, '0') || '.md' AS path,
     trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, html FROM pages),
 href AS (SELECT DISTINCT page_id, path, unnest(regexp_extract_all(html, '(?i)href="([^"]*)"', 1)) AS href FROM web)"""
-FEW = "few AS (SELECT href FROM href GROUP BY href HAVING count(*) BETWEEN 2 AND 4)"
-PAIRS = f"""WITH {WEB}, {FEW},
-pr AS (SELECT a.page_id AS a, b.page_id AS b, a.href FROM href a JOIN few USING (href) JOIN href b ON b.href = a.href AND a.page_id < b.page_id)"""
+PAIRS = f"""WITH {WEB},
+hr AS (SELECT *, row_number() OVER (PARTITION BY href ORDER BY page_id) AS rn FROM href),
+few AS (SELECT * FROM hr WHERE rn <= {graph.PAGES_PER_SOURCE}),
+pr AS (SELECT a.page_id AS a, b.page_id AS b, a.href FROM few a JOIN few b ON b.href = a.href AND a.page_id < b.page_id)"""
 
 
 # ---------------------------------------------------------------- search, answers, research
@@ -105,10 +115,13 @@ def _sql_search(q: str, limit: int = 12) -> str:
     s = sql_score(searchable, title, q)
     return f"""{PG}, {REG}, {sql_hits(q, 'h', limit)},
 src AS (SELECT coalesce(wikiPath, convertedPath, relativePath) AS path, fileName AS title, kind AS type,
-    {s} + CASE WHEN wikiPath IS NOT NULL OR convertedPath IS NOT NULL THEN 2 ELSE 0 END AS score, {s} AS s FROM reg WHERE status = 'ready'),
-al AS (SELECT path, title, type, score, 0 AS origin, row_number() OVER (ORDER BY score DESC, path) AS ord FROM h
-    UNION ALL SELECT path, title, type, score, 1, row_number() OVER (ORDER BY score DESC, path) FROM src WHERE s > 0),
-de AS (SELECT path, arg_max(title, (score, -origin, -ord)) AS title, arg_max(type, (score, -origin, -ord)) AS type, max(score) AS score, min((origin, ord)) AS first FROM al GROUP BY path),
+    CASE WHEN summary <> '' THEN summary ELSE fileName || chr(10) || relativePath END AS body,
+    {s} + CASE WHEN wikiPath IS NOT NULL OR convertedPath IS NOT NULL THEN 2 ELSE 0 END AS score, {s} AS s FROM reg WHERE status = 'ready'
+    AND NOT regexp_matches(summary, '\\?{{3,}}') AND NOT contains(summary, chr(65533))),
+al AS (SELECT path, title, type, score, body, 0 AS origin, row_number() OVER (ORDER BY score DESC, path) AS ord FROM h
+    UNION ALL SELECT path, title, type, score, body, 1, row_number() OVER (ORDER BY score DESC, path) FROM src WHERE s > 0),
+de AS (SELECT path, arg_max(title, (score, -origin, -ord)) AS title, arg_max(type, (score, -origin, -ord)) AS type, arg_max(body, (score, -origin, -ord)) AS body,
+    max(score) AS score, min((origin, ord)) AS first FROM al GROUP BY path),
 fin AS (SELECT * FROM de ORDER BY score DESC, first LIMIT {limit})"""
 
 
@@ -152,10 +165,16 @@ def search_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.many_hits(shapes.doc_pages(spark, sf_dir), list(QUERIES_3)).select("query", F.col("place").cast("long").alias("place"), "path", "score")
 
 
-@query(None)
+@query(
+    f"""WITH {_sql_search(QUERY)}, e AS (SELECT path, title, type, score, first, {sql_needle('body', QUERY)} AS excerpt FROM fin),
+a AS (SELECT * FROM e WHERE {' OR '.join(f"contains(lower(title || chr(10) || excerpt || chr(10) || path), {_quote(x)})" for x in anchors(QUERY))}),
+m AS (SELECT *, max(score) OVER () AS top FROM a)
+SELECT path, title, type, score::BIGINT AS score, excerpt, path AS citations FROM m WHERE top >= 18 AND score >= greatest(18, floor(0.3::DOUBLE * top)) ORDER BY score DESC, first LIMIT 8"""
+)
 def answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of an answer with excerpts and citations."""
-    return search.answer(shapes.doc_pages(spark, sf_dir), QUERY, shapes.registry(spark, sf_dir)).select(*search.HIT_COLUMNS)
+    """Evidence of an answer with excerpts and citations."""
+    hits = search.answer(shapes.doc_pages(spark, sf_dir), QUERY, shapes.registry(spark, sf_dir))
+    return hits.select("path", "title", "type", "score", "excerpt", F.array_join("citations", "\n").alias("citations"))
 
 
 @query(f"SELECT doc_id, {sql_excerpt('text', tokenize(QUERY))} AS excerpt FROM documents")
@@ -341,7 +360,8 @@ def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {PAIRS.removeprefix('WITH ')}, e AS (SELECT a AS x, b AS y FROM pr UNION SELECT b, a FROM pr),
+    f"""WITH RECURSIVE {WEB}, fp AS (SELECT href, min(page_id) AS p FROM href GROUP BY href),
+e AS (SELECT page_id AS x, p AS y FROM href JOIN fp USING (href) UNION SELECT p, page_id FROM href JOIN fp USING (href)),
 r AS (SELECT page_id AS x, page_id AS root FROM web UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x),
 m AS (SELECT x AS page_id, min(root) AS root FROM r GROUP BY x)
 SELECT page_id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS community FROM m"""
@@ -369,14 +389,22 @@ def shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.join(b, (F.col("source") == F.col("s")) & (F.col("rn") < F.col("r2"))).select(F.col("source").alias("shared"), F.col("doc_id").alias("left_doc"), "right_doc")
 
 
-def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose title is their top keyword and whose links are the next three."""
-    words = text.top_keywords(F.col("text"), 4)
+def _linked_pages(spark: SparkSession, sf_dir: str, text_too: bool = False) -> DataFrame:
+    """Documents whose title is their top keyword and whose links are the next three.
+
+    Keywords are counted by one aggregation over the table; the small result is written once, since aliases and links
+    are both made of it.
+    """
+    docs = table(spark, sf_dir, "documents")
+    top = analyze.keyword_counts(docs, "doc_id", "text", 4).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    words = F.coalesce(F.transform("w", lambda x: x["word"]), F.array().cast("array<string>"))
     path = F.concat(F.lit("wiki/concepts/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), words.alias("w"), "source", "text")
-    return rows.select(
-        "path", F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("title"), F.lit("concept").alias("type"), F.slice("w", 2, 3).alias("links"), F.array("source").alias("sources"), F.col("doc_id").alias("ord"), "text"
+    rows = docs.select("doc_id", "source").join(top, "doc_id", "left").select("doc_id", path.alias("path"), words.alias("w"), "source")
+    rows = rows.select(
+        "path", F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("title"), F.lit("concept").alias("type"), F.slice("w", 2, 3).alias("links"), F.array("source").alias("sources"), F.col("doc_id").alias("ord")
     )
+    rows = materialise(rows, "linked")
+    return rows.join(docs.select(F.col("doc_id").alias("ord"), "text"), "ord") if text_too else rows
 
 
 LINKED = f"""{TOKENS}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM tf),
@@ -392,6 +420,44 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_links(_linked_pages(spark, sf_dir)).select("source", "link", "target")
 
 
+GRAPH = f"""WITH {LINKED.replace('am AS (', 'am0 AS (').replace('am.path AS target FROM ll LEFT JOIN am ON lower(link) = am.alias', 'am0.path AS target FROM ll LEFT JOIN am0 ON lower(link) = am0.alias')},
+pg AS (SELECT lp.path, title, ord, d.source AS src, (SELECT count(*) FROM ll WHERE ll.source = lp.path) AS nl FROM lp JOIN documents d ON d.doc_id = lp.ord
+    WHERE length(title) > 1 AND NOT regexp_matches(title, '(?i)^\\[?(?:{'|'.join(graph.ARTEFACTS)})\\]?$')),
+ch AS (SELECT *, row_number() OVER (ORDER BY nl DESC, ord DESC) AS o FROM pg QUALIFY o <= {graph.MAX_NODES * graph.CANDIDATES}),
+ca AS (SELECT alias, arg_max(path, (o, k)) AS path FROM (SELECT o, path, lower(unnest([title, path, 'concepts/' || ord, ord::VARCHAR])) AS alias, unnest([0, 1, 2, 3]) AS k FROM ch) GROUP BY alias),
+le AS (SELECT ch.path AS s, ca.path AS t, 0 AS f, ch.o AS a, ll.place - 2 AS b, 0 AS i, 0 AS j FROM ch JOIN ll ON ll.source = ch.path JOIN ca ON ca.alias = lower(ll.link)
+    WHERE ca.path <> ch.path ORDER BY a, b LIMIT {graph.MAX_EDGES}),
+sr AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord DESC, o) AS rn, min(o) OVER (PARTITION BY src) AS seen FROM ch WHERE src IS NOT NULL),
+se AS (SELECT x.path AS s, y.path AS t, 1 AS f, x.seen AS a, 0 AS b, x.rn AS i, y.rn AS j FROM sr x JOIN sr y ON x.src = y.src AND x.rn < y.rn AND y.rn <= {graph.PAGES_PER_SOURCE}
+    ORDER BY a, b, i, j LIMIT {graph.MAX_EDGES}),
+me AS (SELECT least(s, t) AS lo, greatest(s, t) AS hi, arg_min(s, (f, a, b, i, j)) AS source, arg_min(t, (f, a, b, i, j)) AS target, sum(3)::BIGINT AS weight, min((f, a, b, i, j)) AS first
+    FROM (SELECT * FROM le UNION ALL SELECT * FROM se) GROUP BY ALL ORDER BY first LIMIT {graph.MAX_EDGES}),
+dg AS (SELECT path, count(*) AS degree FROM (SELECT source AS path FROM me UNION ALL SELECT target FROM me) GROUP BY path),
+nd AS (SELECT ch.path, title, nl, coalesce(degree, 0) AS degree, row_number() OVER (ORDER BY (coalesce(degree, 0) > 0) DESC, 10 * nl + 12 * coalesce(degree, 0) DESC,
+    CASE WHEN coalesce(degree, 0) > 0 THEN 1 ELSE 2 END, o) AS place FROM ch LEFT JOIN dg USING (path) QUALIFY place <= {graph.MAX_NODES}),
+ke AS (SELECT * FROM me WHERE source IN (SELECT path FROM nd) AND target IN (SELECT path FROM nd))"""
+
+
+@query(f"{GRAPH} SELECT source, target, weight FROM ke")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the selected nodes."""
+    pages = _linked_pages(spark, sf_dir).withColumn("mtime", F.timestamp_seconds(F.col("ord")))
+    return graph.build(pages)[1].select("source", "target", "weight")
+
+
+@query(
+    f"""{GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)}, ad AS (SELECT source AS x, target AS y FROM ke UNION SELECT target, source FROM ke),
+r AS (SELECT path AS x, place AS root FROM nd UNION SELECT ad.y, r.root FROM r JOIN ad ON ad.x = r.x), m AS (SELECT x AS path, min(root) AS root FROM r GROUP BY x),
+inn AS (SELECT path, count(*) AS k FROM (SELECT source AS path FROM ke UNION ALL SELECT target FROM ke) GROUP BY path)
+SELECT nd.path, title, (dense_rank() OVER (ORDER BY root) - 1)::INT AS community, greatest(1, nl + 1 + degree, coalesce(k + 1, 1))::BIGINT AS weight
+FROM nd JOIN m USING (path) LEFT JOIN inn USING (path)"""
+)
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected nodes with community and weight."""
+    pages = _linked_pages(spark, sf_dir).withColumn("mtime", F.timestamp_seconds(F.col("ord")))
+    return graph.build(pages)[0].select("path", "title", "community", F.col("weight").cast("long").alias("weight"))
+
+
 @query(None)
 def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the graph with community, weight and place."""
@@ -431,12 +497,57 @@ def lint_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.missing(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query(None)
+def _sql_issue(order: int, severity: str, check: str, rows: str, detail: str = "''", path: str = "path", ord_: str = "ord") -> str:
+    return f"SELECT {order} AS o, '{severity}' AS severity, {path} AS path, '{check}' AS \"check\", {detail} AS detail, {ord_} AS ord FROM {rows}"
+
+
+_CHECKS = (
+    _sql_issue(1, "warning", "no_front_matter", "sp WHERE NOT starts_with(text, '---')"),
+    _sql_issue(2, "warning", "no_h1", "sp WHERE NOT regexp_matches(text, '(?m)^#\\s+.+$')"),
+    _sql_issue(7, "error", "broken_link", "res0", "link", "source"),
+    _sql_issue(8, "info", "orphan_page", "sp WHERE path NOT IN (SELECT target FROM res1 WHERE target IS NOT NULL)"),
+    _sql_issue(9, "warning", "duplicate_title", "(SELECT *, count(*) OVER (PARTITION BY lower(title)) AS n FROM sp) WHERE n > 1", "title || ' x' || n"),
+    _sql_issue(10, "error", "source_failed", "reg WHERE status = 'failed'", "coalesce(error, '未知错误。')", '"relativePath"'),
+    _sql_issue(11, "error", "raw_file_missing", 'reg WHERE status <> \'failed\' AND "relativePath" NOT IN (SELECT path FROM disk)', path='"relativePath"'),
+    _sql_issue(12, "error", "source_page_gone", 'reg WHERE status <> \'failed\' AND "wikiPath" <> \'\' AND "wikiPath" NOT IN (SELECT path FROM sp UNION SELECT path FROM disk)', '"wikiPath"', '"relativePath"'),
+    _sql_issue(13, "error", "converted_page_gone", 'reg WHERE status <> \'failed\' AND "convertedPath" <> \'\' AND "convertedPath" NOT IN (SELECT path FROM sp UNION SELECT path FROM disk)', '"convertedPath"', '"relativePath"'),
+)
+
+
+@query(
+    f"""WITH {LINKED}, {REG}, tot AS (SELECT count(*) AS n FROM lp), sp AS (SELECT lp.*, d.text FROM lp JOIN documents d ON d.doc_id = lp.ord ORDER BY lp.ord LIMIT {lint.MAX_PAGES}),
+disk AS (SELECT "relativePath" AS path FROM reg WHERE status <> 'queued'),
+sa AS (SELECT alias, arg_max(path, (ord, k)) AS path FROM (SELECT ord, path, lower(unnest([title, path, 'concepts/' || ord, ord::VARCHAR])) AS alias, unnest([0, 1, 2, 3]) AS k FROM sp) GROUP BY alias),
+res1 AS (SELECT sp.path AS source, sp.ord, ll.link, sa.path AS target FROM sp JOIN ll ON ll.source = sp.path LEFT JOIN sa ON sa.alias = lower(ll.link)),
+res0 AS (SELECT * FROM res1 WHERE target IS NULL AND (SELECT n FROM tot) <= {lint.MAX_PAGES}),
+i AS (SELECT 0 AS o, 'info' AS severity, 'wiki/index.md' AS path, 'scan_limited' AS "check", '{lint.MAX_PAGES}' AS detail, 0 AS ord FROM tot WHERE n > {lint.MAX_PAGES} UNION ALL """
+    + " UNION ALL ".join(_CHECKS)
+    + f""")
+SELECT sha256(concat_ws(chr(31), severity, path, "check", detail)) AS id, severity, path, "check", detail FROM i
+ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, o, ord, path, detail LIMIT {lint.MAX_ISSUES}"""
+)
 def lint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks over documents as pages and registry."""
-    pages = _linked_pages(spark, sf_dir).select("path", "title", "type", F.col("text").alias("content"), F.col("text").alias("body"), "sources", "links", F.lit(None).cast("string").alias("source_path"), "ord")
+    """All checks over documents as pages and registry; files exist for the records that are not queued."""
+    pages = _linked_pages(spark, sf_dir, text_too=True)
+    pages = pages.select("path", "title", "type", F.col("text").alias("content"), F.col("text").alias("body"), "sources", "links", F.lit(None).cast("string").alias("source_path"), "ord")
+    reg = shapes.registry(spark, sf_dir)
+    return lint.lint(pages, reg, reg.filter("status <> 'queued'").select(F.col("relativePath").alias("path")))
+
+
+@query(
+    f"""WITH {LINKED}, {REG}, sp AS (SELECT lp.*, d.text FROM lp JOIN documents d ON d.doc_id = lp.ord),
+i AS ({_CHECKS[0]} UNION ALL {_CHECKS[1]} UNION ALL {_CHECKS[4]} UNION ALL {_CHECKS[5]})
+SELECT severity, count(*)::BIGINT AS n FROM i GROUP BY severity"""
+)
+def lint_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by severity, of four checks over all pages and records."""
+    pages = _linked_pages(spark, sf_dir, text_too=True).withColumnRenamed("text", "content")
     reg = shapes.registry(spark, sf_dir)
-    return lint.lint(pages, reg, reg.filter("ord % 5 <> 0").select(F.col("relativePath").alias("path")))
+    found = lint.issue(pages.filter(~F.col("content").startswith("---")), 1, "warning", "no_front_matter")
+    found = found.unionByName(lint.issue(pages.filter(~F.col("content").rlike("(?m)^#\\s+.+$")), 2, "warning", "no_h1"))
+    found = found.unionByName(lint.issue(lint.duplicate_titles(pages), 9, "warning", "duplicate_title"))
+    found = found.unionByName(lint.issue(reg.filter("status = 'failed'"), 10, "error", "source_failed", F.col("error"), "relativePath"))
+    return lint.severity_counts(found)
 
 
 # ---------------------------------------------------------------- activity
@@ -533,7 +644,7 @@ def file_listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.sources_page(shapes.registry(spark, sf_dir), "src1", 50, 20).select("fileName", "status", "total")
 
 
-@query("WITH s AS (SELECT doc_id, 'p' || source AS section, row_number() OVER (PARTITION BY source ORDER BY 'wiki/p' || source || '/' || doc_id) AS place FROM documents) SELECT section, doc_id, place::INT AS place FROM s WHERE place <= 10")
+@query("WITH s AS (SELECT doc_id, 'p' || source AS section, row_number() OVER (PARTITION BY source ORDER BY 'wiki/p' || source || '/' || doc_id) AS place FROM documents) SELECT section, doc_id, place::INT AS place FROM s WHERE place <= 300")
 def pages_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15."""
     path = F.concat(F.lit("wiki/p"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
@@ -542,15 +653,18 @@ def pages_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- registry
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two states of an index: all but every seventh document, and all but every fifth with some changed."""
-    docs = table(spark, sf_dir, "documents")
-    old = docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("signature"))
-    changed = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return old, docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.sha2(changed, 256).alias("signature"))
+    """Two states of an index: labelled documents and conversations before, all documents now, toxic ones changed."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    chats = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id")).distinct()
+    both = docs.join(labels, "doc_id", "left")
+    ident = F.col("doc_id").cast("string").alias("id")
+    old = both.filter("toxic IS NOT NULL").select(ident, F.sha2("text", 256).alias("signature")).unionByName(chats.withColumn("signature", F.lit("chat")))
+    now = F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return old, both.select(ident, F.sha2(now, 256).alias("signature"))
 
 
-VERSIONS = """o AS (SELECT doc_id AS id, sha256(text) AS s FROM documents WHERE doc_id % 7 <> 0),
-n AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS s FROM documents WHERE doc_id % 5 <> 0)"""
+VERSIONS = """o AS (SELECT d.doc_id::VARCHAR AS id, sha256(text) AS s FROM documents d JOIN labels l ON l.doc_id = d.doc_id UNION ALL SELECT DISTINCT 'c' || conv_id, 'chat' FROM conversations),
+n AS (SELECT d.doc_id::VARCHAR AS id, sha256(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS s FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 @query(f"WITH {VERSIONS} SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.s = n.s THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN n ON o.id = n.id")
@@ -566,25 +680,25 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {REG}, c AS (SELECT 'raw/sources/' || source || '/doc' || doc_id || '.md' AS p, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END) AS h FROM documents WHERE doc_id % 3 <> 1),
-old AS (SELECT * FROM reg WHERE ord % 4 <> 0)
+    f"""WITH {REG}, c AS (SELECT 'raw/sources/' || source || '/doc' || doc_id || '.md' AS p, sha256(CASE WHEN lang = 'en' THEN text ELSE text || '!' END) AS h FROM documents),
+old AS (SELECT * FROM reg WHERE status <> 'queued')
 SELECT p AS "relativePath", CASE WHEN old.id IS NULL THEN 'inserted' WHEN sha256 = h AND status = 'ready' AND convertedPath IS NOT NULL THEN 'skipped' ELSE 'updated' END AS action FROM c LEFT JOIN old ON old.relativePath = p"""
 )
 def source_upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What registering two thirds of the files does to a registry of three quarters."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 1")
+    """What registering all files, those not in English changed, does to a registry of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
     path = F.concat(F.lit("raw/sources/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".md"))
-    text_ = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!")))
+    text_ = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("text", F.lit("!")))
     files = docs.select(path.alias("relativePath"), F.col("n_chars").alias("size"), F.sha2(text_, 256).alias("sha256"))
-    reg = shapes.registry(spark, sf_dir).filter("ord % 4 <> 0")
+    reg = shapes.registry(spark, sf_dir).filter("status <> 'queued'")
     return registry.register(files, reg, shapes.queue(spark, sf_dir), F.lit("2024-06-01 00:00:00").cast("timestamp"))[2]
 
 
-@query(f"WITH {REG} SELECT id, CASE WHEN ord % 6 = 0 THEN 'skipped' ELSE status END AS status, CASE WHEN ord % 6 = 0 THEN 'patched' ELSE error END AS error FROM reg")
+@query(f"WITH {REG} SELECT id, CASE WHEN status = 'failed' THEN 'skipped' ELSE status END AS status, CASE WHEN status = 'failed' THEN 'patched' ELSE error END AS error FROM reg")
 def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J16."""
     reg = shapes.registry(spark, sf_dir)
-    patches = reg.filter("ord % 6 = 0").select("id", F.lit("skipped").alias("status"), F.lit("patched").alias("error"))
+    patches = reg.filter("status = 'failed'").select("id", F.lit("skipped").alias("status"), F.lit("patched").alias("error"))
     return registry.apply_patches(reg.select("id", "status", "error"), patches)
 
 

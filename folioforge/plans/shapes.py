@@ -22,7 +22,7 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as registry records: labelled good ones are ready, bad ones failed, others queued."""
+    """Documents as registry records: labelled good ones are ready, bad ones failed, others queued; the first line is the summary."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))
     status = F.when(F.col("quality") == 1, "ready").when(F.col("quality") == 0, "failed").otherwise("queued")
@@ -35,7 +35,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").alias("size"),
         F.sha2("text", 256).alias("sha256"),
         F.lit(None).cast("string").alias("title"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("summary"),
         F.when(status == "ready", page).alias("wikiPath"),
         F.when(F.col("doc_id") % 3 == 0, page).alias("convertedPath"),
         F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("importedAt"),

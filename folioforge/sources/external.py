@@ -43,6 +43,26 @@ def results(payloads: DataFrame) -> DataFrame:
     return out
 
 
+# The fields of an external index and their types.
+INDEX_FIELDS = {"project_id": "string", "path": "string", "kind": "string", "title": "string", "content": "string", "type": "string", "citations": "string[]"}
+
+
+def index_gaps(fields: dict[str, str]) -> list[str]:
+    """The fields that a collection lacks or has under another type; it can be used if there are none."""
+    return [name for name, kind in INDEX_FIELDS.items() if fields.get(name) != kind]
+
+
+def collection_name(project_id: str, wanted: str = "") -> str:
+    """The collection of a project: the one asked for, else one made of a hash of its id."""
+    import hashlib
+    import re
+
+    name = wanted.strip() or f"wiki_{hashlib.sha256(project_id.encode()).hexdigest()[:24]}"
+    if not re.fullmatch(r"[A-Za-z0-9_-]{1,100}", name):
+        raise ValueError("a collection's name has letters, digits, underscores and hyphens, at most 100")
+    return name
+
+
 def pick_fields(columns: list[str], most: int = 24) -> list[str]:
     """The text fields of a collection, known names first."""
     known = [c for c in TEXT_FIELDS if c in columns]

@@ -243,6 +243,24 @@ def pdf_pages(texts_: DataFrame, text: str = "text") -> DataFrame:
     return texts_.select(*[c for c in texts_.columns if c != text], F.posexplode(parts).alias("page", "page_text"))
 
 
+def media(archives: DataFrame, folder: str) -> DataFrame:
+    """Z3: the pictures inside office documents: (archive, asset, size, path below ``folder``), in order of name; bytes stay where they are."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for archive, data in zip(pdf["relativePath"], pdf["content"], strict=True):
+                try:
+                    entries = zipfile.ZipFile(io.BytesIO(bytes(data))).infolist()
+                except zipfile.BadZipFile:
+                    continue
+                out += [(archive, e.filename, e.file_size) for e in sorted(entries, key=lambda e: e.filename) if re.match("(word|ppt|xl)/media/[^/]+$", e.filename)]
+            yield pd.DataFrame(out, columns=["archive", "asset", "size"])
+
+    found = archives.select("relativePath", "content").mapInPandas(run, "archive string, asset string, size long")
+    return found.withColumn("path", F.concat(F.lit(f"{folder.rstrip('/')}/"), F.sha2("archive", 256).substr(1, 12), F.lit("/"), F.regexp_extract("asset", "([^/]*)$", 1)))
+
+
 # ---------------------------------------------------------------- archives, clips, uploads
 def unzip(archives: DataFrame, max_entries: int = MAX_ENTRIES, max_entry: int = MAX_ENTRY, max_total: int = MAX_TOTAL) -> DataFrame:
     """Entries of archives (relativePath, content): repaired safe names, told apart within an archive.

@@ -1,4 +1,4 @@
-"""Sinks: atomic tables, pages as text files, append-only logs, index upserts."""
+"""Sinks: atomic tables, pages as text files, append-only logs, index upserts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.markdown import blockquote, bullet_list, escape, wiki_link
+from folioforge.functions.paths import is_unsafe_entry
 
 
 def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -23,9 +24,28 @@ def append_log(spark: SparkSession, path: str, kind: str, text: str) -> None:
 
 
 def write_pages(pages: DataFrame, root: str, path: str = "path", body: str = "body") -> None:
-    """Pages as rows of text, one folder per page path, for readers that want files."""
-    safe = pages.filter(~F.col(path).rlike("(^/)|(^|/)\\.\\.(/|$)|^[A-Za-z]:"))
-    safe.select(F.regexp_replace(path, "/", "~").alias("page"), F.col(body).alias("value")).write.mode("overwrite").partitionBy("page").text(root)
+    """Pages as text files, a folder for each path, for readers that want files.
+
+    Pages that are there already and not among these stay as they are.  A path that is empty or leads out of the root
+    is an error, and nothing is written.  Spark escapes a path into a folder's name and back, so no two paths share one.
+    """
+    bad = pages.filter(F.col(path).isNull() | (F.trim(path) == "") | is_unsafe_entry(F.col(path)))
+    if not bad.isEmpty():
+        raise ValueError(f"unsafe page path: {bad.first()[path]!r}")
+    rows = pages.groupBy(F.col(path).alias("page")).agg(F.max_by(body, F.xxhash64(body)).alias("value"))  # one file a page
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page").text(root)
+
+
+def read_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(path, body) of the pages that ``write_pages`` wrote."""
+    rows = spark.read.schema("value string, page string").text(root, wholetext=True)
+    return rows.select(F.col("page").alias("path"), F.regexp_replace("value", "\\n\\z", "").alias("body"))
+
+
+def keep_created(pages: DataFrame, before: DataFrame, now: Column) -> DataFrame:
+    """Pages (path, ...) with ``created``: what an earlier version of the page has, else ``now``."""
+    old = before.groupBy("path").agg(F.min("created").alias("_created"))
+    return pages.drop("created").join(old, "path", "left").withColumn("created", F.coalesce("_created", now)).drop("_created")
 
 
 def front_matter(**values: Column) -> Column:

@@ -88,25 +88,47 @@ def recover(queue: DataFrame) -> DataFrame:
 
 
 def circuit_broken(analyse: Callable[[str, str], dict], offline: Callable[[str, str], dict], schema: str) -> Callable[[DataFrame], DataFrame]:
-    """Rows (title, text) through ``analyse``; after its first failure a task uses ``offline`` for the rest."""
+    """Rows (title, text) through ``analyse``; once it has failed, the run goes on with ``offline``.
 
-    def apply(rows: DataFrame) -> DataFrame:
+    The returned function is the run: before each batch one row is tried, so a model that is gone is called once in
+    all, however many tasks there are.  If it goes away during a batch, each task that meets that stops calling it.
+    """
+    gone = []
+
+    def through(rows: DataFrame, alive: bool) -> DataFrame:
         def run(batches):
-            broken = False
+            works = alive
             for pdf in batches:
                 out = []
                 for title, text in zip(pdf["title"], pdf["text"], strict=True):
-                    if not broken:
+                    if works:
                         try:
                             out.append(analyse(title, text))
                             continue
                         except Exception:  # the model is gone; the offline analyser takes over
-                            broken = True
+                            works = False
                     out.append(offline(title, text))
                 yield pd.DataFrame(out)
 
         return rows.select("title", "text").mapInPandas(run, schema)
 
+    def works(rows: DataFrame) -> bool:
+        def run(batches):
+            for pdf in batches:
+                for title, text in zip(pdf["title"], pdf["text"], strict=True):
+                    try:
+                        analyse(title, text)
+                        yield pd.DataFrame({"ok": [True]})
+                    except Exception:
+                        yield pd.DataFrame({"ok": [False]})
+
+        return all(r.ok for r in rows.select("title", "text").limit(1).coalesce(1).mapInPandas(run, "ok boolean").collect())
+
+    def apply(rows: DataFrame) -> DataFrame:
+        if not gone and not works(rows):
+            gone.append(True)
+        return through(rows, not gone)
+
     return apply
 
 

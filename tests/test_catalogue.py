@@ -1,5 +1,8 @@
+import re
+
 import pytest
 
+from folioforge.plans import inline  # noqa: F401
 from folioforge.plans.catalogue import QUERIES
 from tests.oracle import SF, same
 
@@ -30,6 +33,28 @@ def test_scan_is_pruned(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_search_asks_for_tokens_before_quality_and_scores_last(spark):
+    plan = QUERIES["search_topk"][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    where = plan[plan.index("Filter") :]
+    # A token is looked for first; only then is the body asked whether it can be read, and nothing is counted there.
+    assert 0 < where.index("Contains(") < where.index("RLIKE") and not re.search("(?<!regexp_)replace\\(", where.split("FileScan")[0])
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_the_registry_is_not_ranked(spark):
+    from folioforge.operators import search
+    from folioforge.plans import shapes
+
+    plan = search.search(shapes.doc_pages(spark, SF), "the thin", shapes.registry(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window") :]
+    assert plan.count("Window [") == 1 and "TakeOrderedAndProject" in below  # the only window is over the rows that are left
+
+
+def test_topics_without_evidence_do_not_read_paragraphs(spark):
+    plan = QUERIES["topic_sources"][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "是指" not in plan and "refers to" not in plan
+
+
 def test_order_of_partitions_does_not_matter(spark):
     from folioforge.operators import search
     from folioforge.plans import shapes

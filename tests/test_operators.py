@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from folioforge.operators import activity, analyze, graph, lint, listing, registry, search, topics
+from folioforge.operators import activity, analyze, graph, lint, listing, projects, registry, search, topics
 
 T0 = dt.datetime(2024, 1, 1)
 PAGE = "path string, title string, type string, body string"
@@ -233,3 +233,61 @@ def test_hrefs_and_uploads(spark):
     assert {r.href: r.path for r in listing.resolve_hrefs(links, pages).collect()} == {"Title": "wiki/y/b.md", "x/a": "wiki/x/a.md"}
     chunks = spark.createDataFrame([("u", 0, 0, 3), ("u", 1, 3, 2), ("v", 0, 0, 3), ("v", 1, 4, 2)], "upload_id string, idx int, offset long, size long")
     assert {r.upload_id: r.complete for r in listing.chunks_in_order(chunks).collect()} == {"u": True, "v": False}
+
+
+def test_projects(spark):
+    import pytest
+
+    now = F.lit(T0)
+    rows = spark.createDataFrame([], projects.PROJECT)
+    for name in ("My Wiki", "My Wiki", "My Wiki!", "数据", "!!!"):
+        rows = projects.create(rows, name, " d ", now)
+    got = [r.id for r in rows.collect()]
+    assert got[:4] == ["my-wiki", "my-wiki-2", "my-wiki-3", "数据"] and got[4].startswith("wiki-")
+    assert projects.get(rows, "my-wiki-2").first().description == "d"
+    assert projects.listed(rows, "/data/").first().root == "/data/projects/my-wiki"
+    assert projects.touch(rows, "my-wiki", F.lit(T0 + dt.timedelta(days=1))).filter("updatedAt > createdAt").count() == 1
+    with pytest.raises(KeyError):
+        projects.get(rows, "none")
+    for bad in ("", " ", "x" * 201):
+        with pytest.raises(ValueError):
+            projects.create(rows, bad, "", now)
+
+
+def test_chats_and_turns(spark):
+    import pytest
+
+    chats = spark.createDataFrame([(1, 1, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    assert [r.text for r in listing.read_chat(chats, 1).collect()] == ["a", "b"]
+    with pytest.raises(KeyError):
+        listing.read_chat(chats, 9)
+    requests = spark.createDataFrame([(1, True), (1, False), (2, True), (2, False), (3, True)], "conv_id long, uses_history boolean")
+    active = spark.createDataFrame([(1, False), (2, False), (2, True)], "conv_id long, uses_history boolean")
+    got = sorted((r.conv_id, r.uses_history, r.admitted) for r in listing.admit_turns(requests, active).collect())
+    assert got == [(1, False, True), (1, True, False), (2, False, False), (2, True, False), (3, True, True)]
+
+
+def test_upload_sessions(spark):
+    declared = spark.createDataFrame([("a", 10), ("b", 10), ("c", 5)], "upload_id string, total long")
+    rows = [("a", 0, 0, 4), ("a", 0, 0, 4), ("a", 1, 4, 6), ("b", 0, 0, 4), ("b", 2, 8, 2)]
+    got = {r.upload_id: (r.received, r.complete) for r in listing.upload_sessions(declared, spark.createDataFrame(rows, "upload_id string, idx int, offset long, size long")).collect()}
+    assert got == {"a": (10, True), "b": (4, False), "c": (0, False)}
+
+
+def test_index_schema():
+    from folioforge.sources import external
+
+    assert external.index_gaps(external.INDEX_FIELDS | {"more": "int32"}) == []
+    assert external.index_gaps({**external.INDEX_FIELDS, "title": "int32"}) == ["title"] and len(external.index_gaps({})) == 7
+    assert external.collection_name("p").startswith("wiki_") and external.collection_name("p", " own ") == "own"
+
+
+def test_many_notes_of_a_topic_are_cut_before_they_are_collected(spark):
+    noted = spark.range(50).select(
+        F.lit("concept").alias("kind"), F.lit("k").alias("key"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit("K").alias("topic"),
+        F.lit("t").alias("title"), F.col("id").alias("ord"), F.array().cast("array<string>").alias("evidence"),
+    )
+    out = topics.merge(noted, most=7)
+    assert out.first().sources == [f"p{i}" for i in range(7)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") >= 2 and "part" in plan.split("collect_list")[-1]

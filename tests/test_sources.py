@@ -81,8 +81,19 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(t).collect()) == [1, 2, 3, 4]
     page = spark.range(1).select(sinks.source_page(*map(F.lit, ("raw/a", 'T "q"', "markdown", "sum")), F.array(F.lit("p")), F.array().cast("array<string>"), F.lit("x\ny"), F.lit("now")).alias("b")).first().b
     assert 'title: "T \\"q\\""' in page and "- p" in page and "_暂无_" in page and "> x\n> y" in page
-    sinks.write_pages(spark.createDataFrame([("wiki/a.md", "body"), ("../x", "no")], "path string, body string"), str(tmp_path / "pages"))
-    assert [d for d in os.listdir(tmp_path / "pages") if d.startswith("page=")] == ["page=wiki~a.md"]
+
+
+def test_pages_are_added_and_unsafe_paths_refused(spark, tmp_path):
+    root, schema = str(tmp_path / "pages"), "path string, body string"
+    write = lambda rows: sinks.write_pages(spark.createDataFrame(rows, schema), root)
+    write([("wiki/a.md", "one"), ("wiki~a.md", "tilde"), ("wiki/50%.md", "x\ny\n")])
+    write([("wiki/b.md", "two"), ("wiki/a.md", "new")])
+    want = {("wiki/a.md", "new"), ("wiki~a.md", "tilde"), ("wiki/50%.md", "x\ny\n"), ("wiki/b.md", "two")}
+    assert {tuple(r) for r in sinks.read_pages(spark, root).collect()} == want
+    for bad in ("../x", "/x", "a/../b", "C:x", "", None, "..\\x"):
+        with pytest.raises(ValueError):
+            write([("wiki/c.md", "no"), (bad, "no")])
+    assert {tuple(r) for r in sinks.read_pages(spark, root).collect()} == want
 
 
 def test_stream_resumes_and_skips_what_it_has_seen(spark, tmp_path):
@@ -109,13 +120,23 @@ def test_states_and_recovery(spark, tmp_path):
     assert {(r.id, r.status) for r in ingest.recover(queue).collect()} == {("a", "queued"), ("b", "done")}
 
 
-def test_circuit_breaker(spark):
-    def model(title, text):
-        raise RuntimeError("down")
+def test_circuit_breaker(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
 
-    rows = spark.createDataFrame([(str(i), "t") for i in range(8)], "title string, text string").coalesce(1)
-    got = ingest.circuit_broken(model, lambda t, x: {"title": t}, "title string")(rows).collect()
-    assert len(got) == 8
+    def model(title, text):
+        (calls / f"{os.getpid()}-{title}").write_text("x")
+        if title != "fine":
+            raise RuntimeError("down")
+        return {"title": "model"}
+
+    run = ingest.circuit_broken(model, lambda t, x: {"title": t}, "title string")
+    rows = spark.createDataFrame([(str(i), "t") for i in range(8)], "title string, text string").repartition(8)
+    assert sorted(r.title for r in run(rows).collect()) == [str(i) for i in range(8)]
+    assert len(run(rows).collect()) == 8 and len(os.listdir(calls)) == 1  # eight tasks, two batches, one call
+    alive = ingest.circuit_broken(model, lambda t, x: {"title": t}, "title string")
+    assert [r.title for r in alive(spark.createDataFrame([("fine", "t")] * 3, "title string, text string")).collect()] == ["model"] * 3
+    assert alive(rows.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("text,n", [("a\fb\f", 2), ("one", 1)])

@@ -125,3 +125,16 @@ def test_codecs(col):
     long = codecs.safe_name("长" * 100 + ".pdf")
     assert len(long.encode()) <= 180 and long.endswith(".pdf") and codecs.safe_name('a<b>:"c') == "a_b___c"
     assert codecs.shorten_utf8("中文", 4) == "中"
+
+
+def test_compatibility_forms(col):
+    assert col(text.nfkc, ["ﬁle ⑩ ㎏ ｶﾞ ＡＢ", "e\u0301", "plain", None]) == ["file 10 kg ガ AB", "é", "plain", None]
+    assert col(text.slug, ["Crème Brûlée", "ﬁne №5", "Ångström"]) == ["creme-brulee", "fine-no5", "angstrom"]
+    assert col(text.is_low_information, ["１２３", "⑫㎏", "ﬁle", "ｶﾞｲﾄﾞ", "Überblick"]) == [True, True, True, True, False]
+
+
+def test_low_quality_is_seen_in_sound_bodies_too(spark):
+    rows = [("t", "good text"), ("??", "good text"), (None, "good text"), ("t", "bad ??? text"), ("t", "bad \ufffd"), ("无法识别的问题", "good"), ("t", "?!"), ("t", "!"), ("", ""), ("t", None), (None, None), ("a", "锟斤拷")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, b string")
+    got = [r.q for r in df.orderBy("i").select(text.is_low_quality(F.col("t"), F.col("b")).alias("q")).collect()]
+    assert got == [False, True, False, True, True, True, False, False, True, False, True, True]
