@@ -4,10 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 the next stage's ``docs``.  All but the last return the columns of ``docs``.  The mixture repeats rows
 that it takes more than once, so the last stage lists them as often.  Rows with null or empty text fail
 the first stage.
+
+The token files are the pipeline's product and stay when the session ends: in a new folder below
+``spark.folioforge.output``, or the warehouse where that is not set, which is logged.  ``wavelet.files`` opens them.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm import decontaminate, jaccard, mixing, quality, wavelet
@@ -37,7 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document's ids in the wavelet-matrix files."""
-    return wavelet.read(wavelet.write(docs, tokenizer()), wavelet.crc32, "ids_crc32")
+    files = wavelet.write(docs, tokenizer())
+    logging.getLogger("folioforge").info("token files: %s", files.path)
+    return wavelet.read(files, wavelet.crc32, "ids_crc32")
 
 
 STAGES = [
