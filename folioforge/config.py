@@ -1,4 +1,4 @@
-"""Limits of an engine as one immutable value; operators take their own defaults from the same numbers."""
+"""Limits of an engine as one immutable value; operators take their own defaults from the same numbers."""
 
 from __future__ import annotations
 
@@ -29,12 +29,13 @@ class Settings:
     archive_total_mib: int = 10_240
 
     def override(self, **values: int | float | None) -> Settings:
-        """A copy with the given positive values; others are ignored, as unset."""
+        """A copy with the given positive values; others are ignored, as unset."""
         known = {f.name for f in fields(self)}
         return replace(self, **{k: v for k, v in values.items() if k in known and v is not None and v > 0})
 
     @classmethod
     def from_environment(cls, prefix: str = "FOLIOFORGE_") -> Settings:
+        """Settings from the environment; what is no number is ignored."""
         found = {}
         for f in fields(cls):
             try:

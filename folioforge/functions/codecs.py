@@ -1,4 +1,4 @@
-"""Byte-level decoding and file names as Arrow functions.
+"""Byte-level decoding and file names as Arrow functions.
 
 Spark's own ``decode`` has no GB18030 or Big5, so these run in Python, a batch at a time.
 """
@@ -19,7 +19,7 @@ _WRONG = re.compile("[Â-ÖØ-Ýâ€]")
 
 
 def score_text(value: str) -> float:
-    """How much a decoded text looks like language."""
+    """How much a decoded text looks like language."""
     good = 4 * len(_HAN.findall(value)) + 0.2 * len(re.findall("[A-Za-z0-9]", value)) + 12 * sum(value.count(t) for t in LEGAL_TERMS)
     bad = 30 * value.count("�") + 4 * sum(map(len, re.findall(r"\?{3,}", value))) + 20 * len(re.findall("[-]", value))
     return good - bad - 8 * len(_WRONG.findall(value)) - 30 * sum(value.count(t) for t in GARBLED_TERMS)
@@ -34,7 +34,7 @@ def _repairs(value: str):
 
 
 def decode_bytes(data: bytes) -> str:
-    """UTF-16 by its mark, UTF-8 if valid, else the best-scoring of the legacy codecs and repairs; first on ties."""
+    """UTF-16 by its mark, UTF-8 if valid, else the best-scoring of the legacy codecs and repairs; first on ties."""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return data.decode("utf-16", "replace")
     options = []

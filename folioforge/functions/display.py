@@ -1,4 +1,4 @@
-"""Columns for people and prompts."""
+"""Columns for people and prompts."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ MAX_ATTACHMENT_CHARS = 24_000
 
 
 def format_bytes(size: Column) -> Column:
-    """1536 as ``1.5 KB``."""
+    """1536 as ``1.5 KB``."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
         out = F.when(size >= 1024**power, F.concat(F.format_number(size / 1024**power, 1), F.lit(f" {unit}"))).otherwise(out)
@@ -21,6 +21,7 @@ def format_bytes(size: Column) -> Column:
 
 
 def format_time(ts: Column) -> Column:
+    """F36."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm")
 
 

@@ -244,6 +244,11 @@ def column_index(reference: Column) -> Column:
     return F.aggregate(letters, F.lit(0), lambda a, x: a * 26 + F.ascii(x) - 64) - 1
 
 
+def same_json(a: Column, b: Column) -> Column:
+    """Whether two values are equal as JSON."""
+    return F.to_json(a) == F.to_json(b)
+
+
 def nested_field(payload: Column, path: str) -> Column:
     """A value of a JSON document by dotted path."""
     return F.get_json_object(payload, f"$.{path}")

@@ -1,4 +1,4 @@
-"""Paths, kinds, page types and url predicates as Columns."""
+"""Paths, kinds, page types and url predicates as Columns."""
 
 from __future__ import annotations
 
@@ -31,11 +31,18 @@ NO_EVIDENCE_FILES = ("wiki/index.md", "wiki/log.md", "wiki/overview.md")
 MAX_RAW_BYTES = 4 << 20
 
 
+def is_small(size: Column) -> Column:
+    """P3."""
+    return size <= MAX_RAW_BYTES
+
+
 def extension(path: Column) -> Column:
+    """the ending, lower-cased, with its dot."""
     return F.lower(F.regexp_extract(path, "(\\.[^./\\\\]+)$", 1))
 
 
 def base_name(path: Column) -> Column:
+    """F27."""
     return F.regexp_extract(path, "([^/]*)$", 1)
 
 
@@ -44,6 +51,7 @@ def stem(path: Column) -> Column:
 
 
 def posix(path: Column) -> Column:
+    """forward slashes, none in front."""
     return F.regexp_replace(F.regexp_replace(path, "\\\\", "/"), "^/+", "")
 
 
@@ -78,6 +86,7 @@ def is_searchable(path: Column, root: str) -> Column:
 
 
 def is_supported(path: Column, archives: bool = False) -> Column:
+    """P14."""
     return extension(path).isin(*SUPPORTED, *([".zip"] if archives else []))
 
 
@@ -88,6 +97,7 @@ def is_unsafe_entry(path: Column) -> Column:
 
 
 def is_external(reference: Column) -> Column:
+    """P16."""
     return reference.rlike("(?i)^(?:https?:|mailto:|file:|data:)")
 
 

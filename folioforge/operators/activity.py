@@ -1,4 +1,4 @@
-"""Queue and registry activity."""
+"""Queue and registry activity."""
 
 from __future__ import annotations
 
@@ -42,6 +42,7 @@ def with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def limit_of(value: int | None, fallback: int) -> int:
+    """Z5, N1."""
     return fallback if not value or value <= 0 else min(MAX_LIMIT, int(value))
 
 
@@ -104,7 +105,7 @@ def newly_done(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def view(queue: DataFrame, sources: DataFrame, queue_limit: int | None = None, source_limit: int | None = None) -> dict[str, DataFrame]:
-    """The parts of an activity view, each a plan of its own."""
+    """The parts of an activity view, each a plan of its own."""
     return {
         "queue": with_source(quota_sample(queue, limit_of(queue_limit, 500)), sources),
         "sources": compact(recent_with_active(sources, limit_of(source_limit, 500))),

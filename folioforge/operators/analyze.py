@@ -1,4 +1,4 @@
-"""Offline document analysis: title, summary, key points, concepts, entities, questions.
+"""Offline document analysis: title, summary, key points, concepts, entities, questions.
 
 Native Columns throughout; a model can take its place as any function from (title, text) to the same struct.
 """
@@ -17,7 +17,7 @@ CONFIDENCE = 0.62
 
 
 def offline(title: Column, text: Column) -> Column:
-    """The analysis of a document as a struct."""
+    """The analysis of a document as a struct."""
     own = t.readable_or(title, F.lit(""))
     name = F.when((own != "") & ~t.is_low_information(own), own).otherwise(t.derive_title(text, F.lit("未命名来源")))
     signal = t.strip_low_signal(text)

@@ -125,7 +125,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which both ends are nodes."""
+    """Edges of which both ends are nodes."""
     for end in ("source", "target"):
         edges = edges.join(nodes.select(F.col("path").alias(end)), end, "left_semi")
     return edges
@@ -155,7 +155,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "path", order: str
 
 
 def layout(nodes: DataFrame) -> DataFrame:
-    """The twelve largest communities as spirals on an ellipse, the others on a grid.
+    """The twelve largest communities as spirals on an ellipse, the others on a grid.
 
     Integer positions round half up.
     """
@@ -194,7 +194,7 @@ def insights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def build(pages: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, insights)."""
+    """(nodes, edges, insights)."""
     useful = pages.filter(is_useful(F.col("title"), F.col("type"), F.col("sources"), F.col("links")))
     best = useful.withColumn("_s", page_score()).orderBy(F.desc("_s"), F.desc("mtime"), "ord").limit(max_nodes * CANDIDATES)
     place = F.row_number().over(Window.orderBy(F.desc("_s"), F.desc("mtime"), "ord"))  # at most max_nodes * CANDIDATES rows

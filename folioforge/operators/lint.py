@@ -25,7 +25,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def issue(rows: DataFrame, order: int, severity: str, check: str, detail: Column | str = "", path: str = "path") -> DataFrame:
-    """Issues with a deterministic id; ``order`` keeps the checks' order among equals."""
+    """Issues with a deterministic id; ``order`` keeps the checks' order among equals."""
     detail = F.lit(detail) if isinstance(detail, str) else detail
     return rows.select(
         F.lit(severity).alias("severity"),
@@ -67,7 +67,7 @@ def missing(references: DataFrame, key: str, *existing: DataFrame) -> DataFrame:
 
 
 def lint(pages: DataFrame, registry: DataFrame, files: DataFrame, max_pages: int = MAX_PAGES, max_issues: int = MAX_ISSUES) -> DataFrame:
-    """(id, severity, path, check, detail), errors first, at most ``max_issues``."""
+    """(id, severity, path, check, detail), errors first, at most ``max_issues``."""
     scanned = pages.orderBy("ord").limit(max_pages + 1)
     limited = scanned.count() > max_pages
     pages = scanned.orderBy("ord").limit(max_pages)

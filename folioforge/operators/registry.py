@@ -1,4 +1,4 @@
-"""Registry maintenance: keyed merges of whole tables.
+"""Registry maintenance: keyed merges of whole tables.
 
 Ids are hashes of what they name, so a rerun writes the same rows.
 """
@@ -29,7 +29,7 @@ def candidates(files: DataFrame) -> DataFrame:
 
 
 def register(files: DataFrame, sources: DataFrame, queue: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all sources, new queue items, outcome per candidate: 'skipped', 'updated' or 'inserted').
+    """(all sources, new queue items, outcome per candidate: 'skipped', 'updated' or 'inserted').
 
     A file that is ready, converted and unchanged is skipped; a changed one keeps its record's id and is
     queued again; a source that is queued or running is not queued twice.
@@ -72,7 +72,7 @@ def apply_patches(rows: DataFrame, patches: DataFrame, key: str = "id") -> DataF
 
 
 def index_diff(old: DataFrame, new: DataFrame, key: str = "id", signature: str = "signature") -> DataFrame:
-    """(key, action) of what an index needs - 'insert', 'update', 'delete' or 'keep'."""
+    """(key, action) of what an index needs - 'insert', 'update', 'delete' or 'keep'."""
     o, n = old.select(F.col(key).alias("_o"), F.col(signature).alias("_os")), new.select(F.col(key).alias("_n"), F.col(signature).alias("_ns"))
     both = o.join(n, F.col("_o") == F.col("_n"), "full_outer")
     action = F.when(F.col("_o").isNull(), "insert").when(F.col("_n").isNull(), "delete").when(F.col("_os").eqNullSafe(F.col("_ns")), "keep").otherwise("update")

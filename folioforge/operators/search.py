@@ -67,7 +67,7 @@ def _page_text(pages: DataFrame) -> Column:
 
 
 def page_hits(pages: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """C1 over pages: the best ``limit`` by score, then path.  The excerpt is cut only for those."""
+    """C1 over pages, T1: the best ``limit`` by score, then path.  The excerpt is cut only for those."""
     tokens = search_tokens(query)
     text = _page_text(pages)
     rows = pages.filter(paths.is_evidence(F.col("path")) & found(text, query, tokens)).filter(~is_low_quality(F.col("title"), F.col("body")))
@@ -161,7 +161,7 @@ def strong(hits: DataFrame, query: str | None = None, by: tuple[str, ...] = ())
 
 
 def external_hits(results: DataFrame, per_query: int = 3, total: int = 12) -> DataFrame:
-    """Valid results of a table (query, rank, url, title, snippet) as hits.
+    """Valid results of a table (query, rank, url, title, snippet) as hits.
 
     At most ``per_query`` of a query and ``total`` in all; of one url the one with a snippet, first of equals.
     """

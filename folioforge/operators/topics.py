@@ -1,4 +1,4 @@
-"""Topic pages: notes aggregated by topic."""
+"""Topic pages: notes aggregated by topic."""
 
 from __future__ import annotations
 
@@ -92,7 +92,7 @@ def render(merged: DataFrame) -> DataFrame:
 
 
 def index_page(pages: DataFrame) -> DataFrame:
-    """K8: the index as one row of Markdown; each list is cut before it is collected."""
+    """The index as one row of Markdown; each list is cut before it is collected."""
     listed = lambda rows, order, n: rows.orderBy(*order).limit(n)
     recent = listed(pages.filter("type <> 'index' AND path <> 'wiki/log.md'"), [F.desc("mtime"), F.asc("ord")], RECENT).withColumn("part", F.lit(0))
     concepts = listed(pages.filter("type = 'concept'"), [F.asc("ord")], LISTED).withColumn("part", F.lit(1))

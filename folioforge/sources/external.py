@@ -1,4 +1,4 @@
-"""External search results: payloads of search services as one table shape.
+"""External search results: payloads of search services as one table shape.
 
 A payload row is (query, provider, payload); the JSON of each provider is read by path, natively, so the
 same code serves a live connector's output and an archived one.
@@ -24,7 +24,7 @@ TEXT_FIELDS = ("content", "text", "body", "summary", "description")
 
 
 def results(payloads: DataFrame) -> DataFrame:
-    """(query, rank, url, title, snippet); malformed payloads have no rows."""
+    """(query, rank, url, title, snippet); malformed payloads have no rows."""
     out = None
     for provider, (path, url, title, snippet) in PROVIDERS.items():
         rows = payloads.filter(F.col("provider") == provider)
@@ -64,6 +64,6 @@ def collection_name(project_id: str, wanted: str = "") -> str:
 
 
 def pick_fields(columns: list[str], most: int = 24) -> list[str]:
-    """The text fields of a collection, known names first."""
+    """The text fields of a collection, known names first."""
     known = [c for c in TEXT_FIELDS if c in columns]
     return (known + [c for c in columns if c not in known])[:most]

@@ -210,7 +210,7 @@ _EXTRACTED = "relativePath string, size long, sha256 string, kind string, markdo
 
 
 def extract(rows: DataFrame) -> DataFrame:
-    """Files (relativePath, size, content) as Markdown; what cannot be read is metadata only, with a warning."""
+    """Files (relativePath, size, content) as Markdown; what cannot be read is metadata only, with a warning."""
 
     def run(batches):
         for pdf in batches:

@@ -79,3 +79,11 @@ def test_activity_view(spark):
     v = activity.view(queue, sources)
     assert v["queue"].first().fileName == "x.md" and len(v["sources"].first().error) == 500 and "summary" not in v["sources"].columns
     assert v["bytes"].first().bytes == 7 and v["progress"].first().next == "a" and v["source_stats"].first().ready == 1
+
+
+def test_usable_profiles():
+    from folioforge.functions.validate import usable_profile
+
+    full = {"enabled": True, "provider": "openai", "baseUrl": "u", "model": "m", "apiKey": "k"}
+    assert usable_profile(full) and not usable_profile(full | {"enabled": False}) and not usable_profile(full | {"provider": "offline"})
+    assert not usable_profile(full | {"apiKey": ""}) and usable_profile(full | {"apiKey": "", "provider": "ollama"}) and not usable_profile({})
