@@ -717,14 +717,18 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- topics
+#: F5 for what a token can be.
+_LOW_WORD = r"""(regexp_matches(word, '^[a-f0-9]{6,}$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]{1,4}[0-9]*$') AND length(replace(word, '-', '')) <= 10
+  OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]+[0-9]+[a-z]*$') AND length(replace(word, '-', '')) <= 12
+  OR (length(replace(word, '-', '')) <= 8 AND regexp_matches(word, '[0-9]') AND length(regexp_replace(word, '[^0-9]', '', 'g'))::DOUBLE / length(replace(word, '-', '')) >= 0.45)
+  OR NOT regexp_matches(word, '[a-z]') OR regexp_matches(word, '^(untitled|unnamed|unknown|page|source|file|document)([-_ ]?[a-z0-9]{3,})?$')
+  OR replace(word, '-', '') IN ('url', 'uri', 'http', 'https', 'html', 'markdown', 'txt', 'pdf', 'doc', 'docx'))"""
+
+
 @query(
     f"""WITH {TOKENS}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM tf)
 SELECT word AS key, count(*)::BIGINT AS n_sources, min(doc_id) AS first_doc FROM rk WHERE place <= 3
-AND NOT (regexp_matches(word, '^[a-f0-9]{{6,}}$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]{{1,4}}[0-9]*$') AND length(replace(word, '-', '')) <= 10
-  OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]+[0-9]+[a-z]*$') AND length(replace(word, '-', '')) <= 12
-  OR (length(replace(word, '-', '')) <= 8 AND regexp_matches(word, '[0-9]') AND length(regexp_replace(word, '[^0-9]', '', 'g'))::DOUBLE / length(replace(word, '-', '')) >= 0.45)
-  OR NOT regexp_matches(word, '[a-z]') OR regexp_matches(word, '^(untitled|unnamed|unknown|page|source|file|document)([-_ ]?[a-z0-9]{{3,}})?$')
-  OR replace(word, '-', '') IN ('url', 'uri', 'http', 'https', 'html', 'markdown', 'txt', 'pdf', 'doc', 'docx'))
+AND NOT {_LOW_WORD}
 GROUP BY word"""
 )
 def topic_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -735,9 +739,25 @@ def topic_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged
 
 
-@query(None)
+@query(
+    f"""WITH {TOKENS}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM tf),
+tp AS (SELECT doc_id, word AS key FROM rk WHERE place <= 3 AND NOT {_LOW_WORD}),
+nt AS (SELECT doc_id, string_split_regex({sql_normalize('text')}, '\\n+') AS ls FROM documents),
+ln AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM nt),
+cl AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(x, '^\\s*(?:>\\s*)+', ''), '^\\s*[-*+]\\s+', ''), '^\\s+|\\s+$', '', 'g') AS x FROM ln),
+ok AS (SELECT * FROM cl WHERE length(x) >= 6 AND NOT regexp_matches(x, '^#{{1,6}}\\s|^\\[\\[|^_.*_$') AND NOT regexp_matches(x, '(?i)^(?:url|https?://)')
+    AND NOT (length(regexp_replace(x, '[^?]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[A-Za-z0-9À-ÿ]')) AND regexp_matches(x, '(?i)[.!?;]|means\\b|refers to\\b')),
+ab AS (SELECT tp.doc_id, key, x, i, contains(lower(x), key) AS about FROM tp JOIN ok ON ok.doc_id = tp.doc_id),
+ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY NOT regexp_matches(x, '(?i)means\\b|refers to\\b'), i) AS r FROM (SELECT *, bool_or(about) OVER (PARTITION BY doc_id, key) AS has FROM ab) WHERE about = has),
+ev AS (SELECT doc_id, key, string_agg(CASE WHEN length(x) > 700 THEN substr(x, 1, 700) || '…' ELSE x END, chr(10) || chr(10) ORDER BY r) AS e,
+    string_agg('> ' || CASE WHEN length(x) > 700 THEN substr(x, 1, 700) || '…' ELSE x END, chr(10) || chr(10) ORDER BY r) AS q FROM ch WHERE r <= 3 GROUP BY doc_id, key),
+no AS (SELECT tp.key, d.doc_id, substr(d.text, 1, 40) AS title, e, q, row_number() OVER (PARTITION BY tp.key ORDER BY d.doc_id) AS place FROM tp JOIN documents d ON d.doc_id = tp.doc_id LEFT JOIN ev ON ev.doc_id = tp.doc_id AND ev.key = tp.key)
+SELECT 'concept' AS kind, key, key AS topic, count(*)::INT AS n_sources, '# ' || key || chr(10) || chr(10) || '## 定义' || chr(10) || chr(10) || coalesce(arg_min(q, place) FILTER (WHERE q IS NOT NULL), '{topics.WAITING}')
+    || chr(10) || chr(10) || '## 来源笔记' || chr(10) || chr(10) || string_agg('### ' || title || chr(10) || chr(10) || '来源：[[' || doc_id || '|' || regexp_replace(regexp_replace(title, '[\\[\\]|]', ' ', 'g'), '^\\s+|\\s+$', '', 'g') || ']]' || chr(10)
+    || '来源路径：`' || doc_id || '`' || chr(10) || chr(10) || coalesce(e, '{topics.NO_NOTE}'), chr(10) || chr(10) ORDER BY place) AS body FROM no WHERE place <= {topics.MAX_NOTES} GROUP BY key"""
+)
 def topic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered topic pages."""
+    """Rendered topic pages."""
     words = text.top_keywords(F.col("text"), 3)
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("ord"), "text", words.alias("topics"))
     return topics.render(topics.merge(topics.notes(rows, "topics", "concept"))).select("kind", "key", "topic", F.size("sources").alias("n_sources"), "body")
