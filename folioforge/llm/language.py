@@ -12,8 +12,8 @@ vectors reach the driver.
 Families are taken from ``FAMILIES``; a label not listed there is a family of its own.  A text that is
 null or has no letter is ``und`` with score 0.  Ties go to the first label in order.  If nothing can be
 learned (no labelled rows), everything is ``und``; with a single label, that label is predicted.  Null
-labels are not learned from.  Each row is judged by itself, so repeated rows need no rule.  Other columns
-are not read.
+labels are not learned from.  Long texts are read whole.  Each row is judged by itself, so repeated rows need no rule;
+an empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations

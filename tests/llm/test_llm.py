@@ -275,6 +275,43 @@ def test_language_edges(spark):
     assert language.predict(docs.filter("false"), model, "doc_id").count() == 0
 
 
+def _plain_features(text):
+    """Relative frequencies of hashed byte n-grams, one at a time."""
+    folded, out = [], np.zeros(language.DIMENSIONS)
+    for c in (text or "").encode():
+        c = c + 32 if 65 <= c <= 90 else c
+        c = 32 if c < 128 and not 97 <= c <= 122 else c
+        if c != 32 or not folded or folded[-1] != 32:
+            folded.append(c)
+    for k in language.ORDERS:
+        for i in range(len(folded) - k + 1):
+            key = int.from_bytes(bytes(folded[i : i + k]), "little")
+            h = (key ^ (0x9E3779B1 * k & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+            out[((h ^ h >> 15) * 0xC2B2AE35 & 0xFFFFFFFF) >> 19] += 1
+    return out / max(1, out.sum())
+
+
+def test_language_features_and_votes_one_at_a_time(spark):
+    import pyarrow as pa
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").collect()
+    texts = [r.text for r in rows[:120]] + [None, "", "  A ", "é", "12 3", "word " * 40_000]
+    got = np.concatenate([x for _, x, _ in language.features(pa.array(texts))])
+    want = np.array([_plain_features(t) for t in texts[:-1]])
+    assert np.abs(got[:-1] - want).max() < 1e-6 and abs(got[-1].sum() - 1) < 1e-3
+    x = want[:120].astype(np.float32)
+    model = language.Model(x, [r.lang for r in rows[:120]])
+    best, score = model.predict(x)
+    for i in range(120):
+        m = x[i] @ model.weights + model.bias
+        family = max(range(len(model.families)), key=lambda k: (m[k], -k)) if len(model.families) > 1 else 0
+        wins = {a: 0.0 for a in model.members[family]}
+        for f, a, b, row in model.pairs:
+            if f == family:
+                wins[a if m[row] >= 0 else b] += 1
+        assert wins[best[i]] == max(wins.values()) and 0 <= score[i] <= 1
+
+
 def test_language_learns_from_other_folds_only(spark):
     import zlib
 
