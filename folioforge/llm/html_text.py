@@ -77,7 +77,7 @@ THRESHOLD = 0.75
 #: What the score of a marked element's path is multiplied by, and that of a path in an article or main.
 MARKED, IN_ARTICLE = 0.05, 4.0
 #: Least share of the best score, and most share of links, of an unselected path that stays inside the container.
-FLOOR, MOST_LINKS = 0.02, 0.5
+FLOOR, MOST_LINKS = 0.004, 0.5
 
 
 class _Node:
