@@ -607,3 +607,162 @@ def kept_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = rows.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("wiki/"), "n_name", F.lit(".md")).alias("path"))
     before = pages.join(rows.filter("n_regionkey = 0").select(F.col("n_nationkey").alias("id")), "id", "left_semi").withColumn("created", F.lit(1))
     return sinks.keep_created(pages, before, F.lit(2))
+
+
+# ---------------------------------------------------------------- pages, sessions and records in their formats
+_NOW = "2024-06-01"
+
+
+def _sql_front(**values: str) -> str:
+    return " || ".join(f"'{k}: \"' || {v} || '\"' || chr(10)" for k, v in values.items())
+
+
+@query(
+    f"""SELECT n_nationkey, '---' || chr(10) || {_sql_front(title="n_name", type="'source'", source_path="'raw/sources/' || n_name", source_kind="'text'", updated=_quote(_NOW))} || '---' || chr(10)
+|| '# ' || n_name || chr(10) || chr(10) || '来源文件：`raw/sources/' || n_name || '`' || chr(10) || chr(10) || '## 摘要' || chr(10) || chr(10) || 'About ' || n_name || chr(10) || chr(10)
+|| '## 关键要点' || chr(10) || chr(10) || '- a' || chr(10) || '- ' || n_name || chr(10) || chr(10) || '## 待确认问题' || chr(10) || chr(10) || '_暂无_' || chr(10) || chr(10) || '## 摘录' || chr(10) || chr(10) || '> x' || chr(10) || '> y' || chr(10) AS page,
+'---' || chr(10) || {_sql_front(title="n_name || ' - 全文'", type="'source_extract'", source_path="'raw/sources/' || n_name", updated=_quote(_NOW))} || '---' || chr(10) || '# ' || n_name || chr(10) || chr(10) || '来源路径：`raw/sources/' || n_name || '`'
+|| chr(10) || chr(10) || '## 转换正文' || chr(10) || chr(10) || 'text' || chr(10) AS converted,
+'---' || chr(10) || {_sql_front(title="n_name", type="'query'", updated=_quote(_NOW))} || '---' || chr(10) || '# ' || replace(n_name, '_', chr(92) || '_') || chr(10) || chr(10) || 'yes' || chr(10) || chr(10) || '## 引用' || chr(10) || chr(10) || '- [[a.md|a.md]]' || chr(10) AS saved FROM nation"""
+)
+def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of a source, its full text and a saved answer."""
+    name, now = F.col("n_name"), F.lit(_NOW)
+    path, none = F.concat(F.lit("raw/sources/"), name), F.array().cast("array<string>")
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        sinks.source_page(path, name, F.lit("text"), F.concat(F.lit("About "), name), F.array(F.lit("a"), name), none, F.lit("x\ny"), now).alias("page"),
+        sinks.converted_page(path, name, F.lit("text"), now).alias("converted"),
+        sinks.query_page(name, F.lit("yes"), F.array(F.lit("a.md")), now).alias("saved"),
+    )
+
+
+@query(
+    """SELECT 'wiki/concepts/' || n_name || '.md' AS path, n_name AS title, 'concept' AS type, 't' AS tags, 'raw/x,raw/' || n_nationkey AS sources, 'Other|' || n_name AS links, 'H ' || n_name || '=raw/' || n_nationkey AS notes FROM nation"""
+)
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page's head says, and the notes in it."""
+    key = F.col("n_nationkey").cast("string")
+    body = F.concat(
+        F.lit("---\ntitle: "), "n_name", F.lit("\ntags: [t]\nsources: raw/x\n---\n# X\n\nSee [[Other]] and [["), "n_name", F.lit("|it]].\n\n### H "), "n_name",
+        F.lit("\n\n来源：[[Other]]\n来源路径：`raw/"), key, F.lit("`\n\nsome text\n"),
+    )
+    rows = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("concepts/"), "n_name", F.lit(".md")).alias("relativePath"), body.alias("text"), F.encode(body, "UTF-8").alias("content"), F.lit(1).alias("size"), F.lit(None).cast("timestamp").alias("mtime")
+    )
+    notes = markdown.source_notes(F.col("text"))
+    shown = F.array_join(F.transform(notes, lambda n: F.concat(n["heading"], F.lit("="), n["path"])), "|")
+    meta = files.page_metadata(rows).select("path", "title", "type", F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources"), F.array_join("links", "|").alias("links"))
+    return meta.join(rows.select(F.concat(F.lit("wiki/"), "relativePath").alias("path"), shown.alias("notes")), "path")
+
+
+@query("SELECT r_name AS conv_id, (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1)::BIGINT AS turn, 'user' AS role, n_name AS text FROM nation JOIN region ON r_regionkey = n_regionkey")
+def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions read from their JSON, a message a row."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda m: F.struct(F.lit("user").alias("role"), m["n_name"].alias("content")))
+    sessions = rows.groupBy(F.col("r_name").alias("id")).agg(said.alias("messages")).withColumn("updatedAt", F.lit("2024-01-01T00:00:00Z"))
+    root = _folder(spark, "chats")
+    sessions.agg(F.to_json(F.collect_list(F.struct("id", "updatedAt", "messages"))).alias("value")).coalesce(1).write.text(root)  # five sessions
+    return files.messages(files.chats(spark, root)).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT n_name AS id, 'raw/' || n_name AS \"relativePath\", 'ready' AS status, n_nationkey::BIGINT AS size, 'q' || n_name AS queued, 't' || n_name AS topic, 2 AS steps FROM nation")
+def state_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry, queue and research tasks read from their JSON."""
+    rows, name = table(spark, sf_dir, "nation"), F.col("n_name")
+
+    def written(kind: str, *columns):
+        root = _folder(spark, kind)
+        rows.agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value")).coalesce(1).write.text(root)  # 25 records
+        return root
+
+    reg = files.registry(spark, written("registry", name.alias("id"), F.concat(F.lit("raw/"), name).alias("relativePath"), F.lit("ready").alias("status"), F.col("n_nationkey").alias("size")))
+    todo = files.queue(spark, written("queue", F.concat(F.lit("q"), name).alias("id"), name.alias("sourceId")))
+    step = F.struct(F.lit("s").alias("id"), F.lit("done").alias("status"))
+    work = files.research_tasks(spark, written("research", name.alias("id"), F.concat(F.lit("t"), name).alias("topic"), F.array(step, step).alias("steps")))
+    out = reg.select("id", "relativePath", "status", "size").join(todo.select(F.col("sourceId").alias("id"), F.col("id").alias("queued")), "id")
+    return out.join(work.select("id", "topic", F.size("steps").alias("steps")), "id")
+
+
+@query(
+    """SELECT p_partkey, p_name || '|More' AS headings, 'It is described here, in full length.' AS paragraph, p_name AS derived, p_name AS cleaned, p_name AS of_text, 'see ' || p_name || ' for more' AS signal,
+'# ' || p_name || chr(10) || chr(10) || 'a b' AS page, 'x1,' || p_name AS items FROM part"""
+)
+def titles_and_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a short document says of itself."""
+    name = F.col("p_name")
+    doc = F.concat(F.lit("# "), name, F.lit("\n\nIt is described here, in full length.\n\n## More\n\nIt goes on, for a while."))
+    noisy = F.concat(F.lit("see https://x.org/a?b "), name, F.lit(" deadbeefdeadbeef0123 www for more"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.array_join(text.headings(doc), "|").alias("headings"),
+        text.first_paragraph(doc).alias("paragraph"),
+        text.derive_title(doc, F.lit("none")).alias("derived"),
+        text.clean_title(F.concat(F.lit("## *"), name, F.lit("*"))).alias("cleaned"),
+        markdown.title_from_text(F.concat(F.lit("目录\n\n> "), name, F.lit(" \nurl: x")), F.lit("none")).alias("of_text"),
+        text.squeeze(text.strip_low_signal(noisy)).alias("signal"),
+        markdown.text_to_markdown(F.lit("a  b\n\n"), name).alias("page"),
+        F.array_join(text.clean_list(F.array(F.lit("x1"), F.lit("???"), F.lit("y"), name, F.concat(F.lit(" "), name)), 5), ",").alias("items"),
+    )
+
+
+@query("SELECT p_partkey, '![a](docs/' || p_partkey || '/media/i.png) ![b](http://x/media/i.png)' AS media, p_size AS of_reply, printf('%d.0 KB', p_size) AS size, p_size || ' B' AS small, 27 AS col, p_name AS shown FROM part")
+def small_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media links, JSON in a reply, sizes, cell references, titles for display."""
+    key = F.col("p_partkey").cast("string")
+    reply = F.concat(F.lit("Sure:\n```json\n{\"size\": "), F.col("p_size").cast("string"), F.lit("}\n```"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        display.rewrite_media(F.lit("![a](./media/i.png) ![b](http://x/media/i.png)"), F.concat(F.lit("docs/"), key)).alias("media"),
+        markdown.first_json_object(reply, "size int")["size"].alias("of_reply"),
+        display.format_bytes(F.col("p_size").cast("long") * 1024).alias("size"),
+        display.format_bytes(F.col("p_size")).alias("small"),
+        markdown.column_index(F.lit("AB12")).alias("col"),
+        markdown.display_title(F.col("p_name"), F.lit("note"), F.lit(""), F.lit("other")).alias("shown"),
+    )
+
+
+@query("SELECT n_name, '中华人民共和国规定' || n_name AS legacy, n_name || '/中.txt' AS entry, length(n_name) <= 8 AS kept FROM nation")
+def legacy_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of an old codec and names that archives mangled or that are too long."""
+    old = F.unhex(F.lit("中华人民共和国规定".encode("gb18030").hex()))
+    mangled = F.concat("n_name", F.lit("/#U4e2d.txt"))
+    long = codecs.entry_name(F.concat("n_name", F.repeat(F.lit("é"), 200), F.lit(".md")))
+    return table(spark, sf_dir, "nation").select(
+        "n_name", codecs.decode_text(F.concat(old, F.encode("n_name", "UTF-8"))).alias("legacy"), codecs.entry_name(mangled).alias("entry"),
+        ((F.octet_length(long) <= 180) & long.endswith(".md") & (F.length("n_name") <= 8)).alias("kept"),
+    )
+
+
+@query("SELECT 'note ' || n_name AS title, 'ready' AS status, 'note ' || n_name AS analysed FROM nation")
+def ingested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files found by a stream, extracted, analysed and written; a second run finds nothing new."""
+    from folioforge.streaming.ingest import run_once
+
+    rows = table(spark, sf_dir, "nation")
+    packed = rows.select(F.concat(F.lit("note "), "n_name", F.lit(".md")).alias("name"), F.concat(F.lit("Here "), "n_name", F.lit(" is described in one long sentence.")).alias("value"))
+    root, sink, state = _folder(spark, "incoming"), _folder(spark, "ingested"), _folder(spark, "state")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for r in packed.collect():  # 25 files, as an upload would leave them
+        path = hadoop.Path(f"{root}/{r.name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(r.value.encode()))
+        out.close()
+    for _ in range(2):
+        run_once(spark, root, sink, state).awaitTermination()
+    return spark.read.parquet(sink).select("title", "status", F.col("analysis.title").alias("analysed"))
+
+
+@query(
+    f"""{GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)}, ad AS (SELECT source AS x, target AS y FROM ke UNION SELECT target, source FROM ke),
+r AS (SELECT path AS x, place AS root FROM nd UNION SELECT ad.y, r.root FROM r JOIN ad ON ad.x = r.x), m AS (SELECT x AS path, min(root) AS root FROM r GROUP BY x),
+c AS (SELECT path, place, (dense_rank() OVER (ORDER BY root) - 1)::INT AS community FROM m JOIN nd USING (path)),
+b AS (SELECT community, count(*)::BIGINT AS n FROM c GROUP BY 1 ORDER BY n DESC, community LIMIT 1), g AS (SELECT path, place FROM nd WHERE path NOT IN (SELECT x FROM ad))
+SELECT 'cluster' AS kind, n, community, (SELECT string_agg(path, '|' ORDER BY place) FROM (SELECT c.path, place FROM c WHERE c.community = b.community ORDER BY place LIMIT 8)) AS paths FROM b
+UNION ALL SELECT 'gap', count(*)::BIGINT, NULL, (SELECT string_agg(path, '|' ORDER BY place) FROM (SELECT * FROM g ORDER BY place LIMIT 6)) FROM g HAVING count(*) > 0"""
+)
+def graph_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unconnected pages and the largest community."""
+    pages = _linked_pages(spark, sf_dir).withColumn("mtime", F.timestamp_seconds(F.col("ord")))
+    return graph.build(pages)[2].select("kind", "n", "community", F.array_join("paths", "|").alias("paths"))
