@@ -235,10 +235,20 @@ def derive_title(c: Column, fallback: Column) -> Column:
 
 
 # ---------------------------------------------------------------- sentences and tokens
+#: Between sentences while a text is cut; a text that has it is cut piece by piece.
+_MARK = "\ue0ff"
+_SENTENCE_END = "(?<=[。！？])\\s*|(?<=[.!?])\\s+|\\n{2,}"
+
+
 def sentences(c: Column) -> Column:
-    """F9."""
-    parts = F.split(normalize(c), "(?<=[。！？])\\s*|(?<=[.!?])\\s+|\\n{2,}")
-    return F.filter(F.transform(parts, squeeze), lambda x: F.length(x) > 18)
+    """F9.  Ends are marked and white space is squeezed in the whole text, so pieces only lose the spaces around them."""
+
+    def cut(t: Column) -> Column:
+        whole = F.split(F.regexp_replace(F.regexp_replace(t, _SENTENCE_END, _MARK), SPACES, " "), _MARK)
+        each = F.transform(F.split(t, _SENTENCE_END), squeeze)
+        return F.when(t.contains(_MARK), each).otherwise(F.transform(whole, F.trim))
+
+    return F.filter(let(normalize(c), cut), lambda x: F.length(x) > 18)
 
 
 def tokens(c: Column) -> Column:
@@ -258,7 +268,7 @@ def _counted(values: Column, at: bool) -> Column:
 
     keyed = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("at")))
     none = F.array().cast("array<struct<n:int,at:int,v:string>>")
-    return F.when(F.size(values) == 0, none).otherwise(let(F.array_sort(keyed), runs))
+    return F.when(F.size(values) == 0, none).otherwise(let(F.sort_array(keyed), runs))
 
 
 def word_counts(c: Column) -> Column:
@@ -268,12 +278,12 @@ def word_counts(c: Column) -> Column:
 
 def by_count(values: Column) -> Column:
     """Distinct values, the most frequent first, ties in order of first appearance."""
-    return F.transform(F.array_sort(_counted(values, True)), lambda s: s["v"])
+    return F.transform(F.sort_array(_counted(values, True)), lambda s: s["v"])
 
 
 def top_keywords(c: Column, limit: int = 12) -> Column:
     """F11 inside a row, ties in code-point order."""
-    return F.slice(F.transform(F.array_sort(_counted(tokens(c), False)), lambda s: s["v"]), 1, limit)
+    return F.slice(F.transform(F.sort_array(_counted(tokens(c), False)), lambda s: s["v"]), 1, limit)
 
 
 def occurrences(text: Column, token: str | Column) -> Column:

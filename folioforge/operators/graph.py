@@ -111,7 +111,7 @@ def merge_edges(edges: DataFrame, limit: int | None = MAX_EDGES) -> DataFrame:
     merged = edges.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(
         F.min_by(F.struct("source", "target"), at).alias("e"),
         F.sum("weight").alias("weight"),
-        F.array_sort(F.collect_list(F.struct("ord", "i", "j", "reasons"))).alias("r"),
+        F.sort_array(F.collect_list(F.struct("ord", "i", "j", "reasons"))).alias("r"),
         F.min(at).alias("ord"),
     )
     reasons = F.array_distinct(F.flatten(F.transform("r", lambda x: x["reasons"])))
@@ -186,7 +186,7 @@ def insights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A bridge between communities cannot occur: communities are components over the same edges.
     """
     d = nodes.join(degrees(edges), "path", "left")
-    first = lambda n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda s: s["path"]), 1, n)
+    first = lambda n: F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ord", "path"))), lambda s: s["path"]), 1, n)
     gap = d.filter(F.col("degree").isNull() & (F.col("type") != "index")).agg(F.count(F.lit(1)).alias("n"), first(6).alias("paths"))
     gap = gap.filter("n > 0").select(F.lit("gap").alias("kind"), "n", F.lit(None).cast("int").alias("community"), "paths")
     best = nodes.groupBy("community").agg(F.count(F.lit(1)).alias("n"), first(8).alias("paths")).orderBy(F.desc("n"), "community").limit(1)

@@ -119,7 +119,7 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
     merged = hits.groupBy("path").agg(
         F.max_by(row, best).alias("hit"),
         F.min(seen).alias("first"),
-        F.array_sort(F.collect_list(F.struct("origin", "ord", F.when(F.size("citations") > 0, F.col("citations")).otherwise(F.array("path")).alias("c")))).alias("all"),
+        F.sort_array(F.collect_list(F.struct("origin", "ord", F.when(F.size("citations") > 0, F.col("citations")).otherwise(F.array("path")).alias("c")))).alias("all"),
     )
     cited = F.array_distinct(F.flatten(F.transform("all", lambda x: x["c"])))
     return merged.select("path", "hit.*", F.filter(cited, lambda x: x != "").alias("citations"), F.col("first.origin").alias("origin"), F.col("first.ord").alias("ord"))
@@ -195,8 +195,8 @@ def answer_text(evidence: DataFrame, local: int = 5) -> DataFrame:
     line = F.concat(F.lit("- "), F.col("title"), F.lit("："), F.col("excerpt"))
     per = Window.partitionBy("origin").orderBy("ord")
     rows = evidence.withColumn("_r", F.row_number().over(per))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("_r") <= local, F.struct("origin", "ord", line.alias("line")))))
-    cites = F.array_sort(F.collect_list(F.struct("origin", "ord", "citations")))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("_r") <= local, F.struct("origin", "ord", line.alias("line")))))
+    cites = F.sort_array(F.collect_list(F.struct("origin", "ord", "citations")))
     out = rows.agg(ordered.alias("l"), cites.alias("c"), F.max(F.col("origin") == 0).alias("here"), F.max(F.col("origin") > 0).alias("there"))
     scope = (
         F.when(F.col("here") & F.col("there"), F.lit("当前知识库和联网搜索结果"))
@@ -240,7 +240,7 @@ def merge_research(hits: DataFrame) -> DataFrame:
         F.min_by("type", seen).alias("type"),
         F.max("score").alias("score"),
         F.max_by("excerpt", earlier).alias("excerpt"),
-        F.array_sort(F.collect_list(F.struct("query", "place", "citations"))).alias("c"),
+        F.sort_array(F.collect_list(F.struct("query", "place", "citations"))).alias("c"),
         F.min(seen).alias("first"),
     )
     cited = F.array_distinct(F.flatten(F.transform("c", lambda x: x["citations"])))

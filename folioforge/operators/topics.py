@@ -29,7 +29,7 @@ def evidence(title: Column, lines: Column) -> Column:
     """The lines about a topic - else all - definitions first, three at most, shortened."""
     about = F.filter(lines, lambda x: F.contains(F.lower(nfkc(x)), topic_key(title)))
     chosen = F.when(F.size(about) > 0, about).otherwise(lines)
-    ranked = F.array_sort(F.transform(chosen, lambda x, i: F.struct((~x.rlike(DEFINES)).alias("r"), i.alias("i"), x.alias("x"))))
+    ranked = F.sort_array(F.transform(chosen, lambda x, i: F.struct((~x.rlike(DEFINES)).alias("r"), i.alias("i"), x.alias("x"))))
     few = F.slice(F.transform(ranked, lambda s: s["x"]), 1, EVIDENCE)
     return F.transform(few, lambda x: F.when(F.length(x) > EVIDENCE_CHARS, F.concat(F.substring(x, 1, EVIDENCE_CHARS), F.lit("…"))).otherwise(x))
 
@@ -72,7 +72,7 @@ def merge(noted: DataFrame, before: DataFrame | None = None, most: int = MAX_NOT
     for by in (["kind", "key", "part"], ["kind", "key"]):
         place = F.row_number().over(Window.partitionBy(*by).orderBy("at", "path"))
         one = one.withColumn("place", place).filter(F.col("place") <= most)
-    listed = F.array_sort(F.collect_list(F.struct("place", "path", F.col("n.title").alias("title"), F.col("n.evidence").alias("evidence"))))
+    listed = F.sort_array(F.collect_list(F.struct("place", "path", F.col("n.title").alias("title"), F.col("n.evidence").alias("evidence"))))
     out = one.groupBy("kind", "key").agg(F.min_by("n.topic", "place").alias("topic"), listed.alias("l"))
     return out.select(
         "kind", "key", "topic", F.transform("l", lambda x: x["path"]).alias("sources"), F.transform("l", lambda x: F.struct(x["path"], x["title"], x["evidence"])).alias("notes")
@@ -100,7 +100,7 @@ def index_page(pages: DataFrame) -> DataFrame:
     link = wiki_link(F.col("path"), F.col("title"))
     line = F.when(F.col("part") == 0, F.concat(link, F.lit(" - "), F.col("type"))).otherwise(link)
     order = F.struct("part", F.when(F.col("part") == 0, -F.unix_micros("mtime")).otherwise(F.lit(0)).alias("t"), "ord", line.alias("line"))
-    all_ = recent.unionByName(concepts).unionByName(sources).agg(F.array_sort(F.collect_list(order)).alias("l"))
+    all_ = recent.unionByName(concepts).unionByName(sources).agg(F.sort_array(F.collect_list(order)).alias("l"))
     part = lambda i: bullet_list(F.transform(F.filter("l", lambda x: x["part"] == i), lambda x: x["line"]))
     return all_.select(F.concat(F.lit("# 知识库索引\n\n## 最近更新\n\n"), part(0), F.lit("\n\n## 概念\n\n"), part(1), F.lit("\n\n## 来源\n\n"), part(2)).alias("body"))
 
@@ -111,7 +111,7 @@ def overview(pages: DataFrame) -> DataFrame:
     short = F.substring(F.regexp_replace(F.coalesce("summary", F.lit("")), "\\s+", " "), 1, SUMMARY_CHARS)
     line = F.concat(F.lit("- "), wiki_link(F.col("path"), F.col("title")), F.lit(": "), short)
     newest = pages.filter("type = 'source'").orderBy(F.desc("mtime"), "ord").limit(SUMMARIES)
-    lines = newest.agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros("mtime")).alias("t"), "ord", line.alias("line")))).alias("l"))
+    lines = newest.agg(F.sort_array(F.collect_list(F.struct((-F.unix_micros("mtime")).alias("t"), "ord", line.alias("line")))).alias("l"))
     both = counts.crossJoin(lines)  # one row each
     shown = F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).otherwise(F.lit("_还没有来源。_"))
     body = F.concat(F.lit("# 知识库总览\n\n## 当前结构\n\n- 来源页："), F.col("s").cast("string"), F.lit("\n- 概念页："), F.col("c").cast("string"), F.lit("\n\n## 最近来源摘要\n\n"), shown)

@@ -396,7 +396,7 @@ def _linked_pages(spark: SparkSession, sf_dir: str, text_too: bool = False) -> D
     are both made of it.
     """
     docs = table(spark, sf_dir, "documents")
-    top = analyze.keyword_counts(docs, "doc_id", "text", 4).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    top = analyze.keyword_counts(docs, "doc_id", "text", 4).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))
     words = F.coalesce(F.transform("w", lambda x: x["word"]), F.array().cast("array<string>"))
     path = F.concat(F.lit("wiki/concepts/"), F.col("doc_id").cast("string"), F.lit(".md"))
     rows = docs.select("doc_id", "source").join(top, "doc_id", "left").select("doc_id", path.alias("path"), words.alias("w"), "source")
@@ -733,10 +733,16 @@ GROUP BY word"""
 )
 def topic_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of three keywords a document, with their sources."""
-    words = text.top_keywords(F.col("text"), 3)
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("t").alias("title"), F.col("doc_id").alias("ord"), "text", words.alias("topics"))
-    merged = topics.notes(rows, "topics", "concept").groupBy("key").agg(F.count(F.lit(1)).alias("n_sources"), F.min("ord").alias("first_doc"))
-    return merged
+    merged = topics.notes(_topic_rows(spark, sf_dir), "topics", "concept")
+    return merged.groupBy("key").agg(F.count(F.lit(1)).alias("n_sources"), F.min("ord").alias("first_doc"))
+
+
+def _topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their three top keywords, counted by one aggregation over the table."""
+    docs = table(spark, sf_dir, "documents")
+    top = analyze.keyword_counts(docs, "doc_id", "text", 3).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))
+    rows = docs.select("doc_id", "text").join(top, "doc_id")
+    return rows.select(F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("ord"), "text", F.transform("w", lambda x: x["word"]).alias("topics"))
 
 
 @query(
@@ -758,6 +764,4 @@ SELECT 'concept' AS kind, key, key AS topic, count(*)::INT AS n_sources, '# ' ||
 )
 def topic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered topic pages."""
-    words = text.top_keywords(F.col("text"), 3)
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("ord"), "text", words.alias("topics"))
-    return topics.render(topics.merge(topics.notes(rows, "topics", "concept"))).select("kind", "key", "topic", F.size("sources").alias("n_sources"), "body")
+    return topics.render(topics.merge(topics.notes(_topic_rows(spark, sf_dir), "topics", "concept"))).select("kind", "key", "topic", F.size("sources").alias("n_sources"), "body")
