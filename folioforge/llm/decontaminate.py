@@ -82,15 +82,6 @@ def _find(hashes: np.ndarray, table: np.ndarray, maybe: np.ndarray) -> tuple[np.
     return at[same], i[same]
 
 
-def _inside(of: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Which of the first n-k+1 word positions have their k words in one document."""
-    ok = np.ones(n, bool)
-    for j in range(1, k):
-        cut = of[of >= j] - j
-        ok[cut[cut < n]] = False
-    return ok[: max(0, n - k + 1)]
-
-
 def _hits(words: bytescan.Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Verified occurrences: (start word, length, document, item runs as (document, item) pairs)."""
     starts, lengths, pairs = [], [], []
@@ -208,8 +199,10 @@ def token_counts(docs: DataFrame, text: str, tokens: DataFrame, widths: list[int
                 words = bytescan.Words(buf, offs, bytescan.ALNUM)
                 found = [np.zeros(0, np.uint64)]
                 for k in widths:
-                    s = words.shingles(k)[_inside(words.of, len(words.hash), k)]
-                    found.append(s[held.value.has(s)])
+                    s = words.shingles(k)
+                    at = np.flatnonzero(held.value.has(s))
+                    at = at[at + k <= words.of[np.searchsorted(words.of, at, "right")]]  # within one document
+                    found.append(s[at])
                 token, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 

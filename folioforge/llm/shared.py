@@ -117,11 +117,16 @@ class Bloom:
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
 
+    def _probe(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64(self.bits - 1)
+        return (self.words[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
     def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for shift in (0, 32):
-            at = (keys.astype(np.uint64) >> np.uint64(shift)) & np.uint64(0xFFFFFFFF) & np.uint64(self.bits - 1)
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        """Whether each key may be in the set; the second probe is for those that pass the first."""
+        keys = keys.astype(np.uint64, copy=False)
+        out = self._probe(keys & np.uint64(0xFFFFFFFF))
+        some = np.flatnonzero(out)
+        out[some] = self._probe(keys[some] >> np.uint64(32))
         return out
 
 
