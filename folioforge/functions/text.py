@@ -36,7 +36,8 @@ QUERY_SPLIT_CHARS = "的吗呢吧了和与或及在是有要"
 _WS = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 SPACES = f"[{_WS}]+"
 HAN = "\\p{IsHan}"
-TOKEN = f"({HAN}{{2,}}|[a-z0-9][a-z0-9-]{{2,}})"
+#: Looking a character's script up is slow, so Latin tokens come first and nothing below the first Han character is looked up.
+TOKEN = f"([a-z0-9][a-z0-9-]{{2,}}|(?=[\\u2e80-\\x{{3ffff}}]){HAN}{{2,}})"
 #: A capitalised phrase; look-arounds instead of \b, whose notion of a letter differs between engines.
 PHRASE = "((?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]*(?:\\s+[A-Z][A-Za-z0-9]*){0,4}(?![A-Za-z0-9_]))"
 QUOTED = ("《([^》]{2,40})》", "“([^”]{2,40})”", "「([^」]{2,40})」")
@@ -254,9 +255,9 @@ def sentences(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """lower-case tokens in order, with repetitions."""
     found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 1)
-    han = f"^{HAN}+$"
     lead = f"^(?:{'|'.join(LEADING_FUNCTION_WORDS)})"
-    return F.filter(found, lambda w: ~w.isin(STOP_WORDS) & (~w.rlike(han) | ((F.length(w) <= 8) & ~w.rlike(lead))))
+    # A token that does not begin in ASCII is Han as a whole.
+    return F.filter(found, lambda w: ~w.isin(STOP_WORDS) & ((w < F.lit("{")) | ((F.length(w) <= 8) & ~w.rlike(lead))))
 
 
 def _counted(values: Column, at: bool) -> Column:
@@ -287,9 +288,9 @@ def top_keywords(c: Column, limit: int = 12) -> Column:
 
 
 def occurrences(text: Column, token: str | Column) -> Column:
-    """non-overlapping occurrences."""
+    """non-overlapping occurrences, by the bytes that go with them."""
     token = F.lit(token) if isinstance(token, str) else token
-    return ((F.length(text) - F.length(F.replace(text, token, F.lit("")))) / F.length(token)).cast("long")
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, token, F.lit("")))) / F.octet_length(token)).cast("long")
 
 
 def count_terms(text: Column, terms: list[str]) -> Column:

@@ -10,6 +10,7 @@ Pages: (path, title, type, body[, file_title]); hits: (path, title, type, score,
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,9 +47,13 @@ def score(searchable: Column, title: Column, query: str, tokens: list[str] | Non
 
 
 def found(searchable: Column, query: str, tokens: list[str]) -> Column:
-    """Whether the query or a token occurs: true exactly where the score is above zero (P7), without counting."""
+    """Whether the query or a token occurs: true exactly where the score is above zero (P7), without counting.
+
+    One pattern for all, so that the text is lower-cased once; what contains another needle need not be looked for.
+    """
     needles = [t for t in dict.fromkeys([*tokens, query.strip().lower()]) if t]
-    return reduce(lambda a, b: a | b, [searchable.contains(n) for n in needles]) if needles else F.lit(False)
+    needles = [n for n in needles if not any(m != n and m in n for m in needles)]
+    return searchable.rlike("|".join(re.escape(n) for n in needles)) if needles else F.lit(False)
 
 
 def _needle(text: Column, query: str, tokens: list[str]) -> Column:
@@ -218,7 +223,7 @@ def many_hits(pages: DataFrame, queries: list[str], limit: int = RESEARCH_LIMIT)
     """
     shown = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("body")))
     asked = [(q, search_tokens(q)) for q in queries]
-    any_ = reduce(lambda a, b: a | b, [found(shown, q, t) for q, t in asked])
+    any_ = found(shown, "", [x for q, t in asked for x in [*t, q.strip().lower()]])
     rows = pages.filter(paths.is_evidence(F.col("path")) & any_).filter(~is_low_quality(F.col("title"), F.col("body")))
     each = [F.struct(F.lit(i).alias("query"), score(shown, F.col("title"), q, t).alias("score")) for i, (q, t) in enumerate(asked)]
     scored = rows.select("path", F.explode(F.array(*each)).alias("s")).select("path", "s.query", "s.score").filter("score > 0")

@@ -71,11 +71,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many rows are ranked in one task.
+FEW = 100_000
+
+
 def ranked(rows: DataFrame, *order: Column, to: str, save=materialise) -> DataFrame:
-    """``rows`` with their 0-based place along ``order`` in ``to``, and no task that ranks them all.
+    """``rows`` with their 0-based place along ``order`` in ``to``, and no task that ranks more than ``FEW`` by itself.
 
-    Rows are dealt to ordered ranges and ranked inside each; a range is offset by the counts before it.
+    Where there are more, rows are dealt to ordered ranges and ranked inside each; a range is offset by the counts before it.
     """
+    rows = save(rows, "rows")
+    if rows.count() <= FEW:
+        return rows.withColumn(to, F.row_number().over(Window.orderBy(*order)) - 1)  # a size that is checked
     parts = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     parts = save(parts, "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

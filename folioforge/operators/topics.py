@@ -40,10 +40,10 @@ def notes(sources: DataFrame, topics: str, kind: str) -> DataFrame:
     Evidence is cut where the text is, so what is shuffled is three short paragraphs a topic at most; a plan that
     does not ask for them does not look at the text.
     """
-    each = sources.select("path", "title", "ord", "text", F.explode(topics).alias("topic"))
+    each = sources.select("path", "title", "ord", content_paragraphs(F.col("text")).alias("lines"), topics).select("*", F.explode(topics).alias("topic"))
     each = each.withColumn("topic", readable_or(F.col("topic"), F.lit("")))
     each = each.withColumn("key", topic_key(F.col("topic"))).filter((F.col("topic") != "") & ~is_low_information(F.col("topic")))
-    each = each.withColumn("kind", F.lit(kind)).withColumn("evidence", evidence(F.col("topic"), content_paragraphs(F.col("text"))))
+    each = each.withColumn("kind", F.lit(kind)).withColumn("evidence", evidence(F.col("topic"), F.col("lines")))
     first = lambda c: F.min_by(c, "ord").alias(c)
     one = each.groupBy("kind", "key", "path").agg(first("topic"), first("title"), F.min("ord").alias("ord"), first("evidence"))
     return one.select("kind", "key", "path", "topic", "title", "ord", "evidence")

@@ -28,7 +28,9 @@ def test_output_paths_outlive_the_scratch_folder(spark):
     assert one != two and not one.startswith(tables.scratch_root(spark))
 
 
-def test_ranked(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_ranked(spark, monkeypatch, few):
+    monkeypatch.setattr(tables, "FEW", few)
     rows = spark.range(500).select((F.col("id") * 37 % 500).alias("v"), F.when(F.col("id") % 2 == 0, "x").alias("o"))
     got = tables.ranked(rows, F.col("v").desc(), to="place").collect()
     assert sorted((r.place, r.v) for r in got) == [(i, 499 - i) for i in range(500)]
