@@ -102,19 +102,23 @@ def markdown_links(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(found, trim)), lambda x: (x != "") & ~x.startswith("http"))
 
 
+# The marks that plain text is without, and how a note block of a topic page is written.
+PLAIN_TEXT_STEPS = (
+    ("!\\[[^\\]]*\\]\\([^)]*\\)", ""),
+    ("\\[\\[(?:[^\\]|]+\\|)?([^\\]|]+)\\]\\]", "$1"),
+    ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"),
+    ("(?m)^ {0,3}(?:`{3,}|~{3,})[^\\n]*$", ""),
+    ("(?m)^ {0,3}(?:#{1,6}\\s+|>\\s*|[-*+]\\s+|\\d+[.)]\\s+)", ""),
+    ("(`+)([^`]+)\\1", "$2"),
+    ("\\*\\*([^*]+)\\*\\*", "$1"),
+    ("__([^_]+)__", "$1"),
+)
+NOTE_BLOCK = "(?m)^###\\s+([^\\n]+)\\n(?:\\s*\\n)?来源：[^\\n]*\\n来源路径：`([^`]+)`[^\\n]*\\n([\\s\\S]*?)(?=^#{1,3}\\s|(?![\\s\\S]))"
+
+
 def plain_text(text: Column) -> Column:
     """M7: Markdown without its marks."""
-    steps = (
-        ("!\\[[^\\]]*\\]\\([^)]*\\)", ""),
-        ("\\[\\[(?:[^\\]|]+\\|)?([^\\]|]+)\\]\\]", "$1"),
-        ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"),
-        ("(?m)^ {0,3}(?:`{3,}|~{3,})[^\\n]*$", ""),
-        ("(?m)^ {0,3}(?:#{1,6}\\s+|>\\s*|[-*+]\\s+|\\d+[.)]\\s+)", ""),
-        ("(`+)([^`]+)\\1", "$2"),
-        ("\\*\\*([^*]+)\\*\\*", "$1"),
-        ("__([^_]+)__", "$1"),
-    )
-    for pattern, to in steps:
+    for pattern, to in PLAIN_TEXT_STEPS:
         text = F.regexp_replace(text, pattern, to)
     return text
 
@@ -126,8 +130,7 @@ def inline_source_paths(text: Column) -> Column:
 
 def source_notes(text: Column) -> Column:
     """The note blocks of a topic page as (heading, path, text)."""
-    pattern = "(?m)^###\\s+([^\\n]+)\\n(?:\\s*\\n)?来源：[^\\n]*\\n来源路径：`([^`]+)`[^\\n]*\\n([\\s\\S]*?)(?=^#{1,3}\\s|(?![\\s\\S]))"
-    part = lambda i: F.regexp_extract_all(text, F.lit(pattern), i)
+    part = lambda i: F.regexp_extract_all(text, F.lit(NOTE_BLOCK), i)
     return F.arrays_zip(part(1).alias("heading"), part(2).alias("path"), part(3).alias("text"))
 
 

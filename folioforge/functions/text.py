@@ -32,6 +32,8 @@ QUERY_STOP_WORDS = (
 ).split()
 QUERY_SPLIT_WORDS = "什么 哪些 如何 怎么 怎样 为何 为什么 是否 需要 应该 可以 有关 关于 事项 问题 内容 知识库".split()
 QUERY_SPLIT_CHARS = "的吗呢吧了和与或及在是有要"
+#: Words that make a piece of a question useless as a token.
+QUESTION_WORDS = "什么 哪些 如何 怎么 怎样 为何 为什么 是否 有关 关于 事项 问题 内容 知识库".split()
 
 _WS = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 SPACES = f"[{_WS}]+"
