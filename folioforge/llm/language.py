@@ -207,8 +207,9 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def predict(docs: DataFrame, model: Model, *keep: str, text: str = "text") -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` of every row."""
+    """``keep`` columns, ``lang_pred`` and ``score`` of every row; kept columns of these names are replaced."""
     modest_batches(docs.sparkSession)
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size for each pair of labels
     schema = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 

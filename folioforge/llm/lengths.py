@@ -28,6 +28,7 @@ SPAN = 256
 def encoded_lengths(docs: DataFrame, tokenizer: str, *keep: str, text: str = "text") -> DataFrame:
     """``keep`` columns and ``length``, the number of ids of the whole text."""
     modest_batches(docs.sparkSession)
+    keep = tuple(c for c in keep if c != "length")
     schema = docs.select(*keep).withColumn("length", F.lit(0).cast("long")).schema
 
     def run(batches):

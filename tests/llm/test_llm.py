@@ -312,6 +312,17 @@ def test_language_features_and_votes_one_at_a_time(spark):
         assert wins[best[i]] == max(wins.values()) and 0 <= score[i] <= 1
 
 
+def test_kept_columns_of_a_results_name_are_replaced(spark):
+    docs = frame(spark, [(1, "some words here"), (1, "some words here"), (2, None)]).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(7)).withColumn("length", F.lit("y"))
+    model = language.train(docs.withColumn("lang", F.lit("en")))
+    out = language.predict(docs, model, "doc_id", "score", "lang_pred", "length")
+    assert out.columns == ["doc_id", "length", "lang_pred", "score"] and sorted((r.doc_id, r.lang_pred, r.length) for r in out.collect()) == [(1, "en", "y"), (1, "en", "y"), (2, "und", "y")]
+    counted = lengths.encoded_lengths(docs, queries.tokenizer(), "length", "doc_id", "score")
+    assert counted.columns == ["doc_id", "score", "length"] and sorted(r.length for r in counted.collect()) == [0, 3, 3]
+    found = decontaminate.annotate(docs.withColumn("n_hit", F.lit("z")), spark.createDataFrame([("i", "some words")], "item_id string, text string"))
+    assert sorted((r.doc_id, r.n_hit) for r in found.collect()) == [(1, 2), (1, 2), (2, 0)]
+
+
 def test_language_learns_from_other_folds_only(spark):
     import zlib
 
