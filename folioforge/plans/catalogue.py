@@ -82,6 +82,13 @@ _STOP = "(" + ", ".join(_quote(w) for w in text.STOP_WORDS) + ")"
 TOKENS = f"""tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]{{2,}}')) AS word FROM documents),
 tf AS (SELECT doc_id, word, count(*)::BIGINT AS n FROM tk WHERE word NOT IN {_STOP} GROUP BY ALL)"""
 
+#: F5 for what a token can be.
+_LOW_WORD = r"""(regexp_matches(word, '^[a-f0-9]{6,}$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]{1,4}[0-9]*$') AND length(replace(word, '-', '')) <= 10
+  OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]+[0-9]+[a-z]*$') AND length(replace(word, '-', '')) <= 12
+  OR (length(replace(word, '-', '')) <= 8 AND regexp_matches(word, '[0-9]') AND length(regexp_replace(word, '[^0-9]', '', 'g'))::DOUBLE / length(replace(word, '-', '')) >= 0.45)
+  OR NOT regexp_matches(word, '[a-z]') OR regexp_matches(word, '^(untitled|unnamed|unknown|page|source|file|document)([-_ ]?[a-z0-9]{3,})?$')
+  OR replace(word, '-', '') IN ('url', 'uri', 'http', 'https', 'html', 'markdown', 'txt', 'pdf', 'doc', 'docx'))"""
+
 REG = """reg AS (SELECT d.doc_id::VARCHAR AS id, 'doc' || d.doc_id || '.md' AS fileName,
     'raw/sources/' || source || '/doc' || d.doc_id || '.md' AS relativePath, 'markdown' AS kind, n_chars AS size, sha256(text) AS sha256,
     split_part(text, chr(10), 1) AS summary,
@@ -102,6 +109,14 @@ few AS (SELECT * FROM hr WHERE rn <= {graph.PAGES_PER_SOURCE}),
 pr AS (SELECT a.page_id AS a, b.page_id AS b, a.href FROM few a JOIN few b ON b.href = a.href AND a.page_id < b.page_id)"""
 
 
+#: F17 in SQL: the paragraphs of prose of each document, ``ok`` (doc_id, i, x).
+_PARAGRAPHS = f"""nt AS (SELECT doc_id, string_split_regex({sql_normalize('text')}, '\\n+') AS ls FROM documents),
+ln AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM nt),
+cl AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(x, '^\\s*(?:>\\s*)+', ''), '^\\s*[-*+]\\s+', ''), '^\\s+|\\s+$', '', 'g') AS x FROM ln),
+ok AS (SELECT * FROM cl WHERE length(x) >= 6 AND NOT regexp_matches(x, '^#{{1,6}}\\s|^\\[\\[|^_.*_$') AND NOT regexp_matches(x, '(?i)^(?:url|https?://)')
+    AND NOT (length(regexp_replace(x, '[^?]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[A-Za-z0-9À-ÿ]')) AND regexp_matches(x, '(?i)[.!?;]|means\\b|refers to\\b'))"""
+
+
 # ---------------------------------------------------------------- search, answers, research
 @query(f"WITH {PG}, {sql_hits(QUERY, 'h', 12)} SELECT path, title, score FROM h")
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,9 +287,29 @@ def low_info_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("label", text.is_low_information(F.col("label")).alias("low"))
 
 
-@query(None)
+_SIGNAL = r"regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\s]+', ' ', 'g'), '(?i)\b[a-f0-9]{16,}\b', ' ', 'g'), '(?i)\b(?:www|http|https|com|github|gist)\b', ' ', 'g')"
+
+
+@query(
+    f"""WITH sg AS (SELECT doc_id, {_SIGNAL} AS text FROM documents),
+sn AS (SELECT doc_id, string_split(regexp_replace(regexp_replace({sql_normalize('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)) AS ps FROM sg),
+s1 AS (SELECT doc_id, trim(regexp_replace(unnest(ps), '\\s+', ' ', 'g')) AS x, generate_subscripts(ps, 1) AS i FROM sn),
+s2 AS (SELECT doc_id, trim(regexp_replace(x, '^#+\\s*', '')) AS x FROM s1 WHERE length(x) > 18 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 5),
+pt AS (SELECT doc_id, count(DISTINCT x) AS points FROM s2 WHERE length(x) > 1 GROUP BY doc_id),
+tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]{{2,}}')) AS word FROM sg), tf AS (SELECT doc_id, word, count(*) AS n FROM tk WHERE word NOT IN {_STOP} GROUP BY ALL),
+rk AS (SELECT * FROM tf QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) <= 12), cn AS (SELECT doc_id, least(10, count(*)) AS concepts FROM rk WHERE NOT {_LOW_WORD} GROUP BY doc_id),
+{_PARAGRAPHS}, fp AS (SELECT doc_id, substr(arg_min(x, i), 1, 420) AS x FROM ok GROUP BY doc_id),
+bl AS (SELECT doc_id, string_split_regex({sql_normalize('text')}, '\\n{{2,}}') AS bs, {sql_normalize('text')} AS t FROM documents),
+b1 AS (SELECT doc_id, unnest(bs) AS x, generate_subscripts(bs, 1) AS i FROM bl),
+b2 AS (SELECT doc_id, arg_min(x, i) AS x FROM b1 WHERE length(trim(regexp_replace(x, '[#*>`-]', '', 'g'))) > 12 AND NOT regexp_matches(trim(regexp_replace(x, '[#*>`-]', '', 'g')), '(?i)^url\\s*:|^https?://')
+    AND NOT regexp_matches(x, '^\\s*(?:#{{1,6}}\\s|`{{3,}}|~{{3,}})') GROUP BY doc_id),
+r AS (SELECT pg.ord, trim(regexp_replace(pg.title, '\\s+', ' ', 'g')) AS title, coalesce(points, 0)::INT AS points, coalesce(concepts, 0)::INT AS concepts,
+    trim(regexp_replace(coalesce(fp.x, substr(regexp_replace(coalesce(b2.x, bl.t), '\\s+', ' ', 'g'), 1, 420)), '\\s+', ' ', 'g')) AS summary
+    FROM (SELECT doc_id AS ord, trim(substr(split_part(text, chr(10), 1), 1, 80)) AS title FROM documents) pg LEFT JOIN pt ON pt.doc_id = ord LEFT JOIN cn ON cn.doc_id = ord LEFT JOIN fp ON fp.doc_id = ord LEFT JOIN b2 ON b2.doc_id = ord LEFT JOIN bl ON bl.doc_id = ord)
+SELECT ord, title, CASE WHEN summary = '' THEN '来源 ' || title || ' 已加入知识库。' ELSE summary END AS summary, points, concepts FROM r"""
+)
 def offline_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4 on every document."""
+    """C4, F16, F18, F35 on every document."""
     rows = analyze.analyze(shapes.doc_pages(spark, sf_dir), "title", "body")
     return rows.select("ord", "analysis.title", "analysis.summary", F.size("analysis.key_points").alias("points"), F.size("analysis.concepts").alias("concepts"))
 
@@ -445,24 +480,35 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build(pages)[1].select("source", "target", "weight")
 
 
-@query(
-    f"""{GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)}, ad AS (SELECT source AS x, target AS y FROM ke UNION SELECT target, source FROM ke),
+NODES = f"""{GRAPH.replace('WITH ', 'WITH RECURSIVE ', 1)}, ad AS (SELECT source AS x, target AS y FROM ke UNION SELECT target, source FROM ke),
 r AS (SELECT path AS x, place AS root FROM nd UNION SELECT ad.y, r.root FROM r JOIN ad ON ad.x = r.x), m AS (SELECT x AS path, min(root) AS root FROM r GROUP BY x),
-inn AS (SELECT path, count(*) AS k FROM (SELECT source AS path FROM ke UNION ALL SELECT target FROM ke) GROUP BY path)
-SELECT nd.path, title, (dense_rank() OVER (ORDER BY root) - 1)::INT AS community, greatest(1, nl + 1 + degree, coalesce(k + 1, 1))::BIGINT AS weight
-FROM nd JOIN m USING (path) LEFT JOIN inn USING (path)"""
-)
+inn AS (SELECT path, count(*) AS k FROM (SELECT source AS path FROM ke UNION ALL SELECT target FROM ke) GROUP BY path),
+nw AS (SELECT nd.path, title, (dense_rank() OVER (ORDER BY root) - 1)::INT AS community, greatest(1, nl + 1 + degree, coalesce(k + 1, 1))::BIGINT AS weight, place
+    FROM nd JOIN m USING (path) LEFT JOIN inn USING (path))"""
+
+
+@query(f"{NODES} SELECT path, title, community, weight FROM nw")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selected nodes with community and weight."""
     pages = _linked_pages(spark, sf_dir).withColumn("mtime", F.timestamp_seconds(F.col("ord")))
     return graph.build(pages)[0].select("path", "title", "community", F.col("weight").cast("long").alias("weight"))
 
 
-@query(None)
+@query(
+    f"""{NODES}, sz AS (SELECT community, count(*) AS size FROM nw GROUP BY 1), cc AS (SELECT *, row_number() OVER (ORDER BY size DESC, community) - 1 AS c FROM sz),
+la AS (SELECT *, least(12, max(c) OVER () + 1) AS large FROM cc),
+pl AS (SELECT nw.*, size, c, large, row_number() OVER (PARTITION BY nw.community ORDER BY weight DESC, title, path) - 1 AS i FROM nw JOIN la ON la.community = nw.community),
+ro AS (SELECT *, row_number() OVER (PARTITION BY c >= 12 ORDER BY c, i) - 1 AS k, greatest(1, ceil(sqrt(count(*) OVER (PARTITION BY c >= 12))))::BIGINT AS cols,
+    (c - 1)::DOUBLE / greatest(1, large - 1) * 2 * pi() AS angle, greatest(34, least(150, 24 + size * 2)) * sqrt(i) AS ring, i * (pi() * (3 - sqrt(5))) AS turn FROM pl)
+SELECT path, title, 'concept' AS type, community, weight, place::BIGINT AS ord,
+    (CASE WHEN c < 12 THEN floor(CASE WHEN c = 0 THEN 340.0::DOUBLE ELSE 340 + cos(angle) * 250 END + cos(turn) * ring + 0.5) ELSE 80 + (k % cols) * 34 END)::BIGINT AS x,
+    (CASE WHEN c < 12 THEN floor(CASE WHEN c = 0 THEN 260.0::DOUBLE ELSE 270 + sin(angle) * 185 END + sin(turn) * ring + 0.5) ELSE 560 + (k // cols) * 34 END)::BIGINT AS y FROM ro"""
+)
 def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the graph with community, weight and place."""
+    """Nodes of the graph with community, weight and place."""
     pages = _linked_pages(spark, sf_dir).withColumn("mtime", F.timestamp_seconds(F.col("ord")))
-    return graph.build(pages)[0]
+    whole = [F.col(c).cast("long").alias(c) for c in ("weight", "ord", "x", "y")]
+    return graph.build(pages)[0].select("path", "title", "type", "community", *whole)
 
 
 # ---------------------------------------------------------------- audit
@@ -717,14 +763,6 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- topics
-#: F5 for what a token can be.
-_LOW_WORD = r"""(regexp_matches(word, '^[a-f0-9]{6,}$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+$') OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]{1,4}[0-9]*$') AND length(replace(word, '-', '')) <= 10
-  OR regexp_matches(replace(word, '-', ''), '^[0-9]+[a-z]+[0-9]+[a-z]*$') AND length(replace(word, '-', '')) <= 12
-  OR (length(replace(word, '-', '')) <= 8 AND regexp_matches(word, '[0-9]') AND length(regexp_replace(word, '[^0-9]', '', 'g'))::DOUBLE / length(replace(word, '-', '')) >= 0.45)
-  OR NOT regexp_matches(word, '[a-z]') OR regexp_matches(word, '^(untitled|unnamed|unknown|page|source|file|document)([-_ ]?[a-z0-9]{3,})?$')
-  OR replace(word, '-', '') IN ('url', 'uri', 'http', 'https', 'html', 'markdown', 'txt', 'pdf', 'doc', 'docx'))"""
-
-
 @query(
     f"""WITH {TOKENS}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM tf)
 SELECT word AS key, count(*)::BIGINT AS n_sources, min(doc_id) AS first_doc FROM rk WHERE place <= 3
@@ -748,11 +786,7 @@ def _topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {TOKENS}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM tf),
 tp AS (SELECT doc_id, word AS key FROM rk WHERE place <= 3 AND NOT {_LOW_WORD}),
-nt AS (SELECT doc_id, string_split_regex({sql_normalize('text')}, '\\n+') AS ls FROM documents),
-ln AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM nt),
-cl AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(x, '^\\s*(?:>\\s*)+', ''), '^\\s*[-*+]\\s+', ''), '^\\s+|\\s+$', '', 'g') AS x FROM ln),
-ok AS (SELECT * FROM cl WHERE length(x) >= 6 AND NOT regexp_matches(x, '^#{{1,6}}\\s|^\\[\\[|^_.*_$') AND NOT regexp_matches(x, '(?i)^(?:url|https?://)')
-    AND NOT (length(regexp_replace(x, '[^?]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[A-Za-z0-9À-ÿ]')) AND regexp_matches(x, '(?i)[.!?;]|means\\b|refers to\\b')),
+{_PARAGRAPHS},
 ab AS (SELECT tp.doc_id, key, x, i, contains(lower(x), key) AS about FROM tp JOIN ok ON ok.doc_id = tp.doc_id),
 ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY NOT regexp_matches(x, '(?i)means\\b|refers to\\b'), i) AS r FROM (SELECT *, bool_or(about) OVER (PARTITION BY doc_id, key) AS has FROM ab) WHERE about = has),
 ev AS (SELECT doc_id, key, string_agg(CASE WHEN length(x) > 700 THEN substr(x, 1, 700) || '…' ELSE x END, chr(10) || chr(10) ORDER BY r) AS e,
