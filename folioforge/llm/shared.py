@@ -122,10 +122,12 @@ class Bloom:
         return (self.words[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each key may be in the set; the second probe is for those that pass the first."""
+        """Whether each key may be in the set; where few pass the first probe, the second is for those only."""
         keys = keys.astype(np.uint64, copy=False)
         out = self._probe(keys & np.uint64(0xFFFFFFFF))
         some = np.flatnonzero(out)
+        if 2 * len(some) > len(keys):
+            return out & self._probe(keys >> np.uint64(32))
         out[some] = self._probe(keys[some] >> np.uint64(32))
         return out
 
