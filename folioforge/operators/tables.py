@@ -30,7 +30,8 @@ def shared_root(spark: SparkSession) -> str:
     Only a local session may do without: it gets a temp folder.  Anywhere else executors would write to disks of
     their own and later reads would silently miss the files, so that is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.folioforge.tables", None)
+    key = "spark.checkpoint.dir"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or spark.conf.get("spark.folioforge.tables", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
