@@ -225,8 +225,10 @@ def many_hits(pages: DataFrame, queries: list[str], limit: int = RESEARCH_LIMIT)
     asked = [(q, search_tokens(q)) for q in queries]
     any_ = found(shown, "", [x for q, t in asked for x in [*t, q.strip().lower()]])
     rows = pages.filter(paths.is_evidence(F.col("path")) & any_).filter(~is_low_quality(F.col("title"), F.col("body")))
-    each = [F.struct(F.lit(i).alias("query"), score(shown, F.col("title"), q, t).alias("score")) for i, (q, t) in enumerate(asked)]
-    scored = rows.select("path", F.explode(F.array(*each)).alias("s")).select("path", "s.query", "s.score").filter("score > 0")
+    # The lower-cased text is a column of its own: a generator evaluates what it is given once for every use.
+    low = rows.select("path", "title", shown.alias("low"))
+    each = [F.struct(F.lit(i).alias("query"), score(F.col("low"), F.col("title"), q, t).alias("score")) for i, (q, t) in enumerate(asked)]
+    scored = low.select("path", F.explode(F.array(*each)).alias("s")).select("path", "s.query", "s.score").filter("score > 0")
     # A limit on the rank lets each task pass on no more than that many rows of a query.
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "path"))
     best = scored.withColumn("place", rank).filter(F.col("place") <= limit)  # W7, so limit rows a query
