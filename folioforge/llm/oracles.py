@@ -88,5 +88,71 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(root) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id"""
 
 
+_TERMS = rf"""
+d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+gt AS (SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+lv AS (SELECT d.lang, count(DISTINCT k.term)::HUGEINT AS v, coalesce(any_value(k.n), 0)::HUGEINT AS total
+       FROM (SELECT DISTINCT lang FROM d) d LEFT JOIN (SELECT lang, term, sum(n) OVER (PARTITION BY lang) AS n FROM kept) k USING (lang) GROUP BY d.lang),
+g AS (SELECT d.lang, d.source, coalesce(sum(gt.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN gt USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(gt.n, 0) AS n, 1 + (1000000000 * (coalesce(gt.n, 0) + 2)) // (g.total + 2 * lv.v) AS p
+      FROM g JOIN lv USING (lang) JOIN kept k USING (lang) LEFT JOIN gt ON gt.lang = g.lang AND gt.source = g.source AND gt.term = k.term),
+q AS (SELECT k.lang, k.term, 1 + (1000000000 * (k.n + 2)) // (lv.total + 2 * lv.v) AS q FROM kept k JOIN lv USING (lang))
+"""
+
+OP11 = f"""WITH {_TERMS},
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+tm AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pr
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM tm)
+WHERE rank <= 10"""
+
+_ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+)
+_RUN, _ACCESS, _HEX = "[A-Za-z0-9+/_-]{16,}", "AKIA[A-Z0-9]+", "[0-9a-f]+"
+
+
+def _spans(kind: str, of: str, key: str, text: str, pattern: str) -> str:
+    """Matches in a text as rows (key, kind, start, value) by the lengths of all before."""
+    return f"""(SELECT {key}, '{kind}' AS kind, m AS value, sum(length(gap) + length(m)) OVER (PARTITION BY {key} ORDER BY i) - length(m) AS start
+    FROM (SELECT {key}, i, gaps[i] AS gap, ms[i] AS m
+          FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i
+                FROM (SELECT {key}, regexp_split_to_array({text}, '{pattern}') AS gaps, regexp_extract_all({text}, '{pattern}') AS ms FROM {of}))))"""
+
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents),
+cut AS (SELECT r, regexp_split_to_array(t, '{_ASSIGN}') AS ps, regexp_extract_all(t, '{_ASSIGN}') AS ms FROM d),
+piece AS (SELECT r, i, ps[i] AS piece, coalesce(sum(length(ps[i]) + coalesce(length(ms[i]), 0)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+          FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM cut)),
+runs AS (SELECT s.r, 'owned' AS kind, s.value, s.start + piece.first AS start
+         FROM {_spans("owned", "piece", "r, i0", "piece", _RUN).replace("SELECT r, i0, regexp", "SELECT r, i AS i0, regexp")} s JOIN piece ON piece.r = s.r AND piece.i = s.i0
+         WHERE regexp_matches(s.value, '[0-9]') AND regexp_matches(s.value, '[A-Za-z]') AND NOT regexp_matches(s.value, 'AKIA[A-Z0-9]{{12}}|[0-9a-f]{{32}}')),
+base AS (SELECT r, kind, start, start + length(value) AS stop, regexp_extract(value, '{_ASSIGN}', 2) AS value FROM {_spans("assign", "d", "r", "t", _ASSIGN)} WHERE length(regexp_extract(value, '{_ASSIGN}', 2)) >= 8
+         UNION ALL SELECT r, kind, start, start + length(value), value FROM {_spans("access", "d", "r", "t", _ACCESS)} WHERE length(value) >= 16
+         UNION ALL SELECT r, kind, start, start + length(value), value FROM {_spans("hex", "d", "r", "t", _HEX)} WHERE length(value) >= 32),
+c AS (SELECT * FROM base UNION ALL SELECT r, kind, start, start + length(value), value FROM runs),
+own AS (SELECT value, count(DISTINCT coalesce(lower(string_split(source, '/')[1]), chr(0))) <= 2 AS specific, bool_or(kind = 'assign') AS known
+        FROM c JOIN d USING (r) GROUP BY value),
+j AS (SELECT r, kind, start, stop, specific FROM c JOIN own USING (value)
+      WHERE kind <> 'owned' OR (specific AND (known OR (length(value) >= 20 AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+                                                        AND len(list_distinct(string_split(value, ''))) >= 10)))),
+s AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, list_position(['assign', 'access', 'hex', 'owned'], kind)) AS spans,
+             string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, list_position(['assign', 'access', 'hex'], kind)) FILTER (WHERE kind <> 'owned') AS base,
+             count_if(specific) AS n_live, count_if(NOT specific) AS n_example
+      FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+FROM d LEFT JOIN s USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_ngram_jaccard": OP5, "op8_quality_rules": OP8, "op10_mix_sources": OP10}
+    return {"op1_decontamination": OP1, "op5_ngram_jaccard": OP5, "op8_quality_rules": OP8, "op10_mix_sources": OP10, "op11_source_divergence": OP11, "op13_secret_scan": OP13}

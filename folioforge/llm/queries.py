@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import decontaminate, html_text, jaccard, language, lengths, mixing, phrases, quality, urls, wavelet
+from folioforge.llm import alignment, credentials, decontaminate, divergence, html_text, jaccard, language, lengths, mixing, phrases, quality, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,38 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set each source apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, scored by corpus-wide counts."""
+    files = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.tiktoken")
+    return alignment.annotate(table(spark, sf_dir, "documents"), files)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base kinds, and bare values that one owner alone holds."""
+    found = credentials.annotate(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["kind"] != "owned")
+    many = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        many("assign").alias("n_assign"),
+        many("access").alias("n_access"),
+        many("hex").alias("n_hex"),
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(F.col("found")).alias("spans"),
+        "n_live",
+        "n_example",
+    )
+
+
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontamination,
@@ -99,5 +131,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_suffix_dedup,
         op10_mix_sources,
+        op11_source_divergence,
+        op12_tokenizer_alignment,
+        op13_secret_scan,
     )
     return {f.__name__: f for f in ops}
