@@ -6,14 +6,14 @@ often as the corpus links it, and a link is *best* if no pair of the same B id c
 
 Method: id-striped dense count matrices.
 
-1. ``pair_counts``: every task counts its pairs first; what it counted is dealt to stripes of ``STRIPE`` consecutive B
-   ids.  A stripe's task adds it into a dense block (B ids of the stripe by all A ids) with ``np.add.at``.
-2. ``annotate``: the corpus is encoded again (cheaper than keeping all links), and each chunk of documents sends every
-   stripe one packed record: its pairs, and for each the documents that have it.  The stripe's counts go the same way
-   and arrive first: they fill the block, row maxima are the best counts, and the records that follow are scored
-   against it while they stream by.  A stripe of more than ``STRIPE_LINKS`` links is dealt to several tasks by chunk,
-   its counts to each of them.
-3. Partial sums of a chunk's documents meet by chunk and are added up.
+1. ``encoded``: one scan leaves, for each chunk of documents, a packed record a stripe of ``STRIPE`` consecutive B ids - the
+   chunk's pairs, and for each the documents that have it - and what the task counted of each pair.
+2. ``pair_counts``: these counts are dealt to the stripes; a stripe's task adds them into a dense block (B ids of the stripe
+   by all A ids) with ``np.add.at``.
+3. ``annotate``: a stripe's counts and its records meet in one task, counts first: they fill the block, row maxima are the
+   best counts, and the records that follow are scored against it while they stream by.  A stripe of more than
+   ``STRIPE_LINKS`` links is dealt to several tasks by chunk, its counts to each of them.
+4. Partial sums of a chunk's documents meet by chunk and are added up.
 
 A task holds one block (``STRIPE`` x A's ids x 8 bytes, 103 MB for 50,257), and one record at a time; no link list of a token,
 a document or a stripe is ever collected.  A stripe's counts are at most as many as the block has cells.
@@ -35,6 +35,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,18 +99,21 @@ class Pair:
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both for units that begin with the space."""
-        a = [None] * len(units)
-        hard = []
-        for i, u in enumerate(units):
-            if self.fast is not None and _PLAIN.fullmatch(u):
-                a[i] = self.fast(u)
-            else:
-                hard.append(i)
+        if self.fast is None:
+            hard = list(range(len(units)))
+            a = [[]] * len(units)
+        else:
+            hard = [i for i, u in enumerate(units) if _hard(u)]
+            a = list(map(self.fast, units)) if not hard else [[] if _hard(u) else self.fast(u) for u in units]
         for i, e in zip(hard, self.a.encode_batch([units[i] for i in hard], add_special_tokens=False), strict=True):
             a[i] = e.ids
         return a, self.b.encode([u[1:] for u in units], num_threads=1)
 
 
+def _hard(unit: str) -> bool:
+    return not (unit.isascii() or _PLAIN.fullmatch(unit))
+
+
 def _ranked(file: str):
     """A's vocabulary in the quicker library, from its table of ranks."""
     import public_tokenizers
@@ -122,7 +126,7 @@ def _ranked(file: str):
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for y in lists for x in y), np.int64, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
 def _by_unit(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -153,25 +157,22 @@ class Units:
     def learn(self, units: list[str]) -> None:
         """Work out and remember units that are not known yet."""
         pair = self.pair
-        raw = [u.encode() for u in units]
         a_ids, b_ids = pair.encode(units)
-        ok = np.fromiter(
-            (
-                r == b"".join([pair.a_bytes[i] for i in a]) and r == b"".join([pair.b_bytes[i] for i in b])
-                for r, a, b in zip(raw, a_ids, b_ids, strict=True)
-            ),
-            bool,
-            len(units),
-        )
+        ok = self._given_back(units, a_ids, b_ids)
         for i in np.flatnonzero(~ok):
             a_ids[i], b_ids[i] = [], []
         a, a_sizes = _flat(a_ids)
         b, b_sizes = _flat(b_ids)
         a_ends, b_ends = np.cumsum(pair.a_lengths[a]), np.cumsum(pair.b_lengths[b])
-        cuts = np.union1d(a_ends, b_ends)  # between two cuts lies what one token of each shares: a link
+        cuts = np.concatenate([a_ends, b_ends])
+        cuts.sort(kind="stable")  # two ascending runs
+        cuts = cuts[np.concatenate([cuts[1:] != cuts[:-1], [True]])] if len(cuts) else cuts
+        # Between two cuts lies what one token of each shares: a link.
         a_at, b_at = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
         links = (b[b_at] << 16 | a[a_at]).astype(np.uint32)
-        a_last, b_last = np.isin(a_ends, b_ends, assume_unique=True), np.isin(b_ends, a_ends, assume_unique=True)
+        a_last, b_last = (np.zeros(len(x), bool) for x in (a, b))
+        both = (a_ends[a_at] == cuts) & (b_ends[b_at] == cuts)
+        a_last[a_at[both]] = b_last[b_at[both]] = True
         groups = _by_unit(a_last, a_sizes)
         n_links = a_sizes + b_sizes - groups
         # A group's A ids, then its B ids.
@@ -193,6 +194,21 @@ class Units:
         self.links = np.concatenate([self.links, links])
         self.starts = np.concatenate([self.starts, begin])
 
+    def _given_back(self, units: list[str], *sides: list[list[int]]) -> np.ndarray:
+        """Whether the tokens of both sides are a unit's bytes: all at once, and one by one only where that fails."""
+        raw = [u.encode() for u in units]
+        whole = b"".join(raw)
+        tables = self.pair.a_bytes, self.pair.b_bytes
+        ok = np.ones(len(units), bool)
+        for ids, table in zip(sides, tables, strict=True):
+            flat, sizes = _flat(ids)
+            lengths = self.pair.a_lengths if table is tables[0] else self.pair.b_lengths
+            alike = _by_unit(lengths[flat], sizes) == np.fromiter(map(len, raw), np.int64, len(raw))
+            if alike.all() and b"".join(map(table.__getitem__, flat.tolist())) == whole:
+                continue
+            ok &= np.fromiter((r == b"".join([table[i] for i in x]) for r, x in zip(raw, ids, strict=True)), bool, len(raw))
+        return ok
+
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """The places of each text's units; none where a text has no tokens."""
         if len(self.text) > MEMO_UNITS or len(self.links) > MEMO_LINKS:
@@ -200,7 +216,7 @@ class Units:
         cut = [self._cut(t) if t else [] for t in texts]
         new = set().union(*cut) - self.place.keys()
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         found = [np.fromiter(map(self.place.__getitem__, c), np.int64, len(c)) for c in cut]
         for i, f in enumerate(found):
             if len(f) and not self.facts[f, 0].all():
@@ -271,43 +287,20 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def pair_counts(docs: DataFrame, files: tuple[str | None, ...], text: str = "text") -> DataFrame:
-    """(stripe, p, q): ascending pairs (B id << 16 | A id, unsigned 32-bit) of a stripe and their counts (64-bit)."""
-
-    def count(batches):
-        units = _units(*files)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def hand_on():
-            keys, counts = _counted(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            rows = [(s, 0, 0, keys[w].tobytes(), counts[w].tobytes(), None) for s, w in _by_stripe(keys)]
-            return _record(_PACKED, rows) if rows else None
-
-        for batch in batches:
-            for _, texts in _chunks(batch.column(0)):
-                places = np.concatenate([np.zeros(0, np.int64), *units.of(texts)])
-                seen, often = np.unique(places, return_counts=True)
-                held.append(_counted(units.links_of(seen), np.repeat(often, units.facts[seen, 4])))
-                size += len(held[-1][0])
-                if size > HELD_PAIRS:
-                    if out := hand_on():
-                        yield out
-                    held, size = [], 0
-        if held and (out := hand_on()):
-            yield out
+def pair_counts(encoded: DataFrame, width: int) -> DataFrame:
+    """(stripe, links, p, q): ascending pairs (B id << 16 | A id, unsigned 32-bit) of a stripe, their counts (64-bit) and the sum of these."""
 
     def add_up(batches):
-        for stripe, block in _filled(batches, len(_units(*files).pair.a_bytes)):
+        for stripe, block in _filled(batches, width):
             keys = np.flatnonzero(block)
             for lo in range(0, len(keys), 1 << 20):
                 k = keys[lo : lo + (1 << 20)]
-                b, a = np.divmod(k, block.shape[1])
+                b, a = np.divmod(k, width)
                 packed = ((b + stripe * STRIPE) << 16 | a).astype(np.uint32)
                 yield _record(_PACKED, [(stripe, 0, int(block.ravel()[k].sum()), packed.tobytes(), block.ravel()[k].tobytes(), None)])
 
-    parts = docs.select(f"`{text}`").mapInArrow(count, _COUNTS)
-    dealt = parts.repartition(_tasks(docs), "stripe").sortWithinPartitions("stripe")
+    parts = encoded.filter("kind = 0").select("stripe", "p", "q")
+    dealt = parts.repartition(_tasks(encoded), "stripe").sortWithinPartitions("stripe")
     return dealt.mapInArrow(add_up, _COUNTS).withColumnRenamed("chunk", "links").select("stripe", "links", "p", "q")
 
 
@@ -359,29 +352,22 @@ def _sent(docs_of: np.ndarray, keys: np.ndarray, chunk: int) -> list[tuple]:
     return rows
 
 
-def annotate(docs: DataFrame, files: tuple[str | None, ...], *keep: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document.
-
-    ``files``: A's tokenizer, B's model, and A's table of ranks or None.
-    """
-    spark = docs.sparkSession
-    modest_batches(spark)
-    integral(docs, doc_id)
-    keep = tuple(dict.fromkeys((doc_id, *keep)))
-    counts = materialise(pair_counts(docs, files, text), "pair_counts")
-    links = {r.stripe: r.links for r in counts.groupBy("stripe").agg(F.sum("links").alias("links")).collect()}  # a row a stripe
-    stripes = max(links, default=-1) + 1
-    ways = F.array(*[F.lit(-(-links.get(s, 0) // STRIPE_LINKS) or 1) for s in range(stripes)], F.lit(1))
-    way = F.get(ways, F.col("stripe"))
-
+def encoded(docs: DataFrame, files: tuple[str | None, ...], keep: tuple[str, ...], text: str) -> DataFrame:
+    """Records of the corpus: counts of pairs (kind 0), links (1) and a chunk's documents (2)."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     facts = [T.StructField(n, T.LongType()) for n in _FACTS] + [T.StructField("sha", T.StringType())]
     inner = T.StructType([T.StructField("row", docs.select(row).schema["row"].dataType), *facts])
     sent_type = T.StructType([*T._parse_datatype_string(_COUNTS).fields, T.StructField("docs", T.ArrayType(inner))])
 
+    def counted(held, none):
+        keys, counts = _counted(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        if packed := [(s, 0, 0, keys[w].tobytes(), counts[w].tobytes(), None) for s, w in _by_stripe(keys)]:
+            yield _with_docs(packed, none)
+
     def send(batches):
         units = _units(*files)
         number = TaskContext.get().partitionId() << 32
+        held, size, none = [], 0, None
         for batch in batches:
             kept = batch.column(0)
             for first, texts in _chunks(batch.column(1)):
@@ -395,6 +381,7 @@ def annotate(docs: DataFrame, files: tuple[str | None, ...], *keep: str, doc_id:
                     [kept.slice(first, len(texts)), *[pa.array(s, pa.int64()) for s in sums], pa.array(sha, pa.string())],
                     ["row", *_FACTS, "sha"],
                 )
+                none = rows.slice(0, 0)
                 yield _with_docs([(-1, 2, number, None, None, None)], rows)
                 # Links in slices, so that a long text adds nothing to what is sorted at once.
                 ends, of_doc = np.cumsum(facts[:, 4]), np.repeat(np.arange(len(found)), sizes)
@@ -403,9 +390,37 @@ def annotate(docs: DataFrame, files: tuple[str | None, ...], *keep: str, doc_id:
                     to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_LINKS, "right")))
                     part = places[at:to]
                     if packed := _sent(np.repeat(of_doc[at:to], facts[at:to, 4]), units.links_of(part), number):
-                        yield _with_docs(packed, rows.slice(0, 0))
+                        yield _with_docs(packed, none)
                     at = to
                 number += 1
+                seen, often = np.unique(places, return_counts=True)
+                held.append(_counted(units.links_of(seen), np.repeat(often, units.facts[seen, 4])))
+                size += len(held[-1][0])
+                if size > HELD_PAIRS:
+                    yield from counted(held, none)
+                    held, size = [], 0
+        if held:
+            yield from counted(held, none)
+
+    return docs.select(row, F.col(f"`{text}`")).mapInArrow(send, sent_type)
+
+
+def annotate(docs: DataFrame, files: tuple[str | None, ...], *keep: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document.
+
+    ``files``: A's tokenizer, B's model, and A's table of ranks or None.
+    """
+    modest_batches(docs.sparkSession)
+    integral(docs, doc_id)
+    keep = tuple(dict.fromkeys((doc_id, *keep)))
+    width = len(_units(*files).pair.a_bytes)
+    sent = materialise(encoded(docs, files, keep, text), "links", **{"parquet.block.size": str(16 << 20)})  # records are read by row groups
+    sent_type = sent.schema
+    counts = materialise(pair_counts(sent, width), "pair_counts")
+    links = {r.stripe: r.links for r in counts.groupBy("stripe").agg(F.sum("links").alias("links")).collect()}  # a row a stripe
+    stripes = max(links, default=-1) + 1
+    ways = F.array(*[F.lit(-(-links.get(s, 0) // STRIPE_LINKS) or 1) for s in range(stripes)], F.lit(1))
+    way = F.get(ways, F.col("stripe"))
 
     def score(batches):
         block = best = at = None
@@ -466,14 +481,12 @@ def annotate(docs: DataFrame, files: tuple[str | None, ...], *keep: str, doc_id:
         if at is not None:
             yield done()
 
-    width = len(_units(*files).pair.a_bytes)
-    sent = docs.select(row, F.col(f"`{text}`")).mapInArrow(send, sent_type)
     spread = F.when(F.col("kind") == 1, F.pmod(F.xxhash64("chunk"), way)).when(F.col("kind") == 2, F.pmod(F.xxhash64("chunk"), F.lit(1 << 16))).otherwise(F.lit(0))
     first = counts.select(
         "stripe", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "p", "q", F.lit(None).cast("binary").alias("r"),
         F.lit(None).cast(sent_type["docs"].dataType).alias("docs"), F.explode(F.sequence(F.lit(0).cast("long"), (way - 1).cast("long"))).alias("way"),
     )
-    both = sent.withColumn("way", spread.cast("long")).unionByName(first)
+    both = sent.filter("kind > 0").withColumn("way", spread.cast("long")).unionByName(first)
     tasks = max(_tasks(docs), sum(-(-n // STRIPE_LINKS) for n in links.values()))
     dealt = both.repartition(tasks, "stripe", "way").sortWithinPartitions("stripe", "way", "kind")
     scored = dealt.mapInArrow(score, sent_type)

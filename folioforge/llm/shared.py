@@ -32,11 +32,11 @@ def integral(docs: DataFrame, doc_id: str) -> Column:
 
 
 # ---------------------------------------------------------------- scratch tables
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
