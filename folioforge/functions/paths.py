@@ -102,6 +102,7 @@ def is_external(reference: Column) -> Column:
 
 
 def is_web_url(url: Column) -> Column:
-    """Http or https, a host, no credentials, no control characters."""
-    scheme, host, user = (F.try_parse_url(url, F.lit(x)) for x in ("PROTOCOL", "HOST", "USERINFO"))
-    return F.coalesce(F.lower(scheme).isin("http", "https") & host.isNotNull() & user.isNull() & ~url.rlike("[\\x00-\\x20\\x7f\\ufffd]"), F.lit(False))
+    """Http or https, a host (any characters but separators; or an address in brackets), no credentials, no control characters."""
+    host = "(?:[^/?#@:\\\\\\[\\]%^|<>]+|\\[[0-9A-Fa-f:.]+\\])"
+    shape = f"(?is)^https?://{host}(?::[0-9]*)?(?:[/?#].*)?$"
+    return F.coalesce(url.rlike(shape) & ~url.rlike("[\\x00-\\x20\\x7f\\ufffd]"), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,65 @@ from folioforge.functions.markdown import blockquote, bullet_list, escape, wiki_
 from folioforge.functions.paths import is_unsafe_entry
 
 
+#: The file that names a published table's current version; Spark's readers pass over names that begin so.
+CURRENT = "_current"
+
+
 def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """K1-K3: a whole table under Spark's commit protocol, through a copy so that it may read what it replaces."""
-    from folioforge.operators.tables import materialise
+    """K1-K3: publish ``df`` as the whole table ``path``, all or nothing; it may read what it replaces.
 
-    writer = materialise(df, "replace").write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    The rows go to a new folder under Spark's commit protocol; then one small file that names the folder is put in place
+    by a rename.  Until then, and if anything fails, readers (``read_table``) see the former version.  The version before the
+    former one is deleted, so a reader that has begun can end.
+    """
+    spark = df.sparkSession
+    before = current_version(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    writer = df.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{name}")
+    files, at = _files(spark, path)
+    kept = {f"{path}/{name}", f"{path}/{before}"}
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    temporary, current = folder(f"{path}/_{name}"), folder(f"{path}/{CURRENT}")
+    out = files.create(temporary, True)
+    out.write(f"{name}".encode())
+    out.close()
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(temporary, current, options)
+    for status in files.listStatus(at):
+        found = status.getPath().getName()
+        if found.startswith("v-") and f"{path}/{found}" not in kept:
+            files.delete(status.getPath(), True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of a published table that readers see; None if nothing was published."""
+    files, _ = _files(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{CURRENT}")
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame | None:
+    """The current version of a table that ``replace_table`` published."""
+    name = current_version(spark, path)
+    if name is None:
+        if missing_ok:
+            return None
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def append_log(spark: SparkSession, path: str, kind: str, text: str) -> None:
@@ -85,5 +140,5 @@ def sync_index(index_path: str, documents: DataFrame) -> None:
     from folioforge.operators.registry import upsert_index
 
     spark = documents.sparkSession
-    old = spark.read.schema(documents.schema).parquet(index_path)
+    old = read_table(spark, index_path)
     replace_table(upsert_index(old, documents), index_path)

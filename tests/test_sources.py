@@ -78,11 +78,29 @@ def test_sinks(spark, tmp_path):
     t = str(tmp_path / "t")
     sinks.replace_table(spark.range(3).withColumn("signature", F.lit("a")), t)
     sinks.sync_index(t, spark.range(1, 5).withColumn("signature", F.lit("b")))
-    assert sorted(r.id for r in spark.read.parquet(t).collect()) == [1, 2, 3, 4]
+    assert sorted(r.id for r in sinks.read_table(spark, t).collect()) == [1, 2, 3, 4]
     page = spark.range(1).select(sinks.source_page(*map(F.lit, ("raw/a", 'T "q"', "markdown", "sum")), F.array(F.lit("p")), F.array().cast("array<string>"), F.lit("x\ny"), F.lit("now")).alias("b")).first().b
     assert 'title: "T \\"q\\""' in page and "- p" in page and "_暂无_" in page and "> x\n> y" in page
 
 
+def test_a_failing_replacement_leaves_the_old_table(spark, tmp_path):
+    t = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, t)
+    assert sinks.read_table(spark, t, missing_ok=True) is None
+    sinks.replace_table(spark.range(10), t)
+    half = spark.range(100).withColumn("id", F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.replace_table(half, t)
+    assert sinks.read_table(spark, t).count() == 10
+    held = sinks.read_table(spark, t)
+    sinks.replace_table(held.filter("id > 4"), t)
+    assert held.count() == 10 and sinks.read_table(spark, t).count() == 5  # who had begun can end
+    sinks.replace_table(sinks.read_table(spark, t).filter("id > 7"), t, ("id",))
+    assert sorted(r.id for r in sinks.read_table(spark, t).collect()) == [8, 9]
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) <= 3  # the failed one is swept by the next
+
+
 def test_pages_are_added_and_unsafe_paths_refused(spark, tmp_path):
     root, schema = str(tmp_path / "pages"), "path string, body string"
     write = lambda rows: sinks.write_pages(spark.createDataFrame(rows, schema), root)
