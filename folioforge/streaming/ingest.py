@@ -18,7 +18,6 @@ from folioforge.operators import analyze
 from folioforge.sources import files
 
 FILE_STREAM = "path string, modificationTime timestamp, length long, content binary"
-MAX_ATTEMPTS = 3
 
 
 def file_stream(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFrame:
@@ -57,31 +56,6 @@ def run_once(spark: SparkSession, root: str, sink: str, checkpoint: str, analyse
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def item_states(events: DataFrame) -> DataFrame:
-    """R2: the state of each queue item from its events (id, event, ts), in order, with attempts.
-
-    queued -> running -> done or failed; an error requeues until ``MAX_ATTEMPTS``.  Events that do not fit
-    the state are ignored.
-    """
-
-    def step(key, batches, state):
-        status, attempts = state.get if state.exists else ("new", 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for event in rows["event"]:
-            if event == "enqueue" and status in ("new", "failed"):
-                status = "queued"
-            elif event == "start" and status == "queued":
-                status, attempts = "running", attempts + 1
-            elif event == "finish" and status == "running":
-                status = "done"
-            elif event == "error" and status == "running":
-                status = "queued" if attempts < MAX_ATTEMPTS else "failed"
-        state.update((status, attempts))
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "attempts": [attempts]})
-
-    return events.groupBy("id").applyInPandasWithState(step, "id string, status string, attempts long", "status string, attempts long", "update", "NoTimeout")
-
-
 def recover(queue: DataFrame) -> DataFrame:
     """After a crash, what was running is queued again."""
     return queue.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))

@@ -96,7 +96,7 @@ def test_a_failing_replacement_leaves_the_old_table(spark, tmp_path):
     held = sinks.read_table(spark, t)
     sinks.replace_table(held.filter("id > 4"), t)
     assert held.count() == 10 and sinks.read_table(spark, t).count() == 5  # who had begun can end
-    sinks.replace_table(sinks.read_table(spark, t).filter("id > 7"), t, ("id",))
+    sinks.replace_table(sinks.read_table(spark, t).filter("id > 7").withColumn("n", F.col("id") + 1), t, ("id",))
     assert sorted(r.id for r in sinks.read_table(spark, t).collect()) == [8, 9]
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) <= 3  # the failed one is swept by the next
 
@@ -126,14 +126,7 @@ def test_stream_resumes_and_skips_what_it_has_seen(spark, tmp_path):
     assert len(first) == 1 and len(rows) == 2 and {r.status for r in rows} == {"ready", "failed"}
 
 
-def test_states_and_recovery(spark, tmp_path):
-    events = [("a", "enqueue", 0), ("a", "start", 1), ("a", "finish", 2), ("b", "enqueue", 0), ("b", "start", 1), ("b", "error", 2), ("b", "finish", 3)]
-    src = str(tmp_path / "ev")
-    spark.createDataFrame([(i, e, dt.datetime(2024, 1, 1, 0, t)) for i, e, t in events], "id string, event string, ts timestamp").write.parquet(src)
-    stream = spark.readStream.schema("id string, event string, ts timestamp").parquet(src)
-    q = ingest.item_states(stream).writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r.id, r.status, r.attempts) for r in spark.table("states").collect()} == {("a", "done", 1), ("b", "queued", 1)}
+def test_recovery(spark):
     queue = spark.createDataFrame([("a", "running"), ("b", "done")], "id string, status string")
     assert {(r.id, r.status) for r in ingest.recover(queue).collect()} == {("a", "queued"), ("b", "done")}
 
