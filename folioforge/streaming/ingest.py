@@ -28,9 +28,18 @@ def file_stream(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFr
     )
 
 
-def distinct_files(stream: DataFrame) -> DataFrame:
-    """One row per path and content hash over the life of the checkpoint."""
-    return stream.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["relativePath", "sha256"])
+def new_files(batch: DataFrame, sink: str, batch_id: int) -> DataFrame:
+    """The files of a batch that no earlier batch wrote to ``sink``, one row per path and content hash.
+
+    What was ingested is looked up in the sink, so the stream keeps no state that grows; a batch that is replayed does
+    not see what it had written itself.
+    """
+    spark, key = batch.sparkSession, ["relativePath", "sha256"]
+    rows = batch.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(key)
+    if not batch_id:
+        return rows
+    seen = spark.read.schema("relativePath string, sha256 string, batch long").parquet(sink).filter(F.col("batch") < batch_id)
+    return rows.join(seen.select(*key), key, "left_anti")
 
 
 def document_rows(batch: DataFrame, analyser: Callable = analyze.offline) -> DataFrame:
@@ -49,11 +58,10 @@ def run_once(spark: SparkSession, root: str, sink: str, checkpoint: str, analyse
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = document_rows(batch, analyser).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows = document_rows(new_files(batch, sink, batch_id), analyser)
         rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    stream = distinct_files(file_stream(spark, root))
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return file_stream(spark, root).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def recover(queue: DataFrame) -> DataFrame:

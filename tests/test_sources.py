@@ -124,6 +124,12 @@ def test_stream_resumes_and_skips_what_it_has_seen(spark, tmp_path):
     ingest.run_once(spark, str(root), sink, cp).awaitTermination()
     rows = spark.read.parquet(sink).collect()
     assert len(first) == 1 and len(rows) == 2 and {r.status for r in rows} == {"ready", "failed"}
+    again = [("a.md", b"changed"), ("a.md", b"changed"), (rows[0].relativePath, b"x"), (rows[1].relativePath, b"x")]
+    batch = spark.createDataFrame([(p, bytearray(d)) for p, d in again], "relativePath string, content binary")
+    doc = next(r.relativePath for r in rows if r.relativePath.endswith("b.doc"))
+    left = sorted((r.relativePath == doc, bytes(r.content)) for r in ingest.new_files(batch, sink, 7).collect())
+    assert left == [(False, b"changed"), (False, b"x")]  # a path's new content is new, b.doc's is not
+    assert not list((tmp_path / "cp" / "state").glob("*"))  # no state is kept
 
 
 def test_recovery(spark):
