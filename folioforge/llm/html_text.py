@@ -8,13 +8,16 @@ the article - nav, footer, aside, form, script, style and the like, or a page's
    for each of its blocks (``path_ratios``).
 2. Both ratios are smoothed along the page, so a short path among long ones gains and a lone sentence loses.
 3. They are fused to one score a path: length, times punctuation, times the share outside links, times a prior.
-   The prior is all that names can do: an element marked by role, class or id lowers the score of what it holds, an
+   An element marked by role, class or id lowers the score of what it holds, an
    article or main raises it.  A mark around the whole page lowers all scores alike and so changes nothing.
 4. Paths whose score reaches a share of the spread of all scores select the content nodes.
 
 The smallest container of all selected blocks (the article or main around it, if any; a list or table is none) is
 the article.  Short blocks in it - headings, list items, cells - have paths of their own that need not be selected: they
-stay if nothing inside the container marks them, they are not mostly links, and their score is not next to nothing.
+stay if no element around them inside the container is marked, they are not mostly links, and their score is not next to
+nothing.  A paragraph, quotation, cell or the like that is marked itself stays if without the mark its score would select it: names
+do not remove a sentence that reads like the rest.  Names of inline elements do not count at all; only what is not shown
+(``hidden``, ``display:none``) or is no text (buttons, forms) is cut out of a block.
 A page's only h1, if it stands before the text, is its first line.
 
 Character references are decoded, white space inside a block becomes one space (``br`` is white space),
@@ -41,7 +44,7 @@ from folioforge.llm.shared import modest_batches
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
-_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Tags whose open quotes were looked for in vain, after which quotes in a page are not heeded any more.
 _OPEN_QUOTES = 8
 # HTML's void, raw-text, block-level and set-apart elements.
@@ -57,6 +60,7 @@ NEVER = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_CONTAINER = HEADINGS | frozenset("p li td th pre blockquote dd dt ul ol dl table thead tbody tfoot tr caption".split())
+TEXTS = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A class or id with one of these words (split at anything but letters) marks boilerplate; it lowers a score, no more.
 MARKS = frozenset(
@@ -83,10 +87,10 @@ FLOOR, MOST_LINKS = 0.004, 0.5
 class _Node:
     """An element: its place in page order, nearest block (itself included), path, and what is around it."""
 
-    __slots__ = ("article", "at", "header", "holder", "link", "marks", "out", "parent", "path", "tag")
+    __slots__ = ("article", "at", "header", "holder", "link", "marked", "marks", "out", "parent", "path", "tag")
 
-    def __init__(self, at, tag, parent, path, marks, out, link, article, header):
-        self.at, self.tag, self.parent, self.path, self.marks, self.out = at, tag, parent, path, marks, out
+    def __init__(self, at, tag, parent, path, marks, marked, out, link, article, header):
+        self.at, self.tag, self.parent, self.path, self.marks, self.marked, self.out = at, tag, parent, path, marks, marked, out
         self.link, self.article, self.header = link, article, header
         self.holder = self if parent is None or tag in BLOCK else parent.holder
 
@@ -98,23 +102,23 @@ class _Block:
         self.text, self.node, self.links = text, node, links
 
 
-def _marked(attributes: str) -> tuple[str, bool]:
-    """(class and id as part of a path, whether they, the role or a style mark boilerplate)."""
-    names, bad = [], False
-    if "=" in attributes or "hidden" in attributes:
-        for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id"):
-                names.append(value)
-                bad = bad or not MARKS.isdisjoint(re.split(r"[^a-z]+", value))
-            elif name == "role":
-                bad = bad or value in ROLES
-            elif name == "aria-hidden":
-                bad = bad or value == "true"
-            elif name == "style":
-                bad = bad or "display:none" in value.replace(" ", "")
-        bad = bad or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
-    return ".".join(names), bad
+def _marked(attributes: str) -> tuple[str, bool, bool]:
+    """(class and id as part of a path, whether they or the role mark boilerplate, whether the element is not shown)."""
+    names, bad, unseen = [], False, False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id"):
+            names.append(value)
+            bad = bad or not MARKS.isdisjoint(re.split(r"[^a-z]+", value))
+        elif name == "role":
+            bad = bad or value in ROLES
+        elif name == "aria-hidden":
+            bad = bad or value == "true"
+        elif name == "style":
+            unseen = unseen or "display:none" in value.replace(" ", "")
+        elif name == "hidden":
+            unseen = True
+    return ".".join(names), bad, unseen
 
 
 def _decode(piece: str) -> str:
@@ -134,11 +138,11 @@ class _Page:
     """
 
     def __init__(self, page: str):
-        root = _Node(0, "", None, 0, 0, False, False, False, False)
+        root = _Node(0, "", None, 0, 0, False, False, False, False, False)
         self.nodes, self.blocks = [root], []
         self.stack, self.places, self.open_blocks, self.walls = [root], {}, [], []
         self.paths: dict[tuple, int] = {}
-        self.names: dict[str, tuple[str, bool]] = {}
+        self.names: dict[str, tuple[str, bool, bool]] = {}
         self.holder, self.texts, self.links = root, [], 0
         self._read(page)
         self._end()
@@ -153,8 +157,8 @@ class _Page:
         if not piece:
             return
         node = self.stack[-1]
-        if node.holder is not node and (node.out > node.holder.out or node.marks > node.holder.marks):
-            return  # an inline element of boilerplate inside a block
+        if node.out > node.holder.out:
+            return  # an inline element that is no text, or not shown, inside a block
         self.holder = node.holder
         piece = _decode(piece)
         self.texts.append(piece)
@@ -189,13 +193,13 @@ class _Page:
         parent = self.stack[-1]
         if attributes and attributes not in self.names:
             self.names[attributes] = _marked(attributes)
-        name, bad = self.names[attributes] if attributes else ("", False)
-        out = parent.out or tag in NEVER or (tag == "header" and not parent.article)
+        name, bad, unseen = self.names[attributes] if attributes else ("", False, False)
+        out = parent.out or unseen or tag in NEVER or (tag == "header" and not parent.article)
         article = parent.article or tag in ("article", "main")
-        marks, path = parent.marks + bad, parent.path
+        marks, path = parent.marks + (bad and tag in BLOCK), parent.path
         if tag in BLOCK:
             path = self.paths.setdefault((path, tag, name, marks, article), len(self.paths) + 1)
-        node = _Node(len(self.nodes), tag, parent, path, marks, out, parent.link or tag == "a", article, parent.header or tag == "header")
+        node = _Node(len(self.nodes), tag, parent, path, marks, bad, out, parent.link or tag == "a", article, parent.header or tag == "header")
         if tag in BLOCK or not attributes.rstrip().endswith("/"):
             self.nodes.append(node)
             place = len(self.stack)
@@ -285,11 +289,16 @@ def path_scores(good: list[_Block], ratios: dict[int, tuple[float, float, float]
     return {p: v / n for p, (v, n) in total.items()}
 
 
+def threshold(scores: dict[int, float]) -> float:
+    """The score that selects a path: a share of the spread of all."""
+    mean = sum(scores.values()) / len(scores)
+    return THRESHOLD * math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
+
+
 def selected(scores: dict[int, float]) -> set[int]:
     """The paths whose score reaches the threshold."""
-    mean = sum(scores.values()) / len(scores)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in scores.values()) / len(scores))
-    return {p for p, v in scores.items() if v > 0 and v >= THRESHOLD * spread}
+    least = threshold(scores)
+    return {p for p, v in scores.items() if v > 0 and v >= least}
 
 
 def _container(nodes: list[_Node], content: list[_Node]) -> _Node:
@@ -331,13 +340,20 @@ def main_text(page: str | None) -> str:
     within = bytearray(len(read.nodes))
     for n in read.nodes:
         within[n.at] = n is container or (n.parent is not None and within[n.parent.at])
+    least = threshold(scores)
     floor = FLOOR * max(scores[p] for p in chosen)
 
     def stays(b: _Block) -> bool:
         if b.node.path in chosen:
             return True
-        plain = within[b.node.at] and b.node.marks == container.marks
-        return plain and (b.node.tag in HEADINGS or (ratios[b.node.path][2] <= MOST_LINKS and scores[b.node.path] >= floor))
+        if not within[b.node.at]:
+            return False
+        own = b.node.marked and b.node.tag in TEXTS
+        if b.node.marks - own != container.marks:
+            return False  # inside an element that is marked
+        if own:  # the name speaks against a paragraph that reads like the others
+            return scores[b.node.path] / MARKED >= least
+        return (b.node.tag in HEADINGS or (ratios[b.node.path][2] <= MOST_LINKS and scores[b.node.path] >= floor))
 
     kept = [i for i, b in enumerate(good) if stays(b)]
     if not any(good[i].node.tag == "h1" for i in kept):

@@ -485,6 +485,25 @@ def _articles(pages):
     return out
 
 
+def test_html_names_remove_no_words_of_the_article():
+    long = ["A first sentence of some length, which goes on, and on.", "Another one follows it; it is as long as the first was.", "A third, so that there is a text."]
+    plain = "".join(f"<p>{x}</p>" for x in long)
+    for odd, want in [
+        ('<p>He left a <span class="comment">short remark</span> on the wall.</p>', "He left a short remark on the wall."),
+        ('<p>In the <span title="a hidden gem">valley of roses</span> we met.</p>', "In the valley of roses we met."),
+        ('<p title="the hidden valley">Nobody knows the hidden valley, they say.</p>', "Nobody knows the hidden valley, they say."),
+        ('<p class="share price">The price of a share rose, then fell, then rose again that day.</p>', "The price of a share rose, then fell, then rose again that day."),
+        ('<blockquote class="related-work">Work that is related, said the author, is never quite the same.</blockquote>', "Work that is related, said the author, is never quite the same."),
+        ('<p id="social">Social matters, they wrote, are matters of all of us, always.</p>', "Social matters, they wrote, are matters of all of us, always."),
+        ('<p data-hidden="x" class="lead">It begins here, with a line.</p>', "It begins here, with a line."),
+        ('<p>Seen<span hidden> and unseen</span>, <b style="display: none">never </b>told.</p>', "Seen, told."),
+    ]:
+        page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Head</h1>{plain}{odd}</article><div class=ad>Buy now.</div></body></html>"
+        assert html_text.main_text(page) == "\n".join(["Head", *long, want])
+    inside = '<div class="ad">Buy this, and buy that, as long as it lasts, dear reader.</div><div class="comments"><p>I liked it, said a reader of the page, very much.</p></div>'
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{plain}{inside}</article></body>") == "\n".join(["Head", *long])
+
+
 def test_html_on_the_tables_and_edges(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == _articles(pages.collect())
