@@ -61,9 +61,9 @@ def merge(noted: DataFrame, before: DataFrame | None = None, most: int = MAX_NOT
     """(kind, key, topic, sources, notes) - one note per source in order, at most ``most`` a topic.
 
     ``before`` holds the notes of earlier runs; a source noted before keeps its place, and gets its
-    evidence now if it had none.
+    evidence now if it had none.  Notes that carry the ``run`` they came in stand in the order of runs.
     """
-    now = noted.withColumn("_new", F.lit(1))
+    now = noted.withColumn("_new", F.col("run").cast("int") if "run" in noted.columns else F.lit(1)).drop("run")
     every = now if before is None else before.withColumn("_new", F.lit(0)).unionByName(now)
     held = F.struct((F.size("evidence") == 0).cast("int").alias("empty"), "_new")
     one = every.groupBy("kind", "key", "path").agg(F.min_by(F.struct("topic", "title", "evidence"), held).alias("n"), F.min(F.struct("_new", "ord")).alias("at"))

@@ -1,12 +1,12 @@
-"""Queries over the persistent search index, with their DuckDB twins."""
+"""Queries over what is kept between runs - search index, topic ledger - and over tools as table functions, with their DuckDB twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions import text
-from folioforge.operators import fulltext
+from folioforge.functions import text, tools
+from folioforge.operators import fulltext, ledger, topics
 from folioforge.operators.tables import materialise
 from folioforge.plans import shapes
 from folioforge.plans.catalogue import PG, QUERY, _quote, query, sql_hits
@@ -58,3 +58,52 @@ def indexed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fulltext.refresh(shapes.doc_pages(spark, sf_dir), root)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     return materialise(fulltext.search_all(root, asked).select("query", "place", "path", "score"), "answers")
+
+
+# ---------------------------------------------------------------- topic pages that follow their sources
+@query(
+    f"""WITH d AS (SELECT d.doc_id, lang, source, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+t AS (SELECT doc_id, 'lang ' || lang AS key FROM d WHERE quality IS DISTINCT FROM 0
+      UNION ALL SELECT doc_id, CASE WHEN quality = 1 THEN 'chosen ' ELSE 'origin ' END || source FROM d WHERE quality IS DISTINCT FROM 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS place FROM t)
+SELECT 'concept' AS kind, key, count(*)::BIGINT AS n_sources, string_agg(doc_id::VARCHAR, ',' ORDER BY place) AS sources FROM r WHERE place <= {topics.MAX_NOTES} GROUP BY key"""
+)
+def topic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of all documents; then bad ones are removed and good ones noted again under another topic."""
+    root = _folder(spark, "topics")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+    def noted(rows: DataFrame, origin: str) -> DataFrame:
+        named = F.array(F.concat(F.lit("Lang "), "lang"), F.concat(F.lit(f"{origin} "), "source"))
+        return topics.notes(rows.select(F.col("doc_id").cast("string").alias("path"), F.lit("t").alias("title"), F.col("doc_id").alias("ord"), "text", named.alias("topics")), "topics", "concept")
+
+    ledger.change(root, noted(docs, "Origin"))
+    bad = docs.filter("quality = 0").select(F.col("doc_id").cast("string").alias("path"))
+    ledger.change(root, noted(docs.filter("quality = 1"), "Chosen"), bad)
+    return ledger.pages(spark, root).select("kind", "key", F.size("sources").cast("long").alias("n_sources"), F.array_join("sources", ",").alias("sources"))
+
+
+# ---------------------------------------------------------------- tools as table functions
+def _refuse(_: str) -> str:
+    raise RuntimeError("refused")
+
+
+@query(
+    f"""SELECT item_id, tool, tool IN ('words', 'long') AS ok,
+CASE tool WHEN 'words' THEN len(regexp_extract_all(text, '[a-z]+'))::VARCHAR WHEN 'long' THEN repeat('ab', {tools.MAX_BYTES // 2}) WHEN 'silent' THEN '' ELSE '{tools.FAILED}refused' END AS answer
+FROM benchmark, (SELECT unnest(['words', 'long', 'silent', 'gone']) AS tool)"""
+)
+def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.13: tools asked about every benchmark item, as a table function in SQL; of five the first four."""
+    import re
+
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("asked_items")
+    asked = {
+        "words": lambda q: str(len(re.findall("[a-z]+", q))),
+        "long": lambda q: "ab" * 10_000,
+        "silent": lambda q: None,
+        "gone": _refuse,
+        "fifth": lambda q: "not asked",
+    }
+    tools.register(spark, "ask_tools", asked)
+    return spark.sql("SELECT item_id, tool, ok, answer FROM ask_tools(TABLE(SELECT item_id, text FROM asked_items), 'text', 9)")
