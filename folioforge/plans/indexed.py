@@ -12,6 +12,7 @@ from folioforge.plans import shapes
 from folioforge.plans.catalogue import PG, QUERY, _quote, query, sql_hits
 from folioforge.plans.inline import _folder
 from folioforge.plans.shapes import table
+from folioforge.sources import zipped
 
 
 def _one(spark: SparkSession, q: str) -> DataFrame:
@@ -107,3 +108,40 @@ def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     tools.register(spark, "ask_tools", asked)
     return spark.sql("SELECT item_id, tool, ok, answer FROM ask_tools(TABLE(SELECT item_id, text FROM asked_items), 'text', 9)")
+
+
+# ---------------------------------------------------------------- archives by range
+@query(
+    """SELECT source || '-' || (doc_id // 500) || '.zip' AS archive, 'docs/' || doc_id || '.md' AS entry, octet_length(encode(text))::BIGINT AS size,
+sha256(text) AS sha, sha256(encode(text)[:32]) AS head, NULL::VARCHAR AS skipped FROM documents"""
+)
+def archives_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into archives, which are read by runs of entries: whole, and their first 32 bytes."""
+    root = _folder(spark, "archives")
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string")).alias("key"), "doc_id", "text")
+
+    def pack(pdf):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        from folioforge.sources.zipped import _opened
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for key, text_ in sorted(zip(pdf["doc_id"], pdf["text"], strict=True)):
+                z.writestr(f"docs/{key}.md", text_)
+        fs, folder = _opened(root)
+        fs.create_dir(folder, recursive=True)
+        name = pdf["key"].iloc[0]
+        with fs.open_output_stream(f"{folder}/{name}.zip") as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"key": [name]})
+
+    materialise(docs.groupBy("key").applyInPandas(pack, "key string"), "packed")  # at most 500 documents an archive
+    spark.dataSource.register(zipped.ZippedSource)
+    read = spark.read.format("zipped").option("bytesPerPartition", 16 << 10)
+    whole = read.load(root).select("archive", "entry", "size", F.sha2("content", 256).alias("sha"), "skipped")
+    heads = read.option("head", 32).load(root).select("archive", "entry", F.sha2("content", 256).alias("head"))
+    return whole.join(heads, ["archive", "entry"])

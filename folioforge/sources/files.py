@@ -262,6 +262,30 @@ def media(archives: DataFrame, folder: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- archives, clips, uploads
+def entries_of(infos, max_entries: int = MAX_ENTRIES, max_entry: int = MAX_ENTRY, max_total: int = MAX_TOTAL):
+    """(entry of the directory, safe name, why it is left out or None) in the directory's order."""
+    seen: dict[str, int] = {}
+    total = 0
+    for i, info in enumerate(x for x in infos if not x.is_dir()):
+        name = info.filename if info.flag_bits & 0x800 else repair_name(info.filename)
+        plain = name.replace("\\", "/")
+        reason = None
+        if plain.startswith("/") or re.match("[A-Za-z]:", plain) or ".." in plain.split("/"):
+            reason = "unsafe path"
+        elif "." + plain.rpartition(".")[2].lower() not in paths.SUPPORTED:
+            reason = "unsupported"
+        elif i >= max_entries or info.file_size > max_entry or total + info.file_size > max_total:
+            reason = "over the limit"
+        entry = "/".join(safe_name(repair_name(p)) for p in plain.split("/") if p not in ("", "."))
+        if reason is None:
+            n = seen[entry.lower()] = seen.get(entry.lower(), 0) + 1
+            if n > 1:
+                stem, dot, ext = entry.rpartition(".")
+                entry = f"{stem}-{n}{dot}{ext}"
+            total += info.file_size
+        yield info, entry, reason
+
+
 def unzip(archives: DataFrame, max_entries: int = MAX_ENTRIES, max_entry: int = MAX_ENTRY, max_total: int = MAX_TOTAL) -> DataFrame:
     """Entries of archives (relativePath, content): repaired safe names, told apart within an archive.
 
@@ -271,30 +295,12 @@ def unzip(archives: DataFrame, max_entries: int = MAX_ENTRIES, max_entry: int =
     def run(batches):
         for pdf in batches:
             for archive, data in zip(pdf["relativePath"], pdf["content"], strict=True):
-                seen: dict[str, int] = {}
-                total = 0
                 try:
                     z = zipfile.ZipFile(io.BytesIO(bytes(data)))
                 except zipfile.BadZipFile:
                     yield pd.DataFrame([(archive, "", 0, None, "not an archive")], columns=["archive", "entry", "size", "content", "skipped"])
                     continue
-                for i, info in enumerate(x for x in z.infolist() if not x.is_dir()):
-                    name = info.filename if info.flag_bits & 0x800 else repair_name(info.filename)
-                    plain = name.replace("\\", "/")
-                    reason = None
-                    if plain.startswith("/") or re.match("[A-Za-z]:", plain) or ".." in plain.split("/"):
-                        reason = "unsafe path"
-                    elif "." + plain.rpartition(".")[2].lower() not in paths.SUPPORTED:
-                        reason = "unsupported"
-                    elif i >= max_entries or info.file_size > max_entry or total + info.file_size > max_total:
-                        reason = "over the limit"
-                    entry = "/".join(safe_name(repair_name(p)) for p in plain.split("/") if p not in ("", "."))
-                    if reason is None:
-                        n = seen[entry.lower()] = seen.get(entry.lower(), 0) + 1
-                        if n > 1:
-                            stem, dot, ext = entry.rpartition(".")
-                            entry = f"{stem}-{n}{dot}{ext}"
-                        total += info.file_size
+                for info, entry, reason in entries_of(z.infolist(), max_entries, max_entry, max_total):
                     content = z.read(info) if reason is None else None
                     yield pd.DataFrame([(archive, entry, info.file_size, content, reason)], columns=["archive", "entry", "size", "content", "skipped"])
 
