@@ -115,27 +115,29 @@ RESULT = ("size", "source_size", "target", "taken", "times")
 
 
 def _first_of_edge(rows: DataFrame) -> DataFrame:
-    """``rows`` (source, salt, k, ...) of the edge hashes with ``in_``: whether they are among the first k of their source.
+    """``rows`` (source, kept, k, ...) of the edge hashes with ``in_``: whether they are among the first k of their source.
 
-    They are numbered inside (source, salt) and offset by the counts of the salts before.
+    They stand in the order of a hash of all that is kept of them, so every run takes the same; rows that agree in all of it are the
+    same row.  They are numbered inside (source, salt of that hash) and offset by the counts of the salts before.
     """
+    order = F.sha2(F.to_json(F.struct("kept")), 256)
+    rows = rows.withColumn("order", order).withColumn("salt", F.pmod(F.xxhash64("order"), F.lit(SALTS)))
     before = Window.partitionBy("_source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_source", "salt").count()  # at most SALTS rows a source
     starts = starts.select(F.col("_source").alias("_key"), F.col("salt").alias("_s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("_source", "salt").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy("_source", "salt").orderBy("order"))
     both = rows.withColumn("place", place).join(starts, F.col("_source").eqNullSafe(F.col("_key")) & (F.col("salt") == F.col("_s")))
-    return both.withColumn("in_", F.col("place") + F.col("first") <= F.col("k")).drop("place", "first", "_key", "_s")
+    return both.withColumn("in_", F.col("place") + F.col("first") <= F.col("k")).drop("place", "first", "_key", "_s", "order", "salt")
 
 
 def plan(docs: DataFrame, *keep: str, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``keep`` columns with size, source_size, target, times and taken of every document."""
     if set(keep) & set(RESULT):
         raise ValueError(f"columns to keep may not be named {', '.join(RESULT)}")
-    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("string")
     sized = docs.select(
         kept.alias("kept"), F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"),
-        doc_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"), salt.alias("salt"),
+        doc_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"),
     )
     sized = materialise(sized, "sized")
     narrow = sized.select("_source", "size", "h")

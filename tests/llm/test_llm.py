@@ -730,6 +730,14 @@ def test_mix_brute_force(spark):
     assert again == {r.doc_id: r.taken for r in got}
 
 
+def test_mix_takes_the_same_rows_however_they_are_dealt(spark):
+    rows = [(i // 100, "one two three", f"s{i % 2}", i) for i in range(400)] + [(9, "word " * 50, "s9", -1)] * 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more int")
+    one, four = (sorted(map(tuple, mixing.apply_mix(docs.repartition(n, by)).collect())) for n, by in ((1, "more"), (4, "text"), ))
+    assert one == four and len(one) > 0
+    assert one == sorted(map(tuple, mixing.apply_mix(docs.orderBy(F.desc("more"))).collect()))
+
+
 def test_mix_refines_and_caps(spark, monkeypatch):
     rows = [(i, "big" if i % 10 else ["a", "b", None][i // 10 % 3], " ".join(["w"] * (1 + i % 5))) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
