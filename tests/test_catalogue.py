@@ -7,7 +7,6 @@ from folioforge.plans.catalogue import QUERIES
 from tests.oracle import SF, same
 
 WITH_TWIN = sorted(k for k, (_, sql) in QUERIES.items() if sql)
-ROWS_ONLY = sorted(k for k, (_, sql) in QUERIES.items() if not sql)
 
 
 @pytest.mark.parametrize("name", WITH_TWIN)
@@ -16,12 +15,6 @@ def test_twin(spark, name):
     same(spark, build, sql)
 
 
-@pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows(spark, name):
-    df = QUERIES[name][0](spark, SF)
-    assert df.columns and len(df.take(3)) > 0
-
-
 def test_no_python_on_hot_paths(spark):
     for name in ("search_topk", "hits_dedupe_union", "research_merge", "lint_broken", "graph_components"):
         plan = QUERIES[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
