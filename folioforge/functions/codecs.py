@@ -95,11 +95,3 @@ def safe_name(name: str, limit: int = 180) -> str:
 def entry_name(names: pd.Series) -> pd.Series:
     """A repaired, safe relative path."""
     return names.map(lambda n: None if n is None else "/".join(safe_name(p) for p in repair_name(n).replace("\\", "/").split("/") if p not in ("", ".")))
-
-
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility normalisation, which SQL has no function for."""
-    import unicodedata
-
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
