@@ -6,6 +6,8 @@ Everything here stays inside the JVM.  Lengths are code points.  White space fol
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -262,31 +264,46 @@ def tokens(c: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS) & ((w < F.lit("{")) | ((F.length(w) <= 8) & ~w.rlike(lead))))
 
 
-def _counted(values: Column, at: bool) -> Column:
-    """(n, at, v) of each distinct value, ``n`` negative; by one sort and a look at run borders, not by pairs."""
+def _run_starts(s: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """0-based places in the sorted array ``s`` at which a run of equal values begins."""
+    return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~same(F.get(s, i), F.get(s, i - 1)))
 
-    def runs(s: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["v"] != F.get(s, i - 1)["v"]))
-        return let(first, lambda f: F.transform(f, lambda p, k: F.struct((p - F.coalesce(F.get(f, k + 1), F.size(s))).alias("n"), (F.get(s, p)["at"] if at else F.lit(0)).alias("at"), F.get(s, p)["v"].alias("v"))))
 
-    keyed = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("at")))
-    none = F.array().cast("array<struct<n:int,at:int,v:string>>")
-    return F.when(F.size(values) == 0, none).otherwise(let(F.sort_array(keyed), runs))
+def word_counts(c: Column) -> Column:
+    """Each token of a text once, as (n, v) with ``n`` the negative count; none for null.
 
+    One sort of plain strings and a look at run borders, not at pairs.
+    """
 
-def word_counts(c: Column) -> Column:
-    """Each token of a text once, as (n, at, v) with ``n`` the negative count."""
-    return _counted(tokens(c), False)
+    def runs(s: Column) -> Column:
+        start = _run_starts(s, lambda a, b: a == b)
+        return let(start, lambda f: F.transform(f, lambda p, k: F.struct((p - F.coalesce(F.get(f, k + 1), F.size(s))).alias("n"), F.get(s, p).alias("v"))))
+
+    none = F.array().cast("array<struct<n:int,v:string>>")
+    return let(F.sort_array(tokens(F.coalesce(c, F.lit("")))), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
 
 
 def by_count(values: Column) -> Column:
     """Distinct values, the most frequent first, ties in order of first appearance."""
-    return F.transform(F.sort_array(_counted(values, True)), lambda s: s["v"])
+
+    def runs(s: Column) -> Column:
+        start = _run_starts(s, lambda a, b: a["v"] == b["v"])
+        return let(start, lambda f: F.transform(f, lambda p, k: F.struct((p - F.coalesce(F.get(f, k + 1), F.size(s))).alias("n"), F.get(s, p)["at"].alias("at"), F.get(s, p)["v"].alias("v"))))
+
+    keyed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("at"))))
+    none = F.array().cast("array<struct<n:int,at:int,v:string>>")
+    counted = F.when(F.size(values) == 0, none).otherwise(let(keyed, runs))
+    return F.transform(F.sort_array(counted), lambda s: s["v"])
+
+
+def top_counts(c: Column, limit: int = 12) -> Column:
+    """F11 with counts inside a row: the ``limit`` most frequent tokens as (n, v), ``n`` negative, ties in code-point order."""
+    return F.slice(F.sort_array(word_counts(c)), 1, limit)
 
 
 def top_keywords(c: Column, limit: int = 12) -> Column:
     """F11 inside a row, ties in code-point order."""
-    return F.slice(F.transform(F.sort_array(_counted(tokens(c), False)), lambda s: s["v"]), 1, limit)
+    return F.transform(top_counts(c, limit), lambda s: s["v"])
 
 
 def occurrences(text: Column, token: str | Column) -> Column:

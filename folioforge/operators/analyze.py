@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as t
+from folioforge.operators.tables import BROADCAST_ROWS, materialise
 
 GENERIC_ENTITIES = "url wiki markdown schema sources pages".split()
 CONFIDENCE = 0.62
@@ -62,15 +63,32 @@ def analyze(docs: DataFrame, title: str, text: str, analyser: Callable[[Column,
 
 
 def keyword_counts(docs: DataFrame, key: str, text: str, limit: int) -> DataFrame:
-    """A5 and T4 over rows: the top keywords of each document with their counts, ties in code-point order.
+    """A5 and T4 over rows: (key, word, n, place), the top keywords of each document, ties in code-point order.
 
-    Tokens are counted by an aggregation with map-side combine; repeated rows of a key are one document.
+    Tokens are counted inside the row and cut there; nothing is shuffled by word.  Rows that share a key are one
+    document: which keys those are is asked of the key column alone, and only their counts are added up by key and word.
     """
     from pyspark.sql.window import Window
 
-    words = docs.select(key, F.explode(t.tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word"))
-    return words.withColumn("place", place.cast("long")).filter(F.col("place") <= limit)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    shared = materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("k").alias("shared")), "shared_keys")
+    n_shared = shared.count()
+
+    def of(counts: Column) -> Column:
+        return F.transform(counts, lambda s, i: F.struct(s["v"].alias("word"), (-s["n"]).cast("long").alias("n"), (i + 1).cast("long").alias("place")))
+
+    def listed(single: DataFrame) -> DataFrame:
+        return single.select(F.col("k").alias(key), F.inline(of(t.top_counts(F.col("t"), limit))))
+
+    if n_shared == 0:
+        return listed(rows)
+    few = F.broadcast(shared) if n_shared <= BROADCAST_ROWS else shared.hint("merge")
+    same = F.col("k").eqNullSafe(F.col("shared"))
+    each = rows.join(few, same, "left_semi").select("k", F.explode(t.word_counts(F.col("t"))).alias("w"))
+    summed = each.groupBy("k", F.col("w.v").alias("word")).agg(F.sum(-F.col("w.n").cast("long")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "word"))
+    merged = summed.withColumn("place", place.cast("long")).filter(F.col("place") <= limit).withColumnRenamed("k", key)
+    return listed(rows.join(few, same, "left_anti")).unionByName(merged)
 
 
 def phrase_counts(docs: DataFrame, key: str, text: str) -> DataFrame:

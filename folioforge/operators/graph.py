@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioforge.functions.text import is_low_information, is_unknown, trim
-from folioforge.operators.tables import materialise, ranked
+from folioforge.operators.tables import look_up, materialise, ranked
 
 MAX_NODES = 600
 MAX_EDGES = 3500
@@ -135,22 +135,24 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "path", order: str
     """G1: nodes with ``community``, numbered by first node.
 
     Labels are smallest node orders; each round a node takes the smallest label around it and then its
-    label's own label, so long chains shorten by doubling.
+    label's own label, so long chains shorten by doubling.  A node with very many neighbours, and a label that
+    very many nodes have, are looked up where those rows are (``look_up``).
     """
     labels = materialise(nodes.select(F.col(key).alias("k"), F.col(order).cast("long").alias("label"), F.col(order).cast("long").alias("own")), "labels")
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y"))
     both = materialise(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "adjacent")
     while True:
-        around = both.join(labels.select(F.col("k").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        around = look_up(both, "y", labels.select(F.col("k").alias("y"), F.col("label").alias("near")), "near").groupBy("x").agg(F.min("near").alias("near"))
         step = labels.join(around, F.col("k") == F.col("x"), "left").select("k", "own", F.least("label", F.coalesce("near", "label")).alias("l"), F.col("label").alias("was"))
-        root = step.select(F.col("own").alias("o"), F.col("l").alias("up"))
-        step = materialise(step.join(root, F.col("l") == F.col("o"), "left").select("k", "own", "was", F.least("l", F.coalesce("up", "l")).alias("label")), "labels")
+        step = materialise(step, "near")
+        step = look_up(step, "l", step.select(F.col("own").alias("l"), F.col("l").alias("up")), "up")
+        step = materialise(step.select("k", "own", "was", F.least("l", F.coalesce("up", "l")).alias("label")), "labels")
         moved = not step.filter("label <> was").isEmpty()
         labels = step.select("k", "label", "own")
         if not moved:
             break
     numbers = ranked(labels.select("label").distinct(), F.col("label").asc(), to="community").withColumn("community", F.col("community").cast("int"))
-    named = labels.join(numbers, "label").select(F.col("k").alias(key), "community")
+    named = look_up(labels, "label", numbers, "community").select(F.col("k").alias(key), "community")
     return nodes.join(named, key)
 
 

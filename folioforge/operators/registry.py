@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioforge.functions import paths
 from folioforge.functions.text import slug
+from folioforge.operators.tables import numbered
 
 ACTIVE = ("queued", "running")
 
@@ -117,7 +117,11 @@ def record_failures(sources: DataFrame, failures: DataFrame, now: Column) -> Dat
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Names made distinct, whatever their case, by -2, -3, ... before the ending."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
+    """Names made distinct, whatever their case, by -2, -3, ... before the ending.
+
+    A name that most rows have is numbered in ordered ranges by several tasks, not in one window.
+    """
+    rows = numbered(rows.withColumn("_name", F.lower(name)), "_name", F.col(order), to="_nth")
     stem, ext = F.regexp_replace(name, "\\.[^./]*$", ""), F.regexp_extract(name, "(\\.[^./]*)$", 1)
-    return rows.withColumn(name, F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), ext)))
+    new = F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_nth").cast("string"), ext))
+    return rows.withColumn(name, new).drop("_name", "_nth")

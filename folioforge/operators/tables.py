@@ -72,6 +72,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join is broadcast only if a count says that it has no more rows.
+BROADCAST_ROWS = 100_000
 #: So many rows are ranked in one task.
 FEW = 100_000
 
@@ -90,3 +92,40 @@ def ranked(rows: DataFrame, *order: Column, to: str, save=materialise) -> DataFr
     starts = parts.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))  # a row per shuffle partition
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_first")
     return parts.join(F.broadcast(starts), "_range").withColumn(to, place).drop("_range", "_first")
+
+
+def numbered(rows: DataFrame, key: str, *order: Column, to: str) -> DataFrame:
+    """``rows`` with their 1-based place among the rows of their ``key`` along ``order`` in ``to``.
+
+    Rows are dealt to ranges of (key, order), so that a key's rows may lie in several tasks.  Ranges are in order, hence
+    a key goes on in a range only as that range's first: the counts to add are at most one row a range.
+    """
+    parts = materialise(rows.repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("_range", key).count()
+    earlier = F.sum("count").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.withColumn("_before", earlier).filter("_before IS NOT NULL").select(F.col("_range").alias("_r"), F.col(key).alias("_k"), "_before")
+    place = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) + F.coalesce("_before", F.lit(0))
+    same = (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k"))
+    return parts.join(F.broadcast(before), same, "left").withColumn(to, place).drop("_range", "_r", "_k", "_before")
+
+
+#: Below so many rows a join's hot keys are left to one task.
+HOT_LEAST = 100_000
+#: A key is hot if it holds more than this share of the rows, so there are a thousand at most.
+HOT_SHARE = 0.001
+
+
+def look_up(rows: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``value`` of the row of ``values`` - one at most for a key - that has their ``key``; null without one.
+
+    Rows of hot keys do not move: the few values under those keys, a number that ``HOT_SHARE`` bounds, are broadcast.
+    """
+    total = rows.count()
+    if total <= HOT_LEAST:
+        return rows.join(values, key, "left")
+    often = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > total * HOT_SHARE).select(key)
+    often = materialise(often, "hot")
+    found = materialise(values.join(F.broadcast(often), key), "hot_values")
+    is_hot = rows.join(F.broadcast(often.withColumn("_hot", F.lit(True))), key, "left")
+    hot = is_hot.filter("_hot").drop("_hot").join(F.broadcast(found), key, "left")
+    return is_hot.filter("_hot IS NULL").drop("_hot").join(values.hint("merge"), key, "left").unionByName(hot)

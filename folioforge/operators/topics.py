@@ -25,9 +25,14 @@ def topic_key(title: Column) -> Column:
     return F.lower(trim(nfkc(title)))
 
 
-def evidence(title: Column, lines: Column) -> Column:
+def folded(lines: Column) -> Column:
+    """The lines as topics are looked for in them.  Computed once a document, whatever its number of topics."""
+    return F.transform(lines, lambda x: F.lower(nfkc(x)))
+
+
+def evidence(key: Column, lines: Column, folds: Column) -> Column:
     """The lines about a topic - else all - definitions first, three at most, shortened."""
-    about = F.filter(lines, lambda x: F.contains(F.lower(nfkc(x)), topic_key(title)))
+    about = F.filter(lines, lambda x, i: F.contains(F.get(folds, i), key))
     chosen = F.when(F.size(about) > 0, about).otherwise(lines)
     ranked = F.sort_array(F.transform(chosen, lambda x, i: F.struct((~x.rlike(DEFINES)).alias("r"), i.alias("i"), x.alias("x"))))
     few = F.slice(F.transform(ranked, lambda s: s["x"]), 1, EVIDENCE)
@@ -40,10 +45,11 @@ def notes(sources: DataFrame, topics: str, kind: str) -> DataFrame:
     Evidence is cut where the text is, so what is shuffled is three short paragraphs a topic at most; a plan that
     does not ask for them does not look at the text.
     """
-    each = sources.select("path", "title", "ord", content_paragraphs(F.col("text")).alias("lines"), topics).select("*", F.explode(topics).alias("topic"))
+    each = sources.select("path", "title", "ord", content_paragraphs(F.col("text")).alias("lines"), topics)
+    each = each.select("path", "title", "ord", "lines", folded(F.col("lines")).alias("folds"), F.explode(topics).alias("topic"))
     each = each.withColumn("topic", readable_or(F.col("topic"), F.lit("")))
     each = each.withColumn("key", topic_key(F.col("topic"))).filter((F.col("topic") != "") & ~is_low_information(F.col("topic")))
-    each = each.withColumn("kind", F.lit(kind)).withColumn("evidence", evidence(F.col("topic"), F.col("lines")))
+    each = each.withColumn("kind", F.lit(kind)).withColumn("evidence", evidence(F.col("key"), F.col("lines"), F.col("folds")))
     first = lambda c: F.min_by(c, "ord").alias(c)
     one = each.groupBy("kind", "key", "path").agg(first("topic"), first("title"), F.min("ord").alias("ord"), first("evidence"))
     return one.select("kind", "key", "path", "topic", "title", "ord", "evidence")

@@ -427,14 +427,11 @@ def shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _linked_pages(spark: SparkSession, sf_dir: str, text_too: bool = False) -> DataFrame:
     """Documents whose title is their top keyword and whose links are the next three.
 
-    Keywords are counted by one aggregation over the table; the small result is written once, since aliases and links
-    are both made of it.
+    Keywords are counted inside the row; the small result is written once, since aliases and links are both made of it.
     """
     docs = table(spark, sf_dir, "documents")
-    top = analyze.keyword_counts(docs, "doc_id", "text", 4).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))
-    words = F.coalesce(F.transform("w", lambda x: x["word"]), F.array().cast("array<string>"))
     path = F.concat(F.lit("wiki/concepts/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    rows = docs.select("doc_id", "source").join(top, "doc_id", "left").select("doc_id", path.alias("path"), words.alias("w"), "source")
+    rows = docs.select("doc_id", path.alias("path"), text.top_keywords(F.col("text"), 4).alias("w"), "source")
     rows = rows.select(
         "path", F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("title"), F.lit("concept").alias("type"), F.slice("w", 2, 3).alias("links"), F.array("source").alias("sources"), F.col("doc_id").alias("ord")
     )
@@ -776,11 +773,9 @@ def topic_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their three top keywords, counted by one aggregation over the table."""
-    docs = table(spark, sf_dir, "documents")
-    top = analyze.keyword_counts(docs, "doc_id", "text", 3).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("w"))
-    rows = docs.select("doc_id", "text").join(top, "doc_id")
-    return rows.select(F.col("doc_id").cast("string").alias("path"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("ord"), "text", F.transform("w", lambda x: x["word"]).alias("topics"))
+    """Documents with their three top keywords, counted inside the row."""
+    title = F.substring("text", 1, 40).alias("title")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), title, F.col("doc_id").alias("ord"), "text", text.top_keywords(F.col("text"), 3).alias("topics"))
 
 
 @query(
