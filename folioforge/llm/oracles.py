@@ -29,12 +29,13 @@ s AS (SELECT any_value(tn) AS tn, any_value(tk) / greatest(any_value(tn), 1) AS
              sum(n * pow(k / n - tk / tn, 2)) AS ss, sum(n * n)::DOUBLE AS n2 FROM h, t),
 r AS (SELECT p, least(0.5, greatest(0.001, coalesce(
              (ss - (th - 1) * p * (1 - p)) / nullif(p * (1 - p) * (tn - n2 / tn - th + 1), 0), 0.5)))::DOUBLE AS rho FROM s),
-hv AS (SELECT source, (k + p * (1 / rho - 1)) / (n + (1 / rho - 1)) AS rate FROM h, r)
+hr AS (SELECT source, n, p, 1 / rho - 1 AS strength, (k + p * (1 / rho - 1)) / (n + (1 / rho - 1)) AS rate FROM h, r),
+hv AS (SELECT source, rate, coalesce((rate - p) / nullif(sqrt(greatest(0, rate * (1 - rate)) / (n + strength + 1)), 0), 0) AS z FROM hr)
 """
 
 OP8 = f"""WITH {_MEASURES}, {_HOSTS}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR rate >= 0.9 OR (rate >= 0.5 AND failed)) AS kept
+       NOT (base_failed OR rate >= 0.9 OR (z > -0.2533471031357998 AND failed)) AS kept
 FROM f LEFT JOIN hv ON f.source IS NOT DISTINCT FROM hv.source"""
 
 OP10 = r"""

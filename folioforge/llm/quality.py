@@ -5,8 +5,11 @@ verdict, and the rules it fails.  Per host (the ``source`` column; null is a hos
 are summed, an empirical beta prior is fitted by moments over all hosts, and each host's failure rate is
 shrunk towards the corpus.  Per document again: the host's verdict is joined back.
 
-Host verdicts: ``trusted`` (shrunk rate under ``WATCH_RATE``) - only base failures go; ``watched`` -
-documents failing any rule go; ``rejected`` (``REJECT_RATE`` or more) - all its documents go.
+Host verdicts: ``rejected`` (shrunk rate ``REJECT_RATE`` or more) - all its documents go; ``trusted`` - only
+base failures go; ``watched`` - documents failing any rule go.  A host is trusted if there is evidence for it: by its
+posterior, the rate is above the corpus's with a probability of ``DOUBT`` at most.  A host of few documents, or one
+among hosts that differ no more than their sizes explain, has to be better by more for that, because both pull its
+posterior to the corpus; one without evidence is watched.
 
 Null or empty text has no words and fails the base rule.  Ties and repeated rows are judged alike, each
 row on its own.  An empty table gives an empty result.  Other columns, whatever their names, are ignored
@@ -18,6 +21,8 @@ of words, linearithmic in the length of a text, however long.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +34,10 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 20
 MAX_DUP_LINE_PERCENT = 30
 WORD_LENGTH = (2, 15)
-WATCH_RATE = 0.5
 REJECT_RATE = 0.9
+#: A host is trusted if its rate is above the corpus's with this probability at most; as a normal deviate.
+DOUBT = 0.4
+DOUBT_Z = NormalDist().inv_cdf(DOUBT)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -128,11 +135,12 @@ def measure(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
-    """One row per host: documents, failures, shrunk rate and verdict.
+    """One row per host: documents, failures, shrunk rate, its deviate from the corpus's rate, and verdict.
 
     The prior Beta(a, b) has the corpus's failure rate as mean and a strength fitted by moments to how
     much host rates spread beyond what their sizes explain: hosts that agree pull each other close, and
-    a host of few documents stays near the corpus.
+    a host of few documents stays near the corpus.  The posterior is taken as normal: ``host_z`` is how many of its
+    standard deviations its mean lies above the corpus's rate, 0 where nothing or everything fails.
     """
     hosts = measured.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("k"))
     total = hosts.agg(F.sum("n").alias("tn"), F.sum("k").alias("tk"), F.count(F.lit(1)).alias("th"))
@@ -151,12 +159,15 @@ def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
     rho = F.least(F.lit(0.5), F.greatest(F.lit(0.001), F.coalesce(rho, F.lit(0.5))))
     prior = spread.select(p.alias("p"), (1 / rho - 1).alias("strength"))
     shrunk = (F.col("k") + F.col("p") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    verdict = F.when(F.col("host_rate") >= REJECT_RATE, "rejected").when(F.col("host_rate") >= WATCH_RATE, "watched").otherwise("trusted")
+    spread_of = F.sqrt(F.greatest(F.lit(0.0), F.col("host_rate") * (1 - F.col("host_rate"))) / (F.col("n") + F.col("strength") + 1))
+    z = F.coalesce((F.col("host_rate") - F.col("p")) / F.nullif(spread_of, F.lit(0.0)), F.lit(0.0))
+    verdict = F.when(F.col("host_rate") >= REJECT_RATE, "rejected").when(F.col("host_z") <= DOUBT_Z, "trusted").otherwise("watched")
     return (
         hosts.crossJoin(F.broadcast(prior))  # one row
         .withColumn("host_rate", shrunk)
+        .withColumn("host_z", z)
         .withColumn("host_verdict", verdict)
-        .select(host, F.col("n").alias("host_docs"), F.col("k").alias("host_failed"), "host_rate", "host_verdict")
+        .select(host, F.col("n").alias("host_docs"), F.col("k").alias("host_failed"), "host_rate", "host_z", "host_verdict")
     )
 
 
@@ -169,7 +180,9 @@ def _with_hosts(measured: DataFrame, host: str) -> DataFrame:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """Counts, verdicts and host figures of every document.  The text is read once: counts go to a scratch table."""
-    return _with_hosts(materialise(measure(docs, doc_id, host, text=text), "measures"), host)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_doc"), F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text"))
+    judged = _with_hosts(materialise(measure(rows, "_doc", "_host", text="_text"), "measures"), "_host")
+    return judged.withColumnsRenamed({"_doc": doc_id, "_host": host})
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:

@@ -655,6 +655,41 @@ def test_host_verdicts(spark):
     assert quality.judge(docs.filter("false")).count() == 0 and quality.keep_good(docs.filter("false")).count() == 0
 
 
+def test_hosts_vouch_for_documents_that_fail_a_soft_rule(spark):
+    """By a plain version of the prior and the posterior: evidence is needed, and the prior decides how much."""
+    good = " ".join(f"word{i}" for i in range(60))
+    soft = " ".join(f"w{i} ##" for i in range(60))
+    hosts = {"clean": (200, 4), "like the rest": (100, 25), "worse": (100, 40), "one soft": (0, 1), "one good": (1, 0), None: (30, 1)}
+    rows = [(h, good) for h, (g, _) in hosts.items() for _ in range(g)] + [(h, soft) for h, (_, b) in hosts.items() for _ in range(b)]
+    docs = spark.createDataFrame([(i, h, x) for i, (h, x) in enumerate(rows)], "doc_id long, source string, text string")
+    tn, tk, th = len(rows), sum(b for _, b in hosts.values()), len(hosts)
+    p, sizes = tk / tn, {h: g + b for h, (g, b) in hosts.items()}
+    ss = sum(sizes[h] * (b / sizes[h] - p) ** 2 for h, (_, b) in hosts.items())
+    rho = (ss - (th - 1) * p * (1 - p)) / (p * (1 - p) * (tn - sum(n * n for n in sizes.values()) / tn - th + 1))
+    s = 1 / min(0.5, max(0.001, rho)) - 1
+    want = {}
+    for h, (_, b) in hosts.items():
+        m = (b + p * s) / (sizes[h] + s)
+        want[h] = (m - p) / (m * (1 - m) / (sizes[h] + s + 1)) ** 0.5
+    got = quality.judge(docs).collect()
+    for r in got:
+        assert r.host_z == pytest.approx(want[r.source]) and r.host_verdict == ("trusted" if want[r.source] <= quality.DOUBT_Z else "watched")
+        assert not r.base_failed and r.kept == (not r.failed or r.host_verdict == "trusted")
+    assert {r.source for r in got if r.failed and r.kept} == {"clean", None}
+    odd = docs.toDF("a.b", "c d", "e.f")
+    again = quality.judge(odd, "a.b", "c d", "e.f")
+    assert {"a.b", "c d"} <= set(again.columns) and sorted(r["a.b"] for r in again.filter("kept").collect()) == sorted(r.doc_id for r in got if r.kept)
+
+
+def test_hosts_change_verdicts_of_the_given_documents(spark):
+    docs = spark.read.parquet(f"{SF.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    soft = [r for r in got.values() if r.failed and not r.base_failed]
+    assert {r.kept for r in soft} == {True, False} and all(r.kept for r in got.values() if not r.failed)
+    moved = docs.withColumn("source", F.concat(F.lit("src"), (F.crc32(F.col("doc_id").cast("string")) % 20).cast("string")))
+    assert any(r.kept != got[r.doc_id].kept for r in quality.judge(moved).collect())
+
+
 def test_native_plans(spark):
     for name in ("op8_quality_rules", "op10_mix_sources"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
