@@ -54,7 +54,7 @@ SELECT query, place, path, score FROM (SELECT *, row_number() OVER (PARTITION BY
 
 @query(f"WITH {QUESTIONS}")
 def indexed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1, C3 for a table of queries: every benchmark item's best pages, all from the index at once."""
+    """C1, C3, F20-F22 for a table of queries: every benchmark item's best pages, all from the index at once."""
     root = _folder(spark, "index")
     fulltext.refresh(shapes.doc_pages(spark, sf_dir), root)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")

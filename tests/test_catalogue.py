@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from folioforge.plans import indexed, inline, streamed  # noqa: F401
+from folioforge.plans import indexed, inline, served, streamed  # noqa: F401
 from folioforge.plans.catalogue import QUERIES
 from tests.oracle import SF, same
 

@@ -38,8 +38,27 @@ def test_display(spark, col):
     assert col(lambda c: display.rewrite_media(c, F.lit("assets/a")), ["![i](media/x.png) [l](media/y)"]) == ["![i](assets/a/media/x.png) [l](media/y)"]
     hit = F.array(F.struct(F.lit("T").alias("title"), F.lit("p").alias("path"), F.lit("e").alias("excerpt")))
     text = spark.range(1).select(display.evidence_context(hit, F.filter(hit, lambda h: F.lit(False)))).first()[0]
-    assert text.startswith("当前知识库：\n[1] T\n路径：p") and "没有获取到可用结果" in text
-    assert col(lambda c: display.raw_preview(c, F.lit("x")), ["a.txt", "a.pdf"])[0] == "x"
+    assert text.startswith("当前知识库：\n[1] T (p)\ne\n\n联网") and "没有获取到可用结果" in text
+    two = F.concat(hit, hit)
+    text = spark.range(1).select(display.evidence_context(two, two)).first()[0]
+    assert text == "当前知识库：\n[1] T (p)\ne\n\n[2] T (p)\ne\n\n联网搜索结果：\n[3] T (p)\ne\n\n[4] T (p)\ne"
+    shown = col(lambda c: display.raw_preview(c, F.lit("x\ufffd\ufffdy")), ["a.txt", "d/a.pdf"])
+    notice = "# {}\n" + display.NOT_TEXT[0] + "{}" + display.NOT_TEXT[1] + "\n" + display.SEE_PAGES
+    assert shown == ["x（字符无法识别）y", notice.format("a.pdf", "binary")]
+    full = col(lambda c: display.raw_preview(F.lit("a.docx"), F.lit("x"), c, F.lit("docx"), c, F.lit("p.md")), ["n.docx", "", None, "\ufffd\ufffd\ufffd"])
+    assert full[0] == notice.format("n.docx", "docx") + "\n- 已抽取全文：n.docx\n- 来源页：p.md" and full[1] == full[2] == notice.format("a.docx", "docx") + "\n- 来源页：p.md"
+    assert full[3].startswith("# " + display.NO_NAME)
+
+
+def test_what_a_prompt_says_by_the_evidence(spark):
+    rows = spark.createDataFrame([(h, w, g, s) for h in (0, 1) for w in (0, 1) for g in (False, True) for s in (False, True)], "h int, w int, g boolean, s boolean")
+    hits = lambda n: F.array_repeat(F.struct(F.lit("T").alias("title"), F.lit("p").alias("path"), F.lit("e").alias("excerpt")), F.col(n))
+    case = display.evidence_case(hits("h"), hits("w"), F.col("g"), F.col("s"))
+    named = {name: display.by_case(case, texts).alias(name) for name, texts in (("scope", display.SCOPES), ("mode", display.ANSWER_MODES), ("system", display.SYSTEM_MODES))}
+    for r in rows.select("*", case.alias("c"), *named.values()).collect():
+        want = {(1, 1): "both", (1, 0): "local", (0, 1): "web"}.get((r.h, r.w)) or ("given" if r.g else "searched" if r.s else "none")
+        assert r.c == want and r.mode == display.ANSWER_MODES[want]
+        assert r.scope == display.SCOPES.get(want, display.SCOPES["none"]) and r.system == display.SYSTEM_MODES.get(want, display.SYSTEM_MODES["none"])
 
 
 def test_external_payloads(spark):
