@@ -78,7 +78,8 @@ def keyword_counts(docs: DataFrame, key: str, text: str, limit: int) -> DataFram
         return F.transform(counts, lambda s, i: F.struct(s["v"].alias("word"), (-s["n"]).cast("long").alias("n"), (i + 1).cast("long").alias("place")))
 
     def listed(single: DataFrame) -> DataFrame:
-        return single.select(F.col("k").alias(key), F.inline(of(t.top_counts(F.col("t"), limit))))
+        # An outer explosion: Spark asks an inner one's array for its size first, and so makes it twice.
+        return single.select(F.col("k").alias(key), F.inline_outer(of(t.top_counts(F.col("t"), limit)))).filter("word IS NOT NULL")
 
     if n_shared == 0:
         return listed(rows)
@@ -93,12 +94,12 @@ def keyword_counts(docs: DataFrame, key: str, text: str, limit: int) -> DataFram
 
 def phrase_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Named phrases of each document, from capitalised runs and the three kinds of quotes, with their counts."""
-    each = docs.select(key, F.explode(t.named_phrases(F.col(text))).alias("phrase"))
+    each = docs.select(key, F.explode_outer(t.named_phrases(F.col(text))).alias("phrase")).filter("phrase IS NOT NULL")
     return each.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corpus_keywords(docs: DataFrame, text: str, limit: int) -> DataFrame:
     """The corpus's top keywords: token occurrences and documents."""
-    counted = docs.select(F.explode(t.word_counts(F.col(text))).alias("w")).select("w.v", "w.n")
+    counted = docs.select(F.explode_outer(t.word_counts(F.col(text))).alias("w")).filter("w IS NOT NULL").select("w.v", "w.n")
     every = counted.groupBy(F.col("v").alias("word")).agg(F.sum(-F.col("n").cast("long")).alias("n"), F.count(F.lit(1)).alias("docs"))
     return every.orderBy(F.desc("n"), "word").limit(limit)

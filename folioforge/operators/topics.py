@@ -46,7 +46,8 @@ def notes(sources: DataFrame, topics: str, kind: str) -> DataFrame:
     does not ask for them does not look at the text.
     """
     each = sources.select("path", "title", "ord", content_paragraphs(F.col("text")).alias("lines"), topics)
-    each = each.select("path", "title", "ord", "lines", folded(F.col("lines")).alias("folds"), F.explode(topics).alias("topic"))
+    # Folded below the explosion, which is an outer one: Spark would ask an inner one's array for its size, and so make it twice.
+    each = each.withColumn("folds", folded(F.col("lines"))).select("path", "title", "ord", "lines", "folds", F.explode_outer(topics).alias("topic"))
     each = each.withColumn("topic", readable_or(F.col("topic"), F.lit("")))
     each = each.withColumn("key", topic_key(F.col("topic"))).filter((F.col("topic") != "") & ~is_low_information(F.col("topic")))
     each = each.withColumn("kind", F.lit(kind)).withColumn("evidence", evidence(F.col("key"), F.col("lines"), F.col("folds")))
