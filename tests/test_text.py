@@ -42,6 +42,11 @@ def test_sentences(col):
     assert got[0] == "This is the first sentence." and got[1] == "And here is another one!" and len(got) == 4
 
 
+def test_sentences_keep_digits_at_their_ends(col):
+    s = "0997523947200283 is where it starts. 1683436113538828 comes second. This third sentence ends in 12"
+    assert col(text.sentences, [s]) == [["0997523947200283 is where it starts.", "1683436113538828 comes second.", "This third sentence ends in 12"]]
+
+
 def test_named_phrases(col):
     got = col(text.named_phrases, ["中文Hello World中 Foo and The Big Big Apple Big Apple 《民法典》 “quoted name” a"])[0]
     assert got[:2] == ["Hello World", "Foo"] and "民法典" in got and "quoted name" in got
