@@ -227,6 +227,12 @@ def test_chats(spark):
     assert [(r.turn, r.text) for r in after[-2:]] == [(4, "q3"), (5, "a3")]
 
 
+def test_titles_in_letters_of_any_script(spark):
+    rows = [("Ö Ö Ö", "Ö Ö Ö\nÖ"), ("Привет мир", "A text of its own."), ("ｐｄｆ", "A text of its own."), ("2024", "A text of its own.")]
+    got = analyze.analyze(spark.createDataFrame(rows, "t string, b string"), "t", "b").select("analysis.title").collect()
+    assert [r.title for r in got] == ["Ö Ö Ö", "Привет мир", "A text of its own", "A text of its own"]
+
+
 def test_hrefs_and_uploads(spark):
     pages = spark.createDataFrame([("wiki/x/a.md", "Title"), ("wiki/y/b.md", "Title")], "path string, title string")
     links = spark.createDataFrame([("wiki/y/c.md", "Title"), ("wiki/y/c.md", "x/a"), ("wiki/y/c.md", "none")], "source string, href string")
