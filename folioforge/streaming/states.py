@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -99,39 +99,42 @@ def item_states(events: DataFrame, keep: timedelta = timedelta(minutes=5), late:
 
 # ---------------------------------------------------------------- uploads
 class Uploads(StatefulProcessor):
-    """One upload: bytes received without a gap, and the chunks that wait for others, by offset."""
+    """One upload: bytes received without a gap, and the chunks that wait for others, by offset.
+
+    Every call to the store is a round trip, so where chunks wait is kept in the value itself: a key costs one call to
+    read and one to write.  Only the bytes of waiting chunks are in a map; the
+    size of a chunk that has some there is negative.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("received", "bytes long, crc long, waiting int")
-        self.waiting = handle.getMapState("waiting", "at long", "size long, data binary")
+        self.state = handle.getValueState("received", "bytes long, crc long, offsets array<long>, sizes array<long>")
+        self.waiting = handle.getMapState("waiting", "at long", "data binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        at, crc, held = self.state.get() if self.state.exists() else (0, 0, 0)
+        at, crc, offsets, sizes = self.state.get() or (0, 0, (), ())
+        before, held = (at, len(offsets)), dict(zip(offsets, sizes, strict=True))
         come: dict[int, tuple[int, bytes | None]] = {}
-        for pdf in rows:
-            data = pdf["data"] if "data" in pdf else [None] * len(pdf)
-            for offset, size, piece in zip(pdf["offset"], pdf["size"], data, strict=True):
-                if size > 0 and offset >= at:  # what was received comes again: ignored
-                    come.setdefault(int(offset), (int(size), piece))
-        out = []
-        while True:
+        for row in rows:
+            offset, size = row["offset"], row["size"]
+            if size > 0 and offset >= at and offset not in held:  # what was received comes again: ignored
+                come.setdefault(offset, (size, row["data"] if "data" in row else None))
+        while at in come or at in held:
             if at in come:
                 size, piece = come.pop(at)
-            elif held and self.waiting.containsKey((at,)):
-                size, piece = self.waiting.getValue((at,))
-                self.waiting.removeKey((at,))
-                held -= 1
             else:
-                break
+                size, piece = held.pop(at), None
+                if size < 0:
+                    size, piece = -size, self.waiting.getValue((at,))[0]
+                    self.waiting.removeKey((at,))
             crc = zlib.crc32(bytes(piece), crc) if piece is not None else crc
-            out.append((key[0], at, size, piece, at + size, crc))
+            yield Row(upload_id=key[0], offset=at, size=size, data=piece, received=at + size, crc32=crc)
             at += size
-        for offset, kept in come.items():
-            if not (held and self.waiting.containsKey((offset,))):
-                self.waiting.updateValue((offset,), kept)
-                held += 1
-        self.state.update((at, crc, held))
-        yield pd.DataFrame(out, columns=["upload_id", "offset", "size", "data", "received", "crc32"])
+        for offset, (size, piece) in come.items():
+            held[offset] = size if piece is None else -size
+            if piece is not None:
+                self.waiting.updateValue((offset,), (piece,))
+        if (at, len(held)) != before:
+            self.state.update((at, crc, list(held), list(held.values())))
 
     def close(self) -> None:
         pass
@@ -144,7 +147,7 @@ def uploads(chunks: DataFrame) -> DataFrame:
     them.  Only chunks that wait for others are kept.
     """
     schema = f"upload_id {chunks.schema['upload_id'].dataType.simpleString()}, offset long, size long, data binary, received long, crc32 long"
-    return chunks.groupBy("upload_id").transformWithStateInPandas(Uploads(), schema, "Append", "None")
+    return chunks.groupBy("upload_id").transformWithState(Uploads(), schema, "Append", "None")
 
 
 def replay(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:

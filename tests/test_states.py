@@ -4,6 +4,8 @@ import datetime as dt
 import random
 import zlib
 
+from pyspark.sql import Row
+
 from folioforge.streaming import states
 
 EVENT = "id string, seq long, event string, ts timestamp"
@@ -66,3 +68,35 @@ def test_uploads_in_any_order(spark, tmp_path):
         got[r.upload_id] = data + bytes(r.data)
         assert (r.received, r.crc32) == (len(got[r.upload_id]), zlib.crc32(got[r.upload_id]))
     assert got == {u: w for u, w in whole.items() if u != 5}
+
+
+def test_an_upload_costs_one_read_and_one_write():
+    calls, value, held = [], [], {}
+
+    class Store:
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "exists":
+                    return bool(value)
+                if name == "get":
+                    return value[0] if value else None
+                if name == "update":
+                    value[:] = args
+                if name == "updateValue":
+                    held[args[0]] = args[1]
+                return held.get(args[0]) if name == "getValue" else name == "containsKey" and args[0] in held
+
+            return call
+
+    class Handle:
+        getValueState = getMapState = lambda self, *args: Store()
+
+    upload = states.Uploads()
+    upload.init(Handle())
+    came = []
+    for batch in ([(10, 5), (5, 5)], [(0, 5), (10, 5), (20, 5)]):
+        rows = [Row(offset=at, size=size) for at, size in batch]
+        came += [(r.offset, r.received) for r in upload.handleInputRows(("u",), iter(rows), None)]
+    assert came == [(0, 5), (5, 10), (10, 15)]
+    assert calls == ["get", "update"] * 2
