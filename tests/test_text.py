@@ -60,6 +60,12 @@ def test_headings_and_titles(col):
     assert col(lambda c: text.derive_title(c, F.lit("none")), ["# A Real Heading\nbody", "see https://ex.com/guide now", "12"]) == ["A Real Heading", "ex.com/guide", "none"]
 
 
+def test_titles_look_at_their_text_once(spark):
+    # Every mention inside a lambda is evaluated anew, so expressions that repeat their argument multiply.
+    size = lambda f: len(spark.range(1).select(f(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString())
+    assert size(lambda c: text.derive_title(text.clean_title(c), F.lit("none"))) < 3 * size(lambda c: text.derive_title(c, F.lit("none")))
+
+
 def test_excerpt_takes_the_latest_first_occurrence(col):
     s = "alpha " + "x" * 400 + " omega " + "y" * 400
     got = col(lambda c: text.excerpt_around(c, ["alpha", "omega"]), [s, ""])
