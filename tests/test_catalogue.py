@@ -63,3 +63,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 12
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_short_rows_that_cost_much_are_dealt_out(spark):
+    for name in ("front_matter_pages", "titles_and_paragraphs"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
