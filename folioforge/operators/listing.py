@@ -127,7 +127,12 @@ def resolve_hrefs(links: DataFrame, pages: DataFrame) -> DataFrame:
     a = links.select("source", "href", F.posexplode(forms).alias("rank", "k"))
     exact = a.join(pages.select("path", F.col("path").alias("k")), "k").select("source", "href", "path", "rank")
     names = pages.select("path", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower(F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), "\\.md$", ""))))).alias("k"))
-    named = links.withColumn("k", F.lower("href")).join(names, "k").select("source", "href", "path", F.when(folder(F.col("path")) == folder(F.col("source")), 3).otherwise(4).alias("rank"))
+    # Of the pages of a name only the first of each folder, and the first of all, can be meant: a name that many pages share makes no pairs.
+    inside = names.groupBy("k", folder(F.col("path")).alias("_folder")).agg(F.min("path").alias("_near"))
+    every = inside.groupBy("k").agg(F.min("_near").alias("_any"))
+    wanted = links.withColumn("k", F.lower("href")).withColumn("_folder", folder(F.col("source")))
+    found = wanted.join(every, "k").join(inside, ["k", "_folder"], "left")
+    named = found.select("source", "href", F.coalesce("_near", "_any").alias("path"), F.when(F.col("_near").isNotNull(), 3).otherwise(4).alias("rank"))
     return exact.unionByName(named).groupBy("source", "href").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 

@@ -273,6 +273,16 @@ def test_chats_and_turns(spark):
     assert got == [(1, False, True), (1, True, False), (2, False, False), (2, True, False), (3, True, True)]
 
 
+def test_a_name_that_many_pages_share_makes_no_pairs(spark):
+    pages = spark.range(3000).selectExpr("concat('wiki/', id % 3, '/', lpad(id, 4, '0'), '.md') AS path", "'Title' AS title")
+    links = pages.select(F.col("path").alias("source"), F.lit("title").alias("href")).unionByName(spark.createDataFrame([("wiki/x/y.md", "title")], "source string, href string"))
+    # Names are grouped by folder before links meet them.
+    out = listing.resolve_hrefs(links, pages)
+    assert "_near" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.source.split("/")[1], r.path) for r in out.collect()}
+    assert got == {("0", "wiki/0/0000.md"), ("1", "wiki/1/0001.md"), ("2", "wiki/2/0002.md"), ("x", "wiki/0/0000.md")}
+
+
 def test_upload_sessions(spark):
     declared = spark.createDataFrame([("a", 10), ("b", 10), ("c", 5)], "upload_id string, total long")
     rows = [("a", 0, 0, 4), ("a", 0, 0, 4), ("a", 1, 4, 6), ("b", 0, 0, 4), ("b", 2, 8, 2)]
