@@ -5,14 +5,16 @@ The index answers exactly what ``search.page_hits`` answers.  Its parts, below o
 * ``store``: pages in segments, cut into chunks of ``CHUNK`` pages: chunk, place, path, title, type, body.
 * ``postings``: for each chunk and each run of two or three characters ("gram") of the lower-cased title and body, the
   pages that have it as differences, how often each has it, and whether its title does; in ``BUCKETS`` folders by gram.
+  A gram's list in a chunk may come in parts.
 * ``live``: path, signature, chunk and place of the current version of each page; published as a whole (``sinks.replace_table``).
 
 A query's needles - its tokens and the query itself - are cut into grams too.  A page in the lists of all of a needle's grams may have the needle,
 at most as often as the scarcest gram; that bounds its score.  The pages of the best bounds are fetched and scored; the k-th best score
 is a floor, and only pages whose bound reaches it are fetched after that.  All others cannot be among the best, so nothing is lost.
 
-Queries come as a table and are answered together: a needle that many queries have is looked up once, lists are joined to queries
-packed, by chunk, and each query keeps a bounded number of pages a chunk in the first round.
+Queries come as a table and are answered together: the lists of a chunk meet all queries (``BLOCK`` at a time) in one task, so a list is
+moved once, however many needles and queries have its gram, and each query keeps a bounded number of pages a chunk in the first
+round.  A needle is counted once in a page, and texts are left behind as soon as it is.
 
 ``refresh`` adds a segment of what is new or changed by signature and publishes the new ``live``; what is gone or
 was replaced stays in its segment, unreachable, until the index is built anew.  A refresh that fails leaves the old state.
@@ -40,8 +42,14 @@ from folioforge.sources.sinks import read_table, replace_table
 CHUNK, BUCKETS = 4096, 64
 #: Grams of all queries that are put into the scan as a filter; beyond, they are joined.
 FILTERED_GRAMS = 5_000
+#: Queries that meet a chunk's lists in one task.
+BLOCK = 512
+#: Grams that a task holds before it makes lists of them.
+HELD = 2_000_000
 #: A third character that none is: marks a gram of two.
 _PAIR = (1 << 21) - 1
+#: So often or oftener: no bound is known.
+_MANY = (1 << 15) - 1
 
 
 def _low() -> Column:
@@ -71,7 +79,7 @@ def _bucket(gram: Column) -> Column:
 
 
 _STORED = "chunk long, at int, path string, title string, type string, body string, signature string"
-_POSTED = "gram long, chunk long, pages binary, often binary, titled binary"
+_POSTED = "gram long, chunk long, pages binary, often binary"
 
 
 def _numbered(pages: DataFrame, segment: int) -> DataFrame:
@@ -89,56 +97,45 @@ def _numbered(pages: DataFrame, segment: int) -> DataFrame:
 
 
 def _posted(store: DataFrame) -> DataFrame:
-    """The postings of stored pages: texts become grams in the scan, a chunk's lists are put together in one task."""
+    """The postings of stored pages: a task puts the lists of the pages that it reads together, ``HELD`` grams at a time.
 
-    def count(batches):
-        for b in batches:
-            out = []
-            for chunk, at, low, title in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                grams, often = np.unique(grams_of(low), return_counts=True)
-                titled = np.isin(grams, grams_of(title), assume_unique=False)
-                out.append((chunk, at, grams.tobytes(), often.astype(np.uint32).tobytes(), titled.astype(np.uint8).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)],
-                    names=["chunk", "at", "g", "often", "titled"],
-                )
-
-    def gather(batches):
-        held, now = [], None
+    No page's grams are shuffled.  A chunk that two tasks read, or that has more grams, has its lists in parts.
+    """
+
+    def run(batches):
+        held, size, now = [], 0, None
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if row[0] != now and held:
+            for chunk, at, low, title in zip(*b.columns, strict=True):
+                chunk = chunk.as_py()
+                if held and (chunk != now or size >= HELD):
                     yield from lists(now, held)
-                    held = []
-                now = row[0]
-                held.append(row)
+                    held, size = [], 0
+                now = chunk
+                grams, often = np.unique(grams_of(low.as_py()), return_counts=True)
+                titled = np.isin(grams, grams_of(title.as_py()))
+                held.append((at.as_py(), grams, (np.minimum(often, _MANY) << 1 | titled).astype(np.uint16)))
+                size += len(grams)
         if held:
             yield from lists(now, held)
 
     def lists(chunk, held):
-        grams = np.concatenate([np.frombuffer(r[2], np.int64) for r in held])
-        sizes = [len(r[2]) // 8 for r in held]
-        at = np.repeat(np.array([r[1] for r in held], np.uint16), sizes)
-        often = np.concatenate([np.frombuffer(r[3], np.uint32) for r in held])
-        titled = np.concatenate([np.frombuffer(r[4], np.uint8) for r in held])
-        order = np.lexsort((at, grams))
-        grams, at, often, titled = grams[order], at[order], often[order], titled[order]
-        edges = np.append(np.flatnonzero(np.append(True, grams[1:] != grams[:-1])), len(grams))
+        held.sort(key=lambda x: x[0])
+        grams = np.concatenate([g for _, g, _ in held])
+        at = np.repeat(np.array([x for x, _, _ in held], np.uint16), [len(g) for _, g, _ in held])
+        often = np.concatenate([o for _, _, o in held])
+        held.clear()
+        order = np.argsort(grams, kind="stable")
+        grams, at, often = grams[order], at[order], often[order]
+        begins = np.append(True, grams[1:] != grams[:-1])[: len(grams)]
+        step = np.where(begins, at, np.diff(at, prepend=np.uint16(0)))
+        edges = np.append(np.flatnonzero(begins), len(grams))
         for lo in range(0, len(edges) - 1, 20_000):
-            rows = []
-            for a, z in zip(edges[lo : lo + 20_000], edges[lo + 1 : lo + 20_001], strict=False):
-                rows.append((int(grams[a]), chunk, np.diff(at[a:z], prepend=np.uint16(0)).tobytes(), often[a:z].tobytes(), titled[a:z].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)],
-                names=["gram", "chunk", "pages", "often", "titled"],
-            )
+            e = edges[lo : lo + 20_001]
+            offsets = pa.py_buffer(((e - e[0]) * 2).astype(np.int32).tobytes())
+            packed = [pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, offsets, pa.py_buffer(x[e[0] : e[-1]].tobytes())]) for x in (step, often)]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[e[:-1]]), pa.array(np.full(len(e) - 1, chunk, np.int64)), *packed], names=["gram", "chunk", "pages", "often"])
 
-    packed = store.select("chunk", "at", _low().alias("low"), F.lower("title").alias("t")).mapInArrow(
-        count, "chunk long, at int, g binary, often binary, titled binary"
-    )
-    by_chunk = packed.repartition("chunk").sortWithinPartitions("chunk", "at")
-    return by_chunk.mapInArrow(gather, _POSTED)
+    return store.select("chunk", "at", _low().alias("low"), F.lower("title").alias("t")).mapInArrow(run, _POSTED)
 
 
 # ---------------------------------------------------------------- building and keeping
@@ -226,98 +223,113 @@ def needles(queries: DataFrame) -> DataFrame:
 def _gram_rows(needed: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            rows = [(n, int(g)) for n in b.column(0).to_pylist() for g in needle_grams(n)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64()), strict=True)], names=["needle", "gram"])
-
-    return needed.select("needle").distinct().mapInArrow(run, "needle string, gram long")
+            found = [g for n in b.column(0).to_pylist() for g in needle_grams(n)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["gram"])
 
+    return needed.select("needle").distinct().mapInArrow(run, "gram long").distinct()
 
-def _bounds(lists: DataFrame) -> DataFrame:
-    """(needle, chunk, pages, most, titled): pages that may have the needle, at most how often, and whether their title may."""
 
-    def run(batches):
-        now, pages, most, titled, got, need = None, None, None, None, 0, 0
+def _candidates(lists: DataFrame, asked: DataFrame, chunks: int, limit: int) -> DataFrame:
+    """(query, chunk, at, bound): of each chunk a query's ``limit`` best bounds, or all that reach the query's ``floor``.
 
-        def done():
-            if now is not None and got == need and len(pages):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], t) for x, t in zip((*now, pages.tobytes(), most.tobytes(), titled.tobytes()), (pa.string(), pa.int64(), *[pa.binary()] * 3), strict=True)],
-                    names=["needle", "chunk", "pages", "most", "titled"],
-                )
+    The lists of a chunk and a block of queries with their needles meet in one task.
+    """
 
-        for b in batches:
-            for needle, chunk, grams, p, o, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                p, o, t = np.cumsum(np.frombuffer(p, np.uint16), dtype=np.int64).astype(np.uint16), np.frombuffer(o, np.uint32), np.frombuffer(t, np.uint8)
-                if (needle, chunk) != now:
-                    yield from done()
-                    now, pages, most, titled, got, need = (needle, chunk), p, o, t, 1, grams
+    def run(_, found, needles):
+        needles = needles.combine_chunks()
+        wanted = dict.fromkeys(needles.column("needle").to_pylist())
+        rows = list(zip(*[needles.column(c).to_pylist() for c in ("query", "needle", "weight", "whole", "floor")], strict=True))
+        rows.sort(key=lambda r: r[0])
+        out = [[], [], [], []]
+        gram_col, chunk_col = found.column("gram").to_numpy(), found.column("chunk").to_numpy()
+        pages_col, often_col = found.column("pages").combine_chunks(), found.column("often").combine_chunks()
+        often_at = np.zeros(CHUNK, np.int64)
+        title_at = np.zeros(CHUNK, bool)
+
+        def read(parts):
+            got = [(np.cumsum(np.frombuffer(pages_col[i].as_buffer(), np.uint16), dtype=np.uint16), np.frombuffer(often_col[i].as_buffer(), np.uint16)) for i in parts]
+            return got[0] if len(got) == 1 else tuple(map(np.concatenate, zip(*got, strict=True)))
+
+        def bound(needle, where):
+            """Pages that may have the needle, at most how often, and whether their title may; the shortest list first."""
+            parts = [where.get(g) for g in needle_grams(needle).tolist()]
+            if None in parts:
+                return None
+            pages = most = titled = None
+            for pages_, often_ in sorted(map(read, parts), key=lambda x: len(x[0])):
+                often, title = (often_ >> 1).astype(np.int64), (often_ & 1).astype(bool)
+                often[often == _MANY] = 1 << 31
+                if pages is None:
+                    pages, most, titled = pages_, often, title
                     continue
-                got += 1
-                pages, i, j = np.intersect1d(pages, p, assume_unique=True, return_indices=True)
-                most, titled = np.minimum(most[i], o[j]), titled[i] & t[j]
-        yield from done()
-
-    # The shortest list first: what is intersected only shrinks.
-    dealt = lists.repartition("needle", "chunk").sortWithinPartitions("needle", "chunk", F.octet_length("pages"))
-    return dealt.select("needle", "chunk", "grams", "pages", "often", "titled").mapInArrow(run, "needle string, chunk long, pages binary, most binary, titled binary")
-
-
-def _candidates(bounds: DataFrame, asked: DataFrame, floors: DataFrame | None, limit: int) -> DataFrame:
-    """(query, chunk, at, bound): of each chunk a query's ``limit`` best bounds, or all that reach the query's floor."""
-
-    def run(batches):
-        now, sums, floor = None, np.zeros(CHUNK, np.int64), 0
-
-        def done():
-            if now is None:
-                return
-            if floor:
-                at = np.flatnonzero(sums >= floor)
-            else:
-                at = np.argsort(-sums, kind="stable")[:limit]
-                at = at[sums[at] > 0]
-            if len(at):
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * n, pa.int64()), pa.array([now[1]] * n, pa.int64()), pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["query", "chunk", "at", "bound"])
-
-        for b in batches:
-            for query, chunk, weight, whole, low, p, m, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (query, chunk) != now:
-                    yield from done()
-                    now, floor = (query, chunk), low or 0
-                    sums[:] = 0
-                pages, most, titled = np.frombuffer(p, np.uint16), np.frombuffer(m, np.uint32).astype(np.int64), np.frombuffer(t, np.uint8)
-                sums[pages] += weight if whole else weight * most * (1 + 3 * titled.astype(np.int64))
-        yield from done()
-
-    if floors is None:
-        asked = asked.withColumn("floor", F.lit(0).cast("long"))
-    else:
-        asked = asked.join(floors, "query")
-    both = bounds.join(asked, "needle").select("query", "chunk", "weight", "whole", "floor", "pages", "most", "titled")
-    dealt = both.repartition("query", "chunk").sortWithinPartitions("query", "chunk")
-    return dealt.mapInArrow(run, "query long, chunk long, at int, bound long")
-
-
-def _scored(found: DataFrame, store: DataFrame, live: DataFrame, asked: DataFrame) -> DataFrame:
-    """Exact scores of found pages, those of former versions left out; only their chunks' row groups are read."""
+                often_at[pages_], title_at[pages_] = often, title
+                most, titled = np.minimum(most, often_at[pages]), titled & title_at[pages]
+                often_at[pages_], title_at[pages_] = 0, False
+                keep = most > 0
+                pages, most, titled = pages[keep], most[keep], titled[keep]
+                if not len(pages):
+                    return None
+            return pages, most.astype(np.uint32), titled
+
+        for chunk in np.unique(chunk_col):
+            where: dict[int, list[int]] = {}
+            for i in np.flatnonzero(chunk_col == chunk).tolist():
+                where.setdefault(int(gram_col[i]), []).append(i)
+            bounds = {n: bound(n, where) for n in wanted}
+            for at, (query, *_, floor) in enumerate(rows):
+                if at and rows[at - 1][0] == query:
+                    continue
+                sums = np.zeros(CHUNK, np.int64)
+                for i in range(at, len(rows)):
+                    if rows[i][0] != query:
+                        break
+                    if (b := bounds[rows[i][1]]) is not None:
+                        sums[b[0]] += rows[i][2] if rows[i][3] else rows[i][2] * b[1].astype(np.int64) * (1 + 3 * b[2])
+                if floor:
+                    best = np.flatnonzero(sums >= floor)
+                else:
+                    best = np.argsort(-sums, kind="stable")[:limit]
+                    best = best[sums[best] > 0]
+                for to, x in zip(out, (np.full(len(best), query), np.full(len(best), chunk), best, sums[best]), strict=True):
+                    to.append(x)
+        kinds = (np.int64, np.int64, np.int32, np.int64)
+        cols = [np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(out, kinds, strict=True)]
+        return pa.table([pa.array(c) for c in cols], names=["query", "chunk", "at", "bound"])
+
+    blocks = -(-asked.select("query").distinct().count() // BLOCK) or 1
+    block, part = F.pmod(F.xxhash64("query"), F.lit(blocks)), F.pmod(F.xxhash64("chunk"), F.lit(chunks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    lists = lists.withColumn("part", part).withColumn("block", numbers(blocks))
+    asked = asked.withColumn("block", block).withColumn("part", numbers(chunks))
+    return lists.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(run, "query long, chunk long, at int, bound long")
+
+
+def _stored(found: DataFrame, store: DataFrame, live: DataFrame) -> DataFrame:
+    """``found`` with the live pages at its (chunk, at); only their chunks' row groups are read."""
     chunks = [r.chunk for r in found.select("chunk").distinct().limit(FILTERED_GRAMS + 1).collect()]
     if len(chunks) <= FILTERED_GRAMS:
         store, live = store.filter(F.col("chunk").isin(chunks)), live.filter(F.col("chunk").isin(chunks))
-    wanted = found.select("query", "chunk", "at")
-    pages = wanted.join(live.select("chunk", "at"), ["chunk", "at"]).join(store.drop("signature"), ["chunk", "at"])
-    each = asked.groupBy("query").agg(F.collect_list(F.struct("needle", "weight", "whole")).alias("needles"))  # one query's needles
-    low, title = _low(), F.lower("title")
+    return found.join(live.select("chunk", "at"), ["chunk", "at"]).join(store.drop("signature"), ["chunk", "at"])
+
 
-    def points(n: Column) -> Column:
-        has = F.when(F.col("_low").contains(n["needle"]), n["weight"]).otherwise(F.lit(0).cast("long"))
-        often = occurrences(F.col("_low"), n["needle"]) * n["weight"] * F.when(F.col("_title").contains(n["needle"]), F.lit(4)).otherwise(F.lit(1))
-        return F.when(n["whole"], has).otherwise(often)
+def _scored(found: DataFrame, store: DataFrame, live: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, chunk, at, path, score): exact scores of found pages, those of former versions left out.
 
-    rows = pages.join(each, "query").withColumn("_low", low).withColumn("_title", title)
-    score = F.aggregate("needles", F.lit(0).cast("long"), lambda a, n: a + points(n))
-    return rows.withColumn("score", score).filter("score > 0").select("query", "chunk", "at", "path", "title", "type", "body", "score")
+    A page's needles are counted once for all queries that found it.
+    """
+    pairs = found.select("query", "chunk", "at").join(asked.select("query", "needle", "weight", "whole"), "query")
+    each = pairs.groupBy("chunk", "at").agg(F.collect_set("needle").alias("needles"))  # a page's: those of all queries at most
+    pages = _stored(each, store, live).select("chunk", "at", "path", "title", "body", "needles")
+    # Dealt out by number, or the few pages that are found would be counted in one task.
+    pages = pages.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk", "at")
+    pages = pages.select("chunk", "at", "path", F.lower("title").alias("_title"), _low().alias("_low"), "needles")
+    # The explosion stands between: a text is lower-cased once, not once a needle.
+    rows = pages.select("chunk", "at", "path", "_title", "_low", F.explode("needles").alias("needle"))
+    often = occurrences(F.col("_low"), F.col("needle")).alias("often")
+    counts = rows.select("chunk", "at", "path", "needle", often, F.col("_title").contains(F.col("needle")).alias("titled")).filter("often > 0")
+    points = F.when(F.col("whole"), F.col("weight")).otherwise(F.col("often") * F.col("weight") * F.when(F.col("titled"), F.lit(4)).otherwise(F.lit(1)))
+    return pairs.join(counts, ["chunk", "at", "needle"]).groupBy("query", "chunk", "at", "path").agg(F.sum(points).alias("score")).filter("score > 0")
 
 
 def search_all(root: str, queries: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
@@ -332,21 +344,22 @@ def search_all(root: str, queries: DataFrame, limit: int = SEARCH_LIMIT) -> Data
     if postings is None:
         return spark.createDataFrame([], "query long, place long, path string, title string, type string, score long, body string")
     short = (F.length("needle") < 2) | ((F.length("needle") == 2) & ~F.col("needle").rlike("[^\\x00-\\x7F]"))
-    grams = _gram_rows(asked.filter(~short))
-    sizes = Window.partitionBy("needle")
-    grams = materialise(grams.withColumn("grams", F.count(F.lit(1)).over(sizes).cast("int")).withColumn("bucket", _bucket(F.col("gram"))), "grams")
-    few = grams.select("gram", "bucket").distinct().limit(FILTERED_GRAMS + 1).collect()
+    long = asked.filter(~short)
+    grams = materialise(_gram_rows(long).withColumn("bucket", _bucket(F.col("gram"))), "grams")
+    few = grams.limit(FILTERED_GRAMS + 1).collect()
     if len(few) <= FILTERED_GRAMS:
-        postings = postings.filter(F.col("bucket").isin(sorted({r.bucket for r in few})) & F.col("gram").isin([r.gram for r in few]))
-    lists = postings.drop("bucket").join(grams.select("needle", "gram", "grams"), "gram")
-    bounds = materialise(_bounds(lists), "bounds")
+        lists = postings.filter(F.col("bucket").isin(sorted({r.bucket for r in few})) & F.col("gram").isin([r.gram for r in few])).drop("bucket")
+    else:
+        lists = postings.drop("bucket").join(grams.select("gram"), "gram", "left_semi")
+    chunks = live.select("chunk").distinct().count() or 1
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "chunk", "at"))
-    first = _candidates(bounds, asked, None, 2 * limit).withColumn("_r", rank).filter(F.col("_r") <= 2 * limit).drop("_r")
-    first = materialise(_scored(materialise(first, "first"), store, live, asked), "scored")
+    first = _candidates(lists, long.withColumn("floor", F.lit(0).cast("long")), chunks, 2 * limit)
+    first = materialise(first.withColumn("_r", rank).filter(F.col("_r") <= 2 * limit).drop("_r"), "first")
+    first = materialise(_scored(first, store, live, asked), "scored")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "path")
     floors = first.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == limit).select("query", F.col("score").alias("floor"))
-    floors = asked.filter(~short).select("query").distinct().join(floors, "query", "left").select("query", F.coalesce("floor", F.lit(1).cast("long")).alias("floor"))
-    rest = _candidates(bounds, asked, floors, limit).join(first.select("query", "chunk", "at"), ["query", "chunk", "at"], "left_anti")
+    floors = long.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(1).cast("long")))
+    rest = _candidates(lists, floors, chunks, limit).join(first.select("query", "chunk", "at"), ["query", "chunk", "at"], "left_anti")
     every = first.unionByName(_scored(materialise(rest, "rest"), store, live, asked))
     tiny = [r.query for r in asked.filter(short).select("query").distinct().limit(limit + 1).collect()]
     if len(tiny) > limit:
@@ -355,5 +368,5 @@ def search_all(root: str, queries: DataFrame, limit: int = SEARCH_LIMIT) -> Data
         all_live = live.select(F.explode(F.array(*map(F.lit, tiny))).alias("query"), "chunk", "at")
         every = every.join(spark.createDataFrame([(q,) for q in tiny], "query long"), "query", "left_anti")
         every = every.unionByName(_scored(materialise(all_live, "all"), store, live, asked))
-    top = every.withColumn("place", F.row_number().over(best).cast("long")).filter(F.col("place") <= limit)
-    return top.select("query", "place", "path", "title", "type", "score", "body")
+    top = materialise(every.withColumn("place", F.row_number().over(best).cast("long")).filter(F.col("place") <= limit), "top")
+    return _stored(top.drop("path"), store, live).select("query", "place", "path", "title", "type", "score", "body")

@@ -81,3 +81,28 @@ def test_empty_index_and_empty_table(spark, tmp_path):
     root = str(tmp_path / "index")
     fulltext.refresh(made_pages(spark).limit(0), root)
     assert answers(root, spark, ["alpha"], 3) == {}
+
+
+def test_scratch_tables_hold_neither_texts_nor_lists_of_needles(spark, tmp_path, small, monkeypatch):
+    root, kept, true = str(tmp_path / "index"), {}, fulltext.materialise
+    fulltext.refresh(made_pages(spark), root)
+
+    def seen(df, name):
+        kept[name] = set(df.columns)
+        return true(df, name)
+
+    monkeypatch.setattr(fulltext, "materialise", seen)
+    answers(root, spark, QUESTIONS, 5)
+    assert "rest" in kept and not [n for n, c in kept.items() if c & {"body", "pages"}]
+
+
+def test_lists_in_parts_and_blocks_of_queries_change_no_answer(spark, tmp_path, small, monkeypatch):
+    monkeypatch.setattr(fulltext, "HELD", 50)
+    monkeypatch.setattr(fulltext, "BLOCK", 3)
+    pages, root = made_pages(spark), str(tmp_path / "index")
+    fulltext.refresh(pages, root)
+    parts = fulltext._parts(spark, root, "postings", fulltext._POSTED)
+    assert parts.groupBy("gram", "chunk").count().filter("count > 1").count() > 0
+    got = answers(root, spark, QUESTIONS[:7], 5)
+    for i, q in enumerate(QUESTIONS[:7]):
+        assert got.get(i, []) == [(r.path, r.score) for r in search.page_hits(pages, q, 5).select("path", "score").collect()], q
