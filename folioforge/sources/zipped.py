@@ -3,9 +3,10 @@
     spark.dataSource.register(ZippedSource)
     spark.read.format("zipped").load("file:///incoming")
 
-Planning reads the directory at each archive's end and cuts the entries into runs of about ``bytesPerPartition`` compressed
-bytes; a task opens the archive, reads the directory and then the ranges of its entries only, so an archive may be larger
-than any row or memory.  Rows are those of ``files.unzip``: safe names, told apart; what is unsafe, unsupported or over a
+Planning deals archives to tasks by size, about ``bytesPerPartition`` compressed bytes each, or more where that would make
+over ``maxPartitions`` tasks.  Only of an archive larger than that it reads the directory at the end, to cut its entries into
+runs; a task opens its archives, reads their directories and then the ranges of its entries only, so an archive may be larger
+than any row or memory, and many small archives cost few tasks.  Rows are those of ``files.unzip``: safe names, told apart; what is unsafe, unsupported or over a
 guard (``maxEntries``, ``maxEntry``, ``maxTotal``) has a reason and no content, and a file that is no archive is one such row.  With
 ``head`` an entry's content is its first so many bytes, and no more than these are unpacked.
 
@@ -14,6 +15,7 @@ Paths are a file or a folder (searched for ``.zip``), as a URI of any file syste
 
 from __future__ import annotations
 
+import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,17 +27,28 @@ from folioforge.sources import files
 SCHEMA = "archive string, entry string, size long, content binary, skipped string"
 
 
+#: Tasks of a read, unless ``maxPartitions`` says otherwise.
+MOST_TASKS = 512
+
+
 @dataclass
-class Run(InputPartition):
-    """Entries ``first`` to before ``last`` of an archive."""
+class Run:
+    """Entries ``first`` to before ``last`` of an archive; without ``last``, to its end."""
 
     archive: str
-    first: int
-    last: int
+    first: int = 0
+    last: int | None = None
+
+
+@dataclass
+class Runs(InputPartition):
+    """What one task reads."""
+
+    runs: list[Run]
 
-    def __init__(self, archive: str, first: int, last: int):
-        super().__init__((archive, first, last))
-        self.archive, self.first, self.last = archive, first, last
+    def __init__(self, runs: list[Run]):
+        super().__init__(len(runs))
+        self.runs = runs
 
 
 def _opened(path: str):
@@ -46,8 +59,8 @@ def _opened(path: str):
     return LocalFileSystem(), path
 
 
-def archives_below(path: str) -> list[str]:
-    """Paths, within their file system, of the archives."""
+def archives_below(path: str) -> list[tuple[str, int]]:
+    """Paths, within their file system, of the archives, and their bytes."""
     from pyarrow.fs import FileSelector, FileType
 
     fs, at = _opened(path)
@@ -55,15 +68,16 @@ def archives_below(path: str) -> list[str]:
     if info.type == FileType.NotFound:
         raise FileNotFoundError(path)
     if info.type == FileType.File:
-        return [at]
+        return [(at, info.size)]
     found = fs.get_file_info(FileSelector(at, recursive=True))
-    return sorted(f.path for f in found if f.type == FileType.File and f.path.lower().endswith(".zip"))
+    return sorted((f.path, f.size) for f in found if f.type == FileType.File and f.path.lower().endswith(".zip"))
 
 
 def _read(f) -> zipfile.ZipFile:
     if f.size() < 22:  # shorter than the shortest directory
         raise zipfile.BadZipFile("too short")
-    return zipfile.ZipFile(f)
+    # Of so short a file zipfile seeks before the start, which Arrow's files refuse in a way of their own.
+    return zipfile.ZipFile(f if f.size() > 64 else io.BytesIO(f.read()))
 
 
 class ZippedReader(DataSourceReader):
@@ -71,30 +85,43 @@ class ZippedReader(DataSourceReader):
         number = lambda key, other: int(options.get(key, other))
         self.path = options["path"]
         self.per = number("bytesPerPartition", 64 << 20)
+        self.most = max(1, number("maxPartitions", MOST_TASKS))
         self.head = number("head", -1)
         self.guards = number("maxEntries", files.MAX_ENTRIES), number("maxEntry", files.MAX_ENTRY), number("maxTotal", files.MAX_TOTAL)
 
-    def partitions(self) -> list[Run]:
+    def partitions(self) -> list[Runs]:
         fs, _ = _opened(self.path)
-        runs = []
-        for archive in archives_below(self.path):
-            first = size = at = 0
-            try:
-                with fs.open_input_file(archive) as f, _read(f) as z:
-                    for at, (info, _, reason) in enumerate(files.entries_of(z.infolist(), *self.guards), 1):
-                        size += info.compress_size if reason is None else 0
-                        if size >= self.per:
-                            runs.append(Run(archive, first, at))
-                            first, size = at, 0
-            except zipfile.BadZipFile:
-                at = 1
-            if at > first:
-                runs.append(Run(archive, first, at))
-        return runs or [Run("", 0, 0)]
-
-    def read(self, run: Run) -> Iterator[tuple]:
-        if run.first == run.last:
-            return
+        archives = archives_below(self.path)
+        per = max(self.per, -(-sum(size for _, size in archives) // self.most))
+        tasks, now, full = [], [], 0
+        for archive, size in archives:
+            for run, held in [(Run(archive), size)] if size <= per else self._cut(fs, archive, per):
+                if now and full + held > per:
+                    tasks.append(Runs(now))
+                    now, full = [], 0
+                now.append(run)
+                full += held
+        return [*tasks, Runs(now)]
+
+    def _cut(self, fs, archive: str, per: int) -> list[tuple[Run, int]]:
+        """Runs of an archive's entries with their compressed bytes."""
+        runs, first, size, at = [], 0, 0, 0
+        try:
+            with fs.open_input_file(archive) as f, _read(f) as z:
+                for at, (info, _, reason) in enumerate(files.entries_of(z.infolist(), *self.guards), 1):
+                    size += info.compress_size if reason is None else 0
+                    if size >= per:
+                        runs.append((Run(archive, first, at), size))
+                        first, size = at, 0
+        except zipfile.BadZipFile:
+            return [(Run(archive), 0)]
+        return [*runs, (Run(archive, first, at), size)] if at > first else runs
+
+    def read(self, task: Runs) -> Iterator[tuple]:
+        for run in task.runs:
+            yield from self._entries(run)
+
+    def _entries(self, run: Run) -> Iterator[tuple]:
         fs, _ = _opened(self.path)
         name = run.archive.rpartition("/")[2]
         with fs.open_input_file(run.archive) as f:
@@ -104,7 +131,7 @@ class ZippedReader(DataSourceReader):
                 yield name, "", 0, None, "not an archive"
                 return
             for at, (info, entry, reason) in enumerate(files.entries_of(z.infolist(), *self.guards)):
-                if at >= run.last:
+                if run.last is not None and at >= run.last:
                     break
                 if at < run.first:
                     continue

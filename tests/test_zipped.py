@@ -45,3 +45,21 @@ def test_damaged_entries_and_empty_folders(spark, tmp_path):
     assert got["b.md"] == (b"more", None) and got["a.md"][0] is None and "BadZipFile" in got["a.md"][1]
     (tmp_path / "empty").mkdir()
     assert spark.read.format("zipped").load(str(tmp_path / "empty")).collect() == []
+
+
+def test_many_small_archives_cost_few_tasks(spark, tmp_path):
+    spark.dataSource.register(zipped.ZippedSource)
+    for i in range(60):
+        (tmp_path / f"{i:02}.zip").write_bytes(archive([(f"{j}.md", f"{i} {j}") for j in range(3)]))
+    (tmp_path / "none.zip").write_bytes(archive([]))
+    (tmp_path / "broken.zip").write_bytes(b"no archive at all, but longer than the shortest")
+    got = spark.read.format("zipped").option("bytesPerPartition", 64).option("maxPartitions", 7).load(str(tmp_path))
+    assert 3 < got.rdd.getNumPartitions() <= 2 * 7
+    rows = sorted((r.archive, r.entry, r.content and bytes(r.content), r.skipped) for r in got.collect())
+    assert rows == sorted([(f"{i:02}.zip", f"{j}.md", f"{i} {j}".encode(), None) for i in range(60) for j in range(3)] + [("broken.zip", "", None, "not an archive")])
+    opened = zipped._read
+    try:
+        zipped._read = None  # planning does not open what one task reads whole
+        assert len(zipped.ZippedReader({"path": str(tmp_path)}).partitions()) == 1
+    finally:
+        zipped._read = opened
