@@ -35,7 +35,7 @@ from folioforge.functions import paths
 from folioforge.functions.query import search_tokens
 from folioforge.functions.text import is_low_quality, occurrences
 from folioforge.operators.search import SEARCH_LIMIT
-from folioforge.operators.tables import materialise
+from folioforge.operators.tables import BROADCAST_ROWS, materialise, modest_batches
 from folioforge.sources.sinks import read_table, replace_table
 
 #: Pages of a chunk, and folders of postings.
@@ -151,14 +151,18 @@ def _live(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def refresh(pages: DataFrame, root: str) -> dict[str, int]:
-    """Bring the index below ``root`` to ``pages`` (one row a path); numbers of pages added, changed, removed and kept."""
+    """Bring the index below ``root`` to ``pages`` (one row a path); numbers of pages added, changed, removed and kept.
+
+    ``pages`` are read twice, for their signatures and for the texts of what is new: no copy of all texts is made to compare
+    them.  A page that changes in between has the signature of the text that is indexed.
+    """
     spark = pages.sparkSession
-    now = materialise(signed(pages), "signed")
+    modest_batches(spark)
     old = _live(spark, root)
     if old is None:
         old = spark.createDataFrame([], "path string, signature string, chunk long, at int")
     known = old.select("path", F.col("signature").alias("_old"), "chunk", "at")
-    both = now.select("path", "signature").join(known, "path", "full_outer")
+    both = signed(pages).select("path", "signature").join(known, "path", "full_outer")
     same = F.col("signature").eqNullSafe(F.col("_old"))
     kind = F.when(F.col("signature").isNull(), "removed").when(F.col("_old").isNull(), "added").when(same, "kept").otherwise("changed")
     both = materialise(both.withColumn("kind", kind), "compared")
@@ -168,7 +172,13 @@ def refresh(pages: DataFrame, root: str) -> dict[str, int]:
         # A segment has a folder of its own, named by it only once it is whole.
         segment = (old.agg(F.coalesce(F.max(F.shiftright("chunk", 40)), F.lit(0)).alias("n")).first().n or 0) + 1
         name = f"{segment}-{uuid.uuid4().hex}"
-        new = now.join(both.filter("kind IN ('added', 'changed')").select("path"), "path", "left_semi")
+        new, kept = signed(pages), both.filter("kind = 'kept'").select("path")
+        if 0 < counts.get("kept", 0) <= BROADCAST_ROWS:
+            new = new.join(F.broadcast(kept), "path", "left_anti")
+        elif counts.get("kept", 0):
+            told = both.filter("kind IN ('added', 'changed')").select("path")
+            few = counts.get("added", 0) + counts.get("changed", 0) <= BROADCAST_ROWS
+            new = new.join(F.broadcast(told) if few else told, "path", "left_semi")
         small = {"compression": "zstd", "parquet.block.size": str(8 << 20)}
         _numbered(new, segment).write.options(**small).parquet(f"{root}/store/{name}")
         stored = spark.read.schema(_STORED).parquet(f"{root}/store/{name}")
@@ -306,11 +316,17 @@ def _candidates(lists: DataFrame, asked: DataFrame, chunks: int, limit: int) ->
 
 
 def _stored(found: DataFrame, store: DataFrame, live: DataFrame) -> DataFrame:
-    """``found`` with the live pages at its (chunk, at); only their chunks' row groups are read."""
-    chunks = [r.chunk for r in found.select("chunk").distinct().limit(FILTERED_GRAMS + 1).collect()]
+    """The live pages at the (chunk, at) of ``found``; only their chunks' row groups are read, and few pages are found without a shuffle."""
+    keys = found.select("chunk", "at").distinct()
+    chunks = [r.chunk for r in keys.select("chunk").distinct().limit(FILTERED_GRAMS + 1).collect()]
     if len(chunks) <= FILTERED_GRAMS:
         store, live = store.filter(F.col("chunk").isin(chunks)), live.filter(F.col("chunk").isin(chunks))
-    return found.join(live.select("chunk", "at"), ["chunk", "at"]).join(store.drop("signature"), ["chunk", "at"])
+    live = live.select("chunk", "at")
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        live = F.broadcast(live.join(F.broadcast(keys), ["chunk", "at"], "left_semi"))
+    else:
+        live = live.join(keys, ["chunk", "at"], "left_semi")
+    return store.drop("signature").join(live, ["chunk", "at"])
 
 
 def _scored(found: DataFrame, store: DataFrame, live: DataFrame, asked: DataFrame) -> DataFrame:
@@ -320,9 +336,9 @@ def _scored(found: DataFrame, store: DataFrame, live: DataFrame, asked: DataFram
     """
     pairs = found.select("query", "chunk", "at").join(asked.select("query", "needle", "weight", "whole"), "query")
     each = pairs.groupBy("chunk", "at").agg(F.collect_set("needle").alias("needles"))  # a page's: those of all queries at most
-    pages = _stored(each, store, live).select("chunk", "at", "path", "title", "body", "needles")
     # Dealt out by number, or the few pages that are found would be counted in one task.
-    pages = pages.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk", "at")
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = _stored(found, store, live).select("chunk", "at", "path", "title", "body").repartition(tasks, "chunk", "at").join(each, ["chunk", "at"])
     pages = pages.select("chunk", "at", "path", F.lower("title").alias("_title"), _low().alias("_low"), "needles")
     # The explosion stands between: a text is lower-cased once, not once a needle.
     rows = pages.select("chunk", "at", "path", "_title", "_low", F.explode("needles").alias("needle"))
@@ -338,6 +354,7 @@ def search_all(root: str, queries: DataFrame, limit: int = SEARCH_LIMIT) -> Data
     A query too short to have a gram (one character, or two of ASCII) is answered by scoring all live pages.
     """
     spark = queries.sparkSession
+    modest_batches(spark)
     asked = materialise(needles(queries), "needles")
     live, store = _live(spark, root), _parts(spark, root, "store", _STORED)
     postings = _parts(spark, root, "postings", f"{_POSTED}, bucket int")
@@ -369,4 +386,4 @@ def search_all(root: str, queries: DataFrame, limit: int = SEARCH_LIMIT) -> Data
         every = every.join(spark.createDataFrame([(q,) for q in tiny], "query long"), "query", "left_anti")
         every = every.unionByName(_scored(materialise(all_live, "all"), store, live, asked))
     top = materialise(every.withColumn("place", F.row_number().over(best).cast("long")).filter(F.col("place") <= limit), "top")
-    return _stored(top.drop("path"), store, live).select("query", "place", "path", "title", "type", "score", "body")
+    return top.drop("path").join(_stored(top, store, live), ["chunk", "at"]).select("query", "place", "path", "title", "type", "score", "body")

@@ -106,3 +106,13 @@ def test_lists_in_parts_and_blocks_of_queries_change_no_answer(spark, tmp_path,
     got = answers(root, spark, QUESTIONS[:7], 5)
     for i, q in enumerate(QUESTIONS[:7]):
         assert got.get(i, []) == [(r.path, r.score) for r in search.page_hits(pages, q, 5).select("path", "score").collect()], q
+
+
+def test_refresh_copies_no_texts_to_compare_them(spark, tmp_path, small, monkeypatch):
+    kept, true = {}, fulltext.materialise
+    monkeypatch.setattr(fulltext, "materialise", lambda df, name: kept.update({name: set(df.columns)}) or true(df, name))
+    pages, root = made_pages(spark, 30), str(tmp_path / "index")
+    fulltext.refresh(pages, root)
+    assert fulltext.refresh(pages, root) == {"added": 0, "changed": 0, "removed": 0, "kept": 31}
+    assert kept and not [n for n, c in kept.items() if "body" in c]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
