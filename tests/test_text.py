@@ -149,3 +149,15 @@ def test_low_quality_is_seen_in_sound_bodies_too(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, b string")
     got = [r.q for r in df.orderBy("i").select(text.is_low_quality(F.col("t"), F.col("b")).alias("q")).collect()]
     assert got == [False, True, False, True, True, True, False, False, True, False, True, True]
+
+
+def test_trim_leaves_what_is_no_white_space(col):
+    assert col(text.trim, ["a \u0085", "﻿　a b\r\n", " \n", ""]) == ["a \u0085", "a b", "", ""]
+
+
+def test_composition_is_asked_for_only_where_it_may_change_a_text(spark, col):
+    import unicodedata
+
+    latin = [chr(c) + "x" for c in range(0x80, 0x180)] + ["é", "ȩ́", "知識"]
+    assert col(text.nfkc, latin) == [unicodedata.normalize("NFKC", v) for v in latin]
+    assert col(lambda c: c.rlike(text._COMPOSED), ["plain", "Größe über São Émile ñ", "²", "é", "ﬁ"]) == [False, False, True, True, True]
