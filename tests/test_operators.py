@@ -307,3 +307,14 @@ def test_many_notes_of_a_topic_are_cut_before_they_are_collected(spark):
     assert out.first().sources == [f"p{i}" for i in range(7)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("row_number()") >= 2 and "part" in plan.split("collect_list")[-1]
+
+
+def test_definitions_are_looked_for_once_a_document(spark):
+    from folioforge.operators import topics
+
+    docs = spark.createDataFrame([("p", "t", 1, "Alpha is here.\nBeta means alpha.\nGamma ends.", ["Alpha", "Delta"])], "path string, title string, ord long, text string, topics array<string>")
+    noted = topics.notes(docs, "topics", "concept")
+    plan = noted._jdf.queryExecution().optimizedPlan().toString()
+    assert topics.DEFINES in plan[plan.index("Generate explode") :] and topics.DEFINES not in plan[: plan.index("Generate explode")]
+    got = {r.key: r.evidence for r in noted.collect()}
+    assert got == {"alpha": ["Beta means alpha.", "Alpha is here."], "delta": ["Beta means alpha.", "Alpha is here.", "Gamma ends."]}
