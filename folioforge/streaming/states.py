@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -48,7 +47,10 @@ def step(status: str, attempts: int, event: str) -> tuple[str, int]:
 
 
 class QueueItems(StatefulProcessor):
-    """One item: its state, kept until ``keep`` after it has ended, by a timer of event time."""
+    """One item: its state, kept until ``keep`` after it has ended, by a timer of event time.
+
+    Rows, not frames: a key has few rows in a batch, and a frame a key costs more than all of them.
+    """
 
     def __init__(self, keep: timedelta):
         self.keep = int(keep.total_seconds() * 1000)
@@ -58,28 +60,26 @@ class QueueItems(StatefulProcessor):
         self.item = handle.getValueState("item", "status string, attempts int, ended long")
 
     def handleInputRows(self, key, rows, timerValues):
-        status, attempts, ended = self.item.get() if self.item.exists() else ("new", 0, None)
+        status, attempts, ended = self.item.get() or ("new", 0, None)
         before = ended
-        batch = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
-        out = []
-        for event, now, seq in zip(batch["event"], batch["ms"].tolist(), batch["seq"], strict=True):
+        for now, seq, event in sorted(((r["ms"], r["seq"], r["event"]) for r in rows), key=lambda x: x[:2]):
             if ended is not None and now > ended + self.keep:
                 status, attempts, ended = "new", 0, None  # forgotten, whether or not the timer has fired yet
             was = status
             status, attempts = step(status, attempts, event)
             if status != was:
                 ended = now if status in ENDED else None
-            out.append((key[0], seq, status, attempts))
+            yield Row(id=key[0], seq=seq, status=status, attempts=attempts)
         self.item.update((status, attempts, ended))
         if ended != before:
             if before is not None:
                 self.handle.deleteTimer(before + self.keep + 1)
             if ended is not None:
                 self.handle.registerTimer(ended + self.keep + 1)
-        yield pd.DataFrame(out, columns=["id", "seq", "status", "attempts"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.item.exists() and self.item.get()[2] is not None:
+        state = self.item.get()
+        if state and state[2] is not None:
             self.item.clear()
         return iter(())
 
@@ -93,8 +93,8 @@ def item_states(events: DataFrame, keep: timedelta = timedelta(minutes=5), late:
     A key's events are applied by time, then ``seq``.  An item that ended longer than ``keep`` ago begins anew, and its
     state is dropped once the watermark says so.  Ids are strings.
     """
-    watched = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("id")
-    return watched.transformWithStateInPandas(QueueItems(keep), "id string, seq long, status string, attempts int", "Append", "EventTime")
+    watched = events.withWatermark("ts", late).select("id", "seq", "event", F.unix_millis("ts").alias("ms")).groupBy("id")
+    return watched.transformWithState(QueueItems(keep), "id string, seq long, status string, attempts int", "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- uploads

@@ -100,3 +100,29 @@ def test_an_upload_costs_one_read_and_one_write():
         came += [(r.offset, r.received) for r in upload.handleInputRows(("u",), iter(rows), None)]
     assert came == [(0, 5), (5, 10), (10, 15)]
     assert calls == ["get", "update"] * 2
+
+
+def test_an_item_costs_one_read_and_one_write():
+    calls, value = [], []
+
+    class Store:
+        def get(self):
+            calls.append("get")
+            return value[0] if value else None
+
+        def update(self, state):
+            calls.append("update")
+            value[:] = [state]
+
+    class Handle:
+        getValueState = lambda self, *args: Store()
+        registerTimer = lambda self, at: calls.append(("timer", at))
+
+    item = states.QueueItems(dt.timedelta(seconds=1))
+    item.init(Handle())
+    came = []
+    for batch in ([(2, 5, "start"), (1, 6, "enqueue"), (2, 4, "view")], [(3, 7, "finish")]):
+        rows = [Row(seq=seq, event=event, ms=ms) for ms, seq, event in batch]
+        came += [(r.seq, r.status, r.attempts) for r in item.handleInputRows(("k",), iter(rows), None)]
+    assert came == [(6, "queued", 0), (4, "queued", 0), (5, "running", 1), (7, "done", 1)]
+    assert calls == ["get", "update", "get", "update", ("timer", 1004)]
