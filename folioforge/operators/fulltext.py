@@ -16,6 +16,10 @@ Queries come as a table and are answered together: the lists of a chunk meet all
 moved once, however many needles and queries have its gram, and each query keeps a bounded number of pages a chunk in the first
 round.  A needle is counted once in a page, and texts are left behind as soon as it is.
 
+A Python worker's memory does not grow with the pages: it holds a batch of at most a thousand texts (Spark ends one at 64 MB),
+``HELD`` grams and one page more, or the lists of a few chunks.  Small tables are made by SQL, because rows from the driver's Python
+go through workers of another kind, which stay beside these.
+
 ``refresh`` adds a segment of what is new or changed by signature and publishes the new ``live``; what is gone or
 was replaced stays in its segment, unreachable, until the index is built anew.  A refresh that fails leaves the old state.
 """
@@ -160,7 +164,7 @@ def refresh(pages: DataFrame, root: str) -> dict[str, int]:
     modest_batches(spark)
     old = _live(spark, root)
     if old is None:
-        old = spark.createDataFrame([], "path string, signature string, chunk long, at int")
+        old = spark.sql("SELECT '' AS path, '' AS signature, 0L AS chunk, 0 AS at WHERE false")
     known = old.select("path", F.col("signature").alias("_old"), "chunk", "at")
     both = signed(pages).select("path", "signature").join(known, "path", "full_outer")
     same = F.col("signature").eqNullSafe(F.col("_old"))
@@ -192,7 +196,7 @@ def refresh(pages: DataFrame, root: str) -> dict[str, int]:
 
 def _add_segment(spark: SparkSession, root: str, name: str) -> None:
     have = read_table(spark, f"{root}/segments", missing_ok=True)
-    one = spark.createDataFrame([(name,)], "segment string")
+    one = spark.sql("SELECT :name AS segment", {"name": name})
     replace_table(one if have is None else have.unionByName(one), f"{root}/segments")
 
 

@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import fulltext, search
+from folioforge.operators.tables import modest_batches
+from folioforge.plans import indexed
+from folioforge.plans.catalogue import QUERY
 from folioforge.plans.shapes import doc_pages
 from tests.oracle import SF
 
@@ -116,3 +119,26 @@ def test_refresh_copies_no_texts_to_compare_them(spark, tmp_path, small, monkeyp
     assert fulltext.refresh(pages, root) == {"added": 0, "changed": 0, "removed": 0, "kept": 31}
     assert kept and not [n for n, c in kept.items() if "body" in c]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_only_one_kind_of_python_worker_serves_the_index(spark, monkeypatch):
+    want = {(r.path, r.score) for r in search.page_hits(doc_pages(spark, SF), QUERY, 12).select("path", "score").collect()}
+
+    def refused(*_, **__):
+        raise AssertionError("rows of the driver's Python start workers that stay")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert {(r.path, r.score) for r in indexed.indexed_search(spark, SF).collect()} == want
+
+
+def test_a_session_without_a_limit_of_rows_gets_one(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("0", "1000"), ("-1", "1000"), ("20000", "1000"), ("300", "300")):
+            spark.conf.set(key, given)
+            modest_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
