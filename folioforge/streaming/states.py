@@ -1,7 +1,8 @@
 """Arbitrary state of keys over streams: queue items with expiry, and uploads put together from chunks.
 
 State is kept in RocksDB under the checkpoint, a value and a map per key; a restart goes on where the last committed
-batch ended.  A task holds the rows that one key has in one batch.
+batch ended.  A task holds the rows that one key has in one batch.  A call to the store costs a round trip to Python, so
+uploads whose chunks come without their bytes are put together by a table of state a batch instead (``replay_sizes``).
 """
 
 from __future__ import annotations
@@ -156,3 +157,50 @@ def replay(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
         query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def _in_a_row(uploads: DataFrame) -> DataFrame:
+    """Of each upload (upload_id, at, chunks by offset): ``at`` after the chunks that follow, these as ``taken``, and those ``waiting``."""
+    # Of chunks at one offset the first is kept: what waits comes before what is new.
+    once = F.filter("chunks", lambda x, i: (x["offset"] >= F.col("at")) & ((i == 0) | (F.get("chunks", i - 1)["offset"] != x["offset"])))
+    end = F.aggregate("once", F.col("at"), lambda at, x: F.when(x["offset"] == at, at + x["size"]).otherwise(at))
+    rows = uploads.withColumn("once", once).withColumn("end", end).withColumn("before", F.filter("once", lambda x: x["offset"] < F.col("end")))
+    # Sizes that add up to the way say that nothing before its end overlaps; only else the way is gone step by step.
+    added = F.aggregate("before", F.col("at"), lambda at, x: at + x["size"])
+    none = F.struct(F.col("at").alias("at"), F.slice("before", 1, 0).alias("on"))
+    on = lambda a, x: F.struct((a["at"] + x["size"]).alias("at"), F.concat(a["on"], F.array(x)).alias("on"))
+    stepped = F.aggregate("before", none, lambda a, x: F.when(x["offset"] == a["at"], on(a, x)).otherwise(a))["on"]
+    taken = F.when(added == F.col("end"), F.col("before")).otherwise(stepped)
+    return rows.select("upload_id", F.col("end").alias("at"), F.filter("once", lambda x: x["offset"] > F.col("end")).alias("waiting"), taken.alias("taken"))
+
+
+def replay_sizes(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """S22, R9 as ``uploads`` for chunks (upload_id, offset, size) without bytes, and without Python: what is there is run into ``sink``.
+
+    A piece comes out once (upload_id, offset, size, received), as soon as all before it are there.  A batch's chunks meet those
+    that wait in one shuffle; what has been received and what waits is a table under the checkpoint, written whole by each
+    batch and read by the next.  A batch that is replayed reads the same table again and replaces what it had written.
+    """
+    folder = f"{checkpoint}/uploads"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        size, offset = F.col("size").cast("long"), F.col("offset").cast("long")
+        chunk = F.struct(offset.alias("offset"), F.lit(True).alias("new"), size.alias("size"))
+        rows = batch.filter("size > 0").select("upload_id", F.lit(0).cast("long").alias("at"), chunk.alias("chunk"))
+        if batch_id:
+            known = spark.read.parquet(f"{folder}/batch={batch_id - 1}").select("upload_id", "at", F.explode_outer("waiting").alias("w"))
+            held = F.struct(F.col("w.offset").alias("offset"), F.lit(False).alias("new"), F.col("w.size").alias("size"))
+            rows = rows.unionByName(known.select("upload_id", "at", F.when(F.col("w").isNotNull(), held).alias("chunk")))
+        met = rows.groupBy("upload_id").agg(F.max("at").alias("at"), F.sort_array(F.collect_list("chunk")).alias("chunks"))
+        _in_a_row(met).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        piece = spark.read.parquet(f"{folder}/batch={batch_id}").select("upload_id", F.explode("taken").alias("p"))
+        piece = piece.select("upload_id", "p.offset", "p.size", (F.col("p.offset") + F.col("p.size")).alias("received"))
+        piece.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        if batch_id > 1:  # the batch before may be needed again
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
